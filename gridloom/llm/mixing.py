@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import materialise, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts into which the documents of one size class of a source are dealt, so that none is in one task alone.
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     offset (fixed by ``seed`` and source), and a document is emitted once for each integer passed.
     As like sizes stand together, what a source gives stays near its target.
 
-    The prefix sum is in two steps: counts by (source, size class, salt) are summed within the source, and
+    The texts are read once: ids, sources and sizes are written to the shared folder. The prefix sum is in two steps: counts by (source, size class, salt) are summed within the source, and
     ranks are taken within such a part, so no task holds a whole source. Null text and text
     without words have size 0; a null source is a source of its own, last; a source of size 0 has target 0.
     Null ids stand first; rows that repeat are interchangeable. Other columns are ignored.
@@ -77,6 +77,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
         _size_class(F.col("size")).alias("part"),
         (_hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % SALTS).cast("int").alias("salt"),
     )
+    rows = materialise(rows, "sizes")
     keys = ["source", "part", "salt"]
     parts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
