@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_toxicity": "toxicity",
     "op2_media_columns": "media",
+    "op4_minhash_near_dedup": "neardup",
     "op5_exact_dedup": "exactdup",
     "op6_url_filters": "urlfilter",
     "op7_best_fit_packing": "packing",
