@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op1_toxicity": "toxicity",
     "op2_media_columns": "media",
+    "op3_line_dedup": "linedup",
     "op4_minhash_near_dedup": "neardup",
     "op5_exact_dedup": "exactdup",
     "op6_url_filters": "urlfilter",
     "op7_best_fit_packing": "packing",
     "op8_warc": "warczip",
+    "op9_suffix_array_dedup": "suffixdup",
     "op10_mixing": "mixing",
 }
 _modules = {name: import_module(f"gridloom.llm.{module}") for name, module in OPERATORS.items()}

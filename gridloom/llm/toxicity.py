@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import bounded_batches, table
 
@@ -122,28 +123,36 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BI
     return Model(bits, bias, np.frombuffer(at, "<i4"), np.frombuffer(weight, "<f4"))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every whole text; null text counts as empty and scores by the bias alone.
+def scored(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``rows`` and score, of the whole text; null text counts as empty and scores by the bias alone.
 
-    No shuffle: the weights are broadcast and each document is scored where it is read.
+    No shuffle: the weights are broadcast and each document is scored where it is read. A column that is
+    called score already is replaced.
     """
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    rows = rows.drop("score")
+    sent, place = spark.sparkContext.broadcast(model), rows.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, features, bias = sent.value.dense(), Features(sent.value.bits), sent.value.bias
         for b in batches:
-            sums = np.array([weight[features(x)].sum(dtype=np.float64) for x in b.column(1).to_pylist()] or [], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))))], ["doc_id", "score"])
+            sums = np.array([weight[features(x or "")].sum(dtype=np.float64) for x in b.column(place).to_pylist()], np.float64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))))], [*b.schema.names, "score"])
+
+    return rows.mapInArrow(judge, StructType([*rows.schema, StructField("score", DoubleType())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scored(rows, model).select("doc_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    judged = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 ORACLE_SQL = None
