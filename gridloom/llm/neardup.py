@@ -22,7 +22,9 @@ BANDS, ROWS = 12, 4
 #: Document frequencies are kept by hashed shingle, in so many counters (2^16) of blocks.
 DF_BITS, BLOCK = 16, 4096
 #: Members of a bucket that are compared with all others after the first round; eight times more in each later one.
-LEADERS = 32
+LEADERS = 256
+#: Cells of the sums by which pairs are ruled out, and members of a bucket that one task compares with its leaders.
+SKETCH, PART = 256, 1000
 REMEMBERED = 400_000
 CHUNK = 1 << 15
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -208,13 +210,60 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, similarity: flo
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def sketches(texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """node, and the weights of its shingles summed in SKETCH cells."""
+    bounded_batches(texts.sparkSession)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for b in batches:
+            cells = []
+            for text in b.column("text").to_pylist():
+                k, n = shingles(text)
+                cells.append(np.bincount((k & np.uint64(SKETCH - 1)).astype(np.int64), _weights(idf.value, k, n), SKETCH).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cells, pa.binary())], ["node", "cells"])
+
+    return texts.select("doc_id", "text").mapInArrow(sum_up, "node long, cells binary")
+
+
+def possible(state: DataFrame, known: DataFrame, had: int, most: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) in one bucket but different classes that can be similar enough, one of them among the leaders.
+
+    Leaders of a bucket are the members whose hashed ids fall in its share most / size and not in had / size, those
+    before. Two texts share at most the sum of their lesser cells; pairs whose similarity cannot reach the
+    threshold by that go no further. Members are dealt in parts of about PART and leaders are sent to each.
+    """
+    turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
+    rows = state.join(known, "node").where(turn >= had).where(F.col("node") != F.col("leader"))
+    rows = rows.select("key", "node", "root", "cells", (turn < most).alias("leads"), F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    members = rows.select("key", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part"), "node", "root", "cells")
+    leaders = rows.where("leads").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root", "cells").toDF("k", "p", "leader", "class", "sums")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[np.ndarray] = []
+        if len(left) and len(right):
+            y, ids, roots = np.stack([np.frombuffer(c, "<f4") for c in right["cells"]]), right["node"].to_numpy(), right["root"].to_numpy()
+            totals = y.sum(1)
+            for node, root, cells in zip(left["leader"], left["class"], left["sums"]):
+                x = np.frombuffer(cells, "<f4")
+                both = (totals + x.sum()) * (similarity / (1 + similarity))
+                ok = np.flatnonzero((roots != root) & (np.minimum(totals, x.sum()) >= both * 0.9999))
+                ok = ok[np.minimum(y[ok], x).sum(1) >= both[ok] * 0.9999]
+                found.append(np.stack([np.minimum(ids[ok], node), np.maximum(ids[ok], node)], 1))
+        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return leaders.groupBy("k", "p").cogroup(members.groupBy("key", "part")).applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (smallest id of the class) and kept (whether the two are the same).
 
     Classes are the components of links between texts at ``similarity`` or more. Equal texts are one node.
-    A bucket (texts that share a band) is first compared with its smallest member; what these links join is one class,
-    and a bucket with more than one class goes on: LEADERS of its members, then eight times more and so
-    on to all of them, are compared with every member of another class. So no link of a bucket is missed
+    A bucket (texts that share a band) is first compared with its most central member, that which has the
+    most texts in its buckets; what these links join is one class, and a bucket with more than one class goes on:
+    LEADERS of its members, then eight times more and so on to all of them, are compared with every member of
+    another class, but for pairs that a bound rules out. So no link of a bucket is missed
     and yet a bucket of very many near copies costs a few comparisons a member. Buckets, texts and links
     stay distributed; a hot bucket meets its leader in a join that AQE can split.
 
@@ -229,29 +278,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     nodes = signed.where("doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     nodes = materialise(nodes, "nodes")
     placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    shared = placed.groupBy("key", "band").agg(F.min("node").alias("leader"), F.max("node").alias("other"), F.count(F.lit(1)).alias("size")).where("leader <> other")
-    buckets = materialise(placed.drop("band").join(shared.drop("band", "other"), "key"), "buckets")
+    shared = placed.groupBy("key", "band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    met = materialise(placed.drop("band").join(shared.select("key", "size"), "key"), "met")
+    met = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node")
+    central = met.groupBy("key", "size").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("first")).select("key", (-F.col("first.node")).alias("leader"))
+    buckets = materialise(met.drop("degree").join(central, "key"), "buckets")
     texts = materialise(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    pairs = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = buckets.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = materialise(verified(pairs, texts, idf, similarity), "links")
     roots = components(links)
-    had, most = 0, LEADERS
+    had, most, known = 0, LEADERS, None
     while True:
         state = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        state = state.withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30))
         open_ = state.groupBy("key", "size").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         state = materialise(state.join(open_, "key"), "open")
         largest = state.agg(F.max("size")).collect()[0][0] or 0
         if had >= largest:
             break
-        before, now = F.col("turn") * F.col("size") < had, F.col("turn") * F.col("size") < most
-        rest = state.where(~before & (F.col("node") != F.col("leader"))).withColumn("leads", now)
-        x, y = rest.where("leads").alias("x"), rest.alias("y")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
-        pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        more = materialise(verified(pairs, texts, idf, similarity), "links")
-        if not more.isEmpty():
-            links = links.union(more)
+        if known is None:
+            known = materialise(sketches(texts.join(state.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), idf), "sketches")
+        near = materialise(verified(possible(state, known, had, most, similarity), texts, idf, similarity), "links")
+        if not near.isEmpty():
+            links = links.union(near)
             roots = components(links)
         had, most = most, 8 * most
     classes = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
