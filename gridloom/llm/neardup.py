@@ -185,10 +185,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough."""
+    """The pairs (a, b) whose whole texts are similar enough.
+
+    Texts are always joined by shuffle, so that the plan is one at every size.
+    """
     bounded_batches(pairs.sparkSession, 256)
-    right = pairs.join(texts.toDF("b", "text_b"), "b")
-    both = right.join(texts.toDF("a", "text_a"), "a").sortWithinPartitions("a")
+    right = pairs.join(texts.toDF("b", "text_b").hint("merge"), "b")
+    both = right.join(texts.toDF("a", "text_a").hint("merge"), "a").sortWithinPartitions("a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, left = Shingles(), None, None
@@ -283,7 +286,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     met = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node")
     central = met.groupBy("key", "size").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("first")).select("key", (-F.col("first.node")).alias("leader"))
     buckets = materialise(met.drop("degree").join(central, "key"), "buckets")
-    texts = materialise(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = materialise(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     pairs = buckets.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = materialise(verified(pairs, texts, idf, similarity), "links")
     roots = components(links)
@@ -296,7 +299,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         if had >= largest:
             break
         if known is None:
-            known = materialise(sketches(texts.join(state.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), idf), "sketches")
+            known = materialise(sketches(texts.join(state.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), idf), "sketches")
         near = materialise(verified(possible(state, known, had, most, similarity), texts, idf, similarity), "links")
         if not near.isEmpty():
             links = links.union(near)
