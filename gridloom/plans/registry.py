@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import scoring
+from gridloom.plans import scoring, spatial
 
-MODULES = [scoring]
+MODULES = [scoring, spatial]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
