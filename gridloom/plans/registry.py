@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import scoring, spatial
+from gridloom.plans import control, scoring, spatial
 
-MODULES = [scoring, spatial]
+MODULES = [scoring, spatial, control]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
