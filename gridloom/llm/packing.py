@@ -140,27 +140,43 @@ def nnls(rows: np.ndarray, wanted: np.ndarray, steps: int = 400) -> np.ndarray:
 def pack_histogram(counts: dict[int, int], total: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, number of such sequences), together using each count exactly.
 
-    Patterns that fill a sequence are fitted to the histogram and rounded; what is left is packed
-    best fit, longest first, whole groups of one length and one free space at a time. The work and
-    the result are bounded by ``total``, not by the number of documents.
+    Patterns that fill a sequence are fitted to the histogram and rounded, once to the nearest and once down; what
+    is left is packed best fit, longest first, and the plan of fewer sequences is taken. The work and the
+    result are bounded by ``total``, not by the number of documents.
     """
-    left = np.zeros(total + 1, np.int64)
+    have = np.zeros(total + 1, np.int64)
     for k, v in counts.items():
-        left[k] += v
-    out: Counter[tuple[int, ...]] = Counter()
-    rows = patterns(np.flatnonzero(left).tolist(), total)
+        have[k] += v
+    rows = patterns(np.flatnonzero(have).tolist(), total)
+    fitted = np.empty(0)
     if len(rows):
-        scale = max(1.0, float(left[:total].max()))
-        wanted = np.where(np.arange(total + 1) < total, left, 0) / scale
-        fitted = nnls(rows, wanted) * scale
-        for i in np.argsort(-fitted, kind="stable"):
-            if (n := round(float(fitted[i]))) < 1:
-                break
-            need = Counter(x for x in rows[i].tolist() if x)
-            if (n := min([n, *(int(left[x]) // k for x, k in need.items())])) > 0:
-                for x, k in need.items():
-                    left[x] -= n * k
-                out[tuple(sorted(need.elements(), reverse=True))] += n
+        scale = max(1.0, float(have[:total].max()))
+        fitted = nnls(rows, np.where(np.arange(total + 1) < total, have, 0) / scale) * scale
+    plans = [_rounded(rows, np.floor(fitted + up), have.copy()) for up in ((0.5, 0.0) if len(rows) else (0.0,))]
+    return sorted(min(plans, key=lambda p: sum(p.values())).items())
+
+
+def _rounded(rows: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> Counter[tuple[int, ...]]:
+    """Use patterns so often, most used first and as far as the counts ``left`` go; pack the rest best fit."""
+    out: Counter[tuple[int, ...]] = Counter()
+    for i in np.argsort(-repeats, kind="stable"):
+        if (n := int(repeats[i])) < 1:
+            break
+        need = Counter(x for x in rows[i].tolist() if x)
+        if (n := min([n, *(int(left[x]) // k for x, k in need.items())])) > 0:
+            for x, k in need.items():
+                left[x] -= n * k
+            out[tuple(sorted(need.elements(), reverse=True))] += n
+    _best_fit(left, out)
+    return out
+
+
+def _best_fit(left: np.ndarray, out: Counter[tuple[int, ...]]) -> None:
+    """Add to ``out`` the counts ``left``, longest first, each into the least space that holds it.
+
+    Whole groups of one length and one free space are placed at a time.
+    """
+    total = len(left) - 1
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     spaces: list[int] = []
 
@@ -191,7 +207,6 @@ def pack_histogram(counts: dict[int, int], total: int = LENGTH) -> list[tuple[tu
     for bins in open_.values():
         for lengths, n in bins:
             out[lengths] += n
-    return sorted(out.items())
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]], total: int = LENGTH) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BI
         m = ftrl.model()
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.index.astype("<i4").tobytes()]), pa.array([m.weight.astype("<f4").tobytes()])], ["bias", "at", "weight"])
 
-    bias, at, weight = rows.mapInArrow(fit, "bias double, at binary, weight binary").collect()[0]
+    found = rows.mapInArrow(fit, "bias double, at binary, weight binary").collect()
+    bias, at, weight = found[0] if found else (0.0, b"", b"")  # no row to learn from: no task runs
     return Model(bits, bias, np.frombuffer(at, "<i4"), np.frombuffer(weight, "<f4"))
 
 
