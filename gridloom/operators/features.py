@@ -1,4 +1,4 @@
-"""Band features by expressions: normalisation on the fit cells, gradients and undecimated Haar energies."""
+"""Band features by expressions: normalisation on the fit cells, gradients, shifts."""
 
 from __future__ import annotations
 
@@ -67,28 +67,6 @@ def phase_edge(energy: DataFrame, epsilon: float = 1.0) -> DataFrame:
     return energy.withColumn("edge", x / (1 + x))
 
 
-def haar_entropy(cells: DataFrame, band: str, levels: int = 2) -> DataFrame:
-    """row, col, entropy of the shares of undecimated Haar detail energies (LH, HL, HH) over levels of dilation 1, 2, 4, ..
-
-    The neighbour beyond the edge is the edge cell itself.
-    """
-    if not 1 <= levels <= 6:
-        raise ValueError("levels must be from 1 to 6")
-    down, across = Window.partitionBy("col").orderBy("row"), Window.partitionBy("row").orderBy("col")
-    out = cells.select("row", "col", F.when(F.col("valid") & finite(F.col(band)), F.col(band)).otherwise(0.0).alias("ll"))
-    energies = []
-    for level in range(levels):
-        d = 1 << level
-        x = F.coalesce(F.lead("ll", d).over(across), F.col("ll"))
-        out = out.withColumns({"low": (F.col("ll") + x) / 2, "high": (F.col("ll") - x) / 2})
-        lo, hi = (F.coalesce(F.lead(c, d).over(down), F.col(c)) for c in ("low", "high"))
-        out = out.withColumns({f"e{level}_lh": F.pow((F.col("low") - lo) / 2, 2), f"e{level}_hl": F.pow((F.col("high") + hi) / 2, 2), f"e{level}_hh": F.pow((F.col("high") - hi) / 2, 2), "ll": (F.col("low") + lo) / 2})
-        energies += [f"e{level}_lh", f"e{level}_hl", f"e{level}_hh"]
-    total = sum((F.col(e) for e in energies), F.lit(0.0))
-    share = lambda e: F.col(e) / (total + 1e-12)
-    return out.select("row", "col", (-sum((share(e) * F.log(share(e) + 1e-12) for e in energies), F.lit(0.0))).alias("entropy"))
-
-
 def shift_channels(cells: DataFrame, bands: list[str], dy: int, dx: int, fill: float = 0.0) -> DataFrame:
     """Bands moved by (dy, dx) without wrapping; a cell takes its source only if both are valid, else ``fill``."""
     source = cells.where("valid").select((F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col"), *[F.col(b).alias(f"{b}_from") for b in bands])
@@ -106,3 +84,14 @@ def eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
 def downsample_any(cells: DataFrame, mask: str, stride: int) -> DataFrame:
     key = [F.floor(F.col("row") / stride).alias("row"), F.floor(F.col("col") / stride).alias("col")]
     return cells.groupBy(*key).agg(F.bool_or(mask).alias(mask))
+
+
+def band_groups(tags: DataFrame, categories: list[str], tag: str = "category") -> dict[str, list[int]]:
+    """Zero-based bands of each category by the band tags (band, key, value); a repeated, empty or missing category is an error."""
+    if len(set(categories)) != len(categories) or not all(categories):
+        raise ValueError("categories must be distinct and not empty")
+    rows = tags.where((F.col("key") == tag) & F.col("value").isin(categories)).orderBy("band").collect()
+    out = {c: [r["band"] for r in rows if r["value"] == c] for c in categories}
+    if missing := [c for c, bands in out.items() if not bands]:
+        raise ValueError(f"no band is tagged {missing}")
+    return out

@@ -237,8 +237,83 @@ def skeleton_recall_loss(found: DataFrame) -> DataFrame:
     return found.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), recall)).alias("loss"), n.alias("target_cells"))
 
 
-#: Buffers, by kind, that a split needs so that no fit cell sees a held-out one.
+def haar_energy(x: np.ndarray, level: int) -> np.ndarray:
+    """Sum of the squared undecimated Haar details at dilation 2^(level - 1); the neighbours are the next cells, mirrored at the edges."""
+    d = 1 << (level - 1)
+
+    def ahead(y: np.ndarray, axis: int) -> np.ndarray:
+        at = np.arange(y.shape[axis]) + d
+        last = y.shape[axis] - 1
+        at = np.where(at > last, 2 * last - at, at)
+        return np.take(y, np.clip(at, 0, last), axis)
+
+    low, high = (x + ahead(x, 1)) / 2, (x - ahead(x, 1)) / 2
+    return (low - ahead(low, 0)) ** 2 + (high + ahead(high, 0)) ** 2 + (high - ahead(high, 0)) ** 2
+
+
+def wavelet_entropy(cells: DataFrame, bands: list[str], sigma: float, levels: list[int], height: int, width: int, tile: int = TILE) -> DataFrame:
+    """entropy of the levels' shares of detail energy, mean over bands; 0 without energy and outside valid cells. ``scaled_by`` divides by the 99th percentile."""
+    if not levels or any(x != int(x) or not 1 <= x <= 6 for x in levels):
+        raise ValueError("levels must be whole numbers from 1 to 6")
+
+    def kernel(a: Arrays) -> Arrays:
+        total = np.zeros(a["valid"].shape)
+        for b in bands:
+            e = np.stack([haar_energy(masked_gaussian(a[b], a["valid"], sigma), int(x)) for x in levels])
+            whole = e.sum(0)
+            q = e / (whole + 1e-12)
+            total += np.where(whole > 1e-12, np.maximum(-(q * np.log(q + 1e-12)).sum(0), 0), 0)
+        return {"entropy": np.where(a["valid"], total / len(bands), 0)}
+
+    return on_tiles(cells, bands, reach(sigma) + (1 << (int(max(levels)) - 1)), kernel, ["entropy"], height, width, tile)
+
+
+def multiband_edges(cells: DataFrame, bands: list[str], epsilon: float, lam: float, fit: str, height: int, width: int, tile: int = TILE, norm: bool = False) -> DataFrame:
+    """Edge strength of each band, then the mean or the vector norm over bands, at most 1."""
+    parts = None
+    for b in bands:
+        own = edge_strength(cells.select("row", "col", F.when(F.col("valid"), F.col(b)).otherwise(0.0).alias(b)), cells, b, epsilon, lam, fit, height, width, tile).withColumnRenamed("edge", f"e_{b}")
+        parts = own if parts is None else parts.join(own, ["row", "col"])
+    e = [F.col(f"e_{b}") for b in bands]
+    total = F.sqrt(sum((x * x for x in e), F.lit(0.0)) / len(e)) if norm else sum(e, F.lit(0.0)) / len(e)
+    return parts.select("row", "col", F.least(F.lit(1.0), total).alias("edge"))
+
+
+KINDS = ("gradient_energy", "phase_edge", "mumford_shah_log", "structure_tensor_coherence", "structure_tensor_orientation", "ridge_valley_response", "steerable_filter", "wavelet_entropy")
+
+
+def lineament_features(cells: DataFrame, groups: dict[str, list[str]], kind: str, fit: str, height: int, width: int, sigma: float = 1.0, window: float = 2.0, epsilon: float = 1.0, wavelength: float = 6.0, angles: int = 8, levels: tuple[int, ...] = (1, 2, 3), scales: tuple[float, ...] = (), tile: int = TILE) -> DataFrame:
+    """row, col and one derived column for each group of bands."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}; one of {', '.join(KINDS)}")
+    out = None
+    for name, bands in groups.items():
+        if kind in ("gradient_energy", "phase_edge"):
+
+            def energy(a: Arrays, bands: list[str] = bands) -> Arrays:
+                s = [masked_gaussian(a[b], a["valid"], sigma) for b in bands]
+                e = np.sqrt(sum(_gradient(x, 0) ** 2 + _gradient(x, 1) ** 2 for x in s) / len(bands))
+                e = e if kind == "gradient_energy" else 4 * epsilon * e / (1 + 4 * epsilon * e)
+                return {"x": np.where(a["valid"], e, 0)}
+
+            own = on_tiles(cells, bands, reach(sigma) + 1, energy, ["x"], height, width, tile)
+        elif kind == "mumford_shah_log":
+            own = log_edges(cells, bands, sigma, epsilon, fit, height, width, tile).withColumnRenamed("edge", "x")
+        elif kind.startswith("structure_tensor"):
+            own = structure_tensor(cells, bands, sigma, window, height, width, tile).withColumnRenamed(kind.rpartition("_")[2], "x")
+        elif kind == "ridge_valley_response":
+            own = ridge_valley(cells, bands, list(scales or (sigma,)), window, fit, height, width, tile).withColumnRenamed("response", "x")
+        elif kind == "steerable_filter":
+            own = steerable(cells, bands, sigma, wavelength, angles, fit, height, width, tile).withColumnRenamed("response", "x")
+        else:
+            own = scaled_by(wavelet_entropy(cells, bands, sigma, list(levels), height, width, tile), cells, "entropy", fit, 0.99, 0.0, 1e-6).withColumnRenamed("entropy", "x")
+        own = own.select("row", "col", F.col("x").alias(name))
+        out = own if out is None else out.join(own, ["row", "col"])
+    return out
+
+
 def tile_halo(kind: str, sigma: float = 1.0, window: float = 2.0, epsilon: float = 1.0) -> int:
+    """The true support of each kind, which is also the buffer that keeps fit cells from seeing held-out ones."""
     s = max(0.5, epsilon)
     return {
         "gradient_energy": reach(sigma) + 1,

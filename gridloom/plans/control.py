@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import audit, gate, geometry, components, stencils
+from gridloom.operators import audit, calibration, components, gate, geometry, metric, provenance, stencils, threshold
 from gridloom.plans.raster import RASTER, raster
-from gridloom.plans.scoring import rounded
+from gridloom.plans.scoring import curve_sql, rounded
 from gridloom.streaming import ledger
 
 QUERIES, SQL = {}, {}
@@ -56,6 +56,34 @@ def _(spark, sf_dir):
     return rounded(stencils.log_edges(cells, ["v"], 1.0, 1.0, "fit", h, w))
 
 
+WAVELET = f"""WITH {RASTER}, z AS (SELECT row, col, valid, CASE WHEN valid THEN v ELSE 0 END AS x FROM raster), n AS (SELECT max(row) AS h, max(col) AS w FROM z),
+e AS (SELECT a.row, a.col, a.valid, l.d, ((a.x + b.x) / 2 - (c.x + e.x) / 2) ** 2 + ((a.x - b.x) / 2 + (c.x - e.x) / 2) ** 2 + ((a.x - b.x) / 2 - (c.x - e.x) / 2) ** 2 AS e
+  FROM z a, n, (SELECT unnest([1, 2]) AS d) l
+  JOIN z b ON b.row = a.row AND b.col = CASE WHEN a.col + l.d > n.w THEN 2 * n.w - a.col - l.d ELSE a.col + l.d END
+  JOIN z c ON c.col = a.col AND c.row = CASE WHEN a.row + l.d > n.h THEN 2 * n.h - a.row - l.d ELSE a.row + l.d END
+  JOIN z e ON e.row = c.row AND e.col = b.col),
+t AS (SELECT *, sum(e) OVER (PARTITION BY row, col) AS whole FROM e)
+SELECT row, col, round(CASE WHEN bool_or(valid AND whole > 1e-12) THEN greatest(-sum(e / (whole + 1e-12) * ln(e / (whole + 1e-12) + 1e-12)), 0) ELSE 0 END, 5) + 0.0 AS entropy FROM t GROUP BY row, col"""
+
+
+@query("wavelet_entropy", WAVELET)
+def _(spark, sf_dir):
+    cells, h, w = sized(spark, sf_dir)
+    return stencils.wavelet_entropy(cells, ["v"], 0.0, [1, 2], h, w).withColumn("entropy", F.round("entropy", 5) + 0.0)
+
+
+@query("multiband_edges")
+def _(spark, sf_dir):
+    cells, h, w = sized(spark, sf_dir)
+    return rounded(stencils.multiband_edges(cells, ["v", "p"], 1.0, 0.1, "fit", h, w))
+
+
+@query("lineament_phase_edge")
+def _(spark, sf_dir):
+    cells, h, w = sized(spark, sf_dir)
+    return rounded(stencils.lineament_features(cells, {"both": ["v", "p"]}, "phase_edge", "fit", h, w))
+
+
 @query("soft_skeleton")
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
@@ -89,6 +117,47 @@ def _(spark, sf_dir):
     return rounded(geometry.curved_paths(tips, cells, 6))
 
 
+@query("lofo_stitched")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3))
+    return rounded(calibration.lofo_stitched(cells))
+
+
+@query("rival_threshold")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3))
+    return rounded(calibration.rival_scores(cells, calibration.rival_threshold(0.5), threshold.lofo_thresholds(threshold.threshold_curve(cells, ["fold"]))))
+
+
+@query("disjoint_calibration")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3)).withColumn("fit", F.col("fold") < 3).withColumn("evaluate", F.col("fold") >= 3)
+    return rounded(calibration.fit_and_evaluate(cells))
+
+
+@query("own_fold_threshold", curve_sql("fold") + " SELECT fold, round(CASE WHEN max(n_truth) = 0 THEN 0.5 ELSE max_by(threshold, (score, threshold)) END, 6) AS threshold FROM curve JOIN truths USING (fold) GROUP BY fold")
+def _(spark, sf_dir):
+    return rounded(calibration.own_fold_thresholds(raster(spark, sf_dir).withColumn("p", F.round("p", 3))))
+
+
+@query("soft_tversky_loss", f"""WITH {RASTER}, s AS (SELECT sum(p * truth::INT) AS tp, sum(p * (1 - truth::INT)) AS fp, sum((1 - p) * truth::INT) AS fn FROM raster WHERE valid)
+SELECT round(1 - tp / (tp + 0.2 * fp + 0.8 * fn + 1e-12), 6) AS loss FROM s""")
+def _(spark, sf_dir):
+    return rounded(calibration.training_loss({"loss": "tversky"})(raster(spark, sf_dir)).select("loss"))
+
+
+@query("fold_preview", f"WITH {RASTER} SELECT row // 4 AS row, col // 4 AS col, CASE WHEN bool_or(truth AND valid) THEN 255 ELSE 0 END AS r, (max(p) FILTER (valid) * 255)::INT AS g, CASE WHEN bool_or(valid) THEN 64 ELSE 0 END AS b FROM raster GROUP BY ALL")
+def _(spark, sf_dir):
+    return provenance.preview(raster(spark, sf_dir), 4)
+
+
+@query("baseline_classifier")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir).withColumn("train", F.col("fold") != 0)
+    model = provenance.fit_cells(cells, ["v"], "train")
+    return rounded(metric.tversky(provenance.predict_cells(model, cells.where("fold = 0"))))
+
+
 @query("ablation_summary", """WITH s AS (SELECT l_returnflag AS variant, l_linenumber AS fold, avg(l_discount) AS score FROM lineitem GROUP BY ALL), b AS (SELECT fold, score AS base FROM s WHERE variant = 'A')
 SELECT variant, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(avg(score - base), 6) + 0.0 AS delta, count(*) FILTER (score > base) AS wins, count(*) FILTER (score < base) AS losses, count(*) FILTER (score = base) AS ties,
 count(*) FILTER (score IS NULL OR base IS NULL) AS unmatched FROM s FULL JOIN b USING (fold) GROUP BY variant""")

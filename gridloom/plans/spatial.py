@@ -165,17 +165,6 @@ def _(spark, sf_dir):
     return rounded(features.phase_edge(features.gradient_energy(raster(spark, sf_dir), ["v"]), 0.5))
 
 
-@query("haar_entropy", f"""WITH {RASTER}, z AS (SELECT row, col, CASE WHEN valid THEN v ELSE 0 END AS ll FROM raster),
-a AS (SELECT *, coalesce(lead(ll) OVER (PARTITION BY row ORDER BY col), ll) AS x FROM z), b AS (SELECT row, col, (ll + x) / 2 AS lo, (ll - x) / 2 AS hi FROM a),
-c AS (SELECT *, coalesce(lead(lo) OVER w, lo) AS lo2, coalesce(lead(hi) OVER w, hi) AS hi2 FROM b WINDOW w AS (PARTITION BY col ORDER BY row)),
-d AS (SELECT row, col, ((lo - lo2) / 2) ** 2 AS e1, ((hi + hi2) / 2) ** 2 AS e2, ((hi - hi2) / 2) ** 2 AS e3 FROM c),
-s AS (SELECT row, col, e1 / (e1 + e2 + e3 + 1e-12) AS s1, e2 / (e1 + e2 + e3 + 1e-12) AS s2, e3 / (e1 + e2 + e3 + 1e-12) AS s3 FROM d)
-SELECT row, col, round(-(s1 * ln(s1 + 1e-12) + s2 * ln(s2 + 1e-12) + s3 * ln(s3 + 1e-12)), 5) + 0.0 AS entropy FROM s""")
-def _(spark, sf_dir):
-    out = features.haar_entropy(raster(spark, sf_dir), "v", 1)
-    return out.withColumn("entropy", F.round("entropy", 5) + 0.0)
-
-
 @query("shifted_bands", f"WITH {RASTER} SELECT a.row, a.col, CASE WHEN a.valid THEN coalesce(b.v, 0) ELSE 0 END::DOUBLE AS v FROM raster a LEFT JOIN (SELECT * FROM raster WHERE valid) b ON b.row = a.row - 1 AND b.col = a.col + 1")
 def _(spark, sf_dir):
     return features.shift_channels(raster(spark, sf_dir), ["v"], 1, -1).select("row", "col", "v")
