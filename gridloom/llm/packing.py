@@ -31,10 +31,20 @@ PLAIN = re.compile(rf"[\t\n\r -~{LETTER}]*\Z")
 PLAIN_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: visible Latin-1 characters as they are, the others from U+0100 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library that remembers the ids of pre-tokens, as bytes of two an id.
 
-    Merges never cross pre-tokens, so the ids of a text are those of its pre-tokens in turn.
+    Merges never cross pre-tokens, so the ids of a text are those of its pre-tokens in turn. The library's model is
+    asked for those that are new, in the letters that stand for their bytes; special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -43,7 +53,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("pre-tokens are only remembered for tokenizers that do not normalise")
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of two bytes need a vocabulary of at most 65,536")
         self.find = regex.compile(pattern).findall
@@ -57,9 +68,10 @@ class Encoder:
             if len(known) + len(fresh) > REMEMBERED:
                 known.clear()
                 fresh = set(parts)
-            own = list(fresh)
-            for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                known[x] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+            tokenize, letters = self.tokenizer.model.tokenize, BYTE_LETTERS
+            for x in fresh:
+                ids = [t.id for t in tokenize(x.encode().decode("latin-1").translate(letters))]
+                known[x] = struct.pack(f"<{len(ids)}H", *ids)
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u2").astype("<u4")
 
 
