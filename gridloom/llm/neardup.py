@@ -25,7 +25,7 @@ DF_BITS, BLOCK = 16, 4096
 LEADERS = 256
 #: Cells of the sums by which pairs are ruled out, and members of a bucket that one task compares with its leaders.
 SKETCH, PART = 256, 1000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 CHUNK = 1 << 15
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 

@@ -9,7 +9,6 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,8 @@ from gridloom.llm.common import bounded_batches, materialise, table
 LENGTH = 1024
 END = 2
 SALTS = 64
-#: Distinct pre-tokens that a worker remembers the ids of before it starts anew.
-REMEMBERED = 800_000
+#: Distinct pre-tokens that a task remembers the ids of before it starts anew; freed at its end, as workers live on.
+REMEMBERED = 300_000
 
 
 #: Characters for which the standard library's re splits as the pattern does, and that split for them.
@@ -75,12 +74,6 @@ class Encoder:
         return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u2").astype("<u4")
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for a worker process, so that later tasks find what earlier ones remembered."""
-    return Encoder(path, pattern)
-
-
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -94,7 +87,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, pattern: str, length: int
     schema = PIECE.append(pa.field("ids", pa.list_(pa.int64()))) if with_ids else PIECE
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern)
+        encode = Encoder(tokenizer, pattern)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -22,7 +22,7 @@ PASSES = 3
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Distinct words that a worker remembers the hashes of before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Features:
