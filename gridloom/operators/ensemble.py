@@ -68,3 +68,26 @@ def lofo_weights(scores: DataFrame) -> DataFrame:
     fit = folds.join(scores, F.col("target") != F.col("fold")).groupBy("target", "candidate").agg(F.avg("score").alias("mean"))
     best = fit.groupBy("target").agg(F.max(F.struct(F.round("mean", 12).alias("m"), (-F.col("candidate")).alias("c"))).alias("b"))
     return folds.join(best, "target", "left").select(F.col("target").alias("fold"), F.coalesce(-F.col("b.c"), F.lit(0)).alias("candidate"), F.col("b.m").alias("fit_mean"))
+
+
+def apply(members: DataFrame, method: str, weights: DataFrame | None = None) -> DataFrame:
+    """fold, row, col, p by ``method``: mean, rank_average or weighted, which takes ``weights`` (fold, member, weight).
+
+    Weights of a fold must be finite, not negative and sum to 1 with one for each member; anything else is an error.
+    """
+    if method == "mean":
+        return mean(members)
+    if method == "rank_average":
+        return rank_average(members)
+    if method != "weighted":
+        raise ValueError(f"unknown method {method!r}; one of mean, rank_average, weighted")
+    if weights is None:
+        raise ValueError("a weighted ensemble needs weights")
+    w = F.col("weight")
+    sums = weights.groupBy("fold").agg(F.sum(w).alias("total"), F.min(F.when(F.isnan(w), -1.0).otherwise(w)).alias("least"), F.count(w).alias("n"), F.count_distinct("member").alias("m"))
+    want = members.groupBy("fold").agg(F.count_distinct("member").alias("members"))
+    odd = want.join(sums, "fold", "left").where("total is null or abs(total - 1) > 1e-6 or least < 0 or n <> members or m <> members")
+    if bad := sorted(r["fold"] for r in odd.select("fold").collect()):
+        raise ValueError(f"weights of folds {bad} do not fit their members")
+    mixed = members.join(F.broadcast(weights), ["fold", "member"])  # a row a fold and member
+    return mixed.groupBy("fold", "row", "col").agg(F.sum(F.col("p").cast("double") * w).alias("p"))

@@ -76,6 +76,15 @@ def discovery_masks(cells: DataFrame, buffer: float, exclusion: float, trace: bo
     return out.select(F.col("k").alias("fold"), "row", "col", yes("train_truth").alias("train_truth"), yes("validation_truth").alias("validation_truth"), (~yes("withheld")).alias("train"), (~yes("excluded")).alias("evaluation"))
 
 
+def training_cells(cells: DataFrame, bands: list[str], train: str = "train", truth: str = "train_truth") -> DataFrame:
+    """row, col, bands, target and train: bands and target are 0 outside the training mask, so nothing withheld is seen."""
+    own = F.col(train)
+    return cells.select(
+        "row", "col", *[F.when(own, F.col(b).cast("float")).otherwise(F.lit(0.0).cast("float")).alias(b) for b in bands],
+        (own & F.col(truth)).cast("float").alias("target"), own.alias("train"),
+    )
+
+
 def split_errors(cells: DataFrame, scheme: str) -> list[str]:
     """What makes a fold map unusable; an empty list passes. ``cells``: valid, truth, fold, and component for truth cells."""
     whole = F.col("fold") == F.floor("fold")

@@ -5,10 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
+import struct
 import subprocess
 import sys
+import zlib
 from datetime import UTC, datetime
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,18 @@ def preview(cells: DataFrame, stride: int) -> DataFrame:
     return out.select("row", "col", F.when(F.col("t"), 255).otherwise(0).alias("r"), F.rint(F.col("p") * 255).cast("int").alias("g"), F.when(F.col("v"), 64).otherwise(0).alias("b"))
 
 
+def png(picture: DataFrame, path: str) -> None:
+    """Write row, col, r, g, b as an 8-bit PNG; a preview is small by its stride, so its cells may come to the driver."""
+    rows = picture.select("row", "col", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in "rgb"]).toPandas()
+    h, w = int(rows["row"].max()) + 1, int(rows["col"].max()) + 1
+    pixels = np.zeros((h, w, 3), np.uint8)
+    pixels[rows["row"], rows["col"]] = rows[["r", "g", "b"]].to_numpy()
+    lines = np.concatenate((np.zeros((h, 1), np.uint8), pixels.reshape(h, w * 3)), axis=1)  # each line begins with its filter, none
+    chunks = ((b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)), (b"IDAT", zlib.compress(lines.tobytes())), (b"IEND", b""))
+    data = b"".join(struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x)) for kind, x in chunks)
+    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + data)
+
+
 def centre_sample(cells: DataFrame, stride: int, height: int, width: int) -> DataFrame:
     """The cell at each block's centre, clamped to the raster."""
     half = stride // 2

@@ -312,7 +312,7 @@ def lineament_features(cells: DataFrame, groups: dict[str, list[str]], kind: str
     return out
 
 
-def tile_halo(kind: str, sigma: float = 1.0, window: float = 2.0, epsilon: float = 1.0) -> int:
+def tile_halo(kind: str, sigma: float = 1.0, window: float = 2.0, epsilon: float = 1.0, wavelength: float = 6.0, levels: tuple[int, ...] = (1, 2, 3)) -> int:
     """The true support of each kind, which is also the buffer that keeps fit cells from seeing held-out ones."""
     s = max(0.5, epsilon)
     return {
@@ -322,4 +322,6 @@ def tile_halo(kind: str, sigma: float = 1.0, window: float = 2.0, epsilon: float
         "structure_tensor_coherence": reach(sigma) + 1 + reach(window),
         "structure_tensor_orientation": reach(sigma) + 1 + reach(window),
         "ridge_valley_response": reach(sigma) + 2 + reach(window),
+        "steerable_filter": reach(sigma) + len(gabor(wavelength, 0.0)) // 2,
+        "wavelet_entropy": reach(sigma) + (1 << (max(levels) - 1)),
     }[kind]

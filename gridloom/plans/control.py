@@ -57,11 +57,9 @@ def _(spark, sf_dir):
 
 
 WAVELET = f"""WITH {RASTER}, z AS (SELECT row, col, valid, CASE WHEN valid THEN v ELSE 0 END AS x FROM raster), n AS (SELECT max(row) AS h, max(col) AS w FROM z),
-e AS (SELECT a.row, a.col, a.valid, l.d, ((a.x + b.x) / 2 - (c.x + e.x) / 2) ** 2 + ((a.x - b.x) / 2 + (c.x - e.x) / 2) ** 2 + ((a.x - b.x) / 2 - (c.x - e.x) / 2) ** 2 AS e
-  FROM z a, n, (SELECT unnest([1, 2]) AS d) l
-  JOIN z b ON b.row = a.row AND b.col = CASE WHEN a.col + l.d > n.w THEN 2 * n.w - a.col - l.d ELSE a.col + l.d END
-  JOIN z c ON c.col = a.col AND c.row = CASE WHEN a.row + l.d > n.h THEN 2 * n.h - a.row - l.d ELSE a.row + l.d END
-  JOIN z e ON e.row = c.row AND e.col = b.col),
+s AS (SELECT z.*, d, CASE WHEN col + d > w THEN 2 * w - col - d ELSE col + d END AS beside, CASE WHEN row + d > h THEN 2 * h - row - d ELSE row + d END AS below FROM z CROSS JOIN n CROSS JOIN (SELECT unnest([1, 2]) AS d) AS l),
+e AS (SELECT s.row, s.col, s.valid, s.d, ((s.x + b.x) / 2 - (c.x + e.x) / 2) ** 2 + ((s.x - b.x) / 2 + (c.x - e.x) / 2) ** 2 + ((s.x - b.x) / 2 - (c.x - e.x) / 2) ** 2 AS e
+  FROM s JOIN z AS b ON b.row = s.row AND b.col = s.beside JOIN z AS c ON c.row = s.below AND c.col = s.col JOIN z AS e ON e.row = s.below AND e.col = s.beside),
 t AS (SELECT *, sum(e) OVER (PARTITION BY row, col) AS whole FROM e)
 SELECT row, col, round(CASE WHEN bool_or(valid AND whole > 1e-12) THEN greatest(-sum(e / (whole + 1e-12) * ln(e / (whole + 1e-12) + 1e-12)), 0) ELSE 0 END, 5) + 0.0 AS entropy FROM t GROUP BY row, col"""
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import control, scoring, spatial
+from gridloom.plans import control, inventory, scoring, spatial
 
-MODULES = [scoring, spatial, control]
+MODULES = [scoring, spatial, control, inventory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

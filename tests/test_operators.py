@@ -214,3 +214,42 @@ def test_t_distribution():
     assert gate.student_t_cdf(12.706204736, 1) == pytest.approx(0.975, abs=1e-7)
     assert gate.student_t_cdf(3.182446305, 3) == pytest.approx(0.975, abs=1e-7)
     assert (gate.p_value(1, 0, 3), gate.p_value(-1, 0, 3), gate.p_value(0, 0, 3)) == (0, 1, 0.5)
+
+
+def test_png_holds_the_preview(spark, tmp_path):
+    import struct
+    import zlib
+
+    from gridloom.operators import provenance
+
+    picture = spark.createDataFrame([(0, 0, 255, 0, 64), (1, 2, 0, None, 64)], "row int, col int, r int, g int, b int")
+    provenance.png(picture, str(tmp_path / "p.png"))
+    data = (tmp_path / "p.png").read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (3, 2)
+    at = data.index(b"IDAT")
+    (n,) = struct.unpack(">I", data[at - 4 : at])
+    lines = zlib.decompress(data[at + 4 : at + 4 + n])
+    assert lines == bytes([0, 255, 0, 64] + [0] * 6) + bytes([0] * 7 + [0, 0, 64])
+
+
+def test_ensemble_dispatch_refuses_what_does_not_fit(spark):
+    import pytest
+
+    from gridloom.operators import ensemble
+
+    cells = spark.createDataFrame([("a", 0, 0, 0, 0.2), ("b", 0, 0, 0, 0.6)], "member string, fold int, row int, col int, p double")
+    weights = lambda *w: spark.createDataFrame([(0, m, x) for m, x in zip("ab", w)], "fold int, member string, weight double")
+    assert abs(ensemble.apply(cells, "mean").first()["p"] - 0.4) < 1e-6
+    assert abs(ensemble.apply(cells, "weighted", weights(0.25, 0.75)).first()["p"] - 0.5) < 1e-12
+    for bad in (weights(0.5, 0.6), weights(-0.5, 1.5), weights(1.0), None):
+        with pytest.raises(ValueError):
+            ensemble.apply(cells, "weighted", bad)
+    with pytest.raises(ValueError):
+        ensemble.apply(cells, "median")
+
+
+def test_every_kind_has_a_halo():
+    from gridloom.operators import stencils
+
+    assert all(stencils.tile_halo(k) > 0 for k in stencils.KINDS)
+    assert stencils.tile_halo("wavelet_entropy", 0.0, levels=(1, 2, 6)) == 32
