@@ -100,11 +100,12 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BI
     """Fit on the texts of ``sampled_labels``, PASSES times over in a fixed order, in one task.
 
     The sample (at most ``size`` ids and labels) is broadcast; whatever the corpus, the task reads
-    ``size`` texts and holds their hashed features and 2^bits coordinates. Repeated documents count as often as they come; ids without
-    a document are left out. Without any label, the model has no weight and scores 0.5.
+    ``size`` texts and holds their hashed features and 2^bits coordinates. An id counts once however many rows repeat it, with
+    the least of its texts; ids without a document are left out. Without any label, the model has no weight and scores 0.5.
     """
     bounded_batches(docs.sparkSession)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sampled_labels(labels, size)), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # repeats collapse before the shuffle
     rows = sample.select("label", "text", F.xxhash64("doc_id", F.lit(2)).alias("turn")).repartition(1).sortWithinPartitions("turn", "text").select("label", "text")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,6 +183,13 @@ def test_toxicity_never_learns_from_held_out_labels(spark, docs):
     assert (a.index == b.index).all() and (a.weight == b.weight).all()
 
 
+def test_toxicity_counts_an_id_once(spark, docs):
+    rows, labels = toxic_corpus(200)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a, b = toxicity.train(docs(rows), table), toxicity.train(docs(rows + rows[:1] * 500 + [(1, "zzz")]), table)
+    assert (a.index == b.index).all() and np.allclose(a.weight, b.weight)
+
+
 def test_toxicity_edges(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(EDGES).withColumn("score", F.lit("clash"))
