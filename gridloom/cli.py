@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from gridloom.operators import audit, components, gate, masks, metric, provenance, threshold
+from gridloom.operators import audit, commands, components, gate, masks, metric, provenance, threshold
 from gridloom.sources import reports
 
 
@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     for name, *args in (
         ("score", "cells"), ("score-folds", "cells"), ("curve", "cells"), ("lofo", "cells"), ("profile", "cells"), ("fingerprint", "path"), ("order", "consumers", "producers"),
-        ("verify", "incumbent", "candidate", "ledger"), ("spatial-masks", "cells", "buffer", "out"), ("write", "cells", "template", "out"), ("references", "queue"),
+        ("verify", "incumbent", "candidate", "ledger"), ("spatial-masks", "cells", "buffer", "out"), ("write", "cells", "template", "out"), ("references", "queue"), ("arguments", "queue", "maps"), ("preview", "cells", "stride", "out"),
     ):
         p = sub.add_parser(name)
         for a in args:
@@ -60,6 +60,14 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "write":
         reports.write_predictions(cells, spark.read.parquet(args.template), args.out)
         out = {"written": args.out}
+    elif args.command == "preview":
+        provenance.png(provenance.preview(cells, int(args.stride)), args.out)
+        out = {"written": args.out}
+    elif args.command == "arguments":
+        tasks = reports.tasks(spark, args.queue)
+        out = {"findings": _rows(commands.command_findings(tasks, json.loads(Path(args.maps).read_text()))), "unchecked": _rows(commands.unchecked(tasks))}
+        print(json.dumps(out, indent=2, sort_keys=True))
+        return 1 if out["findings"] else 0
     else:
         out = _rows(audit.references(reports.tasks(spark, args.queue)))
     print(json.dumps(out, indent=2, sort_keys=True, default=str))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import audit, components, ensemble, features, gate, grid, masks, provenance, tiling
+from gridloom.operators import audit, commands, components, ensemble, features, gate, grid, masks, provenance, tiling
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import rounded
 from gridloom.plans.spatial import MEMBERS, marked, members
@@ -250,3 +250,15 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) A
 def _(spark, sf_dir):
     found = ledger.sessions(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("command_findings", """WITH t AS (SELECT c_custkey AS id, CASE c_nationkey % 4 WHEN 0 THEN 'spatial' WHEN 1 THEN 'fault' WHEN 2 THEN 'trace' ELSE 'other' END AS scheme, c_custkey % 3 = 0 AS stale, c_custkey % 5 = 0 AS off_, c_custkey % 7 = 0 AS few FROM customer)
+SELECT id::VARCHAR AS id, unnest(list_filter([CASE WHEN few THEN 'ARG-COUNT' END, CASE WHEN NOT few AND scheme = 'other' THEN 'BAD-SCHEME' END, CASE WHEN NOT few AND scheme <> 'other' AND stale THEN 'STALE-FOLD-MAP' END,
+CASE WHEN NOT few AND scheme <> 'other' AND off_ THEN 'BAD-GATE-DIR' END], lambda x: x IS NOT NULL)) AS kind FROM t""")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    scheme = F.element_at(F.array(*map(F.lit, ("spatial", "fault", "trace", "other"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    place = F.when(k % 7 == 0, "").when(k % 5 == 0, "elsewhere").otherwise("runs/gate/x")
+    cmd = F.concat(F.lit("q/score_view.sh runs/ref-cv-"), scheme, F.lit(" "), scheme, F.when(k % 3 == 0, " old.tif ").otherwise(" now.tif "), place)
+    tasks = read(spark, sf_dir, "customer").select(k.alias("id"), cmd.alias("cmd"))
+    return commands.command_findings(tasks, dict.fromkeys(commands.SCHEMES, "now.tif")).select("id", "kind")
