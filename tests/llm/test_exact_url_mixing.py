@@ -111,3 +111,12 @@ def test_line_dedup_by_brute_force(docs, run):
             seen.add(key)
         want[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
     assert {r.doc_id: r.kept for r in linedup.dedup_lines(docs(rows), run, with_kept=True).collect()} == want
+
+
+def test_line_dedup_query_deletes_single_lines(spark, docs, tmp_path):
+    notice = "one line of a licence, " * 12
+    rows = [(1, f"a\n{notice}\nb"), (2, f"c\n{notice}\n\nd\n\nc"), (3, notice), (4, None), (5, f"{notice} \ne\na"), (None, notice)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_removed, r.kept_sha256) for r in linedup.query(spark, str(tmp_path)).collect()}
+    want = {1: (0, rows[0][1]), 2: (2, "c\n\nd\n"), 3: (1, ""), 4: (0, ""), 5: (1, f"{notice} \ne"), None: (0, notice)}
+    assert found == {i: (n, hashlib.sha256(x.encode()).hexdigest()) for i, (n, x) in want.items()}
