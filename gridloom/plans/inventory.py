@@ -197,7 +197,7 @@ def _(spark, sf_dir):
 SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.scores = g.scores AND g.run % 2 = 0 AND v.run % 2 = 1""")
 def _(spark, sf_dir):
     order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
-    views = read(spark, sf_dir, "lineitem").where("l_orderkey <= 2000").groupBy(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("scheme")).agg(order.alias("o"))
+    views = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("scheme")).agg(order.alias("o"))
     views = views.select("run", "scheme", F.transform("o", lambda x: x["l_linenumber"].cast("double")).alias("scores"))
     return audit.mirrored(views.where("run % 2 = 1"), views.where("run % 2 = 0").withColumnRenamed("run", "candidate"))
 
@@ -222,7 +222,7 @@ def _(spark, sf_dir):
 @query("decision_feeders", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, 'train' AS kind FROM lineitem WHERE l_orderkey <= 4000)
 SELECT src, dst AS decision, kind FROM e UNION SELECT a.src, b.dst, a.kind FROM e a JOIN e b ON a.dst = b.src""")
 def _(spark, sf_dir):
-    edges = read(spark, sf_dir, "lineitem").where("l_orderkey <= 4000").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("train").alias("kind")).distinct()
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("train").alias("kind")).distinct()
     return audit.feeders(edges)
 
 
