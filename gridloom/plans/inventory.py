@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import audit, commands, components, ensemble, features, gate, grid, masks, provenance, tiling
+from gridloom.plans.control import sized
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import rounded
 from gridloom.plans.spatial import MEMBERS, marked, members
@@ -132,7 +133,8 @@ TILES = f"WITH {RASTER}, t AS (SELECT *, row // 16 * 16 AS row0, col // 16 * 16
 
 
 def tiles16(spark, sf_dir):
-    return tiling.to_tiles(raster(spark, sf_dir).where("row < 496"), 496, 64, 16, 0)
+    cells, height, width = sized(spark, sf_dir)
+    return tiling.to_tiles(cells, height, width, 16, 0)
 
 
 @query("touched_tiles", TILES + " SELECT DISTINCT row0, col0 FROM t WHERE v > 0.4")

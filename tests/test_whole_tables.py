@@ -1,8 +1,13 @@
 """Queries read all of their table: brute force on tables that go beyond the smallest driver tables."""
 
+import os
 import random
 
+import pytest
+
+from gridloom.operators import tiling
 from gridloom.plans import registry
+from gridloom.plans.raster import raster
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
 
@@ -27,3 +32,24 @@ def test_decision_feeders_reads_all_orders(spark, tmp_path):
     edges = {(part, supplier) for _, part, supplier, *_ in rows}
     want = edges | {(a, d) for a, b in edges for c, d in edges if b == c}
     assert sorted((r.src, r.decision) for r in registry.queries()["decision_feeders"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are not there")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_tiles_cover_all_rows(spark, sf):
+    data = f"/root/testdata/{sf}"
+    cells = [(r.row, r.col, r.v, r.truth, r.valid) for r in raster(spark, data).collect()]
+    height = 1 + max(r[0] for r in cells)
+    touched, positive, allowed = set(), set(), {}
+    for row, col, v, truth, valid in cells:
+        for row0 in tiling.tile_starts(height, 16, 0):
+            if row0 <= row < row0 + 16:
+                tile = (row0, col // 16 * 16)
+                touched |= {tile} if v > 0.4 else set()
+                positive |= {tile} if truth and v > 0 else set()
+                allowed[tile] = allowed.get(tile, 0) + valid
+    enough = {t for t, n in allowed.items() if n / 256 >= 0.85}
+    assert height > 496 and max(allowed)[0] == height - 16
+    assert {(r.row0, r.col0) for r in registry.queries()["touched_tiles"](spark, data).collect()} == touched
+    found = {(r.row0, r.col0): r.positive for r in registry.queries()["training_origins"](spark, data).collect()}
+    assert found == {t: t in positive for t in enough}
