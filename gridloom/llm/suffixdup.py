@@ -121,7 +121,9 @@ def _later(*keys: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all documents (place: start << 8 | strings); of equal ones in a task all but the first are removed at once."""
+    """Segments of all documents (place: start << 8 | strings); of equal ones in a task all but the first are removed at once.
+
+    A segment at the same place of the same document, of a row that is repeated, is no other one and is left out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -130,6 +132,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             doc, place, key, content = (np.concatenate(c) for c in zip(*held))
             held.clear()
             order = np.lexsort((place, doc, content, key))
+            order = order[~_later(key[order], content[order], doc[order], place[order])]
             doc, place, key, content = doc[order], place[order], key[order], content[order]
             again = _later(key, content)
             spread = _mix((doc * 1_000_003 + place).view(np.uint64)).view(np.int64)
@@ -155,7 +158,9 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _sift(scanned: DataFrame) -> DataFrame:
-    """Drop segments whose minimizer has one content, once; remove equal ones but the first; keep the rest to be compared."""
+    """Drop segments whose minimizer has one content, once; remove equal ones but the first; keep the rest to be compared.
+
+    As in _scan, the same place of the same document counts once."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -164,9 +169,12 @@ def _sift(scanned: DataFrame) -> DataFrame:
         def settle(kind: np.ndarray, key: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
             nonlocal last
             again = _later(key, content) & (kind == SEGMENT)
-            if len(key) and last == (key[0], content[0]):
+            same_place = _later(key, content, doc, place) & (kind == SEGMENT)
+            if len(key) and last is not None and last[:2] == (key[0], content[0]):
                 again[0] = kind[0] == SEGMENT
+                same_place[0] = again[0] and last == (key[0], content[0], doc[0], place[0])
             first = ~again & (kind == SEGMENT)
+            again &= ~same_place
             k = key[first]
             beside = np.zeros(len(k), bool)
             if len(k) > 1:
@@ -178,7 +186,7 @@ def _sift(scanned: DataFrame) -> DataFrame:
             out[first] = np.where(crowd, CROWDED, np.where(beside, SEGMENT, -1))
             keep = out >= 0
             if len(key):
-                last = (key[-1], content[-1])
+                last = (key[-1], content[-1], doc[-1], place[-1])
             return _rows(out[keep], key[keep], content[keep], doc[keep], place[keep])
 
         held = 0

@@ -148,6 +148,20 @@ def test_repeats_edges(docs):
     assert suffixdup.remove_repeats(docs(EDGES).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd,held", [(50_000, 1 << 20), (2, 3)])
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_repeated_rows_are_one_document(docs, monkeypatch, crowd, held, partitions):
+    monkeypatch.setattr(suffixdup, "CROWD", crowd)
+    monkeypatch.setattr(suffixdup, "HELD", held)
+    rng = random.Random(3)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, a), (2, b + "x" + b), (3, "y" + a), (4, c)]
+    found = [(r.doc_id, *tuple(r)[1:]) for r in suffixdup.remove_repeats(docs(rows + [rows[0], rows[1], rows[3], rows[3]], partitions)).collect()]
+    want = brute_repeats(rows, 100)
+    assert want[1][1] == want[4][1] == 0 and want[2][1] == want[3][1] == 400
+    assert sorted(found) == sorted((i, *want[i]) for i in (1, 1, 2, 2, 3, 4, 4, 4))
+
+
 def toxic_corpus(n=1200):
     rng = random.Random(4)
     rows, labels = [], []
