@@ -133,7 +133,7 @@ def _(spark, sf_dir):
 
 @query("lofo_weights")
 def _(spark, sf_dir):
-    scores = ensemble.candidate_scores(members(spark, sf_dir).where("member in ('a', 'c')"), raster(spark, sf_dir), ["a", "c"])
+    scores = ensemble.candidate_scores(members(spark, sf_dir), raster(spark, sf_dir), ["a", "b", "c"])
     return rounded(ensemble.lofo_weights(scores))
 
 

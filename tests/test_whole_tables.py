@@ -5,9 +5,10 @@ import random
 
 import pytest
 
-from gridloom.operators import tiling
+from gridloom.operators import ensemble, tiling
 from gridloom.plans import registry
 from gridloom.plans.raster import raster
+from gridloom.plans.spatial import members
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"
 
@@ -53,3 +54,21 @@ def test_tiles_cover_all_rows(spark, sf):
     assert {(r.row0, r.col0) for r in registry.queries()["touched_tiles"](spark, data).collect()} == touched
     found = {(r.row0, r.col0): r.positive for r in registry.queries()["training_origins"](spark, data).collect()}
     assert found == {t: t in positive for t in enough}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not there")
+def test_lofo_weights_fit_all_members(spark, monkeypatch):
+    seen = []
+    scores = ensemble.candidate_scores
+    monkeypatch.setattr(ensemble, "candidate_scores", lambda m, t, names: seen.append((m, t, names)) or scores(m, t, names))
+    data = "/root/testdata/sf0.001"
+    found = {r.fold: (r.candidate, r.fit_mean) for r in registry.queries()["lofo_weights"](spark, data).collect()}
+    (m, truth, names), = seen
+    own = {r.member for r in members(spark, data).select("member").distinct().collect()}
+    assert set(names) == {r.member for r in m.select("member").distinct().collect()} == own and len(own) == 3
+    by = {(r.candidate, r.fold): r.score for r in scores(m, truth, names).collect()}
+    assert {c for c, _ in by} == set(range(67))
+    for fold, (candidate, mean) in found.items():
+        means = [sum(s for (c, k), s in by.items() if c == i and k != fold) / (len(found) - 1) for i in range(67)]
+        best = max(round(x, 12) for x in means)
+        assert candidate == [round(x, 12) for x in means].index(best) and mean == pytest.approx(best, abs=1e-6)
