@@ -62,7 +62,8 @@ def _df_slot(shingles: np.ndarray) -> np.ndarray:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """1 + log10((1 + N) / (1 + df)) for each counter, over all documents.
 
-    A shingle counts in the counter of its hash. Tasks send blocks of counters that are summed in two steps;
+    A shingle counts in the counter of its hash; no count goes above N, as no frequency does, so that weights are
+    positive however many shingles share a counter. Tasks send blocks of counters that are summed in two steps;
     2^16 numbers reach the driver whatever the corpus.
     """
     bounded_batches(docs.sparkSession)
@@ -90,7 +91,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(1 << DF_BITS, np.int64)
     for block, counts in got.items():
         df[block * BLOCK : (block + 1) * BLOCK] = counts
-    return (1 + np.log10((1 + n) / (1 + df))).astype(np.float32)
+    return (1 + np.log10((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
 
 
 def _gamma2(cells: int) -> np.ndarray:

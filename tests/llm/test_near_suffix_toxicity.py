@@ -114,6 +114,12 @@ def test_suffix_arrays(letters):
             assert shared[y] == k
 
 
+def test_idf_is_positive_where_counters_are_full(docs):
+    text = " ".join(f"w{i}" for i in range(1_500_000))
+    idf = neardup.inverse_frequencies(docs([(1, text), (2, text + " end")]))
+    assert np.isfinite(idf).all() and idf.min() >= 1
+
+
 def brute_repeats(rows, length):
     seen, want = set(), {}
     for i, text in sorted(rows):
