@@ -1,9 +1,9 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, as NumPy passes.
 
 The text is sorted by its leftmost S-type (LMS) suffixes as usual; what a sequential scan would do one
-suffix at a time is done here for a bucket's whole frontier at once: the suffixes that a bucket holds
+suffix at a time is done for the bytes of a text for a bucket's whole frontier at once: the suffixes that a bucket holds
 induce their predecessors together, and predecessors in the same bucket form the next frontier. A frontier's
-number within a bucket is bounded by the longest run of one character.
+number within a bucket is bounded by the longest run of one character. Reduced texts, at every level of the recursion, are scanned in turn.
 """
 
 from __future__ import annotations
@@ -91,46 +91,66 @@ def _names(s: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return name[lms]
 
 
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array by rank doubling: for reduced texts whose alphabet is nearly as large as they are long."""
-    rank, n, step = s.astype(np.int64), len(s), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.append(0, np.cumsum(k[1:] != k[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
-
-
-def _sort(s: np.ndarray, alphabet: int) -> np.ndarray:
+def _induce_in_turn(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same, one suffix at a time: for reduced texts, whose buckets are about as many as their suffixes."""
+    n, ends = len(s), np.cumsum(counts)
+    pred = np.append(s[-1:], s[:-1])
+    wanted = np.append(is_s[-1:], is_s[:-1])
+    to_l, to_s = np.where(wanted, -1, pred), np.where(wanted, pred, -1)
+    to_l[0] = to_s[0] = -1
+    to_l, to_s = np.append(to_l, -1), np.append(to_s, -1)  # the last is for places not filled yet, which hold -1
+    c = s[lms]
+    order = np.argsort(c, kind="stable")
+    last = np.append(np.flatnonzero(np.diff(c[order])), len(c) - 1) if len(c) else c
+    own = c[order]
+    tail = np.empty(len(counts), np.int64)
+    tail[own[last]] = last
+    sa = np.full(n, -1, np.int64)
+    sa[ends[own] - 1 - (tail[own] - np.arange(len(own)))] = lms[order]
+    out, fill, to = sa.tolist(), (ends - counts).tolist(), to_l.tolist()
+    for p in out:
+        k = to[p]
+        if k >= 0:
+            out[fill[k]] = p - 1
+            fill[k] += 1
+    fill, to = ends.tolist(), to_s.tolist()
+    for p in reversed(out):
+        k = to[p]
+        if k >= 0:
+            fill[k] = at = fill[k] - 1
+            out[at] = p - 1
+    out[0] = n - 1
+    return np.array(out, np.int64)
+
+
+def _sort(s: np.ndarray, alphabet: int, induce=_induce_in_turn) -> np.ndarray:
+    """Classify suffixes, sort the leftmost-smaller substrings by one induction, number them, sort the text of
+    their numbers by recursion if any number repeats, and induce all suffixes from that order.
+
+    The last character must be a unique least one. Each level is linear and at most half as long as the one above.
+    """
     n = len(s)
     if n < 3:
         return np.argsort(s, kind="stable")
     is_s = _types(s)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     counts = np.bincount(s, minlength=alphabet)
-    sa = _induce(s, is_s, lms, counts)
+    sa = induce(s, is_s, lms, counts)
     mark = np.zeros(n, bool)
     mark[lms] = True
     order = sa[mark[sa]]
     names = _names(s, lms, order)
     top = int(names.max()) + 1 if len(names) else 0
     if top < len(lms):
-        reduced = _sort(names, top) if top <= 1024 < len(names) // 8 else _by_doubling(names)
-        order = lms[reduced]
-    return _induce(s, is_s, order, counts)
+        order = lms[_sort(names, top)]
+    return induce(s, is_s, order, counts)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Of a uint8 array, without the empty suffix."""
     if not len(text):
         return np.empty(0, np.int64)
-    return _sort(np.append(text.astype(np.int64) + 1, 0), 257)[1:]
+    return _sort(np.append(text.astype(np.int64) + 1, 0), 257, _induce)[1:]
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
