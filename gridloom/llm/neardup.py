@@ -1,4 +1,9 @@
-"""Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity."""
+"""Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
+
+Only a shingle that several documents have can be shared. So each document keeps those and their exact document
+frequencies; all others, its own, count as one element of their joint weight, which changes no similarity
+and no sample's chance to be shared.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +24,11 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 shares one of BANDS bands of ROWS samples with probability 1 - (1 - 0.8^4)^12 = 0.998.
 BANDS, ROWS = 12, 4
-#: Document frequencies are kept by hashed shingle, in so many counters (2^16) of blocks.
-DF_BITS, BLOCK = 16, 4096
-#: Members of a bucket that are compared with all others after the first round; eight times more in each later one.
+#: Documents and shingles that are counted together before they are sent, and bytes of text whose shingles one group counts.
+CHUNK_DOCS, CHUNK_PAIRS, GROUP_BYTES = 1 << 16, 1 << 20, 4 << 20
+#: Members of a group that are compared with all others in a round; eight times more in each later one, in blocks of so many.
 LEADERS = 256
-#: Cells of the sums by which pairs are ruled out, and members of a bucket that one task compares with its leaders.
+#: Cells of the sums by which pairs are ruled out, and members of a group that one task compares with a block of leaders.
 SKETCH, PART = 256, 1000
 REMEMBERED = 150_000
 CHUNK = 1 << 15
@@ -55,45 +60,6 @@ class Shingles:
         return np.unique(out, return_counts=True)
 
 
-def _df_slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - DF_BITS)).astype(np.int64)
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + log10((1 + N) / (1 + df)) for each counter, over all documents.
-
-    A shingle counts in the counter of its hash; no count goes above N, as no frequency does, so that weights are
-    positive however many shingles share a counter. Tasks send blocks of counters that are summed in two steps;
-    2^16 numbers reach the driver whatever the corpus.
-    """
-    bounded_batches(docs.sparkSession)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sums, n = Shingles(), np.zeros(1 << DF_BITS, np.int64), 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            n += len(texts)
-            if own := [_df_slot(shingles(x)[0]) for x in texts]:
-                sums += np.bincount(np.concatenate(own), minlength=1 << DF_BITS)
-        part = TaskContext.get().partitionId() % 256
-        rows = [(i, part, x.tobytes()) for i, x in enumerate(sums.reshape(-1, BLOCK)) if x.any()] + [(-1, part, np.int64(n).tobytes())]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["block", "part", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
-
-    schema = "block long, part long, counts binary"
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, schema)
-    rows = rows.groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    got = {r["block"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in rows.collect()}
-    n = int(got.pop(-1)[0]) if got else 0
-    df = np.zeros(1 << DF_BITS, np.int64)
-    for block, counts in got.items():
-        df[block * BLOCK : (block + 1) * BLOCK] = counts
-    return (1 + np.log10((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
-
-
 def _gamma2(cells: int) -> np.ndarray:
     """Quantiles of the gamma distribution of shape 2 at the middles of equal cells."""
     u = (np.arange(cells) + 0.5) / cells
@@ -146,118 +112,298 @@ class Sampler:
         return out.T & 0xFFFFFFFF
 
 
-def _weights(idf: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return counts * idf[_df_slot(shingles)]
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, float], b: tuple[np.ndarray, np.ndarray, float]) -> float:
+    """Sum of the lesser over sum of the greater weights; a and b are sorted distinct shingles, their weights, and the weight of all."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
+    total = a[2] + b[2] - shared
+    return shared / total if total > 0 else 0.0
 
 
-def signatures(docs: DataFrame, idf: Broadcast, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest and length of the text, and a key for each band; no keys for a text without words."""
-    bounded_batches(docs.sparkSession)
+def idf(df: np.ndarray, documents: int) -> np.ndarray:
+    """1 + log10((1 + N) / (1 + df)): at least 1, as no shingle is in more than N documents."""
+    return (1 + np.log10((1 + documents) / (1 + df.astype(np.float64)))).astype(np.float32)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, sampler = Shingles(), Sampler(bands * rows)
-        for b in batches:
-            found = [shingles(x) for x in b.column("text").to_pylist()]
-            sizes = np.array([len(k) for k, _ in found], np.int64)
-            some, keys = np.flatnonzero(sizes), np.empty(0, np.int64)
-            if len(some):
-                k, n = (np.concatenate([found[i][j] for i in some]) for j in (0, 1))
-                starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-                samples = sampler(k, _weights(idf.value, k, n), starts).reshape(len(some), bands, rows).astype(np.uint64)
-                mixed = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(some), bands)) * _ODD[0]
-                for i in range(rows):
-                    mixed = (mixed ^ samples[:, :, i]) * _ODD[1 + i % 4]
-                    mixed = mixed ^ mixed >> np.uint64(29)
-                keys = mixed.view(np.int64).ravel()
-            ends = np.concatenate(([0], np.cumsum((sizes > 0) * bands))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), b.column("n"), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], ["doc_id", "digest", "n", "keys"])
 
-    rows_ = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows_ = rows_.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"), "text")
-    return rows_.mapInArrow(sign, "doc_id long, digest binary, n int, keys array<long>")
+SENT = pa.schema([("dest", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in ("keys", "docs", "counts", "many", "df"))])
+SENT_SQL = "dest long, chunk long, kind long, keys binary, docs binary, counts binary, many binary, df binary"
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of the lesser over sum of the greater weights; a and b are sorted distinct shingles and their weights."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = float(np.minimum(a[1][i], b[1][j]).sum())
-    total = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - shared
-    return shared / total if total > 0 else 0.0
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(SENT), SENT)], schema=SENT)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows that have one value in column ``by``, which the rows are sorted by."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[-1][by] != row[by]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
+def _u(data: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(data), kind)
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough.
 
-    Texts are always joined by shuffle, so that the plan is one at every size.
+def _counted(rows: DataFrame, groups: int) -> DataFrame:
+    """Shingles of chunks of documents, sent to the group that counts them (kind 0), and what the chunk itself needs (kind 1).
+
+    A shingle that one document of the chunk has goes with that document and its count, one that more have only once
+    with their number: these pairs stay with the chunk. So no group gets more than a row a chunk, however common a shingle is.
     """
-    bounded_batches(pairs.sparkSession, 256)
-    right = pairs.join(texts.toDF("b", "text_b").hint("merge"), "b")
-    both = right.join(texts.toDF("a", "text_a").hint("merge"), "a").sortWithinPartitions("a")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, last, left = Shingles(), None, None
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, part, chunk = Shingles(), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        known: list[tuple] = []
+        pairs = 0
+
+        def send() -> pa.RecordBatch:
+            sizes = np.array([len(k) for k, _ in held], np.int64)
+            keys, counts = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+            docs = np.repeat(np.arange(len(held)), sizes)
+            totals = np.array([c.sum() for _, c in held], np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, counts, docs = keys[order], counts[order], docs[order]
+            new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(keys)))
+            direct = np.repeat((n > 1) | (counts[first] > 255), n)
+            lone, once = ~direct, new & direct
+            at = TaskContext.get().partitionId() << 32 | chunk
+            ids = [(x is not None, x or 0, d, n) for x, d, n in known]
+            own = (
+                np.array([x[1] for x in ids], "<i8").tobytes(), np.array([x[0] for x in ids], "u1").tobytes() + b"".join(x[2] for x in ids) + np.array([x[3] for x in ids], "<i8").tobytes(),
+                totals.astype("<i8").tobytes(), keys[direct].astype("<u8").tobytes(), docs[direct].astype("<u4").tobytes() + counts[direct].astype("<u4").tobytes(),
+            )
+            out = [(-1 - at, at, 1, *own)]
+            group = (keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
+            cuts = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
+            for g in np.flatnonzero(np.diff(cuts)).tolist():
+                cut = slice(cuts[g], cuts[g + 1])
+                a, b = lone[cut], once[cut]
+                numbers = n[np.searchsorted(first, np.flatnonzero(b) + cuts[g])]
+                out.append((g, at, 0, keys[cut][a].astype("<u8").tobytes(), docs[cut][a].astype("<u2").tobytes(), counts[cut][a].astype("u1").tobytes(), keys[cut][b].astype("<u8").tobytes(), numbers.astype("<u4").tobytes()))
+            return _sent(out)
+
+        for b in batches:
+            for doc_id, digest, n, text in zip(*(b.column(c).to_pylist() for c in range(4))):
+                held.append(shingles(text))
+                known.append((doc_id, digest, n))
+                pairs += len(held[-1][0])
+                if pairs >= CHUNK_PAIRS or len(held) >= CHUNK_DOCS:
+                    yield send()
+                    held, known, pairs, chunk = [], [], 0, chunk + 1
+        if held:
+            yield send()
+
+    return rows.select("doc_id", "digest", "n", "text").mapInArrow(scan, SENT_SQL)
 
-        def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            k, n = shingles(text)
-            return k, _weights(idf.value, k, n)
 
+def _answered(sent: DataFrame) -> DataFrame:
+    """For each chunk, its shingles that several documents have, with the document frequency (kind 0); rows of kind 1 pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 0):
+            if rows[0][2] == 1:
+                yield _sent(rows)
+                continue
+            lone, many = (_u([r[c] for r in rows], "<u8") for c in (3, 6))
+            keys = np.concatenate((lone, many))
+            n = np.concatenate((np.ones(len(lone), np.int64), _u([r[7] for r in rows], "<u4").astype(np.int64)))
+            order = np.argsort(keys)
+            new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
+            df = np.empty(len(keys), np.int64)
+            df[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(keys) else 0
+            out, i, j = [], 0, len(lone)
+            for r in rows:
+                a, b = len(r[3]) // 8, len(r[6]) // 8
+                shared = df[i : i + a] > 1
+                if shared.any() or b:
+                    docs, counts = np.frombuffer(r[4], "<u2")[shared], np.frombuffer(r[5], "u1")[shared]
+                    found = np.concatenate((df[i : i + a][shared], df[j : j + b])).astype("<u8")
+                    out.append((0, r[1], 0, np.frombuffer(r[3], "<u8")[shared].tobytes(), docs.tobytes(), counts.tobytes(), r[6], found.tobytes()))
+                i, j = i + a, j + b
+            yield _sent(out)
+
+    return sent.repartition("dest").sortWithinPartitions("dest").mapInArrow(count, SENT_SQL)
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary()), ("total", pa.float64()), ("prefix", pa.list_(pa.int64()))])
+SIGNED_SQL = "doc_id long, digest binary, n long, keys array<long>, shingles binary, weights binary, total double, prefix array<long>"
+
+
+def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row for each of ``docs`` (doc_id, text): digest and length of the text, a key for each band, and for
+    verification the shingles that others have too, their weights (count x idf), the weight of all, and the prefix.
+
+    Document frequencies are exact and of all documents. A document whose shared shingles weigh too little for any
+    similarity to reach the threshold has no keys. The prefix is the rarest shingles, so many that without them the rest weighs less
+    than the threshold asks: similar texts have one of it in common.
+    """
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    documents, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).collect()[0]
+    own = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
+    answers = _answered(_counted(own, 1 + (size or 0) // GROUP_BYTES))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(bands * rows)
+        rest_weight = float(idf(np.array([1]), documents)[0])
+        for got in _groups(batches, 1):
+            table_ = next(r for r in got if r[2] == 1)
+            ids = np.frombuffer(table_[3], "<i8")
+            m = len(ids)
+            valid, digests, lengths = np.frombuffer(table_[4], "u1", m), table_[4][m : 33 * m], np.frombuffer(table_[4], "<i8", m, 33 * m)
+            totals, direct = np.frombuffer(table_[5], "<i8"), np.frombuffer(table_[6], "<u8")
+            answers = [r for r in got if r[2] == 0]
+            many, dfs = [], []
+            for r in answers:
+                a = len(r[3]) // 8
+                dfs.append(np.frombuffer(r[7], "<u8", offset=8 * a))
+                many.append(np.frombuffer(r[6], "<u8"))
+            many_key, many_df = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (many, dfs))
+            order = np.argsort(many_key)
+            direct_df = many_df[order][np.searchsorted(many_key[order], direct)] if len(direct) else np.empty(0, np.uint64)
+            both = np.frombuffer(table_[7], "<u4")
+            shared = direct_df > 1
+            key = np.concatenate((_u([r[3] for r in answers], "<u8"), direct[shared]))
+            doc = np.concatenate((_u([r[4] for r in answers], "<u2").astype(np.int64), both[: len(direct)][shared].astype(np.int64)))
+            count = np.concatenate((_u([r[5] for r in answers], "u1").astype(np.int64), both[len(direct) :][shared].astype(np.int64)))
+            df = np.concatenate([np.frombuffer(r[7], "<u8", len(r[3]) // 8) for r in answers] + [direct_df[shared]])
+            order = np.lexsort((key, doc))
+            key, doc, count, df = key[order], doc[order], count[order], df[order]
+            weight = (count * idf(df, documents)).astype(np.float32)
+            some = np.bincount(doc, weight, m)
+            rest = (totals - np.bincount(doc, count, m)) * rest_weight
+            total = some + rest
+            near = (some >= similarity * total * 0.999999) & (total > 0) & (valid > 0)
+            # the samplers' input: the shared shingles of near documents, and one more of its own for each that has a rest
+            has = near & (rest > 0)
+            mine = np.array([int.from_bytes(digests[32 * i : 32 * i + 8], "little") for i in np.flatnonzero(has).tolist()], np.uint64)
+            take = near[doc]
+            all_doc = np.concatenate((doc[take], np.flatnonzero(has)))
+            order = np.argsort(all_doc, kind="stable")
+            all_key, all_weight = np.concatenate((key[take], mine))[order], np.concatenate((weight[take], rest[has].astype(np.float32)))[order]
+            which = np.flatnonzero(near)
+            banded = np.empty((0, bands), np.int64)
+            if len(which):
+                samples = sampler(all_key, all_weight, np.searchsorted(all_doc[order], which)).reshape(len(which), bands, rows).astype(np.uint64)
+                mixed = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(which), bands)) * _ODD[0]
+                for i in range(rows):
+                    mixed = (mixed ^ samples[:, :, i]) * _ODD[1 + i % 4]
+                    mixed = mixed ^ mixed >> np.uint64(29)
+                banded = mixed.view(np.int64)
+            at = dict(zip(which.tolist(), banded))
+            cuts = np.searchsorted(doc, np.arange(m + 1))
+            out = []
+            for i in range(m):
+                row = (int(ids[i]) if valid[i] else None, digests[32 * i : 32 * i + 32], int(lengths[i]))
+                if i in at:
+                    cut = slice(cuts[i], cuts[i + 1])
+                    k, w = key[cut], weight[cut]
+                    rare = np.lexsort((k, df[cut]))
+                    left = np.cumsum(w[rare][::-1], dtype=np.float64)[::-1]
+                    row += (at[i], k.tobytes(), w.astype("<f4").tobytes(), float(total[i]), k[rare][left >= similarity * total[i] * 0.999999].view(np.int64))
+                else:
+                    row += (None, None, None, None, None)
+                out.append(row)
+                if len(out) == 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SIGNED)], schema=SIGNED)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), SIGNED)], schema=SIGNED)
+
+    return answers.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(sign, SIGNED_SQL)
+
+
+def _vector(shingles: bytes, weights: bytes, total: float) -> tuple[np.ndarray, np.ndarray, float]:
+    return np.frombuffer(shingles, "<u8"), np.frombuffer(weights, "<f4"), total
+
+
+def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (leader, node) that are similar enough, as links (a, b).
+
+    ``pairs`` has parts, in how many a leader's nodes are dealt: its vector goes to each of them, so that no task has to hold or sort
+    all nodes of one leader.
+    """
+    bounded_batches(pairs.sparkSession, 256)
+    deal = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part")
+    heads = pairs.groupBy("leader").agg(F.max("parts").alias("parts")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(vectors.toDF("leader", "s", "w", "t").hint("merge"), "leader")
+    both = pairs.select("leader", "node", deal).join(vectors.hint("merge"), "node").join(heads.hint("merge"), ["leader", "part"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
         for batch in batches:
             found = []
-            ids, texts_a, texts_b = batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")
-            for i, a in enumerate(ids):
-                if a != last:
-                    last, left = a, vector(texts_a[i].as_py())
-                found.append(weighted_jaccard(left, vector(texts_b[i].as_py())) >= similarity)
-            keep = pa.array(found, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            for leader, node, s, w, t, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                if leader != last:
+                    last, left = leader, _vector(s, w, t)
+                if weighted_jaccard(left, _vector(*own)) >= similarity:
+                    found.append((min(leader, node), max(leader, node)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("leader", "node", "s", "w", "t", "shingles", "weights", "total").mapInArrow(check, "a long, b long")
 
 
-def sketches(texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """node, and the weights of its shingles summed in SKETCH cells."""
-    bounded_batches(texts.sparkSession)
+def sketches(vectors: DataFrame) -> DataFrame:
+    """node, and the weights of its shared shingles summed in SKETCH cells, and of all."""
+    bounded_batches(vectors.sparkSession)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles()
         for b in batches:
             cells = []
-            for text in b.column("text").to_pylist():
-                k, n = shingles(text)
-                cells.append(np.bincount((k & np.uint64(SKETCH - 1)).astype(np.int64), _weights(idf.value, k, n), SKETCH).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cells, pa.binary())], ["node", "cells"])
+            for s, w in zip(b.column("shingles").to_pylist(), b.column("weights").to_pylist()):
+                k = np.frombuffer(s, "<u8") & np.uint64(SKETCH - 1)
+                cells.append(np.bincount(k.astype(np.int64), np.frombuffer(w, "<f4"), SKETCH).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(cells, pa.binary()), b.column("total")], ["node", "cells", "total"])
 
-    return texts.select("doc_id", "text").mapInArrow(sum_up, "node long, cells binary")
+    return vectors.mapInArrow(sum_up, "node long, cells binary, total double")
 
 
 def possible(state: DataFrame, known: DataFrame, had: int, most: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) in one bucket but different classes that can be similar enough, one of them among the leaders.
+    """Pairs (leader, node, parts) of one group but different classes that can be similar enough.
 
-    Leaders of a bucket are the members whose hashed ids fall in its share most / size and not in had / size, those
+    Leaders of a group are the members whose hashed ids fall in its share most / size and not in had / size, those
     before. Two texts share at most the sum of their lesser cells; pairs whose similarity cannot reach the
-    threshold by that go no further. Members are dealt in parts of about PART and leaders are sent to each.
+    threshold by that go no further. Members are dealt in parts of about PART, leaders in blocks of about LEADERS, and a task
+    has one part and one block.
     """
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-    rows = state.join(known, "node").where(turn >= had).where(F.col("node") != F.col("leader"))
-    rows = rows.select("key", "node", "root", "cells", (turn < most).alias("leads"), F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    members = rows.select("key", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part"), "node", "root", "cells")
-    leaders = rows.where("leads").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "root", "cells").toDF("k", "p", "leader", "class", "sums")
+    rows = state.join(known, "node").where(turn >= had)
+    rows = rows.select("key", "node", "root", "cells", "total", (turn < most).alias("leads"), F.floor((turn - had) / LEADERS).cast("int").alias("block"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), F.ceil((F.least("size", F.lit(most)) - had) / LEADERS).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part")
+    members = rows.select("key", part, F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "node", "root", "cells", "total")
+    leaders = rows.where("leads").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "root", "cells", "total").toDF("k", "p", "b", "leader", "class", "sums", "whole")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[np.ndarray] = []
         if len(left) and len(right):
-            y, ids, roots = np.stack([np.frombuffer(c, "<f4") for c in right["cells"]]), right["node"].to_numpy(), right["root"].to_numpy()
-            totals = y.sum(1)
-            for node, root, cells in zip(left["leader"], left["class"], left["sums"]):
+            y, ids, roots, totals = np.stack([np.frombuffer(c, "<f4") for c in right["cells"]]), right["node"].to_numpy(), right["root"].to_numpy(), right["total"].to_numpy()
+            for node, root, cells, whole in zip(left["leader"], left["class"], left["sums"], left["whole"]):
                 x = np.frombuffer(cells, "<f4")
-                both = (totals + x.sum()) * (similarity / (1 + similarity))
-                ok = np.flatnonzero((roots != root) & (np.minimum(totals, x.sum()) >= both * 0.9999))
+                both = (totals + whole) * (similarity / (1 + similarity))
+                ok = np.flatnonzero((roots != root) & (np.minimum(totals, whole) >= both * 0.9999))
                 ok = ok[np.minimum(y[ok], x).sum(1) >= both[ok] * 0.9999]
-                found.append(np.stack([np.minimum(ids[ok], node), np.maximum(ids[ok], node)], 1))
+                found.append(np.stack([np.full(len(ok), node), ids[ok]], 1))
         out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["a", "b"])
+        return pd.DataFrame(out, columns=["leader", "node"])
+
+    found = leaders.groupBy("k", "p", "b").cogroup(members.groupBy("key", "part", "block")).applyInPandas(compare, "leader long, node long").distinct()
+    return found.withColumn("parts", F.lit(1))
+
 
-    return leaders.groupBy("k", "p").cogroup(members.groupBy("key", "part")).applyInPandas(compare, "a long, b long").distinct()
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, node) of the groups that have more than one class, with root and the group's size."""
+    rows = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+    return rows.join(mixed, "key")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,48 +411,52 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     Classes are the components of links between texts at ``similarity`` or more. Equal texts are one node.
     A bucket (texts that share a band) is first compared with its most central member, that which has the
-    most texts in its buckets; what these links join is one class, and a bucket with more than one class goes on:
-    LEADERS of its members, then eight times more and so on to all of them, are compared with every member of
+    most texts in its buckets; what these links join is one class. Members of buckets with more than one class are grouped
+    anew, by each shingle of their prefixes, and groups with more than one class go on:
+    LEADERS of their members, then eight times more and so on to all of them, are compared with every member of
     another class, but for pairs that a bound rules out. So no link of a bucket is missed
-    and yet a bucket of very many near copies costs a few comparisons a member. Buckets, texts and links
-    stay distributed; a hot bucket meets its leader in a join that AQE can split.
+    and yet a bucket of very many near copies costs a few comparisons a member. Work grows with the square
+    only of groups of different texts that have a rare shingle in common. Buckets, vectors and links stay distributed.
 
     Null text counts as empty; texts without words are alike only if equal. Rows with a null id have a null
-    class and are kept. Rows that share an id are one document: they get one class, and one of their texts
-    stands for it. Other columns are ignored. An empty table gives no rows.
+    class and are kept, and count in document frequencies. Rows that share an id are one document: they get one class, and that of their texts
+    with the least digest stands for it. Other columns are ignored. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    signed = materialise(signatures(docs, idf, bands, rows), "signatures")
-    nodes = signed.where("doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = materialise(signatures(docs, similarity, bands, rows), "signatures")
+    vector = ["keys", "shingles", "weights", "total", "prefix"]
+    nodes = signed.where("doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialise(nodes, "nodes")
-    placed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    standing = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
+    full = signed.where("keys is not null").join(standing.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), *vector)
+    full = full.dropDuplicates(["node"])  # equal rows of a repeated row
+    placed = full.select("node", F.posexplode("keys").alias("band", "key"))
     shared = placed.groupBy("key", "band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     met = materialise(placed.drop("band").join(shared.select("key", "size"), "key"), "met")
     met = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node")
     central = met.groupBy("key", "size").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("first")).select("key", (-F.col("first.node")).alias("leader"))
     buckets = materialise(met.drop("degree").join(central, "key"), "buckets")
-    texts = materialise(docs.join(buckets.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    pairs = buckets.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    links = materialise(verified(pairs, texts, idf, similarity), "links")
+    vectors = materialise(full.join(buckets.select("node").distinct().hint("merge"), "node").drop("keys"), "vectors")
+    lean = vectors.drop("prefix")
+    pairs = buckets.where("node <> leader").groupBy("leader", "node").agg(F.ceil(F.max("size") / PART).cast("int").alias("parts"))
+    links = materialise(verified(pairs, lean, similarity), "links")
     roots = components(links)
+    rest = _open(buckets, roots).select("node").distinct()
+    groups = materialise(vectors.join(rest, "node", "left_semi").select("node", F.explode("prefix").alias("key")), "groups")
     had, most, known = 0, LEADERS, None
     while True:
-        state = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = state.groupBy("key", "size").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        state = materialise(state.join(open_, "key"), "open")
+        state = materialise(_open(groups, roots), "open")
         largest = state.agg(F.max("size")).collect()[0][0] or 0
         if had >= largest:
             break
         if known is None:
-            known = materialise(sketches(texts.join(state.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), idf), "sketches")
-        near = materialise(verified(possible(state, known, had, most, similarity), texts, idf, similarity), "links")
+            known = materialise(sketches(lean.join(state.select("node").distinct(), "node", "left_semi")), "sketches")
+        near = materialise(verified(possible(state, known, had, most, similarity), lean, similarity), "links")
         if not near.isEmpty():
             links = links.union(near)
             roots = components(links)
         had, most = most, 8 * most
-    classes = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
     rows_ = signed.select("doc_id", "digest").join(classes, "digest", "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     return rows_.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
@@ -316,4 +466,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL = None
+ORACLE_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS same, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, 1 + greatest(least(len(w), 1), len(w) - {WORDS - 1}))) AS i FROM worded
+), counted AS (
+  SELECT doc_id, md5_number(array_to_string(w[i : i + {WORDS - 1}], ' ')) AS g, count(*) AS c FROM places GROUP BY ALL
+), frequent AS (
+  SELECT g, count(*) AS df FROM counted GROUP BY g
+), weighed AS (
+  SELECT doc_id, g, df, c * (1 + log10((1 + (SELECT count(*) FROM documents)) / (1 + df))) AS weight FROM counted JOIN frequent USING (g)
+), totals AS (
+  SELECT doc_id, sum(weight) AS total FROM weighed GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.weight, b.weight)) AS both_
+  FROM weighed a JOIN weighed b ON a.g = b.g AND a.doc_id < b.doc_id WHERE a.df > 1 GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN totals x ON a = x.doc_id JOIN totals y ON b = y.doc_id WHERE both_ >= {SIMILARITY} * (x.total + y.total - both_)
+  UNION
+  SELECT min(doc_id) OVER (PARTITION BY same) AS a, doc_id AS b FROM worded
+), sides AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a WHERE s.b <> r.a
+), classes AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT doc_id, class_id, doc_id = class_id AS kept FROM classes
+"""

@@ -29,12 +29,18 @@ def corpus(seed, groups=12, size=6, words=120):
     return list(enumerate(rows))
 
 
-def test_near_duplicates_by_brute_force(spark, docs):
-    rows = corpus(1)
-    df = docs(rows)
-    idf = neardup.inverse_frequencies(df)
-    shingles = neardup.Shingles()
-    vectors = {i: (k, neardup._weights(idf, k, n)) for i, t in rows for k, n in [shingles(t)]}
+def brute_classes(rows, similarity=0.8):
+    """Classes by TF-IDF of the words' own five-word runs, all pairs compared; no part of the operator is used."""
+    from collections import Counter
+    from math import log10
+
+    vectors = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        vectors[i] = Counter(tuple(w[j : j + 5]) for j in range(max(min(len(w), 1), len(w) - 4)))
+    df = Counter(k for v in vectors.values() for k in v)
+    weights = {i: {k: n * (1 + log10((1 + len(rows)) / (1 + df[k]))) for k, n in v.items()} for i, v in vectors.items()}
+    totals = {i: sum(w.values()) for i, w in weights.items()}
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -43,13 +49,68 @@ def test_near_duplicates_by_brute_force(spark, docs):
         return x
 
     for i, a in rows:
-        for j, b in rows[:i]:
-            if a == b or neardup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8:
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
-    assert found == {i: find(i) for i, _ in rows}
-    assert 20 < len(set(found.values())) < len(rows)
+        for j, b in rows:
+            if j < i:
+                both = sum(min(x, weights[j][k]) for k, x in weights[i].items() if k in weights[j])
+                if (a or "") == (b or "") or both > 0 and both >= similarity * (totals[i] + totals[j] - both):
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def classes(df):
+    return {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_by_brute_force(docs, monkeypatch, small):
+    if small:
+        for name, value in (("LEADERS", 2), ("PART", 3), ("CHUNK_DOCS", 7), ("GROUP_BYTES", 500)):
+            monkeypatch.setattr(neardup, name, value)
+    rows = corpus(1)
+    found = classes(docs(rows))
+    assert found == brute_classes(rows) and 20 < len(set(found.values())) < len(rows)
+
+
+def test_near_duplicates_of_one_template(docs, monkeypatch):
+    """Buckets of many different texts: most words are the same in all, groups of a few are near copies."""
+    monkeypatch.setattr(neardup, "LEADERS", 3)
+    monkeypatch.setattr(neardup, "PART", 4)
+    rng = random.Random(12)
+    frame = [f"f{i}" for i in range(150)]
+    rows = []
+    for g in range(30):
+        own = [f"g{g}x{i}" for i in range(60)]
+        rows += [" ".join(frame + own[: 60 - k] + [f"t{g}{k}"]) for k in range(rng.randrange(1, 4))]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    found = classes(docs(rows))
+    assert found == brute_classes(rows) and 25 <= len(set(found.values())) <= 60
+
+
+def test_very_long_near_copies(docs):
+    text = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, text), (2, text + " end"), (3, text + " end"), (4, "word " * 300_000), (5, "word " * 299_999), (6, "other " * 9)]
+    assert classes(docs(rows)) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+
+
+def test_rows_that_share_an_id_get_one_class(docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (5, b), (7, a), (8, b), (9, "c d"), (9, "c e")]
+    want = [(5, 5), (5, 5), (5, 5), (7, 5), (8, 5), (9, 9), (9, 9)]
+    for parts in (1, 4):
+        assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs(rows, parts)).collect()) == want
+
+
+def test_near_duplicates_match_their_sql(docs):
+    import duckdb
+    import pyarrow as pa
+
+    rows = corpus(4, 6, 5, 90) + [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (1004, "  a  b c ")]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    want = con.execute(neardup.ORACLE_SQL).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in neardup.near_duplicates(docs(rows)).collect())
 
 
 def test_near_duplicates_edges(docs):
@@ -81,14 +142,14 @@ def test_samples_do_not_depend_on_the_batch(monkeypatch):
 
 def test_ruled_out_pairs_are_not_similar():
     rng = random.Random(3)
-    shingles, idf = neardup.Shingles(), np.ones(1 << neardup.DF_BITS, np.float32)
+    shingles = neardup.Shingles()
     for _ in range(60):
         a = [str(rng.randrange(400)) for _ in range(80)]
         b = [x if rng.random() > 0.05 else str(rng.randrange(400)) for x in a]
-        va, vb = ((k, neardup._weights(idf, k, n)) for k, n in (shingles(" ".join(a)), shingles(" ".join(b))))
-        ca, cb = (np.bincount((k & np.uint64(255)).astype(np.int64), w, 256) for k, w in (va, vb))
+        va, vb = ((k, n.astype(np.float32), float(n.sum())) for k, n in (shingles(" ".join(a)), shingles(" ".join(b))))
+        ca, cb = (np.bincount((v[0] & np.uint64(255)).astype(np.int64), v[1], 256) for v in (va, vb))
         shared = np.minimum(ca, cb).sum()
-        assert shared / (ca.sum() + cb.sum() - shared) >= neardup.weighted_jaccard(va, vb) - 1e-9
+        assert shared / (va[2] + vb[2] - shared) >= neardup.weighted_jaccard(va, vb) - 1e-9
 
 
 def test_components_of_a_long_path(spark):
@@ -114,12 +175,6 @@ def test_suffix_arrays(letters):
             assert shared[y] == k
 
 
-def test_idf_is_positive_where_counters_are_full(docs):
-    text = " ".join(f"w{i}" for i in range(1_500_000))
-    idf = neardup.inverse_frequencies(docs([(1, text), (2, text + " end")]))
-    assert np.isfinite(idf).all() and idf.min() >= 1
-
-
 def brute_repeats(rows, length):
     seen, want = set(), {}
     for i, text in sorted(rows):
