@@ -10,9 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,8 +146,22 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]
         yield held
 
 
-def _u(data: list[bytes], kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(data), kind)
+def _pack(a: np.ndarray, rising: bool = False) -> bytes:
+    """The bytes of an array (of the steps of a rising one) by their place in the number, compressed."""
+    if rising and len(a):
+        a = np.append(a[:1], np.diff(a))
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes, kind: str, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    a = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
+def _all(parts: list[np.ndarray], kind: str) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
 def _counted(rows: DataFrame, groups: int) -> DataFrame:
@@ -188,7 +202,7 @@ def _counted(rows: DataFrame, groups: int) -> DataFrame:
                 cut = slice(cuts[g], cuts[g + 1])
                 a, b = lone[cut], once[cut]
                 numbers = n[np.searchsorted(first, np.flatnonzero(b) + cuts[g])]
-                out.append((g, at, 0, keys[cut][a].astype("<u8").tobytes(), docs[cut][a].astype("<u2").tobytes(), counts[cut][a].astype("u1").tobytes(), keys[cut][b].astype("<u8").tobytes(), numbers.astype("<u4").tobytes()))
+                out.append((g, at, 0, _pack(keys[cut][a], True), _pack(docs[cut][a].astype("<u2")), _pack(counts[cut][a].astype("u1")), _pack(keys[cut][b], True), _pack(numbers.astype("<u4"))))
             return _sent(out)
 
         for b in batches:
@@ -213,21 +227,21 @@ def _answered(sent: DataFrame) -> DataFrame:
             if rows[0][2] == 1:
                 yield _sent(rows)
                 continue
-            lone, many = (_u([r[c] for r in rows], "<u8") for c in (3, 6))
-            keys = np.concatenate((lone, many))
-            n = np.concatenate((np.ones(len(lone), np.int64), _u([r[7] for r in rows], "<u4").astype(np.int64)))
+            lones, manies = ([_unpack(r[c], "<u8", True) for r in rows] for c in (3, 6))
+            lone = np.concatenate(lones)
+            keys = np.concatenate((lone, *manies))
+            n = np.concatenate((np.ones(len(lone), np.int64), *(_unpack(r[7], "<u4").astype(np.int64) for r in rows)))
             order = np.argsort(keys)
             new = np.append(True, keys[order][1:] != keys[order][:-1])[: len(keys)]
             df = np.empty(len(keys), np.int64)
             df[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1] if len(keys) else 0
             out, i, j = [], 0, len(lone)
-            for r in rows:
-                a, b = len(r[3]) // 8, len(r[6]) // 8
+            for r, one, more in zip(rows, lones, manies):
+                a, b = len(one), len(more)
                 shared = df[i : i + a] > 1
                 if shared.any() or b:
-                    docs, counts = np.frombuffer(r[4], "<u2")[shared], np.frombuffer(r[5], "u1")[shared]
                     found = np.concatenate((df[i : i + a][shared], df[j : j + b])).astype("<u8")
-                    out.append((0, r[1], 0, np.frombuffer(r[3], "<u8")[shared].tobytes(), docs.tobytes(), counts.tobytes(), r[6], found.tobytes()))
+                    out.append((0, r[1], 0, _pack(one[shared], True), _pack(_unpack(r[4], "<u2")[shared]), _pack(_unpack(r[5], "u1")[shared]), r[6], _pack(found)))
                 i, j = i + a, j + b
             yield _sent(out)
 
@@ -262,20 +276,17 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
             valid, digests, lengths = np.frombuffer(table_[4], "u1", m), table_[4][m : 33 * m], np.frombuffer(table_[4], "<i8", m, 33 * m)
             totals, direct = np.frombuffer(table_[5], "<i8"), np.frombuffer(table_[6], "<u8")
             answers = [r for r in got if r[2] == 0]
-            many, dfs = [], []
-            for r in answers:
-                a = len(r[3]) // 8
-                dfs.append(np.frombuffer(r[7], "<u8", offset=8 * a))
-                many.append(np.frombuffer(r[6], "<u8"))
-            many_key, many_df = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (many, dfs))
+            lone, many, dfs = ([_unpack(r[c], "<u8", c < 7) for r in answers] for c in (3, 6, 7))
+            many_key = _all(many, "<u8")
+            many_df = _all([d[len(k) :] for d, k in zip(dfs, lone)], "<u8")
             order = np.argsort(many_key)
             direct_df = many_df[order][np.searchsorted(many_key[order], direct)] if len(direct) else np.empty(0, np.uint64)
             both = np.frombuffer(table_[7], "<u4")
             shared = direct_df > 1
-            key = np.concatenate((_u([r[3] for r in answers], "<u8"), direct[shared]))
-            doc = np.concatenate((_u([r[4] for r in answers], "<u2").astype(np.int64), both[: len(direct)][shared].astype(np.int64)))
-            count = np.concatenate((_u([r[5] for r in answers], "u1").astype(np.int64), both[len(direct) :][shared].astype(np.int64)))
-            df = np.concatenate([np.frombuffer(r[7], "<u8", len(r[3]) // 8) for r in answers] + [direct_df[shared]])
+            key = np.concatenate((*lone, direct[shared]))
+            doc = np.concatenate((*(_unpack(r[4], "<u2").astype(np.int64) for r in answers), both[: len(direct)][shared].astype(np.int64)))
+            count = np.concatenate((*(_unpack(r[5], "u1").astype(np.int64) for r in answers), both[len(direct) :][shared].astype(np.int64)))
+            df = np.concatenate([d[: len(k)] for d, k in zip(dfs, lone)] + [direct_df[shared]])
             order = np.lexsort((key, doc))
             key, doc, count, df = key[order], doc[order], count[order], df[order]
             weight = (count * idf(df, documents)).astype(np.float32)
@@ -332,6 +343,7 @@ def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
     ``pairs`` has parts, in how many a leader's nodes are dealt: its vector goes to each of them, so that no task has to hold or sort
     all nodes of one leader.
     """
+    pairs = materialise(pairs, "pairs")
     bounded_batches(pairs.sparkSession, 256)
     deal = F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part")
     heads = pairs.groupBy("leader").agg(F.max("parts").alias("parts")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -377,26 +389,48 @@ def possible(state: DataFrame, known: DataFrame, had: int, most: int, similarity
     """
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
     rows = state.join(known, "node").where(turn >= had)
-    rows = rows.select("key", "node", "root", "cells", "total", (turn < most).alias("leads"), F.floor((turn - had) / LEADERS).cast("int").alias("block"), F.ceil(F.col("size") / PART).cast("int").alias("parts"), F.ceil((F.least("size", F.lit(most)) - had) / LEADERS).cast("int").alias("blocks"))
-    part = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int").alias("part")
-    members = rows.select("key", part, F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)).alias("block"), "node", "root", "cells", "total")
-    leaders = rows.where("leads").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "root", "cells", "total").toDF("k", "p", "b", "leader", "class", "sums", "whole")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
-        if len(left) and len(right):
-            y, ids, roots, totals = np.stack([np.frombuffer(c, "<f4") for c in right["cells"]]), right["node"].to_numpy(), right["root"].to_numpy(), right["total"].to_numpy()
-            for node, root, cells, whole in zip(left["leader"], left["class"], left["sums"], left["whole"]):
-                x = np.frombuffer(cells, "<f4")
-                both = (totals + whole) * (similarity / (1 + similarity))
-                ok = np.flatnonzero((roots != root) & (np.minimum(totals, whole) >= both * 0.9999))
-                ok = ok[np.minimum(y[ok], x).sum(1) >= both[ok] * 0.9999]
-                found.append(np.stack([np.full(len(ok), node), ids[ok]], 1))
-        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame(out, columns=["leader", "node"])
-
-    found = leaders.groupBy("k", "p", "b").cogroup(members.groupBy("key", "part", "block")).applyInPandas(compare, "leader long, node long").distinct()
-    return found.withColumn("parts", F.lit(1))
+    leads, own_block = turn < most, F.floor((turn - had) / LEADERS).cast("int")
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    blocks = F.greatest(F.ceil((F.least("size", F.lit(most)) - had) / LEADERS), F.lit(1)).cast("int")
+    rows = rows.select("key", "node", "root", "cells", "total", leads.alias("leads"), own_block.alias("own_block"), F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int").alias("own_part"), parts.alias("parts"), blocks.alias("blocks"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("own_part").alias("part"), b.alias("block"), F.lit(True).alias("member"), (F.col("leads") & (b == F.col("own_block"))).alias("leader")))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("leads") & (p != F.col("own_part")))
+    as_leader = F.transform(others, lambda p: F.struct(p.alias("part"), F.col("own_block").alias("block"), F.lit(False).alias("member"), F.lit(True).alias("leader")))
+    placed = rows.select("key", F.explode(F.concat(as_member, as_leader)).alias("at"), "node", "root", "cells", "total").select("key", "at.part", "at.block", "at.member", "at.leader", "node", "root", "cells", "total")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: list[tuple]) -> list[np.ndarray]:
+            member, leader = (np.array([r[i] for r in rows], bool) for i in (3, 4))
+            ids, roots, totals = np.array([r[5] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64), np.array([r[8] for r in rows])
+            if not leader.any() or (roots == roots[0]).all():
+                return []
+            y = np.frombuffer(b"".join(r[7] for r in rows), "<f4").reshape(len(rows), SKETCH)
+            out = []
+            for i in np.flatnonzero(leader).tolist():
+                both = (totals + totals[i]) * (similarity / (1 + similarity))
+                ok = np.flatnonzero(member & (roots != roots[i]) & (np.minimum(totals, totals[i]) >= both * 0.9999))
+                ok = ok[np.minimum(y[ok], y[i]).sum(1) >= both[ok] * 0.9999]
+                out.append(np.stack([np.full(len(ok), ids[i]), ids[ok]]))
+            return out
+
+        def send(found: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["leader", "node"])
+
+        held: list[tuple] = []
+        for b in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][:3] != row[:3]:
+                    found += settle(held)
+                    held = []
+                held.append(row)
+            yield send(found)
+        if held:
+            yield send(settle(held))
+
+    dealt = placed.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
+    return dealt.mapInArrow(compare, "leader long, node long").distinct().withColumn("parts", F.lit(1))
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -443,6 +477,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     roots = components(links)
     rest = _open(buckets, roots).select("node").distinct()
     groups = materialise(vectors.join(rest, "node", "left_semi").select("node", F.explode("prefix").alias("key")), "groups")
+    members = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    once = members.where("size > 1").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")  # of groups with the same members, one
+    groups = materialise(groups.join(once, "key"), "groups")
     had, most, known = 0, LEADERS, None
     while True:
         state = materialise(_open(groups, roots), "open")
