@@ -87,17 +87,32 @@ def test_mixing_matches_sql_and_targets(docs):
 
 def test_line_dedup_matches_sql(docs):
     rows = [(1, "a\nb\n\nc\nd"), (2, "x\na\n \nb\ny"), (3, "c\nd\nc\nd"), (4, "a"), (5, "b\nc"), (6, None), (7, ""), (8, "q\nq\nq\nq"), (9, "a\nb\n\nc\nd"), (10, "\n\n")]
-    same(linedup.dedup_lines(docs(rows)), linedup.ORACLE_SQL, documents=arrow(rows))
+    for run in (1, 2, 3):
+        same(linedup.dedup_lines(docs(rows), run), linedup.sql(run), documents=arrow(rows))
     kept = {r.doc_id: r.kept for r in linedup.dedup_lines(docs(rows), with_kept=True).collect()}
     assert kept[2] == "x\n \ny" and kept[9] == "" and kept[1] == rows[0][1]
-    assert linedup.dedup_lines(docs(EDGES)).count() == len(EDGES)
+    clashing = docs(EDGES).withColumns({"start": F.lit("x"), "fingerprint": F.lit(1), "lines": F.lit(2)})
+    found = {r.doc_id: r for r in linedup.dedup_lines(clashing, 1, with_kept=True).collect()}
+    assert len(found) == len({i for i, _ in EDGES}) and found[4].kept == "" and found[3].kept == "a b c d e f g" and found[None].n_removed == 0
     assert linedup.dedup_lines(docs(EDGES).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("run", [2, 3, 4])
-def test_line_dedup_by_brute_force(docs, run):
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("run", [1, 2, 3, 4])
+def test_line_dedup_by_brute_force(docs, monkeypatch, run, collide):
+    """Also where all lines have one fingerprint, so that only the extension tells them apart."""
     import random
 
+    if collide:
+        import xxhash
+
+        class Colliding:
+            @staticmethod
+            def xxh3_128_digest(x):
+                return b"\0" * 8 + xxhash.xxh3_64_digest(x)
+
+        monkeypatch.setattr(linedup, "xxhash", Colliding)
+
     rng = random.Random(run)
     rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14)))) for i in range(40)]
     seen, want = set(), {}
