@@ -19,7 +19,8 @@ from gridloom.llm.common import bounded_batches, materialise, table
 
 LENGTH = 1024
 END = 2
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+RANKED = 1 << 18
 #: Distinct pre-tokens that a task remembers the ids of before it starts anew; freed at its end, as workers live on.
 REMEMBERED = 300_000
 
@@ -43,7 +44,8 @@ class Encoder:
     """A byte-level BPE of the tokenizers library that remembers the ids of pre-tokens, as bytes of two an id.
 
     Merges never cross pre-tokens, so the ids of a text are those of its pre-tokens in turn. The library's model is
-    asked for those that are new, in the letters that stand for their bytes; special tokens in a text are ordinary text.
+    asked for those that are new, in the letters that stand for their bytes. A text that holds the literal of an added token
+    is given to the library as it is, which looks for these first.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -56,10 +58,13 @@ class Encoder:
             raise ValueError("pre-tokens are only remembered for tokenizers that do not normalise")
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of two bytes need a vocabulary of at most 65,536")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
+        if any(x in text for x in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         known = self.known
         parts = PLAIN_SPLIT.findall(text) if PLAIN.match(text) else self.find(text)
         fresh = set(parts).difference(known)
@@ -233,19 +238,23 @@ def pack(pieces: DataFrame, total: int = LENGTH) -> DataFrame:
     """``pieces`` with sequence_id and offset; each piece has one place and sequences have no gaps.
 
     Only the histogram of lengths comes to the driver and only its plan, at most a few hundred thousand
-    intervals at 1024, goes out; pieces of one length are ranked in SALTS parts, so that a
-    length that very many have is in no single task.
+    intervals at 1024, goes out. Pieces that fill a sequence are one each, by their place in the table (numbers below 0); those of
+    another length are ranked in as many parts as its count asks for, so that a length that very many have is in no single task.
+    ``pieces`` must be a written table, so that it has the same rows in the same places whenever it is read.
     """
     spark = pieces.sparkSession
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    plan = spark.sparkContext.broadcast(slots(pack_histogram({k: n for k, n in counts.items() if k < total}, total), total))
+    whole = pieces.where(F.col("length") >= total).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     keys = ["length", "salt"]
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    deal = spark.createDataFrame([(k, 1 + n // RANKED) for k, n in counts.items() if k < total], "length long, parts long")
+    rows = pieces.where(F.col("length") < total).join(F.broadcast(deal), "length")  # a row for each length below ``total``
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int"))
     parts = rows.groupBy(*keys).count()
-    counts = {r[0]: r[1] for r in parts.groupBy("length").agg(F.sum("count")).collect()}
-    plan = spark.sparkContext.broadcast(slots(pack_histogram(counts, total), total))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy(*keys).orderBy("doc_id", "piece")
-    ranked = rows.join(starts, keys).withColumn("rank", F.col("first") + F.row_number().over(within) - 1).drop("salt", "first")
+    ranked = rows.join(starts, keys).withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
     ranked = ranked.select(*pieces.columns, "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +269,7 @@ def pack(pieces: DataFrame, total: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").union(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, pattern: str) -> DataFrame:

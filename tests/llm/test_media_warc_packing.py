@@ -74,10 +74,11 @@ def test_nnls_reaches_an_exact_fit():
     assert (x >= 0).all() and np.allclose(used, wanted, atol=0.05)
 
 
-def test_packed_pieces_give_the_ids_back(docs):
+@pytest.mark.parametrize("ranked", [1 << 18, 2])
+def test_packed_pieces_give_the_ids_back(docs, monkeypatch, ranked):
+    monkeypatch.setattr(packing, "RANKED", ranked)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*EDGES, (20, "It's 42²  naïve…\n\n  été 中文\u00a0x  "), (21, "a" * 5000), (22, "x " * 1023)]
+    texts = [*EDGES, (19, "a <|endoftext|> b"), (23, "<|endoftext|><|endoftext|>x " * 600), (24, "x " * 1022 + "x"), (25, "y" * 9000), (20, "It's 42²  naïve…\n\n  été 中文\u00a0x  "), (21, "a" * 5000), (22, "x " * 1023)]
     rows = packing.pack_documents(docs(texts).withColumns({"rank": F.lit(1), "salt": F.lit(2), "length": F.lit("z")}), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
     want = defaultdict(list)
     for i, text in texts:
