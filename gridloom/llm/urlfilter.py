@@ -9,12 +9,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
 
-MAX_LEVELS = 32
+#: So few keys or less are listed as they are instead of in one more filter.
+LISTED = 64
 
 
 @dataclass(frozen=True)
@@ -30,59 +33,77 @@ class Rule:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: ``words`` of 64 bits, ``probes`` hashes, its number as the seed."""
+    """One Bloom filter: its bits, eight a byte, ``probes`` places a key, and its number, which chooses the places."""
 
-    words: tuple[int, ...]
+    data: bytes
     probes: int
     number: int
 
     @property
     def bits(self) -> int:
-        return 64 * len(self.words)
+        return 8 * len(self.data)
 
 
-def _positions(h: int, bits: int, probes: int) -> list[int]:
-    low, step = h & 0xFFFFFFFF, (h >> 32 & 0xFFFFFFFF) | 1
-    return [(low + i * step) % bits for i in range(probes)]
+SECOND = "second"
 
 
-def _level(hashes: list[int], rate: float, number: int) -> Level:
-    n = max(1, len(hashes))
-    words = math.ceil(max(64.0, n * math.log(1 / rate) / math.log(2) ** 2) / 64)
-    probes = max(1, round(min(math.log2(1 / rate), 64 * words / n * math.log(2))))
-    out = [0] * words
-    for h in hashes:
-        for p in _positions(h, 64 * words, probes):
-            out[p >> 6] |= 1 << (p & 63)
-    return Level(tuple(w - (1 << 64) if w >> 63 else w for w in out), probes, number)
+def _hashes(keys: list[str]) -> np.ndarray:
+    """Two 64-bit hashes of each key, as Spark's xxhash64 gives them (seed 42, and the hash of ``SECOND`` as seed)."""
+    other = xxhash.xxh64_intdigest(SECOND.encode(), 42)
+    raw = [x.encode() for x in keys]
+    return np.array([[xxhash.xxh64_intdigest(x, 42) for x in raw], [xxhash.xxh64_intdigest(x, other) for x in raw]], np.uint64)
 
 
-def _in(level: Level, h: int) -> bool:
-    return all(level.words[p >> 6] >> (p & 63) & 1 for p in _positions(h, level.bits, level.probes))
+def _positions(hashes: np.ndarray, bits: int, probes: int, number: int) -> np.ndarray:
+    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
+    start, step = low[0] + low[1] * np.uint64(number), high[0] + high[1] * np.uint64(number) | np.uint64(1)
+    return (start + np.arange(probes, dtype=np.uint64)[:, None] * step) % np.uint64(bits)
+
+
+def _level(hashes: np.ndarray, rate: float, number: int) -> Level:
+    n = max(1, hashes.shape[1])
+    size = math.ceil(max(64.0, n * math.log(1 / rate) / math.log(2) ** 2) / 8)
+    probes = max(1, round(min(math.log2(1 / rate), 8 * size / n * math.log(2))))
+    bits = np.zeros(8 * size, bool)
+    bits[_positions(hashes, 8 * size, probes, number).ravel()] = True
+    return Level(np.packbits(bits, bitorder="little").tobytes(), probes, number)
+
+
+def _in(level: Level, hashes: np.ndarray) -> np.ndarray:
+    at = _positions(hashes, level.bits, level.probes, level.number)
+    data = np.frombuffer(level.data, np.uint8)
+    return (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
 
 
 def _holds(level: Level, key: Column) -> Column:
-    """Whether the filter takes ``key``; built-in expressions only."""
-    words = F.expr("array(" + ", ".join(f"{w}L" if w > -(1 << 63) else "shiftleft(1L, 63)" for w in level.words) + ")")
-    h = F.xxhash64(key, F.lit(level.number))
-    low, step = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
-    found = F.lit(True)
-    for i in range(level.probes):
-        at = (low + step * F.lit(i)) % F.lit(level.bits)
-        bit = F.call_function("shiftright", F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int"))
-        found = found & (bit.bitwiseAND(F.lit(1)) == 1)
-    return found
+    """Whether the filter takes ``key``; built-in expressions only, the bits as one binary literal."""
+    first, second = F.xxhash64(key), F.xxhash64(F.lit(SECOND), key)
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    high = lambda h: F.shiftrightunsigned(h, 32)
+    start, step = low(first) + low(second) * F.lit(level.number), (high(first) + high(second) * F.lit(level.number)).bitwiseOR(F.lit(1))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(level.probes - 1).cast("long")), lambda i: (start + i * step) % F.lit(level.bits))
+
+    def is_set(at: Column) -> Column:
+        byte = F.ascii(F.decode(F.substring(F.lit(level.data), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+        return F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return F.forall(places, is_set)
 
 
 @dataclass(frozen=True)
 class Cascade:
+    """Levels, and the last keys (taken by all of them) for which the last level's answer is wrong."""
+
     levels: tuple[Level, ...]
+    rest: tuple[str, ...] = ()
 
     def contains(self, key: Column) -> Column:
         """Exact for every key of the universe that the cascade was built over; false for a null key."""
         if not self.levels:
             return F.lit(False)
         answer = F.lit(len(self.levels) % 2 == 1)
+        if self.rest:
+            answer = key.isin(list(self.rest)) != answer
         for level in reversed(self.levels):
             answer = F.when(_holds(level, key), answer).otherwise(F.lit(level.number % 2 == 0))
         return F.coalesce(F.when(key.isNotNull(), answer), F.lit(False))
@@ -94,41 +115,40 @@ def build_cascades(universe: DataFrame, lists: dict[str, list[str]]) -> dict[str
     The first level's error rate is |listed| / (1.4 |universe|), so that fewer wrong keys are
     expected than there are listed ones; it is halved until at most 4 |listed| + 256 came, which
     bounds both what is brought to the driver and every later level by the length of the lists.
+    There are as many levels as it takes until LISTED keys are left.
     """
-    spark = universe.sparkSession
     lists = {k: sorted(set(v)) for k, v in lists.items()}
     universe = universe.where("key is not null").distinct()
     total = universe.count()
-    every = sorted({x for v in lists.values() for x in v})
-    hashed = [F.xxhash64(F.col("key"), F.lit(n)).alias(f"h{n}") for n in range(1, MAX_LEVELS + 1)]
-    local = spark.createDataFrame([(x,) for x in every], "key string")
-    hashes = {r[0]: r[1:] for r in local.select("key", *hashed).collect()}
-    listed = {k: {x: hashes[x] for x in v} for k, v in lists.items()}
-    rates = {k: min(0.5, max(1, len(v)) / (1.4 * max(1, total))) for k, v in listed.items()}
+    every = {x for v in lists.values() for x in v}
+    listed = {k: (v, _hashes(v)) for k, v in lists.items()}
+    rates = {k: min(0.5, max(1, len(v)) / (1.4 * max(1, total))) for k, v in lists.items()}
+    bound = sum(4 * len(v) + 256 for v in lists.values()) + len(every)
     while True:
-        first = {k: _level([h[0] for h in v.values()], rates[k], 1) for k, v in listed.items()}
-        bound = sum(4 * len(v) + 256 for v in listed.values())
+        first = {k: _level(h, rates[k], 1) for k, (_, h) in listed.items()}
         taken = F.lit(False)
         for level in first.values():
             taken = taken | _holds(level, F.col("key"))
-        wrong = {r[0]: r[1:] for r in universe.where(taken).select("key", *hashed).limit(bound + len(every) + 1).collect()}
-        if len(wrong) <= bound + len(every):
+        wrong = [r[0] for r in universe.where(taken).limit(bound + 1).collect()]
+        if len(wrong) <= bound:
             break
         rates = {k: v / 2 for k, v in rates.items()}
     out = {}
-    for name, own in listed.items():
-        if not own:
+    for name, (keys, hashes) in listed.items():
+        if not keys:
             out[name] = Cascade(())
             continue
-        levels = [first[name]]
-        inside, outside = own, {x: h for x, h in wrong.items() if x not in own and _in(first[name], h[0])}
-        while outside:
-            n = len(levels) + 1
-            if n > MAX_LEVELS:
-                raise RuntimeError("the cascade does not end; use other seeds")
-            levels.append(_level([h[n - 1] for h in outside.values()], 0.5, n))
-            inside, outside = outside, {x: h for x, h in inside.items() if _in(levels[-1], h[n - 1])}
-        out[name] = Cascade(tuple(levels))
+        levels, own = [first[name]], set(keys)
+        inside = (np.array(keys, object), hashes)
+        others = [x for x in wrong if x not in own]
+        found = _hashes(others)
+        took = _in(first[name], found)
+        outside = (np.array(others, object)[took], found[:, took])
+        while len(outside[0]) > LISTED:
+            levels.append(_level(outside[1], 0.5, len(levels) + 1))
+            took = _in(levels[-1], inside[1])
+            inside, outside = outside, (inside[0][took], inside[1][:, took])
+        out[name] = Cascade(tuple(levels), tuple(outside[0].tolist()))
     return out
 
 
@@ -156,9 +176,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     A rule fits its host and all subdomains if the url's path starts with the rule's; the longest
     rule wins (of equally long ones the greatest by code points). Without one, the verdict is
     ``default``. A null url, and one without ``://``, has an empty host and path and meets no rule
-    unless a rule is empty. Rows repeat as in the input; other columns are ignored. Rules are
-    a list in the driver; the filters built from it are literals of the plan, a few bytes a rule.
+    unless a rule is empty. Rows repeat as in the input; other columns are ignored. Of rules with one
+    host and path, the first counts. Rules are a list in the driver; the filters built from it are binary literals of the plan, a few bytes a rule.
     """
+    rules = list({r.key: r for r in reversed(rules)}.values())[::-1]
     host, path = url_parts(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("keys", _candidates(rules))
     lists: dict[str, list[str]] = {}

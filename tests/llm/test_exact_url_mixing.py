@@ -55,15 +55,49 @@ def test_url_rules(spark):
     assert {r.verdict for r in urlfilter.filter_urls(pages, []).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("few", [0, 64])
+def test_cascade_is_exact_over_its_universe(spark, monkeypatch, few):
+    monkeypatch.setattr(urlfilter, "LISTED", few)
     listed = [f"k{i}" for i in range(0, 3000, 10)]
     universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     cascade = urlfilter.build_cascades(universe, {"x": listed})["x"]
-    assert len(cascade.levels) > 1
+    assert cascade.levels and (len(cascade.levels) > 1 or cascade.rest)
     found = {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()}
     assert found == set(listed)
 
 
+def test_hashes_are_spark_s(spark):
+    keys = ["", "a", "é/ü", "x" * 100]
+    df = spark.createDataFrame([(k,) for k in keys], "key string").select(F.xxhash64("key"), F.xxhash64(F.lit(urlfilter.SECOND), "key"))
+    assert [[x % 2**64 for x in r] for r in df.collect()] == urlfilter._hashes(keys).T.tolist()
+
+
+def test_cascades_of_very_many_keys():
+    """Two million listed keys: as many levels as it takes, and exact at the end (the same arithmetic as the columns')."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    inside, outside = rng.integers(0, 2**63, (2, 2, 2_000_000)).astype(np.uint64)
+    everything, levels, own, other = (inside, outside), [], inside, outside
+    while other.shape[1] > urlfilter.LISTED:
+        levels.append(urlfilter._level(own, 0.5, len(levels) + 1))
+        own, other = other[:, urlfilter._in(levels[-1], other)], own
+    assert len(levels) > 30
+    for hashes, member in zip(everything, (True, False)):
+        answer, open_ = np.full(hashes.shape[1], len(levels) % 2 == 1), np.ones(hashes.shape[1], bool)
+        for level in levels:
+            out = open_ & ~urlfilter._in(level, hashes)
+            answer[out], open_ = level.number % 2 == 0, open_ & ~out
+        assert (answer != member).sum() <= urlfilter.LISTED
+
+
+def test_first_of_equal_rules_counts(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
+    rules = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "net", "/")]
+    for order, verdict in ((rules, "block"), (rules[::-1], "allow")):
+        assert [(r.rule, r.verdict) for r in urlfilter.filter_urls(pages, order).collect()] == [("net/", verdict)]
+
+
 def mixed_rows():
     rows = [(i, "w " * (i % 37 + 1), f"s{i % 5}") for i in range(600)] + [(1000 + i, "only five words are here", "hot") for i in range(900)]
     return rows + [(2000, None, "s1"), (2001, "", None), (2002, "three words here", None), (None, "no id", "s2"), (3, "w " * 4, "s3"), (2003, " ", "empty")]
