@@ -18,6 +18,10 @@ from gridloom.llm.common import bounded_batches, table
 BLOCK = 64
 RATE = 8000
 FRAME, HOP = 128, 64
+#: A peak is not below any cell so many frames and bins around it.
+FRAMES, BINS = 4, 8
+#: A cell below this magnitude, or this share of the loudest of its frame, is no peak.
+QUIET, FAINT = 1e-3, 0.1
 #: Peaks that each peak is paired with, and frames that lie between them at most.
 FAN, REACH = 3, 63
 CHUNK = 4096
@@ -41,29 +45,40 @@ def from_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def stft(samples: np.ndarray, frame: int = FRAME, hop: int = HOP) -> Iterator[np.ndarray]:
-    """Magnitudes of Hann-windowed frames, in blocks of CHUNK frames; the tail is padded with silence."""
+def stft(samples: np.ndarray, frame: int = FRAME, hop: int = HOP, beside: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """Magnitudes of Hann-windowed frames, in blocks of CHUNK frames and ``beside`` more on either side where there are any;
+    the first frame of each block goes along. The tail is padded with silence."""
     signal = (samples.astype(np.float32) - 128) / 128
     frames = max(1, -(-(len(signal) - frame) // hop) + 1)
     signal = np.pad(signal, (0, (frames - 1) * hop + frame - len(signal)))
     cut = np.lib.stride_tricks.sliding_window_view(signal, frame)[::hop]
     window = np.hanning(frame).astype(np.float32)
     for i in range(0, frames, CHUNK):
-        yield np.abs(np.fft.rfft(cut[i : i + CHUNK] * window, axis=1))
+        first = max(0, i - beside)
+        yield first, np.abs(np.fft.rfft(cut[first : i + CHUNK + beside] * window, axis=1))
+
+
+def _greatest_around(x: np.ndarray, reach: int) -> np.ndarray:
+    """The greatest value at most ``reach`` rows away, for each cell."""
+    out = x.copy()
+    for k in range(1, reach + 1):
+        np.maximum(out[k:], x[:-k], out=out[k:])
+        np.maximum(out[:-k], x[k:], out=out[:-k])
+    return out
 
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames whose strongest bin is not below that of the frames beside it, and that bin."""
-    bins, tops = [], []
-    for block in stft(samples):
+    """Frames and bins of the spectral peaks, in the order of time, then bin: cells that are not faint and not below any near one."""
+    found = []
+    for n, (first, block) in enumerate(stft(samples, beside=FRAMES)):
         block[:, 0] = 0
-        at = block.argmax(axis=1)
-        bins.append(at)
-        tops.append(block[np.arange(len(block)), at])
-    f, m = np.concatenate(bins), np.concatenate(tops)
-    edge = np.concatenate(([0], m, [0]))
-    t = np.flatnonzero((m > 0) & (m >= edge[:-2]) & (m >= edge[2:]))
-    return t, f[t]
+        most = _greatest_around(np.ascontiguousarray(_greatest_around(block, FRAMES).T), BINS).T
+        t, f = np.nonzero((block > np.maximum(QUIET, FAINT * block.max(axis=1, keepdims=True))) & (block >= most))
+        t = t + first
+        own = (t >= n * CHUNK) & (t < (n + 1) * CHUNK)
+        found.append((t[own], f[own]))
+    t, f = (np.concatenate(c) for c in zip(*found))
+    return t, f
 
 
 def fingerprints(samples: np.ndarray) -> np.ndarray:
@@ -72,7 +87,7 @@ def fingerprints(samples: np.ndarray) -> np.ndarray:
     found = [t << 22 | f << 14 | f << 6]
     for k in range(1, FAN + 1):
         gap = t[k:] - t[:-k]
-        ok = gap <= REACH
+        ok = (gap > 0) & (gap <= REACH)
         found.append((t[:-k] << 22 | f[:-k] << 14 | f[k:] << 6 | gap)[ok])
     return np.sort(np.concatenate(found))
 
@@ -117,9 +132,10 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the fingerprints themselves; feature is their number and digest."""
     found = media_features(store_media(table(spark, sf_dir, "documents")))
     feature = F.concat(F.size("fingerprints"), F.lit(":"), F.sha2(F.array_join("fingerprints", ","), 256))
-    return found.withColumn("feature", feature).drop("fingerprints")
+    return found.select(*[c for c in found.columns if c != "fingerprints"], feature.alias("feature"), "fingerprints")
 
 
 ORACLE_SQL = None

@@ -40,6 +40,29 @@ def test_fingerprints_find_a_tone():
     assert (np.diff(found >> 22) >= 0).all() and not len(media.fingerprints(np.full(64, 128, np.uint8)))
 
 
+@pytest.mark.parametrize("chunk", [4096, 7])
+@pytest.mark.parametrize("size", [64, 100, 1000, 3000])
+def test_fingerprints_against_a_plain_transform(monkeypatch, size, chunk):
+    """A discrete Fourier transform term by term, peaks by looking at each cell's surroundings, pairs by hand."""
+    monkeypatch.setattr(media, "CHUNK", chunk)
+    samples = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    x = [(int(v) - 128) / 128 for v in samples]
+    frames = 1 if size <= 128 else -(-(size - 128) // 64) + 1
+    x += [0.0] * ((frames - 1) * 64 + 128 - size)
+    k = np.arange(65)
+    cells = np.zeros((frames, 65))
+    for t in range(frames):
+        windowed = [x[64 * t + j] * (0.5 - 0.5 * np.cos(2 * np.pi * j / 127)) for j in range(128)]
+        cells[t] = abs(sum(v * np.exp(-2j * np.pi * k * j / 128) for j, v in enumerate(windowed)))
+    assert np.allclose(np.concatenate([b for _, b in media.stft(samples)]), cells, atol=1e-4)
+    cells[:, 0] = 0
+    tops = [(t, f) for t in range(frames) for f in range(65) if cells[t, f] > max(1e-3, 0.1 * cells[t].max()) and cells[t, f] >= cells[max(0, t - 4) : t + 5, max(0, f - 8) : f + 9].max()]
+    want = [t << 22 | f << 14 | f << 6 for t, f in tops]
+    for i, (t, f) in enumerate(tops):
+        want += [t << 22 | f << 14 | g << 6 | u - t for u, g in tops[i + 1 : i + 4] if 0 < u - t <= 63]
+    assert media.fingerprints(samples).tolist() == sorted(want)
+
+
 def reference_patterns(lengths, total):
     have = sorted({x for x in lengths if 0 < x < total})
     pairs = {(a, b) for a in have for b in have if a <= b and a + b == total}
