@@ -8,18 +8,22 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bounded_batches, materialise, table
+from gridloom.llm.common import bounded_batches, materialise, shared_dir, table
 
+#: Neighbouring records that are read by one range, in bytes.
+READ_BYTES = 1 << 20
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -47,7 +51,8 @@ class FileRanges:
     """A seekable file object."""
 
     def __init__(self, file):
-        self.file, self.size = file, file.seek(0, io.SEEK_END)
+        file.seek(0, io.SEEK_END)
+        self.file, self.size = file, file.tell()
 
     def read(self, start: int, length: int) -> bytes:
         self.file.seek(start)
@@ -184,11 +189,25 @@ class ArchiveWriter:
 
 
 def read_archive(source: Ranges) -> Iterator[tuple[dict[str, str], int, bytes | None]]:
-    """Every record by the index, each by one range read; nothing else of the archive is read."""
+    """Every record by the index, neighbours by one range read of about READ_BYTES; nothing else of the archive is read."""
     directory = ZipDirectory(source)
-    for line in directory.read(INDEX).decode().splitlines():
-        entry = json.loads(line)
-        yield parse_record(gzip.decompress(directory.read(WARC, entry["offset"], entry["length"])))
+    entries = [json.loads(line) for line in directory.read(INDEX).decode().splitlines()]
+    first = 0
+    while first < len(entries):
+        last, at = first, entries[first]["offset"]
+        while last + 1 < len(entries) and entries[last + 1]["offset"] + entries[last + 1]["length"] - at <= READ_BYTES:
+            last += 1
+        data = memoryview(directory.read(WARC, at, entries[last]["offset"] + entries[last]["length"] - at))
+        for entry in entries[first : last + 1]:
+            yield parse_record(gzip.decompress(data[entry["offset"] - at : entry["offset"] - at + entry["length"]]))
+        first = last + 1
+
+
+def storage(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or file and the path in it: local, or what pyarrow can reach by its URI."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
@@ -207,15 +226,26 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return r.join(s, on, "left").select("r.page_id", "r.url", "r.payload", "s.refers_to")
 
 
-def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """archive (its name) and content: ZIPs of about ``archive_bytes`` of the rows of ``mark_revisits``."""
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """archive (its path), bytes and records of ZIPs of about ``archive_bytes`` that the rows of ``mark_revisits`` are written to.
+
+    ``folder`` must be one that all executors share. A file is written under the name of its attempt and then
+    renamed, so that a repeated task leaves whole archives only and the same ones.
+    """
     bounded_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, writer = TaskContext.get().partitionId(), 0, ArchiveWriter()
+        task, n, writer = TaskContext.get(), 0, ArchiveWriter()
+        files, root = storage(folder)
+        files.create_dir(root, recursive=True)
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{n:06d}.zip"]), pa.array([writer.finish()], pa.binary())], ["archive", "content"])
+            name, data = f"{task.partitionId():06d}-{n:06d}.zip", writer.finish()
+            mine = f"{root}/_{name}-{task.taskAttemptId()}"
+            with files.open_output_stream(mine) as out:
+                out.write(data)
+            files.move(mine, f"{root}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(data)]), pa.array([len(writer.index)])], ["archive", "bytes", "records"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to"))):
@@ -226,31 +256,51 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
         if writer.size:
             yield flush()
 
-    return records.mapInArrow(write, "archive string, content binary")
+    return records.mapInArrow(write, "archive string, bytes long, records long")
 
 
 RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record in the column ``content``; a damaged archive or payload raises an error."""
+    """A row for each record of the archives whose paths are in the column ``archive``, read by ranges where they lie.
+
+    A damaged archive or payload raises an error.
+    """
     bounded_batches(archives.sparkSession)
     schema = RECORD if payloads else RECORD.remove(5)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
-                rows = []
-                for fields, size, payload in read_archive(BytesRanges(content.as_py())):
-                    refers = fields.get("WARC-Refers-To")
-                    rows.append((_page(fields["WARC-Record-ID"]), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], refers and _page(refers)) + ((payload,) if payloads else ()))
+            for path in b.column(0).to_pylist():
+                files, place = storage(path)
+                with files.open_input_file(place) as file:
+                    rows = []
+                    for fields, size, payload in read_archive(FileRanges(file)):
+                        refers = fields.get("WARC-Refers-To")
+                        rows.append((_page(fields["WARC-Record-ID"]), size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], refers and _page(refers)) + ((payload,) if payloads else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    return archives.select("content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
+    return archives.select("archive").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(materialise(write_archives(mark_revisits(table(spark, sf_dir, "pages"))), "warc"))
-
-
-ORACLE_SQL = None
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
+    written = materialise(write_archives(mark_revisits(table(spark, sf_dir, "pages")), folder), "archives")
+    return read_archives(written.repartition(F.col("archive")))
+
+
+ORACLE_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS x, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(x, i::INT, 1)) - 3, 4)), '') AS b
+  FROM payloads
+)
+SELECT page_id, strlen(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(b, 5 * g::INT + 1, 1)::INT
+         + 8 * substr(b, 5 * g::INT + 2, 1)::INT + 4 * substr(b, 5 * g::INT + 3, 1)::INT + 2 * substr(b, 5 * g::INT + 4, 1)::INT + substr(b, 5 * g::INT + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM bits
+"""

@@ -157,10 +157,16 @@ def test_zip64_end_of_directory():
     assert d.read("m", 6) == b"world"
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 300])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(warczip, "READ_BYTES", at_once)
     rows = [(3, "http://a", "<p>x</p>"), (1, "http://b\r\nX: y", "<p>y</p>"), (2, None, "<p>x</p>"), (5, "u", None), (4, "u", ""), (None, "u", "<p>x</p>"), (6, "u", "é" * 200_000), (7, "u", "one"), (7, "u", "one")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)
-    archives = warczip.write_archives(warczip.mark_revisits(pages), 1000)
+    written = [r.asDict() for r in warczip.write_archives(warczip.mark_revisits(pages), f"file://{tmp_path}/zips", 1000).collect()]
+    assert sorted(x["archive"] for x in written) == sorted(f"file://{f}" for f in (tmp_path / "zips").iterdir()) and sum(x["records"] for x in written) == len(rows)
+    archives = spark.createDataFrame(written)
+    here = [fields["WARC-Record-ID"] for f in (tmp_path / "zips").iterdir() for fields, *_ in warczip.read_archive(warczip.FileRanges(open(f, "rb")))]
+    assert sorted(here) == sorted(warczip._uri(r[0]) for r in rows)
     found = warczip.read_archives(archives, payloads=True).collect()
     texts = {3: 0, 1: 1, 2: 2, 5: 3, 4: 4, None: 5, 6: 6, 7: 7}
     assert len(found) == len(rows)
@@ -173,7 +179,8 @@ def test_warc_round_trip(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(payload), warczip.base32_sha1(payload))
         assert (r.record_type, r.refers_to) == (("revisit", first[payload.decode()]) if revisit else ("response", None))
         assert r.payload == (None if revisit else payload)
-    assert warczip.read_archives(warczip.write_archives(warczip.mark_revisits(pages.limit(0)))).count() == 0
+    assert warczip.write_archives(warczip.mark_revisits(pages.limit(0)), f"{tmp_path}/none").count() == 0
+    assert warczip.read_archives(archives.limit(0)).count() == 0
 
 
 def test_damage_is_seen():
