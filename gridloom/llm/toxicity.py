@@ -96,27 +96,32 @@ def sampled_labels(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(size)
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fit on the texts of ``sampled_labels``, PASSES times over in a fixed order, in one task.
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BITS, passes: int = PASSES) -> Model:
+    """Fit on the texts of ``sampled_labels``, ``passes`` times over in a fixed order, in one task.
 
-    The sample (at most ``size`` ids and labels) is broadcast; whatever the corpus, the task reads
-    ``size`` texts and holds their hashed features and 2^bits coordinates. An id counts once however many rows repeat it, with
+    The sample (at most ``size`` ids and labels) is broadcast; features are hashed where the texts are and come to the task once for
+    each pass, so it holds 2^bits coordinates and a batch of rows, however long the texts are. An id counts once however many rows repeat it, with
     the least of its texts; ids without a document are left out. Without any label, the model has no weight and scores 0.5.
     """
     bounded_batches(docs.sparkSession)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sampled_labels(labels, size)), "doc_id")
     sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # repeats collapse before the shuffle
-    rows = sample.select("label", "text", F.xxhash64("doc_id", F.lit(2)).alias("turn")).repartition(1).sortWithinPartitions("turn", "text").select("label", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(bits)
+        for b in batches:
+            rows = [features(x).astype("<i4").tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
+
+    rows = sample.select("doc_id", "label", "text").mapInArrow(hashed, "doc_id long, label int, features binary")
+    rows = rows.select(F.explode(F.sequence(F.lit(1), F.lit(passes))).alias("pass"), F.xxhash64("doc_id", F.lit(2)).alias("turn"), "doc_id", "label", "features")
+    rows = rows.repartition(1).sortWithinPartitions("pass", "turn", "doc_id").select("label", "features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, ftrl, kept = Features(bits), Ftrl(bits), []
+        ftrl = Ftrl(bits)
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kept.append((features(text).astype(np.int32), label))
-                ftrl.learn(*kept[-1])
-        for _ in range(PASSES - 1):
-            for known, label in kept:
-                ftrl.learn(known, label)
+            for label, features in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ftrl.learn(np.frombuffer(features, "<i4"), label)
         m = ftrl.model()
         yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([m.index.astype("<i4").tobytes()]), pa.array([m.weight.astype("<f4").tobytes()])], ["bias", "at", "weight"])
 

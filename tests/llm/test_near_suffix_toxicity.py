@@ -293,6 +293,39 @@ def toxic_corpus(n=1200):
     return rows, labels
 
 
+def test_ftrl_against_a_plain_one():
+    """The update rule coordinate by coordinate, on dictionaries."""
+    from math import exp, sqrt
+
+    rng = random.Random(11)
+    rows = [(sorted(rng.sample(range(60), rng.randrange(1, 12))), rng.random() < 0.4) for _ in range(400)]
+    fast = toxicity.Ftrl(6, alpha=0.7, beta=1.3, l1=0.4, l2=0.2)
+    z, n = {}, {}
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= 0.4 else -(a - (0.4 if a > 0 else -0.4)) / ((1.3 + sqrt(n[i])) / 0.7 + 0.2)
+
+    for features, label in rows:
+        fast.learn(np.array(features), int(label))
+        at = [*features, 64]
+        p = 1 / (1 + exp(-sum(weight(i) for i in at)))
+        for i, w in [(i, weight(i)) for i in at]:
+            g, had = p - label, n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (sqrt(had + g * g) - sqrt(had)) / 0.7 * w
+            n[i] = had + g * g
+    model = fast.model()
+    want = {i: weight(i) for i in range(60) if weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(want, rel=1e-5) and model.bias == pytest.approx(weight(64)) and len(want) > 10
+
+
+def test_features_are_words_neighbours_and_skips():
+    words = "a b c a b".split()
+    found = toxicity.Features(40)(" ".join(words))
+    grams = {(w,) for w in words} | set(zip(words, words[1:])) | {(x, None, y) for x, y in zip(words, words[2:])}
+    assert len(found) == len(grams) and len(toxicity.Features(40)("")) == 0 and len(toxicity.Features(40)("one")) == 1
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     rows, labels = toxic_corpus()
     table = spark.createDataFrame(labels + [(None, 1, 1), (5000, 0, None), (5001, 1, 1)], "doc_id long, quality int, toxic int")
