@@ -46,3 +46,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``df``."""
+    own = {c.lower() for c in df.columns}
+    while name.lower() in own:
+        name = "_" + name
+    return name

@@ -33,6 +33,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``exact_duplicates`` keeps, each text once: of equal texts the row with the smallest id.
+
+    One grouping by MD5 and text, so texts cross the network once and are not joined back. Null text counts as empty and stays
+    null in the row that is kept; a null id is kept only if no other row has the text. Of rows with one id and text
+    that differ elsewhere, the least as JSON is kept. Columns may have any names and types.
+    """
+    text = text_or_empty(text_col)
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).isNull().alias("none"))
+    turn = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.to_json(row).alias("c"))
+    kept = docs.select(F.md5(text).alias("h128"), text.alias("text"), row.alias("row"), turn.alias("turn")).groupBy("h128", "text").agg(F.min_by("row", "turn").alias("row"))
+    place = {c: F.col(f"row.c{i}") for i, c in enumerate(others)} | {text_col: F.when(~F.col("row.none"), F.col("text"))}
+    return kept.select(*[place[c].alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 

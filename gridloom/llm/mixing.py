@@ -57,8 +57,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share:
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row: doc_id, size, source_size, target, copies and taken (= copies * size).
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", identity: Column | None = None) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, copies and taken (= copies * size), and ``identity`` if one is given.
 
     Each document of a source expects target / source_size copies. The source's documents stand in
     the order of size class, salt, size and id; the expected copies are summed along it from one random
@@ -71,7 +71,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     Null ids stand first; rows that repeat are interchangeable. Other columns are ignored.
     """
     size = word_count(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    own = [identity.alias("identity")] if identity is not None else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *own)
     rows = rows.select(
         "*",
         _size_class(F.col("size")).alias("part"),
@@ -95,7 +96,28 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     placed = placed.withColumn("rate", rate).withColumn("offset", offset)
     passed = F.floor(F.col("i") * F.col("rate") + F.col("offset")) - F.floor((F.col("i") - 1) * F.col("rate") + F.col("offset"))
     copies = F.least(passed, F.ceil("rate"))
-    return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    named = ["identity"] if own else []
+    return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *named)
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, as often as ``mix_sources`` takes each.
+
+    Copies are joined to rows by id and a digest of source and text. Rows that are equal in these are numbered (only if there are any), so that
+    each gets its own number of copies. Columns may have any names.
+    """
+    text, source = F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)
+    digest = F.md5(F.concat(F.when(source.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(source.cast("string"), F.lit("")), F.lit("\0"), text))
+    taken = materialise(mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, identity=digest).select("doc_id", "identity", "copies", "size"), "taken")
+    rows, names = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest")), docs.columns
+    number, order = F.lit(1), F.lit(1)
+    if not taken.groupBy("doc_id", "identity").count().where("count > 1").isEmpty():
+        number = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.to_json("row")))
+        order = F.row_number().over(Window.partitionBy("doc_id", "identity").orderBy("copies"))
+    rows, taken = rows.withColumn("turn", number), taken.withColumn("order", order).where("copies > 0")
+    same = rows["id"].eqNullSafe(taken["doc_id"]) & (rows["digest"] == taken["identity"]) & (rows["turn"] == taken["order"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return rows.join(taken, same).select("row", copies).select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,24 +130,24 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, bits: int = BI
     return Model(bits, bias, np.frombuffer(at, "<i4"), np.frombuffer(weight, "<f4"))
 
 
-def scored(rows: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``rows`` and score, of the whole text; null text counts as empty and scores by the bias alone.
+def scored(rows: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """All columns of ``rows`` and the score of the whole text as ``name``; null text counts as empty and scores by the bias alone.
 
     No shuffle: the weights are broadcast and each document is scored where it is read. A column that is
-    called score already is replaced.
+    called ``name`` already is replaced.
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    rows = rows.drop("score")
+    rows = rows.drop(name)
     sent, place = spark.sparkContext.broadcast(model), rows.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, features, bias = sent.value.dense(), Features(sent.value.bits), sent.value.bias
         for b in batches:
             sums = np.array([weight[features(x or "")].sum(dtype=np.float64) for x in b.column(place).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))))], [*b.schema.names, name])
 
-    return rows.mapInArrow(judge, StructType([*rows.schema, StructField("score", DoubleType())]))
+    return rows.mapInArrow(judge, StructType([*rows.schema, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

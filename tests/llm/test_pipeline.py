@@ -4,8 +4,9 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
 import corpus_pipeline  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,6 +43,63 @@ def test_stages(spark, folder):
     assert set(packed) == set(mixed)
 
 
+def clashing(df):
+    """Columns called as the stages call their own."""
+    names = ["score", "_score", "size", "copy", "copies", "text_sha256", "h128", "row", "turn", "digest", "identity", "node", "class_id"]
+    return df.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+
+
+def test_stages_against_plain_versions(spark, folder):
+    """Each stage on what the one before kept, with clashing columns, against loops and SQL on the same rows."""
+    import duckdb
+    import public_tokenizers
+    from test_near_suffix_toxicity import brute_classes
+    from tokenizers import Tokenizer
+
+    from gridloom.llm import mixing, toxicity
+
+    path, *_ = folder
+    docs = clashing(spark.read.parquet(f"{path}/documents.parquet"))
+    steps = [docs]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, steps[-1], path).write.parquet(f"{path}/plain{k}")
+        steps.append(spark.read.parquet(f"{path}/plain{k}"))
+        if k < 4:
+            assert steps[-1].columns == docs.columns
+            assert all(r[c] == f"{c}:{'none' if r.doc_id is None else r.doc_id}" for r in steps[-1].collect() for c in docs.columns[5:])
+    rows = [[(r.doc_id, r.text, r.source) for r in s.collect()] for s in steps[:5]]
+    key = lambda r: tuple((x is None, x or 0 if not isinstance(x, str) else x) for x in r)
+    order = lambda rs: sorted(rs, key=lambda r: repr(key(r)))
+    scores = {r.text: r.score for r in toxicity.scored(docs.select("text"), toxicity.train(docs, spark.read.parquet(f"{path}/labels.parquet"))).collect()}
+    assert order(rows[1]) == order(r for r in rows[0] if scores[r[1]] < 0.3)
+    first = {}
+    for r in sorted(rows[1], key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(r[1] or "", r)
+    assert len(rows[2]) == len(first) and {r[0] for r in rows[2]} == {r[0] for r in first.values()} and {r[1] or "" for r in rows[2]} == set(first)
+    # the id that is null counts in document frequencies only
+    classes = brute_classes([(-1 if i is None else i, t) for i, t, _ in rows[2]])
+    assert order(rows[3]) == order(r for r in rows[2] if r[0] is None or classes[r[0]] == r[0])
+    con = duckdb.connect()
+    con.register("documents", steps[3].select("doc_id", "text", "source").toArrow())
+    want = {i: taken // size if size else None for i, size, *_, taken in con.execute(mixing.sql()).fetchall()}
+    got = [r[0] for r in rows[4]]
+    assert all(got.count(i) == n for i, n in want.items() if n is not None) and set(got) <= set(want)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = steps[5].collect()
+    assert sum(r.length for r in pieces) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x, _ in rows[4])
+    places = {}
+    for r in pieces:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and min(own)[0] == 0 and sum(n for _, n in own) <= 1024
+
+
+def test_repeated_rows_are_mixed_each(spark, docs, tmp_path):
+    rows = [(1, "a b c", "x")] * 3 + [(1, "d e f", "x"), (2, "a b c", "x"), (None, "a b c", "x"), (None, "a b c", "x")]
+    found = corpus_pipeline.mix(spark, clashing(docs(rows)), str(tmp_path)).collect()
+    assert 3 * len(found) == pytest.approx(1.5 * 3 * len(rows), abs=3)
+
+
 def test_run_is_the_stages_in_turn(spark, folder):
     path, *_ = folder
     out = corpus_pipeline.run(spark, path)
