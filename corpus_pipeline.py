@@ -1,4 +1,7 @@
-"""A corpus pipeline: toxic documents go, then copies, then near copies; sources are mixed and the rest is packed."""
+"""A corpus pipeline: toxic documents go, then copies, then near copies; sources are mixed and the rest is packed.
+
+Every stage keeps all columns of its input, whatever they are called. Null text counts as empty. Empty tables go through.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import exactdup, mixing, neardup, packing, toxicity
-from gridloom.llm.common import materialise, table
+from gridloom.llm.common import fresh, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the model is fitted on the labels outside the held-out fold."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents that score below the threshold; the model is fitted on the labels outside the held-out fold.
+
+    Rows with a null id are scored like others. Without any label all scores are 0.5 and all documents go.
+    """
+    model, name = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
+    return toxicity.scored(docs, model, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of equal texts, once."""
-    kept = exactdup.exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_sha256"] == kept["text_sha256"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns)
+    """The row of the smallest id of each group of equal texts, once; a null id only where no other has the text."""
+    return exactdup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near duplicates; documents without an id stay."""
+    """The document of the smallest id of each class of near duplicates, with all rows of that id; rows without an id stay."""
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mixture takes; of rows with one id and size, the most."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.withColumn("size", mixing.word_count())
-    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & (rows["size"] == taken["size"])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    return rows.join(taken, same).select(*[rows[c] for c in docs.columns], copies).drop("copy")
+    """As many copies of each row as the mixture takes: none, one or two; rows without words are not taken twice."""
+    return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents in sequences of at most 1024 tokens."""
+    """The mixed documents' pieces in sequences of at most 1024 tokens; a document that comes twice is packed twice."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
