@@ -9,6 +9,8 @@ import shlex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.grid import materialise
+
 
 def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, bytes, sha256 of every file below ``path``, sorted by path."""
@@ -161,6 +163,31 @@ def feeders(edges: DataFrame, target: str = "decision") -> DataFrame:
     return one.union(two).distinct()
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """node, before, after, critical: the longest chains of tasks before and after each task, and whether it is on a longest one of all.
+
+    ``edges``: src is needed by dst. Each round follows all edges once, so rounds are as many as the longest chain has; a cycle is an error.
+    """
+    edges = materialise(edges.select("src", "dst").distinct(), "edges")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    most = nodes.count()
+
+    def longest(here: str, there: str, name: str) -> DataFrame:
+        found = front = materialise(nodes.withColumn(name, F.lit(0).cast("long")), name)
+        rounds = 0
+        while not front.isEmpty():
+            if (rounds := rounds + 1) > most:
+                raise ValueError("the dependencies form a cycle")
+            front = front.join(edges, F.col("node") == F.col(here)).groupBy(F.col(there).alias("node")).agg((F.max(name) + 1).alias(name))
+            front = materialise(front, name)
+            found = materialise(found.union(front).groupBy("node").agg(F.max(name).alias(name)), name)
+        return found
+
+    both = longest("src", "dst", "before").join(longest("dst", "src", "after"), "node")
+    whole = F.col("before") + F.col("after")
+    return both.join(both.agg(F.max(whole).alias("most"))).withColumn("critical", whole == F.col("most")).drop("most")
+
+
 def queue_state(states: DataFrame, now: Column, stall_hours: float = 48.0) -> DataFrame:
     """One row, state: STOPPED if any task failed, else ALL-DONE, RUNNING, RUNNING-STALLED, INTERRUPTED or NOT-RUNNING. ``states``: id, started, done, failed (times), locked."""
     one = states.agg(F.count("failed").alias("failed"), F.count_if(F.col("done").isNull()).alias("left"), F.count_if(F.col("started").isNotNull() & F.col("done").isNull() & F.col("failed").isNull()).alias("active"), F.max("started").alias("last"), F.bool_or("locked").alias("locked"))

@@ -44,9 +44,17 @@ def rival_scores(cells: DataFrame, fixed: float, lofo: DataFrame) -> DataFrame:
 
 def fit_and_evaluate(cells: DataFrame) -> DataFrame:
     """One row: the best threshold on ``fit`` cells and its score there and on ``evaluate`` cells, which must not overlap and must be valid."""
-    odd = cells.agg(F.count_if(F.col("fit") & F.col("evaluate")).alias("both"), F.count_if((F.col("fit") | F.col("evaluate")) & ~F.col("valid")).alias("invalid")).first()
+    odd = cells.agg(
+        F.count_if(F.col("fit") & F.col("evaluate")).alias("both"), F.count_if((F.col("fit") | F.col("evaluate")) & ~F.col("valid")).alias("invalid"),
+        F.count_if("fit").alias("fit"), F.count_if("evaluate").alias("evaluate"),
+    ).first()
     if odd["both"]:
         raise ValueError(f"{odd['both']} cells are for fitting and evaluation")
+    if odd["invalid"]:
+        raise ValueError(f"{odd['invalid']} cells are for fitting or evaluation but not valid")
+    for name in ("fit", "evaluate"):
+        if not odd[name]:
+            raise ValueError(f"no cells to {name}")
     fitted = best_threshold(threshold_curve(cells.where("fit"))).first()
     held = cells.where("evaluate").withColumn("p", (F.col("p") >= fitted["threshold"]).cast("double"))
     out = tversky(held).select(F.col("score").alias("evaluation_score"))

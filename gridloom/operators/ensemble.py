@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.metric import tversky
+from gridloom.operators.grid import in_ranges, kernel_offsets, spread
+from gridloom.operators.metric import RADIUS, tversky_score
 
 
 def alignment_errors(members: DataFrame) -> DataFrame:
@@ -22,17 +23,14 @@ def mean(members: DataFrame) -> DataFrame:
     return members.groupBy("fold", "row", "col").agg(F.avg(F.col("p").cast("double")).cast("float").alias("p"))
 
 
-#: Parts of 0 to 1 in which a member's predictions are ranked before ranks are joined up.
-PARTS = 1024
-
-
 def rank_average(members: DataFrame) -> DataFrame:
     """Mean over members of the rank of p among the member's finite cells, 0 to 1; equal p by row and col; one cell ranks 0.5.
 
-    Ranks are taken in ranges of p and raised by the counts of the ranges below, so no task has a whole raster.
+    Ranks are taken in ranges of like size and raised by the counts of the ranges below, so no task has a whole raster, however
+    many cells have one p.
     """
-    finite = members.where(F.col("p").isNotNull() & ~F.isnan("p"))
-    finite = finite.withColumn("part", F.least(F.greatest(F.floor(F.col("p") * PARTS), F.lit(-1)), F.lit(PARTS)))
+    finite = members.where(F.col("p").isNotNull() & ~F.isnan("p")).select("member", "fold", "row", "col", "p")
+    finite = in_ranges(finite, ["member", "fold", "p", "row", "col"], "ranges")
     counts = finite.groupBy("member", "fold", "part").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("member", "fold")
     below = F.coalesce(F.sum("n").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -54,12 +52,35 @@ def weight_candidates(members: list[str]) -> list[dict[str, float]]:
 
 
 def candidate_scores(members: DataFrame, truth: DataFrame, names: list[str]) -> DataFrame:
-    """candidate, fold, score of each weighted mean: candidates are a key of one job, not a loop."""
+    """candidate, fold, score of each weighted mean of the members.
+
+    Which cells are near which truth does not depend on the weights, so pairs are found once and carry the members' predictions. What
+    predictions cost is linear in them: sums by member do for all candidates. Only the best prediction near a truth
+    cell is taken for each, as columns of one aggregation.
+    """
     weights = weight_candidates(names)
-    table = members.sparkSession.createDataFrame([(i, m, w[m]) for i, w in enumerate(weights) for m in names], "candidate int, member string, weight double")
-    mixed = members.join(F.broadcast(table), "member").groupBy("candidate", "fold", "row", "col").agg(F.sum(F.col("p") * F.col("weight")).alias("p"))
-    cells = mixed.join(truth.select("fold", "row", "col", "truth", "valid"), ["fold", "row", "col"])
-    return tversky(cells, ["candidate", "fold"]).select("candidate", "fold", "score")
+    p = [F.coalesce(F.max(F.when(F.col("member") == m, F.col("p").cast("double"))), F.lit(0.0)).alias(f"p{i}") for i, m in enumerate(names)]
+    own = [f"p{i}" for i in range(len(names))]
+    cells = members.groupBy("fold", "row", "col").agg(*p)
+    cells = cells.join(truth.where("valid").select("fold", "row", "col", "truth"), ["fold", "row", "col"])
+    near = spread(cells.where("truth").select("fold", "row", "col"), kernel_offsets(RADIUS), ["fold"]).join(cells.drop("truth"), ["fold", "row", "col"])
+
+    def mixed(w: dict[str, float]):
+        return sum((F.col(c) * w[m] for c, m in zip(own, names)), F.lit(0.0))
+
+    best = near.groupBy("fold", "from_row", "from_col").agg(*[F.max(F.col("w") * mixed(w)).alias(f"b{j}") for j, w in enumerate(weights)])
+    best = best.groupBy("fold").agg(*[F.sum(f"b{j}").alias(f"b{j}") for j in range(len(weights))])
+    excused = near.groupBy("fold", "row", "col").agg(F.max("w").alias("w"), *[F.first(c).alias(c) for c in own])
+    excused = excused.groupBy("fold").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"hit_{c}") for c in own])
+    totals = cells.groupBy("fold").agg(F.count_if("truth").alias("n_truth"), *[F.sum(c).alias(f"all_{c}") for c in own])
+    wide = totals.join(best, "fold", "left").join(excused, "fold", "left")
+    free = [F.col(f"all_{c}") - F.coalesce(f"hit_{c}", F.lit(0.0)) for c in own]
+    rows = [
+        F.struct(F.lit(j).alias("candidate"), F.coalesce(f"b{j}", F.lit(0.0)).alias("tp"), sum((x * w[m] for x, m in zip(free, names)), F.lit(0.0)).alias("fp"))
+        for j, w in enumerate(weights)
+    ]
+    each = wide.select("fold", "n_truth", F.explode(F.array(*rows)).alias("c")).select("fold", "c.candidate", "c.tp", "c.fp", (F.col("n_truth") - F.col("c.tp")).alias("fn"))
+    return each.select("candidate", "fold", tversky_score().alias("score"))
 
 
 def lofo_weights(scores: DataFrame) -> DataFrame:

@@ -86,32 +86,50 @@ def extend(tips: DataFrame, cells: DataFrame, steps: int, decay: float = 0.15, l
     return open_.groupBy("row", "col").agg(F.max("paint").alias("p"))
 
 
-def grow_path(cost: np.ndarray, blocked: np.ndarray, start: tuple[int, int], direction: tuple[float, float], steps: int, width: int = 3, penalty: float = 0.5, least: float = 0.0, p: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Beam search from a tip: moves turn by 45 degrees at most and pay their cell's cost and the squared turn; the longest, then cheapest, path."""
-    headings = [np.array(d) / np.hypot(*d) for d in RING]
-    first = int(np.argmax([h @ np.array(direction) for h in headings]))
-    beam, best = [(0.0, [start], first)], (0, 0.0, [])
-    for _ in range(steps):
+def grow_path(p: np.ndarray, allowed: np.ndarray, start: tuple[int, int], direction: tuple[float, float], steps: int, width: int = 3, penalty: float = 0.5, least: float = 0.3, shortest: int = 3) -> list[tuple[int, int]]:
+    """Beam search from a tip: moves turn by 45 degrees at most, to cells of p at ``least`` or more.
+
+    A move costs -log p of its cell and ``penalty`` times the squared turn in radians. Of the paths of most moves, ``shortest`` at
+    least, the cheapest; of equally cheap ones the one found first, turns to the right first.
+    """
+    first = int(np.argmax([np.dot(d, direction) / np.hypot(*d) for d in RING]))
+    beam: list[tuple[float, list[tuple[int, int]], int]] = [(0.0, [start], first)]
+    best: list[tuple[int, int]] = []
+    for step in range(1, steps + 1):
         grown = []
         for total, path, heading in beam:
-            for turn in (-1, 0, 1):
+            for turn in (1, 0, -1):
                 k = (heading + turn) % 8
                 y, x = path[-1][0] + RING[k][0], path[-1][1] + RING[k][1]
-                if not (0 <= y < cost.shape[0] and 0 <= x < cost.shape[1]) or blocked[y, x] or (y, x) in path or (p is not None and p[y, x] < least):
-                    continue
-                grown.append((total + float(cost[y, x]) + penalty * turn * turn, [*path, (y, x)], k))
+                inside = 0 <= y < p.shape[0] and 0 <= x < p.shape[1]
+                if inside and allowed[y, x] and (y, x) not in path and p[y, x] >= least:
+                    cost = penalty * (turn * np.pi / 4) ** 2 - np.log(p[y, x] + 1e-6)
+                    grown.append((total + cost, [*path, (y, x)], k))
         if not grown:
             break
-        beam = sorted(grown, key=lambda b: (b[0], b[1]))[:width]
-        best = (len(beam[0][1]), beam[0][0], beam[0][1])
-    return best[2][1:]
+        beam = sorted(grown, key=lambda b: b[0])[:width]
+        if step >= shortest:
+            best = beam[0][1][1:]
+    return best
+
+
+def check_curved(steps: int, penalty: float, width: int, least: float, support: float, shortest: int, most: int, decay: float) -> None:
+    """Refuse parameters of ``curved_paths`` outside their ranges."""
+    rules = {
+        "steps must be positive": steps >= 1, "penalty must not be negative": penalty >= 0, "width must be positive": width >= 1, "least must lie in [0, 1)": 0 <= least < 1,
+        "support must lie in [0, 1]": 0 <= support <= 1, "shortest must be positive": shortest >= 1, "most must be positive": most >= 1, "decay must lie in (0, 1)": 0 < decay < 1,
+    }
+    if wrong := [text for text, right in rules.items() if not right]:
+        raise ValueError("; ".join(wrong))
 
 
-def curved_paths(tips: DataFrame, cells: DataFrame, steps: int = 10, threshold: float = 0.5, decay: float = 0.15, support: float = 0.0, most: int = 200, least: float = 0.0) -> DataFrame:
+def curved_paths(tips: DataFrame, cells: DataFrame, steps: int = 3, threshold: float = 0.5, decay: float = 0.15, support: float = 0.4, most: int = 200, least: float = 0.3, penalty: float = 0.5, width: int = 3, shortest: int = 3) -> DataFrame:
     """row, col, p painted along grown paths from the ``most`` tips of the largest 3 x 3 mean.
 
     Each tip's patch of (2 steps + 1) squared cells goes to a task with it; that number of tips bounds the whole.
+    A path whose mean p is below ``support`` is not painted, and the skeleton is not entered.
     """
+    check_curved(steps, penalty, width, least, support, shortest, most, decay)
     around = spread(tips, [(y, x, 1.0) for y in (-1, 0, 1) for x in (-1, 0, 1)]).join(cells.select("row", "col", "p"), ["row", "col"])
     chosen = around.groupBy("from_row", "from_col").agg(F.avg("p").alias("mean")).orderBy(F.desc("mean"), "from_row", "from_col").limit(most)
     chosen = chosen.join(tips, (F.col("from_row") == F.col("row")) & (F.col("from_col") == F.col("col"))).select("row", "col", "dy", "dx")
@@ -121,11 +139,11 @@ def curved_paths(tips: DataFrame, cells: DataFrame, steps: int = 10, threshold:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf["from_row"].iloc[0]), int(pdf["from_col"].iloc[0])
         n = 2 * steps + 1
-        p, blocked = np.zeros((n, n)), np.ones((n, n), bool)
+        p, allowed = np.zeros((n, n)), np.zeros((n, n), bool)
         y, x = pdf["row"].to_numpy() - r0 + steps, pdf["col"].to_numpy() - c0 + steps
-        p[y, x], blocked[y, x] = pdf["p"].to_numpy(), pdf["skeleton"].to_numpy()
-        path = grow_path(-np.log(p + 1e-6), blocked, (steps, steps), (pdf["dy"].iloc[0], pdf["dx"].iloc[0]), steps, least=least, p=p)
-        if not path or np.mean([p[a] for a in path]) < support:
+        p[y, x], allowed[y, x] = pdf["p"].to_numpy(), ~pdf["skeleton"].to_numpy().astype(bool)
+        path = grow_path(p, allowed, (steps, steps), (pdf["dy"].iloc[0], pdf["dx"].iloc[0]), steps, width, penalty, least, shortest)
+        if path and np.mean([p[a] for a in path]) < support:
             path = []
         return pd.DataFrame({"row": [a + r0 - steps for a, _ in path], "col": [b + c0 - steps for _, b in path], "p": [threshold * np.exp(-decay * (k + 1)) for k in range(len(path))]}).astype({"row": "int64", "col": "int64", "p": "float64"})
 

@@ -13,13 +13,27 @@ NAN = float("nan")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder that the session's executors share, and read back: loops stay short and recoverable."""
+    """Write to the folder that the session's executors share, under the application's id, and read back: loops stay short and recoverable."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/{label}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file:///tmp/checkpoints"
+    path = f"{folder}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, order: list[str], label: str) -> DataFrame:
+    """``df`` with part: as many ranges of like size as the session shuffles to, in the order of ``order``.
+
+    The table is written, so that every reader sees the same ranges. Columns should tell rows apart, so that no
+    value that very many rows have makes a large range.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """The geometry that two rasters must share before their cells may be joined."""

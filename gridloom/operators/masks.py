@@ -29,11 +29,12 @@ def assign_blocks(height: int, width: int, block: int, folds: int, seed: int) ->
 
 
 def block_folds(cells: DataFrame, assignment: np.ndarray, block: int) -> DataFrame:
-    """``cells`` with fold: a lookup table of a few thousand blocks, broadcast."""
+    """``cells`` with fold: a lookup of the cell's block, which must be in the table; the planner chooses how to join it by its size."""
     table = [(int(r), int(c), int(assignment[r, c])) for r, c in np.ndindex(assignment.shape)]
     folds = cells.sparkSession.createDataFrame(table, "block_r long, block_c long, fold long")
     key = cells.withColumn("block_r", F.floor(F.col("row") / block)).withColumn("block_c", F.floor(F.col("col") / block))
-    return key.join(F.broadcast(folds), ["block_r", "block_c"]).drop("block_r", "block_c")
+    fold = F.coalesce("fold", F.raise_error(F.lit("a cell lies outside the table of blocks")).cast("long"))
+    return key.join(folds, ["block_r", "block_c"], "left").drop("block_r", "block_c").withColumn("fold", fold)
 
 
 def spatial_masks(cells: DataFrame, buffer: float) -> DataFrame:

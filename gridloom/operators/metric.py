@@ -74,3 +74,20 @@ def macro(scores: DataFrame) -> DataFrame:
 def stitch(predictions: DataFrame, fold_map: DataFrame) -> DataFrame:
     """The out-of-fold raster: each cell's prediction by the fold that owns it. Pooled scores are taken on this, never summed over folds."""
     return fold_map.where("fold >= 0").join(predictions, ["row", "col", "fold"], "left")
+
+
+def evaluate_discovery(predictions: DataFrame, cells: DataFrame, exclusion: float, trace: bool = False) -> DataFrame:
+    """fold, tp, fp, fn, n_valid, n_truth, score of each fold's own predictions on its withheld faults (or trace ends).
+
+    ``predictions`` has fold, row, col, p over the whole raster for each fold; ``cells`` is that of ``discovery_masks``. Cells within ``exclusion`` of
+    truth that was trained on are not evaluated. Masks overlap on the background, so there is no pooled score: ``macro`` gives the mean and
+    deviation. A fold without predictions, or predictions of another fold, are an error.
+    """
+    from gridloom.operators.masks import discovery_masks
+
+    masks = discovery_masks(cells, 0, exclusion, trace).where("evaluation").select("fold", "row", "col", F.col("validation_truth").alias("truth"), F.lit(True).alias("valid"))
+    a, b = ({r["fold"] for r in x.select("fold").distinct().collect()} for x in (predictions, masks))
+    if a != b:
+        raise ValueError(f"predictions are of folds {sorted(a)}, the map has {sorted(b)}")
+    own = masks.join(predictions.select("fold", "row", "col", "p"), ["fold", "row", "col"], "left")
+    return tversky(own, ["fold"])

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.grid import NAN, kernel_offsets, spread
+from gridloom.operators.grid import NAN, in_ranges, kernel_offsets, materialise, spread
 from gridloom.operators.metric import RADIUS, tversky_score
 
-#: Parts of 0 to 1 in which running sums are taken before they are joined up.
-PARTS = 1024
-
 
 def binary_threshold(p: Column, t: float) -> Column:
     """1 at or above ``t``, else 0; NaN stays."""
@@ -33,11 +30,10 @@ def soft_remap(p: Column, t: Column | float) -> Column:
 def descending_sums(events: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """``events`` (by, threshold, values; a row for each distinct threshold) with the values summed from the greatest threshold on.
 
-    In two steps: sums of PARTS ranges of thresholds are accumulated, and rows within each range; so no task
+    In two steps: sums of ranges of thresholds, of like numbers of rows, are accumulated, and rows within each range; so no task
     sees all thresholds.
     """
-    part = F.least(F.greatest(F.floor(F.col("threshold") * PARTS), F.lit(-1)), F.lit(PARTS)).cast("int")
-    events = events.withColumn("part", part)
+    events = in_ranges(events, [*by, "threshold"], "events")
     above = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     sums = events.groupBy(*by, "part").agg(*[F.sum(v).alias(v) for v in values])
     sums = sums.select(*by, "part", *[F.coalesce(F.sum(v).over(above), F.lit(0.0)).alias(f"{v}_above") for v in values])
@@ -82,21 +78,27 @@ def best_threshold(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 def scores_at(curve: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
     """by, candidate, score: the curve's step at each candidate, that of the least threshold not below it; above all, the empty raster's.
 
-    An as-of lookup: candidates and curve are merged in one ordered window for each ``by``.
+    An as-of lookup: candidates and curve are merged and looked up within ranges of like size; where a range has no threshold
+    above a candidate, the least one of the next range that has any is taken. So no task sees all of a curve.
     """
     c = candidates.select(*by, F.col("candidate").alias("t"), F.lit(None).cast("double").alias("s"), F.lit(0).alias("kind"))
     k = curve.select(*by, F.col("threshold").alias("t"), F.col("score").alias("s"), F.lit(1).alias("kind"))
-    falling = Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("kind"))
-    first = F.first("s", True).over(Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    found = F.coalesce(F.last("s", True).over(falling.rowsBetween(Window.unboundedPreceding, 0)), first)
-    return c.union(k).select(*by, "t", "kind", found.alias("score")).where("kind = 0").select(*by, F.col("t").alias("candidate"), "score")
+    rows = in_ranges(c.union(k), [*by, "t", "kind"], "lookup")
+    own = F.when(F.col("kind") == 1, F.struct("t", "s"))
+    parts = rows.groupBy(*by, "part").agg(F.min(own).alias("least"), F.max(own).alias("top"))
+    rising = Window.partitionBy(*by).orderBy("part")
+    parts = parts.select(*by, "part", F.first("least", True).over(rising.rowsBetween(1, Window.unboundedFollowing)).alias("next"), F.max("top").over(Window.partitionBy(*by)).alias("top"))
+    falling = Window.partitionBy(*by, "part").orderBy(F.desc("t"), F.desc("kind"))
+    found = rows.withColumn("here", F.last("s", True).over(falling.rowsBetween(Window.unboundedPreceding, 0))).where("kind = 0")
+    return found.join(parts, [*by, "part"]).select(*by, F.col("t").alias("candidate"), F.coalesce("here", "next.s", "top.s").alias("score"))
 
 
 def lofo_thresholds(curve: DataFrame, step: int = 1000) -> DataFrame:
     """fold, threshold, fit_mean: for each fold, the candidate of the best mean score on the other folds, the lowest of equal ones.
 
-    Candidates are a grid and the other folds' best thresholds.
+    Candidates are a grid and the other folds' best thresholds. The curve, which is read three times, is written once.
     """
+    curve = materialise(curve.select("fold", "threshold", "score"), "curve")
     folds = curve.select("fold").distinct()
     best = best_threshold(curve, ["fold"]).select(F.col("fold").alias("of"), F.col("threshold").alias("candidate"))
     grid = curve.sparkSession.range(step + 1).select((F.col("id") / F.lit(float(step))).alias("candidate"))

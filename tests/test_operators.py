@@ -184,7 +184,7 @@ def report(scores, view="spatial", aggregate=None, **protocol):
     return {
         "scheme": view, "macro_mean": float(np.mean(scores)), "macro_std": float(np.std(scores)), "aggregate_score": tp / (tp + 0.2 * fp + 0.8 * fn + 1e-12) if aggregate is None else aggregate,
         "aggregate_components": {"tp_w": tp, "fp_w": fp, "fn_w": fn, "valid_pixels": 100 * len(scores), "truth_pixels": 10},
-        "evaluation_protocol": {"schema_version": 2, "aggregation": "pooled", "metric": "tversky", "alpha": 0.2, "beta": 0.8, "radius_pixels": 3.0, "truth_sha256": "a" * 64, "fold_map_sha256": "b" * 64} | protocol,
+        "evaluation_protocol": {"schema_version": 2, "aggregation": gate.AGGREGATION[view], "metric": "distance_weighted_tversky", "known_fault_exclusion_pixels": 0, "alpha": 0.2, "beta": 0.8, "radius_pixels": 3.0, "truth_sha256": "a" * 64, "fold_map_sha256": "b" * 64} | protocol,
         "folds": [{"fold": i, "score": s, "valid_pixels": 100, "truth_pixels": 10 // len(scores)} for i, s in enumerate(scores)],
     }
 
@@ -208,6 +208,114 @@ def test_gate(spark, tmp_path):
     assert gate.count_trials(spark, path) == 2
 
 
+def test_reports_are_checked_strictly():
+    from copy import deepcopy
+
+    good = report([0.3, 0.31])
+    assert gate.report_errors("spatial", good) == []
+    for path, bad in [
+        (("scheme",), "fault"), (("evaluation_protocol", "radius_pixels"), 3), (("evaluation_protocol", "schema_version"), 1), (("evaluation_protocol", "metric"), "tversky"),
+        (("evaluation_protocol", "aggregation"), "overlapping_background_macro"), (("evaluation_protocol", "truth_sha256"), "A" * 64), (("evaluation_protocol", "known_fault_exclusion_pixels"), 2),
+        (("evaluation_protocol", "alpha"), None), (("macro_mean",), 0.5), (("macro_std",), True), (("folds", 0, "fold"), 1), (("folds", 0, "score"), 1.5), (("folds", 0, "valid_pixels"), 100.0),
+        (("folds", 1, "truth_pixels"), 101), (("folds",), good["folds"][:1]), (("aggregate_components", "tp_w"), 4.0), (("aggregate_components", "valid_pixels"), 199), (("aggregate_score",), 0.9),
+    ]:
+        broken = deepcopy(good)
+        at = broken
+        for step in path[:-1]:
+            at = at[step]
+        at[path[-1]] = bad
+        assert gate.report_errors("spatial", broken), path
+        with pytest.raises(ValueError):
+            gate.parse_report("spatial", broken)
+    assert gate.report_errors("spatial", None) and gate.report_errors("spatial", {})
+
+
+def test_candidate_wins_enough_views(spark):
+    rows = [(v, run, k, 0.1 * k + (up if run == "b" else 0) + 0.001 * (k % 2)) for v, up in (("x", 0.2), ("y", 0.1), ("z", -0.1)) for run in "ab" for k in range(5)]
+    rows = [(v, r, k, s + (0.002 * k if r == "b" else 0)) for v, r, k, s in rows]
+    scores = spark.createDataFrame(rows, "view string, run string, fold int, score double")
+    for r in gate.paired_gate(scores, ["view"], "a", "b").collect():
+        assert r.p == pytest.approx(gate.p_value(r.mean_difference, r.std_error, r.n), abs=1e-12)
+    found = gate.evaluate_candidate(scores, "a", "b", 2).first()
+    assert (found.views, found.won, found.accepted) == (3, 2, True) and found.alpha == pytest.approx(0.05 / 9)
+    assert not gate.evaluate_candidate(scores, "b", "a", 2).first().accepted
+    for df in range(1, 9):
+        one = spark.range(1).select(gate._t_cdf(F.lit(1.3), F.lit(df)).alias("p")).first().p
+        assert one == pytest.approx(gate.student_t_cdf(1.3, df), abs=1e-12)
+    with pytest.raises(Exception, match="two common folds"):
+        gate.paired_gate(scores.where("fold = 0"), ["view"], "a", "b").collect()
+
+
+def test_calibration_refuses_cells_that_do_not_fit(spark):
+    from gridloom.operators import calibration
+
+    rows = [(0, c, 0.1 * c, c % 3 == 0, c != 5, c < 4, c >= 6) for c in range(10)]
+    cells = spark.createDataFrame(rows, "row int, col int, p double, truth boolean, valid boolean, fit boolean, evaluate boolean")
+    assert calibration.fit_and_evaluate(cells).first().threshold == 0.0
+    for bad in (cells.withColumn("evaluate", F.col("col") >= 3), cells.withColumn("fit", F.col("col") <= 5), cells.withColumn("fit", F.lit(False)), cells.withColumn("evaluate", F.lit(False))):
+        with pytest.raises(ValueError):
+            calibration.fit_and_evaluate(bad)
+
+
+def test_curved_paths_pay_radians_and_have_a_least_length():
+    from gridloom.operators import geometry
+
+    p = np.full((9, 9), 0.2)
+    p[4, 4:8] = (0.9, 0.6, 0.6, 0.6)
+    p[3, 5] = 0.75  # a bend that a cost of 0.5 a turn of 45 degrees would not be worth, but one of 0.31 is with its way back
+    every = np.ones((9, 9), bool)
+    straight = [(4, 5), (4, 6), (4, 7)]
+    assert geometry.grow_path(p, every, (4, 4), (0.0, 1.0), 3) == straight
+    assert geometry.grow_path(p, every, (4, 4), (0.0, 1.0), 2) == []  # shorter than three moves
+    assert geometry.grow_path(p, every, (4, 4), (0.0, 1.0), 2, shortest=1) == [(4, 5), (4, 6)]
+    p[3, 6], p[3, 7] = 0.95, 0.95
+    p[4, 5:8] = 0.5
+    # the bend: 0.3084 and -log 0.75, 0.95, 0.95 against 3 x -log 0.5
+    assert geometry.grow_path(p, every, (4, 4), (0.0, 1.0), 3) == [(3, 5), (3, 6), (3, 7)]
+    assert geometry.grow_path(p, every, (4, 4), (0.0, 1.0), 3, least=0.6) == [(3, 5), (3, 6), (3, 7)]
+    with pytest.raises(ValueError):
+        geometry.check_curved(3, 0.5, 3, 1.0, 0.4, 3, 200, 0.15)
+
+
+def test_discovery_is_scored_on_what_was_withheld(spark):
+    from gridloom.operators import metric
+
+    rng = np.random.default_rng(3)
+    shape = (20, 24)
+    truth = rng.random(shape) < 0.08
+    fold = np.where(truth, rng.integers(-1, 3, shape), -1)
+    valid = rng.random(shape) < 0.9
+    p = {k: rng.random(shape) for k in range(3)}
+    cells = spark.createDataFrame([(r, c, bool(truth[r, c]), bool(valid[r, c]), int(fold[r, c])) for r, c in np.ndindex(shape)], "row long, col long, truth boolean, valid boolean, fold long")
+    predictions = spark.createDataFrame([(k, r, c, float(p[k][r, c])) for k in p for r, c in np.ndindex(shape)], "fold long, row long, col long, p double")
+    disk = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if y * y + x * x <= 4]
+    for trace in (False, True):
+        found = {r.fold: r for r in metric.evaluate_discovery(predictions, cells, 2, trace).collect()}
+        assert set(found) == {0, 1, 2}
+        for k in p:
+            known = truth & valid & (fold != k) & ((fold >= 0) | trace)
+            near = {(r + y, c + x) for r, c in zip(*np.nonzero(known)) for y, x in disk}
+            own = {(r, c) for r, c in np.ndindex(shape) if valid[r, c] and (r, c) not in near}
+            held = {(r, c) for r, c in own if truth[r, c] and fold[r, c] == k}
+            weight = lambda a, b: max(0.0, 1 - math.hypot(a[0] - b[0], a[1] - b[1]) / 3)
+            tp = sum(max((weight(t, q) * p[k][q] for q in own), default=0) for t in held)
+            fp = sum(p[k][q] * (1 - max((weight(t, q) for t in held), default=0)) for q in own)
+            assert (found[k].n_valid, found[k].n_truth) == (len(own), len(held))
+            assert found[k].score == pytest.approx(tp / (tp + 0.2 * fp + 0.8 * (len(held) - tp) + 1e-12))
+    with pytest.raises(ValueError):
+        metric.evaluate_discovery(predictions.where("fold < 2"), cells, 2)
+
+
+def test_chains_of_tasks(spark):
+    from gridloom.operators import audit
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), ("c", "e")], "src string, dst string")
+    found = {r.node: (r.before, r.after, r.critical) for r in audit.chains(edges).collect()}
+    assert found == {"a": (0, 3, True), "b": (1, 2, True), "c": (2, 1, True), "d": (0, 2, False), "e": (3, 0, True)}
+    with pytest.raises(ValueError):
+        audit.chains(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
+
+
 def test_t_distribution():
     assert gate.student_t_cdf(0, 4) == pytest.approx(0.5)
     assert gate.student_t_cdf(2.776445105, 4) == pytest.approx(0.975, abs=1e-7)
