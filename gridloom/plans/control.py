@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import audit, calibration, components, gate, geometry, metric, provenance, stencils, threshold
+from gridloom.plans import stencil_sql
 from gridloom.plans.raster import RASTER, raster
-from gridloom.plans.scoring import curve_sql, rounded
+from gridloom.plans.scoring import LOFO, curve_sql, rounded, score_at
 from gridloom.streaming import ledger
 
 QUERIES, SQL = {}, {}
@@ -26,31 +27,31 @@ def sized(spark, sf_dir):
     return raster(spark, sf_dir).withColumn("fit", F.col("fold") != 0), spark.read.parquet(f"{sf_dir}/embeddings.parquet").count(), 64
 
 
-@query("masked_gaussian")
+@query("masked_gaussian", stencil_sql.GAUSSIAN)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.smoothed(cells, "v", 1.0, h, w))
 
 
-@query("structure_tensor")
+@query("structure_tensor", stencil_sql.TENSOR)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.structure_tensor(cells, ["v"], 1.0, 2.0, h, w))
 
 
-@query("ridge_valley")
+@query("ridge_valley", stencil_sql.RIDGES)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.ridge_valley(cells, ["v"], [1.0, 2.0], 1.0, "fit", h, w))
 
 
-@query("steerable")
+@query("steerable", stencil_sql.STEERABLE)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.steerable(cells, ["v"], 1.0, 6.0, 4, "fit", h, w))
 
 
-@query("log_edges")
+@query("log_edges", stencil_sql.LOG_EDGES)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.log_edges(cells, ["v"], 1.0, 1.0, "fit", h, w))
@@ -70,25 +71,25 @@ def _(spark, sf_dir):
     return stencils.wavelet_entropy(cells, ["v"], 0.0, [1, 2], h, w).withColumn("entropy", F.round("entropy", 5) + 0.0)
 
 
-@query("multiband_edges")
+@query("multiband_edges", stencil_sql.MULTIBAND)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.multiband_edges(cells, ["v", "p"], 1.0, 0.1, "fit", h, w))
 
 
-@query("lineament_phase_edge")
+@query("lineament_phase_edge", stencil_sql.PHASE)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.lineament_features(cells, {"both": ["v", "p"]}, "phase_edge", "fit", h, w))
 
 
-@query("soft_skeleton")
+@query("soft_skeleton", stencil_sql.SOFT)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.skeletons(cells, h, w))
 
 
-@query("skeleton_recall_loss")
+@query("skeleton_recall_loss", stencil_sql.RECALL)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
     return rounded(stencils.skeleton_recall_loss(stencils.skeletons(cells, h, w)))
@@ -115,27 +116,43 @@ def _(spark, sf_dir):
     return rounded(geometry.curved_paths(tips, cells, 6))
 
 
-@query("lofo_stitched")
+OTHERS = "(SELECT r.* EXCLUDE (fold), k AS fold FROM raster r JOIN (SELECT DISTINCT fold AS k FROM raster) ON r.fold <> k)"
+STITCHED = f"""WITH fitted AS ({curve_sql("fold", OTHERS)} SELECT fold, max_by(threshold, (score, threshold)) AS threshold FROM curve GROUP BY fold),
+own AS MATERIALIZED ({curve_sql("fold")} SELECT fold, threshold, score FROM curve)
+SELECT f.fold, round(f.threshold, 6) + 0.0 AS threshold, round({score_at("own", "f.fold", "f.threshold")}, 6) + 0.0 AS score FROM fitted f"""
+
+
+@query("lofo_stitched", STITCHED)
 def _(spark, sf_dir):
-    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3))
-    return rounded(calibration.lofo_stitched(cells))
+    return rounded(calibration.lofo_stitched(raster(spark, sf_dir)))
+
+
+RIVAL = f"""WITH own AS MATERIALIZED ({curve_sql("fold")} SELECT fold, threshold, score FROM curve),
+fitted AS ({LOFO} SELECT fold, max_by(candidate, (round(fit_mean, 12), -candidate)) AS threshold FROM fit GROUP BY fold),
+both_ AS (SELECT f.fold, {score_at("own", "f.fold", "0.1")} AS rival, {score_at("own", "f.fold", "f.threshold")} AS lofo FROM fitted f)
+SELECT fold, round(rival, 6) + 0.0 AS rival, round(lofo, 6) + 0.0 AS lofo, round(rival - lofo, 6) + 0.0 AS delta FROM both_"""
 
 
-@query("rival_threshold")
+@query("rival_threshold", RIVAL)
 def _(spark, sf_dir):
-    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3))
+    cells = raster(spark, sf_dir)
     return rounded(calibration.rival_scores(cells, calibration.rival_threshold(0.5), threshold.lofo_thresholds(threshold.threshold_curve(cells, ["fold"]))))
 
 
-@query("disjoint_calibration")
+DISJOINT = f"""WITH fitted AS ({curve_sql("", "(SELECT * FROM raster WHERE fold < 3)")} SELECT max_by(threshold, (score, threshold)) AS threshold, max(score) AS score FROM curve),
+held AS MATERIALIZED ({curve_sql("", "(SELECT * FROM raster WHERE fold >= 3)")} SELECT 0 AS fold, threshold, score FROM curve)
+SELECT round(f.threshold, 6) + 0.0 AS threshold, round(f.score, 6) + 0.0 AS fit_score, round({score_at("held", "0", "f.threshold")}, 6) + 0.0 AS evaluation_score FROM fitted f"""
+
+
+@query("disjoint_calibration", DISJOINT)
 def _(spark, sf_dir):
-    cells = raster(spark, sf_dir).withColumn("p", F.round("p", 3)).withColumn("fit", F.col("fold") < 3).withColumn("evaluate", F.col("fold") >= 3)
+    cells = raster(spark, sf_dir).withColumn("fit", F.col("valid") & (F.col("fold") < 3)).withColumn("evaluate", F.col("valid") & (F.col("fold") >= 3))
     return rounded(calibration.fit_and_evaluate(cells))
 
 
 @query("own_fold_threshold", curve_sql("fold") + " SELECT fold, round(CASE WHEN max(n_truth) = 0 THEN 0.5 ELSE max_by(threshold, (score, threshold)) END, 6) AS threshold FROM curve JOIN truths USING (fold) GROUP BY fold")
 def _(spark, sf_dir):
-    return rounded(calibration.own_fold_thresholds(raster(spark, sf_dir).withColumn("p", F.round("p", 3))))
+    return rounded(calibration.own_fold_thresholds(raster(spark, sf_dir)))
 
 
 @query("soft_tversky_loss", f"""WITH {RASTER}, s AS (SELECT sum(p * truth::INT) AS tp, sum(p * (1 - truth::INT)) AS fp, sum((1 - p) * truth::INT) AS fn FROM raster WHERE valid)
@@ -164,9 +181,29 @@ def _(spark, sf_dir):
     return rounded(gate.ablation_summary(scores, "A"))
 
 
+#: One-sided p for seven folds (six degrees of freedom), by the finite sum.
+COS2 = "(6 / (6 + (avg(d) / (stddev_samp(d) / sqrt(count(d)))) ** 2))"
+P_VALUE = f"round(0.5 - (avg(d) / (stddev_samp(d) / sqrt(count(d)))) / sqrt(6 + (avg(d) / (stddev_samp(d) / sqrt(count(d)))) ** 2) / 2 * (1 + {COS2} / 2 + 3 * {COS2} ** 2 / 8), 6)"
+GATED = """WITH s AS (SELECT l_linestatus AS view, l_returnflag AS run, l_linenumber AS fold, avg(l_tax) AS score FROM lineitem GROUP BY ALL),
+d AS (SELECT view, fold, max(score) FILTER (run = 'R') - max(score) FILTER (run = 'N') AS d FROM s WHERE run IN ('R', 'N') GROUP BY view, fold)"""
+
+
+def gated_scores(spark, sf_dir):
+    keys = [F.col("l_linestatus").alias("view"), F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("fold")]
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*keys).agg(F.avg("l_tax").alias("score")).where("run in ('R', 'N')")
+
+
+@query("candidate_decision", GATED + f""", g AS (SELECT view, avg(d) AS gain, {P_VALUE} AS p FROM d GROUP BY view)
+SELECT count(*) AS views, round(0.05 / (count(*) * 4), 6)::DOUBLE AS alpha, count(*) FILTER (p < 0.05 / ((SELECT count(*) FROM g) * 4) AND gain > 0) AS won,
+count(*) FILTER (p < 0.05 / ((SELECT count(*) FROM g) * 4) AND gain > 0) >= 2 AS accepted FROM g""")
+def _(spark, sf_dir):
+    return rounded(gate.evaluate_candidate(gated_scores(spark, sf_dir), "N", "R", 3))
+
+
 @query("paired_gate", """WITH s AS (SELECT l_linestatus AS view, l_returnflag AS run, l_linenumber AS fold, avg(l_tax) AS score FROM lineitem GROUP BY ALL),
 d AS (SELECT view, fold, max(score) FILTER (run = 'R') - max(score) FILTER (run = 'N') AS d FROM s WHERE run IN ('R', 'N') GROUP BY view, fold)
-SELECT view, count(d) AS n, round(avg(d), 6) + 0.0 AS mean_difference, round(stddev_samp(d) / sqrt(count(d)), 6) AS std_error, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t FROM d WHERE d IS NOT NULL GROUP BY view HAVING count(d) >= 2""")
+SELECT view, count(d) AS n, round(avg(d), 6) + 0.0 AS mean_difference, round(stddev_samp(d) / sqrt(count(d)), 6) AS std_error, round(avg(d) / (stddev_samp(d) / sqrt(count(d))), 6) AS t,
+""" + P_VALUE + """ AS p FROM d WHERE d IS NOT NULL GROUP BY view""")
 def _(spark, sf_dir):
     keys = [F.col("l_linestatus").alias("view"), F.col("l_returnflag").alias("run"), F.col("l_linenumber").alias("fold")]
     scores = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*keys).agg(F.avg("l_tax").alias("score"))
@@ -234,3 +271,45 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     return ledger.activity(events).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("task_chains", """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey >= 3),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+up(node, d) AS (SELECT node, 0 FROM n UNION SELECT e.dst, d + 1 FROM up JOIN e ON e.src = up.node), down(node, d) AS (SELECT node, 0 FROM n UNION SELECT e.src, d + 1 FROM down JOIN e ON e.dst = down.node),
+b AS (SELECT node, max(d)::BIGINT AS before FROM up GROUP BY node), a AS (SELECT node, max(d)::BIGINT AS after FROM down GROUP BY node)
+SELECT node, before, after, before + after = (SELECT max(before + after) FROM a JOIN b USING (node)) AS critical FROM a JOIN b USING (node)""")
+def _(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    step = lambda k: part.where(F.col("p_partkey") >= k).select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / k).alias("dst"))
+    return audit.chains(step(2).union(step(3)))
+
+
+def discovery_sql(trace: bool) -> str:
+    known = "fold <> k" if trace else "fold <> k AND fold >= 0"
+    return f"""WITH {RASTER}, disk AS (SELECT y.range - 2 AS dy, x.range - 2 AS dx FROM range(5) y, range(5) x WHERE (y.range - 2) ** 2 + (x.range - 2) ** 2 <= 4),
+offsets AS (SELECT y.range - 2 AS dy, x.range - 2 AS dx, 1 - sqrt((y.range - 2) ** 2 + (x.range - 2) ** 2) / 3 AS w FROM range(5) y, range(5) x),
+v AS (SELECT row, col, p, truth, CASE WHEN truth AND col % 3 <> 0 THEN fold ELSE -1 END AS fold FROM raster WHERE valid), folds AS (SELECT DISTINCT fold AS k FROM v WHERE truth AND fold >= 0),
+near AS (SELECT DISTINCT k, row + dy AS row, col + dx AS col FROM v, folds, disk WHERE truth AND {known}),
+cell AS MATERIALIZED (SELECT k AS fold, row, col, p * (1 - k / 10.0::DOUBLE) AS p, truth AND v.fold = k AS truth FROM v CROSS JOIN folds LEFT JOIN (SELECT *, true AS out_ FROM near) n USING (k, row, col) WHERE out_ IS NULL),
+pairs AS (SELECT t.fold, t.row AS tr, t.col AS tc, c.row, c.col, c.p, o.w FROM cell t, offsets o JOIN cell c ON c.row = t.row + o.dy AND c.col = t.col + o.dx AND c.fold = t.fold WHERE t.truth),
+best AS (SELECT fold, sum(m) AS tp FROM (SELECT fold, tr, tc, max(w * p) AS m FROM pairs GROUP BY ALL) GROUP BY fold), hit AS (SELECT fold, sum(m) AS hit FROM (SELECT fold, row, col, max(w) * max(p) AS m FROM pairs GROUP BY ALL) GROUP BY fold),
+total AS (SELECT fold, sum(p) AS all_p, count(*) AS n_valid, count(*) FILTER (truth) AS n_truth FROM cell GROUP BY fold),
+parts AS (SELECT fold, coalesce(tp, 0) AS tp, all_p - coalesce(hit, 0) AS fp, n_truth - coalesce(tp, 0) AS fn, n_valid, n_truth FROM total LEFT JOIN best USING (fold) LEFT JOIN hit USING (fold))
+SELECT fold, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, n_valid, n_truth, round(tp / (tp + 0.2 * fp + 0.8 * fn + 1e-12), 6) AS score FROM parts"""
+
+
+def discovery(spark, sf_dir, trace: bool):
+    cells = raster(spark, sf_dir).withColumn("fold", F.when(F.col("truth") & (F.col("col") % 3 != 0), F.col("fold")).otherwise(-1))
+    folds = spark.range(5).select(F.col("id").alias("k"))
+    predictions = cells.select("row", "col", "p").join(F.broadcast(folds)).select(F.col("k").alias("fold"), "row", "col", (F.col("p") * (1 - F.col("k") / 10.0)).alias("p"))
+    return rounded(metric.evaluate_discovery(predictions, cells, 2, trace))
+
+
+@query("fault_discovery", discovery_sql(False))
+def _(spark, sf_dir):
+    return discovery(spark, sf_dir, False)
+
+
+@query("trace_completion", discovery_sql(True))
+def _(spark, sf_dir):
+    return discovery(spark, sf_dir, True)

@@ -51,12 +51,11 @@ def _(spark, sf_dir):
     return rounded(masks.training_cells(cells, ["v"], truth="truth").withColumns({c: F.col(c).cast("double") for c in ("v", "target")}))
 
 
-BLOCKS = masks.assign_blocks(4096, 64, 16, 5, 7)
-
-
-@query("block_folds", f"WITH {RASTER}, b AS (SELECT unnest({BLOCKS.ravel().tolist()}) AS k, unnest(range({BLOCKS.size})) AS i) SELECT row, col, k::BIGINT AS fold FROM raster JOIN b ON i = (row // 16) * 4 + col // 16")
+@query("block_folds")
 def _(spark, sf_dir):
-    return masks.block_folds(raster(spark, sf_dir).select("row", "col"), BLOCKS, 16)
+    """No SQL: the blocks are dealt by a shuffled order (PCG64)."""
+    cells, height, width = sized(spark, sf_dir)
+    return masks.block_folds(cells.select("row", "col"), masks.assign_blocks(height, width, 16, 5, 7), 16)
 
 
 @query("component_folds")
@@ -129,7 +128,8 @@ def _(spark, sf_dir):
     return rounded(tiling.extract_patch(raster(spark, sf_dir), -8, 40, 40, "p", -1.0))
 
 
-TILES = f"WITH {RASTER}, t AS (SELECT *, row // 16 * 16 AS row0, col // 16 * 16 AS col0 FROM raster WHERE row < 496)"
+TILES = f"""WITH {RASTER}, starts AS (SELECT unnest(list_distinct(list_concat(range(0, n - 15, 16), [n - 16]))) AS row0 FROM (SELECT count(*) AS n FROM embeddings)),
+t AS (SELECT *, col // 16 * 16 AS col0 FROM raster JOIN starts ON row >= row0 AND row < row0 + 16)"""
 
 
 def tiles16(spark, sf_dir):
@@ -195,7 +195,7 @@ def _(spark, sf_dir):
     return audit.lofo_matches(nation.select(run, scheme, score.alias("raw_mean")), raw)
 
 
-@query("mirrored_views", """WITH v AS (SELECT l_suppkey AS run, l_returnflag AS scheme, list(l_linenumber::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey) AS scores FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL)
+@query("mirrored_views", """WITH v AS (SELECT l_suppkey AS run, l_returnflag AS scheme, list(l_linenumber::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey) AS scores FROM lineitem GROUP BY ALL)
 SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.scores = g.scores AND g.run % 2 = 0 AND v.run % 2 = 1""")
 def _(spark, sf_dir):
     order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
@@ -221,7 +221,7 @@ def _(spark, sf_dir):
     return audit.insert_tasks(tasks, [{"id": "first", "cmd": "true"}, {"id": "second", "cmd": "true"}], anchor).select("ord", "id")
 
 
-@query("decision_feeders", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, 'train' AS kind FROM lineitem WHERE l_orderkey <= 4000)
+@query("decision_feeders", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, 'train' AS kind FROM lineitem)
 SELECT src, dst AS decision, kind FROM e UNION SELECT a.src, b.dst, a.kind FROM e a JOIN e b ON a.dst = b.src""")
 def _(spark, sf_dir):
     edges = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.lit("train").alias("kind")).distinct()

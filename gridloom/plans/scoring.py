@@ -91,10 +91,10 @@ def _(spark, sf_dir):
     return metric.ambiguity_weights(raster(spark, sf_dir)).groupBy("weight").agg(F.count(F.lit(1)).alias("cells"))
 
 
-def curve_sql(by: str = "") -> str:
+def curve_sql(by: str = "", source: str = "raster") -> str:
     on, key, part = (f"AND t.{by} = c.{by}", f"{by}, ", f"PARTITION BY {by} ") if by else ("", "", "")
     t_key, c_key, group, join = (f"t.{by}, ", f"c.{by}, ", f"GROUP BY {by}", f"JOIN truths USING ({by})") if by else ("", "", "", ", truths")
-    return f"""WITH {RASTER}, {OFFSETS}, cell AS (SELECT *, round(p, 3) AS q FROM raster WHERE valid), near AS (
+    return f"""WITH {RASTER}, {OFFSETS}, cell AS MATERIALIZED (SELECT *, p AS q FROM {source} WHERE valid), near AS (
   SELECT {t_key}t.row AS tr, t.col AS tc, c.row, c.col, c.q AS p, o.w
   FROM cell t, offsets o JOIN cell c ON c.row = t.row + o.dy AND c.col = t.col + o.dx {on} WHERE t.truth
 ), levels AS (SELECT {key}tr, tc, p, max(w) AS w FROM near GROUP BY ALL),
@@ -111,30 +111,33 @@ sums AS (
 ), curve AS (SELECT {key}threshold, tp, fp, greatest(n_truth - tp, 0) AS fn, tp / (tp + 0.2 * fp + 0.8 * greatest(n_truth - tp, 0) + 1e-12) AS score FROM sums {join})"""
 
 
-def quantised(spark, sf_dir):
-    return raster(spark, sf_dir).withColumn("p", F.round("p", 3))
+def score_at(curve: str, fold: str, t: str) -> str:
+    """The score of ``curve`` (fold, threshold, score) at t: of its least threshold not below, or of its greatest."""
+    return f"coalesce((SELECT min_by(score, threshold) FROM {curve} c WHERE c.fold = {fold} AND c.threshold >= {t}), (SELECT max_by(score, threshold) FROM {curve} c WHERE c.fold = {fold}))"
 
 
 @query("threshold_curve", curve_sql() + " SELECT round(threshold, 6) AS threshold, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(score, 6) AS score FROM curve")
 def _(spark, sf_dir):
-    return rounded(threshold.threshold_curve(quantised(spark, sf_dir)))
+    return rounded(threshold.threshold_curve(raster(spark, sf_dir)))
 
 
 @query("best_threshold", curve_sql("fold") + " SELECT fold, round(max_by(threshold, (score, threshold)), 6) AS threshold, round(max(score), 6) AS score FROM curve GROUP BY fold")
 def _(spark, sf_dir):
-    return rounded(threshold.best_threshold(threshold.threshold_curve(quantised(spark, sf_dir), ["fold"]), ["fold"]))
+    return rounded(threshold.best_threshold(threshold.threshold_curve(raster(spark, sf_dir), ["fold"]), ["fold"]))
 
 
-@query("lofo_threshold", curve_sql("fold") + """, best AS (SELECT fold AS best_of, max_by(threshold, (score, threshold)) AS candidate FROM curve GROUP BY fold),
+LOFO = curve_sql("fold") + """, best AS (SELECT fold AS best_of, max_by(threshold, (score, threshold)) AS candidate FROM curve GROUP BY fold),
 grid AS (SELECT range / 1000.0::DOUBLE AS candidate FROM range(1001)), folds AS (SELECT DISTINCT fold FROM curve),
 allowed AS (SELECT fold, candidate FROM folds, grid UNION SELECT fold, candidate FROM folds JOIN best ON fold <> best_of),
 every AS (SELECT DISTINCT f.fold AS other, candidate FROM folds f, (SELECT candidate FROM grid UNION SELECT candidate FROM best)),
 at_ AS (SELECT e.other, e.candidate, coalesce((SELECT min_by(score, threshold) FROM curve c WHERE c.fold = e.other AND c.threshold >= e.candidate),
   (SELECT max_by(score, threshold) FROM curve c WHERE c.fold = e.other)) AS score FROM every e),
-fit AS (SELECT a.fold, a.candidate, avg(score) AS fit_mean FROM allowed a JOIN at_ ON at_.candidate = a.candidate AND at_.other <> a.fold GROUP BY ALL)
-SELECT fold, round(max_by(candidate, (round(fit_mean, 12), -candidate)), 6) AS threshold, round(max(fit_mean), 6) AS fit_mean FROM fit GROUP BY fold""")
+fit AS (SELECT a.fold, a.candidate, avg(score) AS fit_mean FROM allowed a JOIN at_ ON at_.candidate = a.candidate AND at_.other <> a.fold GROUP BY ALL)"""
+
+
+@query("lofo_threshold", LOFO + " SELECT fold, round(max_by(candidate, (round(fit_mean, 12), -candidate)), 6) AS threshold, round(max(fit_mean), 6) AS fit_mean FROM fit GROUP BY fold")
 def _(spark, sf_dir):
-    return rounded(threshold.lofo_thresholds(threshold.threshold_curve(quantised(spark, sf_dir), ["fold"])))
+    return rounded(threshold.lofo_thresholds(threshold.threshold_curve(raster(spark, sf_dir), ["fold"])))
 
 
 @query("calibrated_predictions", f"""WITH {RASTER} SELECT row, col, round(least(1, greatest(0, p * (0.5 / 0.4) * 0.9)), 6) AS calibrated,

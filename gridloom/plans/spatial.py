@@ -66,10 +66,12 @@ def _(spark, sf_dir):
 
 
 @query("component_report", REACH + """, sizes AS (SELECT component, count(*) AS pixels FROM labelled GROUP BY component)
-SELECT count(*) AS components, sum(pixels)::BIGINT AS pixels, round(quantile_cont(pixels, 0.5), 6)::DOUBLE AS median, round(quantile_cont(pixels, 0.95), 6)::DOUBLE AS p95, round(sum(pixels) / 32000.0::DOUBLE, 6) AS prevalence FROM sizes""")
+SELECT count(*) AS components, sum(pixels)::BIGINT AS pixels, round(quantile_cont(pixels, 0.5), 6)::DOUBLE AS median, round(quantile_cont(pixels, 0.95), 6)::DOUBLE AS p95, round(sum(pixels) / (SELECT count(*) FROM raster WHERE valid)::DOUBLE, 6) AS prevalence,
+array_to_string(list(pixels ORDER BY pixels DESC, component)[:3], ',') AS largest FROM sizes""")
 def _(spark, sf_dir):
-    report, _ = components.component_report(components.label(marked(spark, sf_dir), tile=32), 32000)
-    return rounded(report.select("components", "pixels", F.col("size_quantiles")[2].alias("median"), F.col("size_quantiles")[5].alias("p95"), "prevalence"))
+    report, largest = components.component_report(components.label(marked(spark, sf_dir), tile=32), raster(spark, sf_dir).where("valid").count(), 3)
+    largest = largest.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("pixels")).alias("n"), "component"))), lambda x: (-x["n"]).cast("string")), ",").alias("largest"))
+    return rounded(report.join(largest).select("components", "pixels", F.col("size_quantiles")[2].alias("median"), F.col("size_quantiles")[5].alias("p95"), "prevalence", "largest"))
 
 
 @query("block_report", f"WITH {RASTER} SELECT row // 16 AS block_r, col // 16 AS block_c, count(*) FILTER (valid) AS valid_cells, count(*) FILTER (valid AND truth) AS truth_cells, count(*) FILTER (valid) > 0 AS usable FROM raster GROUP BY ALL")
@@ -131,7 +133,21 @@ def _(spark, sf_dir):
     return rounded(ensemble.rank_average(members(spark, sf_dir)))
 
 
-@query("lofo_weights")
+WEIGHTS = f"""WITH {MEMBERS}, offsets AS (SELECT y.range - 2 AS dy, x.range - 2 AS dx, 1 - sqrt((y.range - 2) ** 2 + (x.range - 2) ** 2) / 3 AS w FROM range(5) y, range(5) x),
+simplex AS (SELECT a.range / 10.0::DOUBLE AS a, b.range / 10.0::DOUBLE AS b, (10 - a.range - b.range) / 10.0::DOUBLE AS c FROM range(11) a, range(11) b WHERE a.range + b.range <= 10 AND greatest(a.range, b.range, 10 - a.range - b.range) < 10),
+candidates AS (SELECT 3 + row_number() OVER (ORDER BY a, b, c) AS candidate, a, b, c FROM simplex UNION ALL VALUES (0, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE, 1 / 3.0::DOUBLE), (1, 1, 0, 0), (2, 0, 1, 0), (3, 0, 0, 1)),
+wide AS (SELECT fold, row, col, max(p) FILTER (member = 'a') AS pa, max(p) FILTER (member = 'b') AS pb, max(p) FILTER (member = 'c') AS pc FROM members GROUP BY ALL),
+cell AS MATERIALIZED (SELECT w.*, truth FROM wide w JOIN raster r ON r.row = w.row AND r.col = w.col WHERE valid),
+near AS MATERIALIZED (SELECT t.fold, t.row AS tr, t.col AS tc, c.row, c.col, c.pa, c.pb, c.pc, o.w FROM cell t, offsets o JOIN cell c ON c.row = t.row + o.dy AND c.col = t.col + o.dx AND c.fold = t.fold WHERE t.truth),
+best AS (SELECT candidate, fold, sum(m) AS tp FROM (SELECT candidate, fold, tr, tc, max(w * (a * pa + b * pb + c * pc)) AS m FROM near, candidates GROUP BY ALL) GROUP BY ALL),
+hit AS (SELECT candidate, fold, sum(m) AS hit FROM (SELECT candidate, fold, row, col, max(w) * max(a * pa + b * pb + c * pc) AS m FROM near, candidates GROUP BY ALL) GROUP BY ALL),
+total AS (SELECT candidate, fold, sum(a * pa + b * pb + c * pc) AS all_p, count(*) FILTER (truth) AS n FROM cell, candidates GROUP BY ALL),
+scores AS (SELECT candidate, fold, tp / (tp + 0.2 * (all_p - hit) + 0.8 * (n - tp) + 1e-12) AS score FROM total JOIN best USING (candidate, fold) JOIN hit USING (candidate, fold)),
+fits AS (SELECT f.fold, candidate, avg(score) AS m FROM (SELECT DISTINCT fold FROM cell) f JOIN scores s ON s.fold <> f.fold GROUP BY ALL)
+SELECT fold, max_by(candidate, (round(m, 12), -candidate))::INT AS candidate, round(max(m), 6) AS fit_mean FROM fits GROUP BY fold"""
+
+
+@query("lofo_weights", WEIGHTS)
 def _(spark, sf_dir):
     scores = ensemble.candidate_scores(members(spark, sf_dir), raster(spark, sf_dir), ["a", "b", "c"])
     return rounded(ensemble.lofo_weights(scores))
