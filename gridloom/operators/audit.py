@@ -63,15 +63,21 @@ def lofo_audit(folds: DataFrame) -> DataFrame:
     return out.withColumn("flags", F.array_compact(flags))
 
 
-def drain_forecast(manifests: DataFrame, pending: int, now: Column, cutoff: Column, buffer_days: float = 5.0) -> DataFrame:
-    """One row: rate (manifests a day of their span), silence, drain and margin in days, and a verdict. ``manifests`` has ts."""
+def drain_forecast(manifests: DataFrame, pending: int, now: Column, cutoff: Column, buffer_days: float = 5.0, resume: Column | None = None) -> DataFrame:
+    """One row: rate (manifests a day of their span), silence, drain and margin in days, and a verdict. ``manifests`` has ts.
+
+    With ``resume``, work goes on then, or now if that is later. resume_by and resume_by_buffered are the last times at which it could.
+    """
+    start = now if resume is None else F.greatest(now, resume)
     day = 86400.0
     seconds = lambda c: c.cast("double")
     one = manifests.agg(F.count("ts").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     span = (seconds(F.col("last")) - seconds(F.col("first"))) / day
     one = one.withColumn("rate", F.when((F.col("n") >= 2) & (span > 0), F.col("n") / span))
     one = one.withColumn("silence_days", (seconds(now) - seconds(F.col("last"))) / day).withColumn("drain_days", F.lit(float(pending)) / F.col("rate"))
-    one = one.withColumn("margin_days", (seconds(cutoff) - seconds(now)) / day - F.col("drain_days"))
+    one = one.withColumn("margin_days", (seconds(cutoff) - seconds(start)) / day - F.col("drain_days"))
+    for name, spare in (("resume_by", 0.0), ("resume_by_buffered", buffer_days)):
+        one = one.withColumn(name, F.timestamp_seconds(seconds(cutoff) - (F.col("drain_days") + spare) * day))
     m = F.col("margin_days")
     return one.withColumn("verdict", F.when(m.isNull(), "UNKNOWN").when(m >= buffer_days, "FEASIBLE").when(m >= 0, "TIGHT").otherwise("INFEASIBLE"))
 
@@ -111,6 +117,21 @@ def mirrored(views: DataFrame, gates: DataFrame, tolerance: float = 1e-9) -> Dat
     return g.join(views.select("run", "scheme", "scores"), "scheme").where((F.size("scores") == F.size("gate_scores")) & near).select("candidate", "scheme", "run")
 
 
+def result_findings(ledger: DataFrame, gates: DataFrame, lofo: DataFrame, raw: DataFrame, views: DataFrame, gate_views: DataFrame) -> DataFrame:
+    """severity, code, subject, detail: the checks of committed results as one table; an error makes the whole audit fail, a finding does not.
+
+    Ledger against gate reports (candidate), LOFO reports against raw ones (run, scheme), and gate views that mirror no run's view.
+    """
+    row = lambda severity, code, subject, detail: [F.lit(severity).alias("severity"), F.lit(code).alias("code"), subject.cast("string").alias("subject"), detail.cast("string").alias("detail")]
+    orphans = ledger_orphans(ledger, gates).select(*row("finding", "ORPHAN", F.col("candidate"), F.col("side")))
+    scores = lofo_matches(lofo, raw)
+    place = F.concat_ws("/", F.col("run").cast("string"), "scheme")
+    scores = scores.select(F.when(F.col("finding") == "raw mean differs", "error").otherwise("finding").alias("severity"), F.lit("LOFO_RAW").alias("code"), place.alias("subject"), F.col("finding").alias("detail"))
+    alone = gate_views.join(mirrored(views, gate_views).select("candidate", "scheme").distinct(), ["candidate", "scheme"], "left_anti")
+    alone = alone.select(*row("error", "UNMIRRORED", F.concat_ws("/", F.col("candidate").cast("string"), "scheme"), F.lit("no run has these fold scores")))
+    return orphans.union(scores).union(alone)
+
+
 def tokens(command: str) -> list[str]:
     return shlex.split(command)
 
@@ -189,10 +210,11 @@ def chains(edges: DataFrame) -> DataFrame:
 
 
 def queue_state(states: DataFrame, now: Column, stall_hours: float = 48.0) -> DataFrame:
-    """One row, state: STOPPED if any task failed, else ALL-DONE, RUNNING, RUNNING-STALLED, INTERRUPTED or NOT-RUNNING. ``states``: id, started, done, failed (times), locked."""
-    one = states.agg(F.count("failed").alias("failed"), F.count_if(F.col("done").isNull()).alias("left"), F.count_if(F.col("started").isNotNull() & F.col("done").isNull() & F.col("failed").isNull()).alias("active"), F.max("started").alias("last"), F.bool_or("locked").alias("locked"))
+    """One row, state: STOPPED if any task failed, else ALL-DONE, RUNNING, RUNNING-STALLED, INTERRUPTED or NOT-RUNNING. ``states``: id, started, done, failed (times), locked, and waiting if known: whether the runner waits for memory (RUNNING-WAIT-MEM)."""
+    waiting = F.bool_or("waiting") if "waiting" in states.columns else F.lit(False)
+    one = states.agg(F.count("failed").alias("failed"), F.count_if(F.col("done").isNull()).alias("left"), F.count_if(F.col("started").isNotNull() & F.col("done").isNull() & F.col("failed").isNull()).alias("active"), F.max("started").alias("last"), F.bool_or("locked").alias("locked"), waiting.alias("waiting"))
     hours = (now.cast("double") - F.col("last").cast("double")) / 3600
-    return one.withColumn("state", F.when(F.col("failed") > 0, "STOPPED").when(F.col("left") == 0, "ALL-DONE").when(F.col("locked") & (F.col("active") > 0) & (hours > stall_hours), "RUNNING-STALLED").when(F.col("locked"), "RUNNING").when(F.col("active") > 0, "INTERRUPTED").otherwise("NOT-RUNNING"))
+    return one.withColumn("state", F.when(F.col("failed") > 0, "STOPPED").when(F.col("left") == 0, "ALL-DONE").when(F.col("locked") & (F.col("active") > 0) & (hours > stall_hours), "RUNNING-STALLED").when(F.col("locked") & F.col("waiting"), "RUNNING-WAIT-MEM").when(F.col("locked"), "RUNNING").when(F.col("active") > 0, "INTERRUPTED").otherwise("NOT-RUNNING"))
 
 
 def sync(queue: DataFrame, checkout: DataFrame) -> DataFrame:

@@ -100,3 +100,10 @@ def block_report(cells: DataFrame, block: int = 256) -> DataFrame:
     key = [F.floor(F.col("row") / block).alias("block_r"), F.floor(F.col("col") / block).alias("block_c")]
     out = cells.groupBy(*key).agg(F.count_if("valid").alias("valid_cells"), F.count_if(F.col("valid") & F.col("truth")).alias("truth_cells"))
     return out.withColumn("usable", F.col("valid_cells") > 0)
+
+
+def block_quantiles(blocks: DataFrame) -> DataFrame:
+    """One row over ``block_report``: blocks, usable and positive ones, and the quantiles of truth cells in positive blocks."""
+    positive = F.col("truth_cells") > 0
+    q = F.percentile(F.when(positive, F.col("truth_cells")), F.array(*map(F.lit, QUANTILES)))
+    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("usable").alias("usable"), F.count_if(positive).alias("positive"), q.alias("truth_quantiles"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.features import SHIFTS
-from gridloom.operators.grid import spread
+from gridloom.operators.grid import materialise, spread
 
 #: The eight neighbours from the east, counter-clockwise.
 RING = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
@@ -22,12 +22,12 @@ def endpoints(skeleton: DataFrame) -> DataFrame:
     return found.select(F.col("from_row").alias("row"), F.col("from_col").alias("col"))
 
 
-def thin(mask: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning to its fixed point."""
+def thin(mask: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Zhang-Suen thinning to its fixed point, or for ``most`` passes."""
     x = np.pad(mask.astype(bool), 1)
-    changed = True
-    while changed:
-        changed = False
+    changed, passes = True, 0
+    while changed and passes != most:
+        changed, passes = False, passes + 1
         for odd in (True, False):
             e, ne, n, nw, w, sw, s, se = (np.roll(x, (-dy, -dx), (0, 1)) for dy, dx in RING)
             ring = [n, ne, e, se, s, sw, w, nw]
@@ -41,17 +41,34 @@ def thin(mask: np.ndarray) -> np.ndarray:
     return x[1:-1, 1:-1]
 
 
-def thin_components(labelled: DataFrame) -> DataFrame:
-    """component, row, col of each component's skeleton. A component's cells come to one task, in its bounding box."""
+def thin_cells(cells: DataFrame, tile: int = 256, halo: int = 32) -> DataFrame:
+    """row, col of the skeleton of all ``cells``.
+
+    A pass looks two cells far, so tiles with a halo can take half as many passes as the halo is wide before they need
+    their neighbours' state; rounds go on until one removes nothing. No task holds a whole component.
+    """
+    state = materialise(cells.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct(), "thin")
+    owners = lambda x: F.explode(F.sequence(F.floor((F.col(x) - halo) / tile), F.floor((F.col(x) + halo) / tile)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        box = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
-        box[r - r.min(), c - c.min()] = True
-        y, x = np.nonzero(thin(box))
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "row": y + r.min(), "col": x + c.min()})
+        r0, c0 = int(pdf["tile_r"].iloc[0]) * tile - halo, int(pdf["tile_c"].iloc[0]) * tile - halo
+        box = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        box[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = True
+        y, x = np.nonzero(thin(box, halo // 2)[halo:-halo, halo:-halo])
+        return pd.DataFrame({"row": y + r0 + halo, "col": x + c0 + halo})
 
-    return labelled.select("component", "row", "col").groupBy("component").applyInPandas(run, "component long, row long, col long")
+    left = state.count()
+    while True:
+        dealt = state.withColumn("tile_r", owners("row")).withColumn("tile_c", owners("col"))
+        state = materialise(dealt.groupBy("tile_r", "tile_c").applyInPandas(run, "row long, col long"), "thin")
+        if (now := state.count()) == left:
+            return state
+        left = now
+
+
+def thin_components(labelled: DataFrame) -> DataFrame:
+    """component, row, col of each component's skeleton: components do not touch, so all are thinned at once."""
+    return thin_cells(labelled).join(labelled.select("component", "row", "col").distinct(), ["row", "col"]).select("component", "row", "col")
 
 
 def orientations(tips: DataFrame, skeleton: DataFrame, window: int = 7) -> DataFrame:

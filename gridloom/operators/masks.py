@@ -126,19 +126,21 @@ def assign_components(labelled: DataFrame, folds: int, seed: int) -> DataFrame:
 def trace_ends(labelled: DataFrame, least: int = 24, fraction: float = 0.3) -> DataFrame:
     """component, row, col, withheld: the cells beyond the 1 - fraction quantile along the principal axis of large components.
 
-    The axis is that of the 2 x 2 covariance in closed form, its larger coordinate made positive.
-    If no cell lies beyond the quantile, the last round(fraction * n) cells (1 to n - 1) are withheld.
+    The axis is that of the 2 x 2 covariance in closed form, of whole-number moments, its larger coordinate made positive; places along it
+    are taken to nine digits, so that cells side by side are equal. If no cell lies beyond the quantile, the last round(fraction * n)
+    cells (1 to n - 1) are withheld. Ranks need one order of a component's cells; those alone go through a window.
     """
-    stats = labelled.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("row").alias("mr"), F.avg("col").alias("mc"), F.covar_pop("row", "row").alias("a"), F.covar_pop("row", "col").alias("b"), F.covar_pop("col", "col").alias("c")
-    ).where(F.col("n") >= least)
-    angle = F.atan2(2 * F.col("b"), F.col("a") - F.col("c")) / 2
-    rows = labelled.join(stats, "component").withColumn("ur", F.cos(angle)).withColumn("uc", F.sin(angle))
+    low = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.min("col").alias("c0")).where(F.col("n") >= least)
+    cells = labelled.join(low, "component").withColumn("r", (F.col("row") - F.col("r0")).cast("long")).withColumn("c", (F.col("col") - F.col("c0")).cast("long"))
+    moment = lambda x, y: F.count(F.lit(1)) * F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y)
+    angle = F.atan2(2 * F.col("rc"), F.col("rr") - F.col("cc")) / 2
+    axes = cells.groupBy("component").agg(moment("r", "r").alias("rr"), moment("r", "c").alias("rc"), moment("c", "c").alias("cc"))
+    axes = axes.select("component", F.round(F.cos(angle), 12).alias("ur"), F.round(F.sin(angle), 12).alias("uc"))
     sign = F.when(F.when(F.abs("ur") >= F.abs("uc"), F.col("ur")).otherwise(F.col("uc")) < 0, -1).otherwise(1)
-    rows = rows.withColumn("along", sign * ((F.col("row") - F.col("mr")) * F.col("ur") + (F.col("col") - F.col("mc")) * F.col("uc")))
-    cut = rows.groupBy("component").agg(F.percentile("along", 1 - fraction).alias("cut"))
+    rows = cells.join(axes, "component").withColumn("along", F.round(sign * (F.col("r") * F.col("ur") + F.col("c") * F.col("uc")), 9))
+    cut = rows.groupBy("component").agg(F.percentile("along", 1 - fraction).alias("cut"), F.max("along").alias("most"), F.min("along").alias("fewest"))
+    rows = rows.join(cut, "component").withColumn("beyond", F.col("along") >= F.col("cut"))
     order = Window.partitionBy("component").orderBy("along", "row", "col")
-    rows = rows.join(cut, "component").withColumn("rank", F.row_number().over(order)).withColumn("beyond", F.col("along") >= F.col("cut"))
-    any_, all_ = (F.count_if(x).over(Window.partitionBy("component")) for x in (F.col("beyond"), ~F.col("beyond")))
-    last = F.col("rank") > F.col("n") - F.least(F.col("n") - 1, F.greatest(F.lit(1), F.round(F.col("n") * fraction).cast("long")))
-    return rows.select("component", "row", "col", F.when((any_ > 0) & (all_ > 0), F.col("beyond")).otherwise(last).alias("withheld"))
+    last = F.row_number().over(order) > F.col("n") - F.least(F.col("n") - 1, F.greatest(F.lit(1), F.round(F.col("n") * fraction).cast("long")))
+    parted = (F.col("most") >= F.col("cut")) & (F.col("fewest") < F.col("cut"))
+    return rows.withColumn("last", last).select("component", "row", "col", F.when(parted, F.col("beyond")).otherwise(F.col("last")).alias("withheld"))

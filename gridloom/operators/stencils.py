@@ -312,6 +312,36 @@ def lineament_features(cells: DataFrame, groups: dict[str, list[str]], kind: str
     return out
 
 
+#: What a configuration that does not name a setting means.
+LINEAMENT_DEFAULTS = {
+    "kind": "phase_edge", "sigma_pixels": 1.0, "phase_epsilon_pixels": 1.0, "structure_tensor_window": 3.0, "ridge_valley_scales": None,
+    "steerable_wavelength": 8.0, "steerable_orientations": 8, "wavelet_levels": None,
+}
+
+
+def lineament_settings(config: dict) -> dict:
+    """The arguments of ``lineament_features`` that a configuration means, checked; settings of other names are ignored."""
+    own = {k: config.get(k, v) for k, v in LINEAMENT_DEFAULTS.items()}
+    out = {
+        "kind": str(own["kind"]), "sigma": float(own["sigma_pixels"]), "epsilon": float(own["phase_epsilon_pixels"]), "window": float(own["structure_tensor_window"]),
+        "wavelength": float(own["steerable_wavelength"]), "angles": int(own["steerable_orientations"]),
+    }
+    if own["ridge_valley_scales"] is not None:
+        out["scales"] = tuple(float(x) for x in own["ridge_valley_scales"])
+    if own["wavelet_levels"] is not None:
+        out["levels"] = tuple(own["wavelet_levels"])
+    rules = {
+        "kind must be one of " + ", ".join(KINDS): out["kind"] in KINDS, "sigma_pixels must be finite and not negative": math.isfinite(out["sigma"]) and out["sigma"] >= 0,
+        "phase_epsilon_pixels must be positive": 0 < out["epsilon"] < math.inf, "structure_tensor_window must be positive": 0 < out["window"] < math.inf,
+        "steerable_wavelength must be positive": 0 < out["wavelength"] < math.inf, "steerable_orientations must be positive": out["angles"] >= 1,
+        "ridge_valley_scales must be positive": all(0 < x < math.inf for x in out.get("scales", ())) and out.get("scales") != (),
+        "wavelet_levels must be whole numbers from 1 to 6": all(x == int(x) and 1 <= x <= 6 for x in out.get("levels", ())) and out.get("levels") != (),
+    }
+    if wrong := [text for text, right in rules.items() if not right]:
+        raise ValueError("; ".join(wrong))
+    return out
+
+
 def tile_halo(kind: str, sigma: float = 1.0, window: float = 2.0, epsilon: float = 1.0, wavelength: float = 6.0, levels: tuple[int, ...] = (1, 2, 3)) -> int:
     """The true support of each kind, which is also the buffer that keeps fit cells from seeing held-out ones."""
     s = max(0.5, epsilon)

@@ -75,6 +75,11 @@ def best_threshold(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     return curve.groupBy(*(by or [])).agg(best).select(*(by or []), F.col("best.threshold").alias("threshold"), F.col("best.score").alias("score"))
 
 
+def optimal_threshold(cells: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """One row: threshold, score and method, of the whole curve; nothing is searched, so there is no grid, bracket or tolerance to give."""
+    return best_threshold(threshold_curve(cells, radius=radius)).withColumn("method", F.lit("exact"))
+
+
 def scores_at(curve: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
     """by, candidate, score: the curve's step at each candidate, that of the least threshold not below it; above all, the empty raster's.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import audit, calibration, components, gate, geometry, metric, provenance, stencils, threshold
 from gridloom.plans import stencil_sql
 from gridloom.plans.raster import RASTER, raster
+from gridloom.plans.spatial import reach_sql
 from gridloom.plans.scoring import LOFO, curve_sql, rounded, score_at
 from gridloom.streaming import ledger
 
@@ -95,12 +96,38 @@ def _(spark, sf_dir):
     return rounded(stencils.skeleton_recall_loss(stencils.skeletons(cells, h, w)))
 
 
-@query("thinning")
+#: Passes of half an iteration, more than the raster of any of the tables needs; the ring's cells are bits from the north, clockwise.
+THIN = reach_sql("v > 0.1") + """, o(dy, dx, bit) AS (VALUES (-1, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 8), (1, 0, 16), (1, -1, 32), (0, -1, 64), (-1, -1, 128)),
+z(i, row, col) AS (
+  SELECT 0, row, col FROM m
+  UNION ALL
+  SELECT i + 1, row, col FROM (
+    SELECT a.i, a.row, a.col, coalesce(sum(CASE WHEN b.row IS NOT NULL THEN bit ELSE 0 END), 0)::INT AS ring FROM z a CROSS JOIN o LEFT JOIN z b ON b.row = a.row + dy AND b.col = a.col + dx GROUP BY ALL)
+  WHERE i < 40 AND NOT (bit_count(ring) BETWEEN 2 AND 6 AND bit_count((255 - ring) & ((ring >> 1) | ((ring & 1) << 7))) = 1
+    AND CASE WHEN i % 2 = 0 THEN ring & 21 <> 21 AND ring & 84 <> 84 ELSE ring & 69 <> 69 AND ring & 81 <> 81 END)
+)
+SELECT l.component::BIGINT AS component, z.row, z.col FROM z JOIN labelled l ON l.row = z.row AND l.col = z.col WHERE i = 40"""
+
+
+@query("thinning", THIN)
 def _(spark, sf_dir):
-    return geometry.thin_components(components.label(raster(spark, sf_dir).where("v > 0.1"))).orderBy("row", "col")
+    return geometry.thin_components(components.label(raster(spark, sf_dir).where("v > 0.1"), tile=32))
+
+
+EXTENSION = f"""WITH {RASTER}, m AS (SELECT row, col FROM raster WHERE v > 0.2), tips AS (
+  SELECT a.row, a.col FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col HAVING count(*) = 1),
+s AS (SELECT t.row, t.col, covar_pop(m.row - t.row, m.row - t.row) AS a, covar_pop(m.row - t.row, m.col - t.col) AS b, covar_pop(m.col - t.col, m.col - t.col) AS c, avg(m.row - t.row) AS my, avg(m.col - t.col) AS mx
+  FROM tips t JOIN m ON abs(m.row - t.row) <= 5 AND abs(m.col - t.col) <= 5 GROUP BY t.row, t.col HAVING count(*) >= 3),
+u AS (SELECT row, col, my, mx, cos(atan2(2 * b, a - c) / 2) AS uy, sin(atan2(2 * b, a - c) / 2) AS ux FROM s),
+d AS (SELECT row, col, CASE WHEN uy * my + ux * mx > 0 THEN -uy ELSE uy END AS dy, CASE WHEN uy * my + ux * mx > 0 THEN -ux ELSE ux END AS dx FROM u),
+steps AS (SELECT d.row AS r, d.col AS c, step, p * exp(-0.15 * step) AS paint, round(d.row + dy * step)::BIGINT AS row, round(d.col + dx * step)::BIGINT AS col
+  FROM d JOIN raster USING (row, col), (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE p >= 0.01),
+met AS (SELECT s.*, coalesce(v > 0.2, true) AS blocked FROM steps s LEFT JOIN raster x ON x.row = s.row AND x.col = s.col),
+open_ AS (SELECT *, min(CASE WHEN blocked THEN step END) OVER (PARTITION BY r, c) AS stop FROM met)
+SELECT row, col, round(max(paint), 6) AS p FROM open_ WHERE stop IS NULL OR step < stop GROUP BY row, col"""
 
 
-@query("endpoint_extension")
+@query("endpoint_extension", EXTENSION)
 def _(spark, sf_dir):
     cells = raster(spark, sf_dir).withColumn("skeleton", F.col("v") > 0.2)
     skeleton = cells.where("skeleton")
@@ -226,7 +253,7 @@ CASE WHEN 20 - 5000 / rate >= 5 THEN 'FEASIBLE' WHEN 20 - 5000 / rate >= 0 THEN
 def _(spark, sf_dir):
     at = lambda s: F.lit(s).cast("timestamp")
     out = audit.drain_forecast(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts")), 5000, at("2024-02-10"), at("2024-03-01"))
-    return rounded(out.drop("first", "last"))
+    return rounded(out.drop("first", "last", "resume_by", "resume_by_buffered"))
 
 
 @query("duplicate_audit", """SELECT kind, value, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (
@@ -313,3 +340,46 @@ def _(spark, sf_dir):
 @query("trace_completion", discovery_sql(True))
 def _(spark, sf_dir):
     return discovery(spark, sf_dir, True)
+
+
+@query("exact_optimum", curve_sql() + " SELECT round(max_by(threshold, (score, threshold)), 6) AS threshold, round(max(score), 6) AS score, 'exact' AS method FROM curve")
+def _(spark, sf_dir):
+    return rounded(threshold.optimal_threshold(raster(spark, sf_dir)))
+
+
+@query("block_quantiles", f"""WITH {RASTER}, b AS (SELECT row // 16, col // 16, count(*) FILTER (valid) AS n, count(*) FILTER (valid AND truth) AS t FROM raster GROUP BY ALL)
+SELECT count(*) AS blocks, count(*) FILTER (n > 0) AS usable, count(*) FILTER (t > 0) AS positive, round(quantile_cont(t, 0.5) FILTER (t > 0), 6)::DOUBLE AS median, round(quantile_cont(t, 0.95) FILTER (t > 0), 6)::DOUBLE AS p95 FROM b""")
+def _(spark, sf_dir):
+    found = components.block_quantiles(components.block_report(raster(spark, sf_dir), 16))
+    return rounded(found.select("blocks", "usable", "positive", F.col("truth_quantiles")[2].alias("median"), F.col("truth_quantiles")[5].alias("p95")))
+
+
+@query("resume_forecast", """WITH o AS (SELECT count(ts) AS n, min(ts) AS first, max(ts) AS last FROM events), r AS (SELECT *, 5000 / (n / (epoch_us(last) / 1e6 - epoch_us(first) / 1e6) * 86400) AS drain FROM o)
+SELECT round(drain, 6) AS drain_days, round(16 - drain, 6) AS margin_days, CASE WHEN 16 - drain >= 5 THEN 'FEASIBLE' WHEN 16 - drain >= 0 THEN 'TIGHT' ELSE 'INFEASIBLE' END AS verdict,
+round((epoch_us(TIMESTAMP '2024-03-01') / 1e6 - drain * 86400 - epoch_us(TIMESTAMP '2024-02-14') / 1e6) / 86400, 4) AS resume_in_days FROM r""")
+def _(spark, sf_dir):
+    at = lambda s: F.lit(s).cast("timestamp")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"))
+    out = audit.drain_forecast(events, 5000, at("2024-02-10"), at("2024-03-01"), resume=at("2024-02-14"))
+    left = (F.col("resume_by").cast("double") - at("2024-02-14").cast("double")) / 86400
+    return rounded(out.select("drain_days", "margin_days", "verdict", F.round(left, 4).alias("resume_in_days")))
+
+
+@query("result_findings", """WITH l AS (SELECT DISTINCT o_custkey AS candidate FROM orders WHERE o_custkey % 3 = 0), g AS (SELECT c_custkey AS candidate FROM customer WHERE c_custkey % 6 = 0),
+v AS (SELECT l_suppkey AS run, l_returnflag AS scheme, list(l_linenumber::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey) AS scores FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY ALL),
+w AS (SELECT run * 10 AS candidate, scheme, scores FROM v WHERE run % 4 = 1 UNION ALL SELECT run * 10 + 1, scheme, list_append(scores, 9.0) FROM v WHERE run % 4 = 3)
+SELECT 'finding' AS severity, 'ORPHAN' AS code, coalesce(l.candidate, g.candidate)::VARCHAR AS subject, CASE WHEN l.candidate IS NULL THEN 'not in ledger' ELSE 'no gate report' END AS detail FROM l FULL JOIN g ON l.candidate = g.candidate WHERE l.candidate IS NULL OR g.candidate IS NULL
+UNION ALL SELECT CASE WHEN n_regionkey = 1 THEN 'error' ELSE 'finding' END, 'LOFO_RAW', n_nationkey || '/spatial', CASE WHEN n_regionkey = 1 THEN 'raw mean differs' ELSE 'no raw score' END FROM nation WHERE n_regionkey IN (1, 2)
+UNION ALL SELECT 'error', 'UNMIRRORED', candidate || '/' || scheme, 'no run has these fold scores' FROM w WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.scheme = w.scheme AND v.scores = w.scores)""")
+def _(spark, sf_dir):
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    ledger_, gates = read("orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("candidate")), read("customer").where("c_custkey % 6 = 0").select(F.col("c_custkey").alias("candidate"))
+    run, scheme = F.col("n_nationkey").alias("run"), F.lit("spatial").alias("scheme")
+    raw = read("nation").where("n_regionkey <> 2").select(run, scheme, F.when(F.col("n_regionkey") == 1, 50.0).otherwise(F.col("n_nationkey") / 10.0).alias("macro_mean"))
+    lofo = read("nation").select(run, scheme, (F.col("n_nationkey") / 10.0).alias("raw_mean"))
+    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    views = read("lineitem").where("l_suppkey % 2 = 1").groupBy(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("scheme")).agg(order.alias("o"))
+    views = views.select("run", "scheme", F.transform("o", lambda x: x["l_linenumber"].cast("double")).alias("scores"))
+    same = views.where("run % 4 = 1").select((F.col("run") * 10).alias("candidate"), "scheme", "scores")
+    other = views.where("run % 4 = 3").select((F.col("run") * 10 + 1).alias("candidate"), "scheme", F.array_append("scores", F.lit(9.0)).alias("scores"))
+    return audit.result_findings(ledger_, gates, lofo, raw, views, same.union(other))

@@ -8,7 +8,7 @@ from gridloom.operators import audit, commands, components, ensemble, features,
 from gridloom.plans.control import sized
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import rounded
-from gridloom.plans.spatial import MEMBERS, marked, members
+from gridloom.plans.spatial import MEMBERS, marked, members, reach_sql
 from gridloom.streaming import ledger
 
 QUERIES, SQL = {}, {}
@@ -63,7 +63,17 @@ def _(spark, sf_dir):
     return masks.assign_components(components.label(marked(spark, sf_dir), tile=32), 5, 7)
 
 
-@query("trace_ends")
+TRACES = reach_sql("v > 0.1") + """, big AS (SELECT component, row, col, count(*) OVER w AS n, row - min(row) OVER w AS r, col - min(col) OVER w AS c FROM labelled WINDOW w AS (PARTITION BY component) QUALIFY n >= 6),
+s AS (SELECT component, count(*) * sum(r * r) - sum(r) * sum(r) AS a, count(*) * sum(r * c) - sum(r) * sum(c) AS b, count(*) * sum(c * c) - sum(c) * sum(c) AS d FROM big GROUP BY component),
+u AS (SELECT component, round(cos(atan2(2 * b, a - d) / 2), 12) AS ur, round(sin(atan2(2 * b, a - d) / 2), 12) AS uc FROM s),
+x AS (SELECT component, row, col, n, round(CASE WHEN CASE WHEN abs(ur) >= abs(uc) THEN ur ELSE uc END < 0 THEN -1 ELSE 1 END * (r * ur + c * uc), 9) AS along FROM big JOIN u USING (component)),
+q AS (SELECT component, quantile_cont(along, 0.7) AS cut FROM x GROUP BY component),
+k AS (SELECT x.*, along >= cut AS beyond, row_number() OVER (PARTITION BY component ORDER BY along, row, col) AS turn FROM x JOIN q USING (component))
+SELECT component::BIGINT AS component, row::BIGINT AS row, col::BIGINT AS col, CASE WHEN bool_or(beyond) OVER w AND NOT bool_and(beyond) OVER w THEN beyond
+  ELSE turn > n - least(n - 1, greatest(1, round(n * 0.3)::BIGINT)) END AS withheld FROM k WINDOW w AS (PARTITION BY component)"""
+
+
+@query("trace_ends", TRACES)
 def _(spark, sf_dir):
     return masks.trace_ends(components.label(raster(spark, sf_dir).where("v > 0.1"), tile=32), 6)
 

@@ -48,12 +48,16 @@ def marked(spark, sf_dir):
     return raster(spark, sf_dir).where("v > 0.2")
 
 
-REACH = f"""WITH RECURSIVE {RASTER}, m AS MATERIALIZED (SELECT row, col FROM raster WHERE v > 0.2), near AS MATERIALIZED (
+def reach_sql(where: str) -> str:
+    return f"""WITH RECURSIVE {RASTER}, m AS MATERIALIZED (SELECT row, col FROM raster WHERE {where}), near AS MATERIALIZED (
   SELECT a.row * 4294967296 + a.col AS a, b.row * 4294967296 + b.col AS b FROM m a, (SELECT range - 1 AS dy FROM range(3)), (SELECT range - 1 AS dx FROM range(3)) JOIN m b ON b.row = a.row + dy AND b.col = a.col + dx
 ), reach(a, b) AS (SELECT a, a FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
 labelled AS (SELECT (a // 4294967296) AS row, (a % 4294967296) AS col, min(b) AS component FROM reach GROUP BY a)"""
 
 
+REACH = reach_sql("v > 0.2")
+
+
 @query("components8", REACH + " SELECT row::BIGINT AS row, col::BIGINT AS col, component::BIGINT AS component FROM labelled")
 def _(spark, sf_dir):
     return components.label(marked(spark, sf_dir), tile=32)

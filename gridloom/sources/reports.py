@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +55,26 @@ def write_fold_map(cells: DataFrame, path: str) -> None:
     cells.select("row", "col", F.coalesce("fold", F.lit(-1)).cast("short").alias("fold")).write.mode("overwrite").parquet(path)
 
 
+def write_json(report: dict, path: str) -> None:
+    """Indented, with sorted keys, under another name first and then renamed, so that no reader sees half a report."""
+    text = json.dumps(report, indent=2, sort_keys=True, default=str)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as out:
+        out.write(text + "\n")
+        out.flush()
+        os.fsync(out.fileno())
+    os.replace(f"{path}.tmp", path)
+
+
+def signature(cells: DataFrame, height: int, width: int, crs: str | None = None, transform: tuple[float, ...] = (), bounds: tuple[float, ...] = (), nodata: float | None = None, tags: list[dict] | None = None) -> dict:
+    """Geometry and bands of a cell table; numbers that are not finite become text."""
+    plain = lambda x: x if x is None or math.isfinite(x) else str(x)
+    bands = [f for f in cells.schema.fields if f.name not in ("row", "col")]
+    return {
+        "height": height, "width": width, "count": len(bands), "bands": [f.name for f in bands], "dtypes": [f.dataType.simpleString() for f in bands], "crs": crs,
+        "transform": [plain(x) for x in transform], "bounds": [plain(x) for x in bounds], "nodata": plain(nodata), "band_tags": tags or [{} for _ in bands],
+    }
+
+
 def geotiff(spark: SparkSession, path: str) -> DataFrame:
     """Cells of a GeoTIFF; needs rasterio on the executors."""
     try:

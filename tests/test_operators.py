@@ -316,6 +316,51 @@ def test_chains_of_tasks(spark):
         audit.chains(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
 
 
+def test_thinning_does_not_depend_on_tiles(spark):
+    rng = np.random.default_rng(7)
+    mask = rng.random((40, 33)) < 0.75
+    mask[5:30, 8:20] = True
+    cells = spark.createDataFrame([(int(r), int(c)) for r, c in zip(*np.nonzero(mask))], "row int, col int")
+    want = set(zip(*(x.tolist() for x in np.nonzero(geometry.thin(mask)))))
+    for tile, halo in ((8, 4), (16, 2), (64, 8)):
+        assert {(r.row, r.col) for r in geometry.thin_cells(cells, tile, halo).collect()} == want
+
+
+def test_lineament_settings():
+    assert stencils.lineament_settings({}) == {"kind": "phase_edge", "sigma": 1.0, "epsilon": 1.0, "window": 3.0, "wavelength": 8.0, "angles": 8}
+    assert stencils.lineament_settings({"kind": "wavelet_entropy", "wavelet_levels": [1, 2], "ridge_valley_scales": [1, 2], "other": 1})["levels"] == (1, 2)
+    for bad in ({"kind": "x"}, {"wavelet_levels": [7]}, {"wavelet_levels": []}, {"sigma_pixels": -1}, {"steerable_orientations": 0}, {"ridge_valley_scales": [0]}):
+        with pytest.raises(ValueError):
+            stencils.lineament_settings(bad)
+
+
+def test_queue_states(spark):
+    from gridloom.operators import audit
+
+    def state(*rows, hours=1):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, started timestamp, done timestamp, failed timestamp, locked boolean, waiting boolean")
+        return audit.queue_state(df, F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr(f"interval {hours} hours")).first().state
+
+    import datetime
+
+    t = datetime.datetime(2024, 1, 1)
+    assert state((t, t, None, True, False)) == "ALL-DONE" and state((t, None, t, True, False)) == "STOPPED"
+    assert state((t, None, None, True, False)) == "RUNNING" and state((t, None, None, True, True)) == "RUNNING-WAIT-MEM" and state((t, None, None, True, False), hours=60) == "RUNNING-STALLED"
+    assert state((t, None, None, False, False)) == "INTERRUPTED" and state((None, None, None, False, False)) == "NOT-RUNNING"
+
+
+def test_reports_are_written_whole(spark, tmp_path):
+    import json
+
+    from gridloom.sources import reports
+
+    reports.write_json({"b": 1, "a": float("inf")}, str(tmp_path / "r.json"))
+    assert (tmp_path / "r.json").read_text().startswith('{\n  "a"') and [p.name for p in tmp_path.iterdir()] == ["r.json"]
+    cells = spark.createDataFrame([(0, 0, 1.0, True)], "row long, col long, v double, valid boolean")
+    found = reports.signature(cells, 1, 1, "EPSG:32611", (100.0, float("nan")), nodata=float("-inf"))
+    assert found["dtypes"] == ["double", "boolean"] and found["nodata"] == "-inf" and found["transform"] == [100.0, "nan"] and json.dumps(found)
+
+
 def test_t_distribution():
     assert gate.student_t_cdf(0, 4) == pytest.approx(0.5)
     assert gate.student_t_cdf(2.776445105, 4) == pytest.approx(0.975, abs=1e-7)

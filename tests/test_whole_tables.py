@@ -72,3 +72,27 @@ def test_lofo_weights_fit_all_members(spark, monkeypatch):
         means = [sum(s for (c, k), s in by.items() if c == i and k != fold) / (len(found) - 1) for i in range(67)]
         best = max(round(x, 12) for x in means)
         assert candidate == [round(x, 12) for x in means].index(best) and mean == pytest.approx(best, abs=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are not there")
+def test_block_folds_of_all_rows(spark):
+    import numpy as np
+
+    data = "/root/testdata/sf0.1"
+    cells = raster(spark, data).select("row", "col").collect()
+    rows = -(-(1 + max(r.row for r in cells)) // 16)
+    order = np.random.default_rng(7).permutation(rows * 4)
+    fold = {int(b): i % 5 for i, b in enumerate(order)}
+    found = {(r.row, r.col): r.fold for r in registry.queries()["block_folds"](spark, data).collect()}
+    assert len(found) == len(cells) and all(found[r.row, r.col] == fold[r.row // 16 * 4 + r.col // 16] for r in cells)
+
+
+def test_component_folds_are_whole_and_even(spark):
+    data = "/root/testdata/sf0.001"
+    from gridloom.operators import components
+    from gridloom.plans.spatial import marked
+
+    sizes = {r.component: r.n for r in components.label(marked(spark, data), tile=32).groupBy("component").count().withColumnRenamed("count", "n").collect()}
+    found = {r.component: r.fold for r in registry.queries()["component_folds"](spark, data).collect()}
+    loads = [sum(sizes[c] for c, k in found.items() if k == fold) for fold in range(5)]
+    assert set(found) == set(sizes) and set(found.values()) == set(range(5)) and max(loads) - min(loads) <= max(sizes.values())
