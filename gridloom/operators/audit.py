@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import shlex
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,36 @@ from pyspark.sql import functions as F
 from gridloom.operators.grid import materialise
 
 
-def fingerprint(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """path, bytes, sha256 of every file below ``path``, sorted by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+def fingerprint(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 8 << 20) -> DataFrame:
+    """path, bytes, sha256 of every file below ``path``, sorted by path.
+
+    Files are listed on the driver and read where a task runs, ``chunk`` bytes at a time, so they may be of any size, empty ones too.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed, rows = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        one = listed.next()
+        if fnmatch(one.getPath().getName(), pattern):
+            rows.append((one.getPath().toString(), one.getLen()))
+    files = spark.createDataFrame(rows, "path string, length long").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism)))
+
+    def digest(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for uri in b.column("path").to_pylist():
+                local = uri.startswith("file:")
+                files, place = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(uri)
+                state = hashlib.sha256()
+                with files.open_input_stream(place, buffer_size=0) as source:
+                    while part := source.read(chunk):
+                        state.update(part)
+                found.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+    return files.mapInArrow(digest, "path string, bytes long, sha256 string").orderBy("path")
 
 
 def manifest_hash(entries: list[dict]) -> str:

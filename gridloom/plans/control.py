@@ -6,22 +6,13 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import audit, calibration, components, gate, geometry, metric, provenance, stencils, threshold
 from gridloom.plans import stencil_sql
+from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.spatial import reach_sql
 from gridloom.plans.scoring import LOFO, curve_sql, rounded, score_at
 from gridloom.streaming import ledger
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query = Plans()
 
 
 def sized(spark, sf_dir):

@@ -6,22 +6,13 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import audit, commands, components, ensemble, features, gate, grid, masks, provenance, tiling
 from gridloom.plans.control import sized
+from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import rounded
 from gridloom.plans.spatial import MEMBERS, marked, members, reach_sql
 from gridloom.streaming import ledger
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query = Plans()
 
 
 def read(spark, sf_dir, name):

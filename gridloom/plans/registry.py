@@ -12,8 +12,8 @@ MODULES = [scoring, spatial, control, inventory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.query.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+    return {k: v for m in MODULES for k, v in m.query.sql.items()}

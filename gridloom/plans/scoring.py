@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import metric, threshold
+from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query = Plans()
 
 
 def rounded(df, *keep: str):

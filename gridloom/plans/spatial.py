@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import components, ensemble, features, masks, tiling
+from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import components_sql, rounded
 
-QUERIES, SQL = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
+query = Plans()
 
 
 DISK2 = "disk AS (SELECT y.range - 2 AS dy, x.range - 2 AS dx FROM range(5) y, range(5) x WHERE (y.range - 2) ** 2 + (x.range - 2) ** 2 <= 4)"

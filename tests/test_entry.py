@@ -15,6 +15,21 @@ def test_works_without_the_corpus_operators(tmp_path):
     assert out.stdout.strip() == "True", out.stderr
 
 
+def test_a_broken_operator_is_not_passed_over(tmp_path):
+    """Only absent corpus operators are: a module that cannot import what it names is an error."""
+    package = tmp_path / "gridloom"
+    for p in ("__spark_entry__.py", "gridloom"):
+        subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(package / "llm")], check=True)
+    (package / "llm").mkdir()
+    (tmp_path / "corpus_pipeline.py").write_text("from gridloom.llm import registry\n")
+    (package / "llm" / "__init__.py").write_text("")
+    for broken in ("import no_such_module_at_all\n", "from gridloom.plans import no_such_plan\n", "import gridloom.llm.no_such_part\n"):
+        (package / "llm" / "registry.py").write_text(broken)
+        out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+        assert out.returncode != 0 and "no_such" in out.stderr
+
+
 def test_every_sql_has_a_query():
     sys.path.insert(0, str(ROOT))
     import __spark_entry__ as e

@@ -361,6 +361,25 @@ def test_reports_are_written_whole(spark, tmp_path):
     assert found["dtypes"] == ["double", "boolean"] and found["nodata"] == "-inf" and found["transform"] == [100.0, "nan"] and json.dumps(found)
 
 
+def test_runs_and_files_are_recorded(spark, tmp_path):
+    import hashlib
+    import json
+
+    from gridloom import functions
+    from gridloom.operators import audit, provenance
+
+    (tmp_path / "a b").mkdir()
+    contents = {"x.bin": b"x" * 100, "a b/y.bin": b"", "a b/z.bin": bytes(range(256)) * 50}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    found = {r.path: (r.bytes, r.sha256) for r in audit.fingerprint(spark, f"file://{tmp_path}", chunk=64).collect()}
+    assert sorted(found.values()) == sorted((len(x), hashlib.sha256(x).hexdigest()) for x in contents.values())
+    record = provenance.run_manifest(spark, "r", {"b": 1, "a": 2}, f"file://{tmp_path}")
+    assert record["config_sha256"] == provenance.run_manifest(spark, "r", {"a": 2, "b": 1}, f"file://{tmp_path}")["config_sha256"]
+    assert len(record["artifacts"]["files"]) == 3 and record["application"]["id"] == spark.sparkContext.applicationId and json.dumps(record)
+    assert all(callable(getattr(functions, name)) for name in functions.__all__)
+
+
 def test_t_distribution():
     assert gate.student_t_cdf(0, 4) == pytest.approx(0.5)
     assert gate.student_t_cdf(2.776445105, 4) == pytest.approx(0.975, abs=1e-7)
