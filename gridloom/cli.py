@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from gridloom.operators import audit, commands, components, gate, masks, metric, provenance, threshold
+from gridloom.operators import audit, calibration, commands, components, ensemble, geometry, gate, masks, metric, provenance, threshold
 from gridloom.sources import reports
 
 
@@ -16,6 +16,33 @@ def _rows(df) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+#: Commands that print the rows of a table made of one or more Parquet tables, and from numbers after them.
+TABLES = {
+    "optimum": (["cells"], lambda t: threshold.optimal_threshold(t[0])),
+    "lofo-stitched": (["cells"], lambda t: calibration.lofo_stitched(t[0])),
+    "own-fold": (["cells"], lambda t: calibration.own_fold_thresholds(t[0])),
+    "calibrate": (["cells"], lambda t: calibration.fit_and_evaluate(t[0])),
+    "rival": (["cells", "expected"], lambda t, expected: calibration.rival_scores(t[0], calibration.rival_threshold(float(expected)), threshold.lofo_thresholds(threshold.threshold_curve(t[0], ["fold"])))),
+    "discovery": (["predictions", "cells", "exclusion"], lambda t, exclusion: metric.evaluate_discovery(t[0], t[1], float(exclusion))),
+    "trace": (["predictions", "cells", "exclusion"], lambda t, exclusion: metric.evaluate_discovery(t[0], t[1], float(exclusion), True)),
+    "weights": (["members", "cells"], lambda t: ensemble.lofo_weights(ensemble.candidate_scores(t[0], t[1], sorted(r[0] for r in t[0].select("member").distinct().collect())))),
+    "align": (["members"], lambda t: ensemble.alignment_errors(t[0])),
+    "bands": (["cells", "names"], lambda t, names: audit.band_statistics(t[0], names.split(","))),
+    "thin": (["cells"], lambda t: geometry.thin_cells(t[0].where("truth"))),
+    "blocks": (["cells"], lambda t: components.block_quantiles(components.block_report(t[0]))),
+    "paired": (["scores", "incumbent", "candidate"], lambda t, incumbent, candidate: gate.paired_gate(t[0], ["view"], incumbent, candidate)),
+    "decide": (["scores", "incumbent", "candidate", "trials"], lambda t, incumbent, candidate, trials: gate.evaluate_candidate(t[0], incumbent, candidate, int(trials))),
+    "ablation": (["scores", "baseline"], lambda t, baseline: gate.ablation_summary(t[0], baseline)),
+    "chains": (["edges"], lambda t: audit.chains(t[0])),
+    "feeders": (["edges"], lambda t: audit.feeders(t[0])),
+    "drift": (["runs"], lambda t: audit.config_drift(t[0])),
+    "orphans": (["ledger", "gates"], lambda t: audit.ledger_orphans(t[0], t[1])),
+    "sync": (["queue", "checkout"], lambda t: audit.sync(t[0], t[1])),
+    "stages": (["events"], lambda t: audit.furthest_stage(t[0])),
+}
+IS_TABLE = {"cells", "predictions", "members", "scores", "edges", "runs", "ledger", "gates", "queue", "checkout", "events"}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridloom")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -26,11 +53,19 @@ def main(argv: list[str] | None = None) -> int:
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(a)
+    for name, (given, _) in TABLES.items():
+        p = sub.add_parser(name)
+        for a in given:
+            p.add_argument(a)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("gridloom").getOrCreate()
     cells = spark.read.parquet(args.cells) if hasattr(args, "cells") else None
     out: object
-    if args.command == "score":
+    if args.command in TABLES:
+        given, run = TABLES[args.command]
+        tables = [spark.read.parquet(getattr(args, a)) for a in given if a in IS_TABLE]
+        out = _rows(run(tables, *[getattr(args, a) for a in given if a not in IS_TABLE]))
+    elif args.command == "score":
         out = _rows(metric.tversky(cells))
     elif args.command == "score-folds":
         folds = metric.tversky(cells, ["fold"])

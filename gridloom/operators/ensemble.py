@@ -56,7 +56,7 @@ def candidate_scores(members: DataFrame, truth: DataFrame, names: list[str]) ->
 
     Which cells are near which truth does not depend on the weights, so pairs are found once and carry the members' predictions. What
     predictions cost is linear in them: sums by member do for all candidates. Only the best prediction near a truth
-    cell is taken for each, as columns of one aggregation.
+    cell is taken for each, from the pairs alone.
     """
     weights = weight_candidates(names)
     p = [F.coalesce(F.max(F.when(F.col("member") == m, F.col("p").cast("double"))), F.lit(0.0)).alias(f"p{i}") for i, m in enumerate(names)]
@@ -65,22 +65,17 @@ def candidate_scores(members: DataFrame, truth: DataFrame, names: list[str]) ->
     cells = cells.join(truth.where("valid").select("fold", "row", "col", "truth"), ["fold", "row", "col"])
     near = spread(cells.where("truth").select("fold", "row", "col"), kernel_offsets(RADIUS), ["fold"]).join(cells.drop("truth"), ["fold", "row", "col"])
 
-    def mixed(w: dict[str, float]):
-        return sum((F.col(c) * w[m] for c, m in zip(own, names)), F.lit(0.0))
-
-    best = near.groupBy("fold", "from_row", "from_col").agg(*[F.max(F.col("w") * mixed(w)).alias(f"b{j}") for j, w in enumerate(weights)])
-    best = best.groupBy("fold").agg(*[F.sum(f"b{j}").alias(f"b{j}") for j in range(len(weights))])
+    rows = F.array(*[F.struct(F.lit(j).alias("candidate"), *[F.lit(float(w[m])).alias(f"w{i}") for i, m in enumerate(names)]) for j, w in enumerate(weights)])
+    mixed = sum((F.col(c) * F.col(f"c.w{i}") for i, c in enumerate(own)), F.lit(0.0))
+    best = near.withColumn("c", F.explode(rows)).groupBy("fold", "from_row", "from_col", "c.candidate").agg(F.max(F.col("w") * mixed).alias("b"))
+    best = best.groupBy("fold", "candidate").agg(F.sum("b").alias("tp"))
     excused = near.groupBy("fold", "row", "col").agg(F.max("w").alias("w"), *[F.first(c).alias(c) for c in own])
     excused = excused.groupBy("fold").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"hit_{c}") for c in own])
     totals = cells.groupBy("fold").agg(F.count_if("truth").alias("n_truth"), *[F.sum(c).alias(f"all_{c}") for c in own])
-    wide = totals.join(best, "fold", "left").join(excused, "fold", "left")
-    free = [F.col(f"all_{c}") - F.coalesce(f"hit_{c}", F.lit(0.0)) for c in own]
-    rows = [
-        F.struct(F.lit(j).alias("candidate"), F.coalesce(f"b{j}", F.lit(0.0)).alias("tp"), sum((x * w[m] for x, m in zip(free, names)), F.lit(0.0)).alias("fp"))
-        for j, w in enumerate(weights)
-    ]
-    each = wide.select("fold", "n_truth", F.explode(F.array(*rows)).alias("c")).select("fold", "c.candidate", "c.tp", "c.fp", (F.col("n_truth") - F.col("c.tp")).alias("fn"))
-    return each.select("candidate", "fold", tversky_score().alias("score"))
+    free = [(F.col(f"all_{c}") - F.coalesce(f"hit_{c}", F.lit(0.0))).alias(c) for c in own]
+    each = totals.join(excused, "fold", "left").select("fold", "n_truth", *free, F.explode(rows).alias("c"))
+    each = each.select("fold", "n_truth", "c.candidate", mixed.alias("fp")).join(best, ["fold", "candidate"], "left").withColumn("tp", F.coalesce("tp", F.lit(0.0)))
+    return each.withColumn("fn", F.col("n_truth") - F.col("tp")).select("candidate", "fold", tversky_score().alias("score"))
 
 
 def lofo_weights(scores: DataFrame) -> DataFrame:

@@ -44,3 +44,34 @@ def test_queue(spark, tmp_path):
     assert [r.id for r in audit.insert_tasks(tasks, [{"id": "c", "cmd": "x"}, {"id": "d", "cmd": "y"}], "b").orderBy("ord").collect()] == ["a", "c", "d", "b"]
     with pytest.raises(ValueError):
         audit.insert_tasks(tasks, [{"id": "a", "cmd": "x"}], "b")
+
+
+def test_table_commands(spark, tmp_path, capsys):
+    rng = np.random.default_rng(0)
+    shape = (12, 10)
+    truth = rng.random(shape) < 0.2
+    fold = np.indices(shape)[1] // 5
+    table(spark, p=rng.random(shape), truth=truth, valid=np.ones(shape, bool), fold=fold).write.parquet(f"{tmp_path}/cells")
+    cells = spark.read.parquet(f"{tmp_path}/cells")
+    faults = cells.selectExpr("row", "col", "p", "valid", "truth", "case when truth then fold else -1 end as fold", "fold = 0 as fit", "fold = 1 as evaluate")
+    faults.write.parquet(f"{tmp_path}/faults")
+    cells.selectExpr("explode(array(0L, 1L)) as fold", "row", "col", "p").write.parquet(f"{tmp_path}/predictions")
+    cells.selectExpr("explode(array('a', 'b')) as member", "fold", "row", "col", "p").write.parquet(f"{tmp_path}/members")
+    spark.createDataFrame([("a", "b", "train"), ("b", "c", "train")], "src string, dst string, kind string").write.parquet(f"{tmp_path}/edges")
+    scores = [(v, r, k, 0.1 * k + (0.3 if r == "new" else 0) + 0.01 * k * (r == "new")) for v in "xy" for r in ("old", "new") for k in range(4)]
+    spark.createDataFrame(scores, "view string, run string, fold int, score double").write.parquet(f"{tmp_path}/scores")
+
+    def run(*args):
+        assert cli.main([args[0], *(f"{tmp_path}/{a}" if (tmp_path / a).exists() else a for a in args[1:])]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert run("optimum", "cells")[0]["method"] == "exact"
+    assert {r["fold"] for r in run("lofo-stitched", "cells")} == {0, 1} and len(run("own-fold", "cells")) == 2
+    assert 0 <= run("calibrate", "faults")[0]["evaluation_score"] <= 1
+    assert [set(r) >= {"rival", "lofo", "delta"} for r in run("rival", "cells", "0.5")] == [True, True]
+    assert {r["fold"] for r in run("discovery", "predictions", "faults", "1")} == {r["fold"] for r in run("trace", "predictions", "faults", "1")} == {0, 1}
+    assert len(run("weights", "members", "cells")) == 2 and run("align", "members") == []
+    assert run("bands", "cells", "p")[0]["n"] == 120 and len(run("thin", "cells")) <= truth.sum()
+    assert run("blocks", "cells")[0]["blocks"] == 1
+    assert {r["node"]: r["before"] for r in run("chains", "edges")} == {"a": 0, "b": 1, "c": 2} and len(run("feeders", "edges")) == 3
+    assert all(r["p"] < 0.01 for r in run("paired", "scores", "old", "new")) and run("decide", "scores", "old", "new", "0")[0]["accepted"] is True
