@@ -380,6 +380,25 @@ def test_runs_and_files_are_recorded(spark, tmp_path):
     assert all(callable(getattr(functions, name)) for name in functions.__all__)
 
 
+def test_training_origins_sample_negatives(spark):
+    """All positive tiles that are allowed enough and as many negatives as the ratio asks for, the generator's own choice of them."""
+    rng = np.random.default_rng(2)
+    rows, share, positive = [], {}, {}
+    for tile in [(r, c) for r in range(0, 40, 4) for c in range(0, 20, 4)]:
+        truth, allowed = rng.random((4, 4)) < 0.01 * (1 + 9 * (rng.random() < 0.3)), rng.random((4, 4)) < 0.9
+        share[tile], positive[tile] = allowed.mean(), bool(truth.any())
+        rows += [(*tile, bool(t), bool(a)) for t, a in zip(truth.ravel(), allowed.ravel())]
+    tiles = spark.createDataFrame(rows, "row0 long, col0 long, truth boolean, allowed boolean")
+    enough = sorted(t for t in share if share[t] >= 0.85)
+    negatives = [t for t in enough if not positive[t]]
+    for ratio in (0.0, 0.5, 1.0, 1e6):
+        found = {(r.row0, r.col0): r.positive for r in tiling.training_origins(tiles, 4, ratio, 0.85, 11).collect()}
+        own = [t for t in enough if positive[t]]
+        n = min(len(negatives), int(ratio * len(own)))
+        want = {negatives[i] for i in np.random.default_rng(11).choice(len(negatives), n, replace=False)} if n else set()
+        assert {t for t, x in found.items() if x} == set(own) and {t for t, x in found.items() if not x} == want and len(own) > 3
+
+
 def test_t_distribution():
     assert gate.student_t_cdf(0, 4) == pytest.approx(0.5)
     assert gate.student_t_cdf(2.776445105, 4) == pytest.approx(0.975, abs=1e-7)
