@@ -18,6 +18,9 @@ OPERATORS = {
     "op8_warc": "warczip",
     "op9_suffix_array_dedup": "suffixdup",
     "op10_mixing": "mixing",
+    "op11_spelling_variants": "spelling",
+    "op12_periodic_runs": "periodic",
+    "op13_quality_rules": "divergence",
 }
 _modules = {name: import_module(f"gridloom.llm.{module}") for name, module in OPERATORS.items()}
 
