@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import materialise
+from gridloom.operators.order import exact_quantiles
 
 
 def fingerprint(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 8 << 20) -> DataFrame:
@@ -52,11 +53,11 @@ def manifest_hash(entries: list[dict]) -> str:
 
 
 def band_statistics(cells: DataFrame, bands: list[str]) -> DataFrame:
-    """band, n, low, high, mean, std (population) and quantiles 0.01, 0.5, 0.99 of finite cells, in one pass over the wide table."""
+    """band, n, low, high, mean, std (population) and quantiles 0.01, 0.5, 0.99 of finite cells, all bands of the wide table at once."""
     long = cells.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("x")) for b in bands])).alias("s")).select("s.*")
     own = long.where("x is not null and not isnan(x)")
-    q = F.percentile("x", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    out = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), q.alias("q"))
+    out = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    out = out.join(exact_quantiles(own, "x", [0.01, 0.5, 0.99], ["band"]).select("band", "q"), "band")
     return out.select("band", "n", "low", "high", "mean", "std", F.col("q")[0].alias("q01"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q99"))
 
 

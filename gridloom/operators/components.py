@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import materialise, spread
+from gridloom.operators.order import exact_quantiles
 
 TILE = 128
 
@@ -89,7 +90,8 @@ QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
 def component_report(labelled: DataFrame, valid_cells: int, top: int = 10) -> tuple[DataFrame, DataFrame]:
     """One row of counts, prevalence and exact size quantiles; and the ``top`` largest components with their share (ties: lower number)."""
     table = component_table(labelled)
-    total = table.agg(F.count(F.lit(1)).alias("components"), F.sum("pixels").alias("pixels"), F.percentile("pixels", F.array(*map(F.lit, QUANTILES))).alias("size_quantiles"))
+    counts = table.agg(F.count(F.lit(1)).alias("components"), F.sum("pixels").alias("pixels"))
+    total = counts.join(F.broadcast(exact_quantiles(table, "pixels", QUANTILES).select(F.col("q").alias("size_quantiles"))))
     report = total.withColumn("prevalence", F.col("pixels") / F.lit(float(valid_cells)))
     largest = table.orderBy(F.desc("pixels"), "component").limit(top).join(F.broadcast(total.select(F.col("pixels").alias("all_pixels"))))
     return report, largest.withColumn("share", F.col("pixels") / F.col("all_pixels")).drop("all_pixels")
@@ -105,5 +107,5 @@ def block_report(cells: DataFrame, block: int = 256) -> DataFrame:
 def block_quantiles(blocks: DataFrame) -> DataFrame:
     """One row over ``block_report``: blocks, usable and positive ones, and the quantiles of truth cells in positive blocks."""
     positive = F.col("truth_cells") > 0
-    q = F.percentile(F.when(positive, F.col("truth_cells")), F.array(*map(F.lit, QUANTILES)))
-    return blocks.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("usable").alias("usable"), F.count_if(positive).alias("positive"), q.alias("truth_quantiles"))
+    counts = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("usable").alias("usable"), F.count_if(positive).alias("positive"))
+    return counts.join(F.broadcast(exact_quantiles(blocks.where(positive), "truth_cells", QUANTILES).select(F.col("q").alias("truth_quantiles"))))

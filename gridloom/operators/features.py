@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import NAN
+from gridloom.operators.order import exact_quantiles
 
 SHIFTS = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y, x) != (0, 0)]
 
@@ -40,8 +41,8 @@ def normalise_reference(cells: DataFrame, bands: list[str]) -> DataFrame:
 
 def percentile_clip(cells: DataFrame, band: str, mask: str, clip: float = 2.0) -> DataFrame:
     """Between the exact clip and 100 - clip percentiles of the mask, clipped to 0..1; NaN outside, 0.5 if constant."""
-    inside = F.when(F.col(mask) & finite(F.col(band)), F.col(band))
-    one = cells.agg(F.percentile(inside, F.array(F.lit(clip / 100), F.lit(1 - clip / 100))).alias("cut"))
+    inside = cells.where(F.col(mask) & finite(F.col(band)))
+    one = exact_quantiles(inside, band, [clip / 100, 1 - clip / 100]).select(F.col("q").alias("cut"))
     lo, hi, x = F.col("cut")[0], F.col("cut")[1], F.col(band)
     value = F.when(~F.col(mask) | lo.isNull() | ~finite(x), F.lit(NAN)).when(hi <= lo, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - lo, hi - lo))))
     return cells.join(F.broadcast(one)).withColumn(band, value).drop("cut")

@@ -6,12 +6,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.grid import disk_offsets, spread
+from gridloom.operators.distance import distances
+from gridloom.operators.grid import disk_offsets, materialise, spread
+from gridloom.operators.order import exact_quantiles, ranked
+
+
+#: Offsets of a disk up to which cells are spread over it (radii below 5); larger ones take the distance transform.
+DISK = 64
 
 
 def dilated(cells: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
-    """Distinct (by, row, col) within ``radius`` of the cells; a radius of 0 gives them back."""
+    """Distinct (by, row, col) within ``radius`` of the cells; a radius of 0 gives them back.
+
+    Beyond a few cells each would be spread over some thousands, so tiles' distance transforms are taken instead.
+    """
     by = by or []
+    if 3.15 * radius * radius > DISK:
+        return distances(cells, radius, by).select(*by, "row", "col")
     return spread(cells, disk_offsets(radius), by).select(*by, "row", "col").distinct()
 
 
@@ -128,7 +139,7 @@ def trace_ends(labelled: DataFrame, least: int = 24, fraction: float = 0.3) -> D
 
     The axis is that of the 2 x 2 covariance in closed form, of whole-number moments, its larger coordinate made positive; places along it
     are taken to nine digits, so that cells side by side are equal. If no cell lies beyond the quantile, the last round(fraction * n)
-    cells (1 to n - 1) are withheld. Ranks need one order of a component's cells; those alone go through a window.
+    cells (1 to n - 1) are withheld. Quantiles and ranks are taken in ranges, so that a component of any size is shared by many tasks.
     """
     low = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.min("col").alias("c0")).where(F.col("n") >= least)
     cells = labelled.join(low, "component").withColumn("r", (F.col("row") - F.col("r0")).cast("long")).withColumn("c", (F.col("col") - F.col("c0")).cast("long"))
@@ -138,9 +149,12 @@ def trace_ends(labelled: DataFrame, least: int = 24, fraction: float = 0.3) -> D
     axes = axes.select("component", F.round(F.cos(angle), 12).alias("ur"), F.round(F.sin(angle), 12).alias("uc"))
     sign = F.when(F.when(F.abs("ur") >= F.abs("uc"), F.col("ur")).otherwise(F.col("uc")) < 0, -1).otherwise(1)
     rows = cells.join(axes, "component").withColumn("along", F.round(sign * (F.col("r") * F.col("ur") + F.col("c") * F.col("uc")), 9))
-    cut = rows.groupBy("component").agg(F.percentile("along", 1 - fraction).alias("cut"), F.max("along").alias("most"), F.min("along").alias("fewest"))
-    rows = rows.join(cut, "component").withColumn("beyond", F.col("along") >= F.col("cut"))
-    order = Window.partitionBy("component").orderBy("along", "row", "col")
-    last = F.row_number().over(order) > F.col("n") - F.least(F.col("n") - 1, F.greatest(F.lit(1), F.round(F.col("n") * fraction).cast("long")))
+    rows = materialise(rows.select("component", "row", "col", "n", "along"), "along")
+    cut = rows.groupBy("component").agg(F.max("along").alias("most"), F.min("along").alias("fewest"))
+    cut = cut.join(exact_quantiles(rows, "along", [1 - fraction], ["component"]).select("component", F.col("q")[0].alias("cut")), "component")
     parted = (F.col("most") >= F.col("cut")) & (F.col("fewest") < F.col("cut"))
-    return rows.withColumn("last", last).select("component", "row", "col", F.when(parted, F.col("beyond")).otherwise(F.col("last")).alias("withheld"))
+    rows = rows.join(cut.withColumn("parted", parted), "component")
+    beyond = rows.where("parted").select("component", "row", "col", (F.col("along") >= F.col("cut")).alias("withheld"))
+    whole = ranked(rows.where("not parted").select("component", "row", "col", "n", "along"), ["component"], ["along", "row", "col"])
+    last = F.col("rank") > F.col("n") - F.least(F.col("n") - 1, F.greatest(F.lit(1), F.round(F.col("n") * fraction).cast("long")))
+    return beyond.union(whole.select("component", "row", "col", last.alias("withheld")))

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from gridloom.operators.order import exact_quantiles
 
 TILE = 256
 Arrays = dict[str, np.ndarray]
@@ -120,7 +121,8 @@ def scaled_by(values: DataFrame, cells: DataFrame, column: str, fit: str, quanti
     if stat is None:
         own = values.join(cells.where(F.col(fit) & F.col("valid")).select("row", "col"), ["row", "col"], "left_semi")
         size = F.abs(column)
-        stat = own.agg((F.max(size) if quantile is None else F.percentile(size, quantile)).alias("s")).first()["s"] or 0.0
+        one = own.agg(F.array(F.max(size)).alias("q")) if quantile is None else exact_quantiles(own, size, [quantile])
+        stat = (one.first()["q"] or [0.0])[0] or 0.0
     x = F.greatest(F.lit(low), F.least(F.lit(1.0), F.col(column) / stat)) if stat > least else F.lit(0.0)
     return values.withColumn(column, x)
 
@@ -184,12 +186,13 @@ def edge_strength(values: DataFrame, cells: DataFrame, column: str, epsilon: flo
 
 def log_edges(cells: DataFrame, bands: list[str], sigma: float, epsilon: float, fit: str, height: int, width: int, tile: int = TILE) -> DataFrame:
     """Edge strength of the bands' joint gradient: each band cut to its fit percentiles 2 and 98, smoothed; gradients' root mean square by the fit's largest."""
-    cuts = cells.where(F.col(fit) & F.col("valid")).agg(*[F.percentile(F.when(~F.isnan(b), F.col(b)), F.array(F.lit(0.02), F.lit(0.98))).alias(b) for b in bands]).first()
+    long = cells.where(F.col(fit) & F.col("valid")).select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("x")) for b in bands])).alias("s")).select("s.*")
+    cuts = {r["band"]: r["q"] for r in exact_quantiles(long, "x", [0.02, 0.98], ["band"]).collect()}
 
     def kernel(a: Arrays) -> Arrays:
         energy = np.zeros(a["valid"].shape)
         for b in bands:
-            lo, hi = cuts[b] or (0.0, 0.0)
+            lo, hi = cuts.get(b, (0.0, 0.0))
             x = np.clip((a[b] - lo) / (hi - lo), 0, 1) if hi > lo else np.full(a[b].shape, 0.5)
             s = masked_gaussian(x, a["valid"], sigma)
             energy += _gradient(s, 0) ** 2 + _gradient(s, 1) ** 2

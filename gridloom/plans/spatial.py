@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import components, ensemble, features, masks, tiling
+from gridloom.operators import components, distance, ensemble, features, masks, tiling
 from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.scoring import components_sql, rounded
@@ -35,6 +35,41 @@ def _(spark, sf_dir):
     return masks.discovery_masks(cells, 2, 2).groupBy("fold").agg(*[F.count_if(c).alias(c) for c in ("train_truth", "validation_truth", "train", "evaluation")])
 
 
+def within_sql(name: str, source: str, radius: int) -> str:
+    """CTEs: (k, row, col) within ``radius`` of the cells (k, row, col) of ``source``: rows to the nearest mark up and down each column, then columns beside."""
+    return f"""{name}_ends AS (SELECT min(row) - {radius} AS r0, max(row) + {radius} AS r1 FROM {source}),
+{name}_line AS (SELECT k, col, row, m.row IS NOT NULL AS marked FROM (SELECT DISTINCT k, col FROM {source}) CROSS JOIN (SELECT unnest(range(r0, r1 + 1)) AS row FROM {name}_ends) LEFT JOIN {source} m USING (k, col, row)),
+{name}_down AS (SELECT k, row, col, least(coalesce(row - max(CASE WHEN marked THEN row END) OVER up, 1000000), coalesce(min(CASE WHEN marked THEN row END) OVER down - row, 1000000)) AS g FROM {name}_line
+  WINDOW up AS (PARTITION BY k, col ORDER BY row), down AS (PARTITION BY k, col ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name} AS (SELECT DISTINCT k, row, (col + dx) AS col FROM {name}_down, (SELECT range - {radius} AS dx FROM range({2 * radius + 1})) WHERE g * g + dx * dx <= {radius * radius})"""
+
+
+@query("spatial_fold_masks_32", f"""WITH {RASTER}, v AS (SELECT row, col, fold FROM raster WHERE valid), folds AS (SELECT DISTINCT fold AS k FROM v), own AS (SELECT fold AS k, row, col FROM v),
+{within_sql("near", "own", 32)}
+SELECT k AS fold, CASE WHEN v.fold = k THEN 'validation' WHEN n.row IS NOT NULL THEN 'excluded' ELSE 'train' END AS role, count(*) AS cells
+FROM v CROSS JOIN folds LEFT JOIN near n USING (k, row, col) GROUP BY ALL""")
+def _(spark, sf_dir):
+    return masks.spatial_masks(raster(spark, sf_dir), 32).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("discovery_fold_masks_16", f"""WITH {RASTER}, v AS (SELECT row, col, truth AND v > 0.3 AS truth, CASE WHEN truth AND v > 0.3 THEN fold ELSE -1 END AS fold FROM raster WHERE valid),
+folds AS (SELECT DISTINCT fold AS k FROM v WHERE truth), known AS (SELECT k, row, col FROM v, folds WHERE truth AND fold <> k AND fold >= 0),
+held AS (SELECT k, row, col FROM v, folds WHERE truth AND fold = k), {within_sql("e", "known", 3)}, {within_sql("w", "held", 16)}
+SELECT k AS fold, count(*) FILTER (truth AND fold <> k) AS train_truth, count(*) FILTER (truth AND fold = k) AS validation_truth,
+count(*) FILTER (w.row IS NULL) AS train, count(*) FILTER (e.row IS NULL) AS evaluation
+FROM v CROSS JOIN folds LEFT JOIN e USING (k, row, col) LEFT JOIN w USING (k, row, col) GROUP BY k""")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir).withColumn("truth", F.expr("truth and v > 0.3")).withColumn("fold", F.when(F.col("truth"), F.col("fold")).otherwise(-1))
+    return masks.discovery_masks(cells, 16, 3).groupBy("fold").agg(*[F.count_if(c).alias(c) for c in ("train_truth", "validation_truth", "train", "evaluation")])
+
+
+@query("distance_transform", f"""WITH {RASTER}, m AS (SELECT row, col FROM raster WHERE truth AND v > 0.3)
+SELECT (m.row + dy)::BIGINT AS row, (m.col + dx)::BIGINT AS col, min(dy * dy + dx * dx)::BIGINT AS d2 FROM m, (SELECT range - 16 AS dy FROM range(33)), (SELECT range - 16 AS dx FROM range(33))
+WHERE dy * dy + dx * dx <= 256 GROUP BY ALL""")
+def _(spark, sf_dir):
+    return distance.distances(raster(spark, sf_dir).where("truth and v > 0.3"), 16)
+
+
 def marked(spark, sf_dir):
     return raster(spark, sf_dir).where("v > 0.2")
 
