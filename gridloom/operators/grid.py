@@ -6,23 +6,27 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAN = float("nan")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write to the folder that the session's executors share, under the application's id, and read back: loops stay short and recoverable."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that the session's executors share, under the application's id."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints"
-    path = f"{folder}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{folder}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: loops stay short and recoverable."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_ranges(df: DataFrame, order: list[str], label: str) -> DataFrame:

@@ -73,25 +73,3 @@ def signature(cells: DataFrame, height: int, width: int, crs: str | None = None,
         "height": height, "width": width, "count": len(bands), "bands": [f.name for f in bands], "dtypes": [f.dataType.simpleString() for f in bands], "crs": crs,
         "transform": [plain(x) for x in transform], "bounds": [plain(x) for x in bounds], "nodata": plain(nodata), "band_tags": tags or [{} for _ in bands],
     }
-
-
-def geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of a GeoTIFF; needs rasterio on the executors."""
-    try:
-        import rasterio  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError("GeoTIFF needs rasterio; use Parquet cells") from e
-    import pandas as pd
-
-    def decode(batches):
-        import numpy as np
-        from rasterio.io import MemoryFile
-
-        for b in batches:
-            for content in b["content"]:
-                with MemoryFile(content) as m, m.open() as src:
-                    data = src.read().astype("float64")
-                r, c = np.indices(data.shape[1:])
-                yield pd.DataFrame({"row": r.ravel(), "col": c.ravel(), "bands": list(data.reshape(len(data), -1).T)})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "row long, col long, bands array<double>")
