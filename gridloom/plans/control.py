@@ -88,15 +88,16 @@ def _(spark, sf_dir):
 
 
 #: Passes of half an iteration, more than the raster of any of the tables needs; the ring's cells are bits from the north, clockwise.
-THIN = reach_sql("v > 0.1") + """, o(dy, dx, bit) AS (VALUES (-1, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 8), (1, 0, 16), (1, -1, 32), (0, -1, 64), (-1, -1, 128)),
+THIN_STEPS = """o(dy, dx, bit) AS (VALUES (-1, 0, 1), (-1, 1, 2), (0, 1, 4), (1, 1, 8), (1, 0, 16), (1, -1, 32), (0, -1, 64), (-1, -1, 128)),
 z(i, row, col) AS (
   SELECT 0, row, col FROM m
   UNION ALL
   SELECT i + 1, row, col FROM (
     SELECT a.i, a.row, a.col, coalesce(sum(CASE WHEN b.row IS NOT NULL THEN bit ELSE 0 END), 0)::INT AS ring FROM z a CROSS JOIN o LEFT JOIN z b ON b.row = a.row + dy AND b.col = a.col + dx GROUP BY ALL)
   WHERE i < 40 AND NOT (bit_count(ring) BETWEEN 2 AND 6 AND bit_count((255 - ring) & ((ring >> 1) | ((ring & 1) << 7))) = 1
-    AND CASE WHEN i % 2 = 0 THEN ring & 21 <> 21 AND ring & 84 <> 84 ELSE ring & 69 <> 69 AND ring & 81 <> 81 END)
-)
+    AND CASE WHEN i % 2 = 0 THEN ring & 69 <> 69 AND ring & 81 <> 81 ELSE ring & 21 <> 21 AND ring & 84 <> 84 END)
+)"""
+THIN = f"""{reach_sql("v > 0.1")}, {THIN_STEPS}
 SELECT l.component::BIGINT AS component, z.row, z.col FROM z JOIN labelled l ON l.row = z.row AND l.col = z.col WHERE i = 40"""
 
 
@@ -105,33 +106,62 @@ def _(spark, sf_dir):
     return geometry.thin_components(components.label(raster(spark, sf_dir).where("v > 0.1"), tile=32))
 
 
-EXTENSION = f"""WITH {RASTER}, m AS (SELECT row, col FROM raster WHERE v > 0.2), tips AS (
-  SELECT a.row, a.col FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col HAVING count(*) = 1),
+def tips_sql(cells: str, window: int, turned: str, inside: str = "true") -> str:
+    """CTEs: d (row, col, dy, dx), the ends of the cells of ``cells`` and the direction out of them."""
+    return f"""tips AS (SELECT a.row, a.col FROM {cells} a JOIN {cells} b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY a.row, a.col HAVING count(*) = 1),
 s AS (SELECT t.row, t.col, covar_pop(m.row - t.row, m.row - t.row) AS a, covar_pop(m.row - t.row, m.col - t.col) AS b, covar_pop(m.col - t.col, m.col - t.col) AS c, avg(m.row - t.row) AS my, avg(m.col - t.col) AS mx
-  FROM tips t JOIN m ON abs(m.row - t.row) <= 5 AND abs(m.col - t.col) <= 5 GROUP BY t.row, t.col HAVING count(*) >= 3),
-u AS (SELECT row, col, my, mx, cos(atan2(2 * b, a - c) / 2) AS uy, sin(atan2(2 * b, a - c) / 2) AS ux FROM s),
-d AS (SELECT row, col, CASE WHEN uy * my + ux * mx > 0 THEN -uy ELSE uy END AS dy, CASE WHEN uy * my + ux * mx > 0 THEN -ux ELSE ux END AS dx FROM u),
-steps AS (SELECT d.row AS r, d.col AS c, step, p * exp(-0.15 * step) AS paint, round(d.row + dy * step)::BIGINT AS row, round(d.col + dx * step)::BIGINT AS col
+  FROM tips t JOIN {cells} m ON abs(m.row - t.row) <= {window} AND abs(m.col - t.col) <= {window} GROUP BY t.row, t.col HAVING count(*) >= 3),
+u AS (SELECT row, col, my, mx, round(cos(atan2(2 * b, a - c) / 2), 12) AS uy, round(sin(atan2(2 * b, a - c) / 2), 12) AS ux FROM s),
+away AS (SELECT row, col, CASE WHEN uy * my + ux * mx > 0 THEN -uy ELSE uy END AS dy, CASE WHEN uy * my + ux * mx > 0 THEN -ux ELSE ux END AS dx FROM u),
+back AS (SELECT row AS r, col AS c, dy, dx, trunc(row - k * dy)::BIGINT AS row, trunc(col - k * dx)::BIGINT AS col FROM away, (SELECT unnest([1, 2, 3]) AS k)),
+body AS (SELECT r, c, dy, dx, count(*) FILTER ({inside}) AS inside, count(m.row) FILTER ({inside}) AS body FROM back x LEFT JOIN {cells} m ON m.row = x.row AND m.col = x.col GROUP BY r, c, dy, dx),
+d AS (SELECT r AS row, c AS col, CASE WHEN {turned} THEN -dy ELSE dy END AS dy, CASE WHEN {turned} THEN -dx ELSE dx END AS dx FROM body)"""
+
+
+EXTENSION = f"""WITH {RASTER}, m AS (SELECT row, col FROM raster WHERE v > 0.2), size AS (SELECT max(row) AS h FROM raster),
+{tips_sql("m", 5, "inside > 0 AND body < 0.5 * inside", "x.row >= 0 AND x.row <= (SELECT h FROM size) AND x.col >= 0 AND x.col < 64")},
+steps AS (SELECT d.row AS r, d.col AS c, step, p * exp(-0.1 * step) AS paint, round_even(d.row + dy * step, 0)::BIGINT AS row, round_even(d.col + dx * step, 0)::BIGINT AS col
   FROM d JOIN raster USING (row, col), (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE p >= 0.01),
-met AS (SELECT s.*, coalesce(v > 0.2, true) AS blocked FROM steps s LEFT JOIN raster x ON x.row = s.row AND x.col = s.col),
+met AS (SELECT s.*, coalesce(v > 0.2 OR abs(v) * 4 < 0.3, true) AS blocked FROM steps s LEFT JOIN raster x ON x.row = s.row AND x.col = s.col),
 open_ AS (SELECT *, min(CASE WHEN blocked THEN step END) OVER (PARTITION BY r, c) AS stop FROM met)
 SELECT row, col, round(max(paint), 6) AS p FROM open_ WHERE stop IS NULL OR step < stop GROUP BY row, col"""
 
 
 @query("endpoint_extension", EXTENSION)
 def _(spark, sf_dir):
-    cells = raster(spark, sf_dir).withColumn("skeleton", F.col("v") > 0.2)
+    cells, h, w = sized(spark, sf_dir)
+    cells = cells.withColumn("skeleton", F.col("v") > 0.2).withColumn("edge", F.abs("v") * 4)
     skeleton = cells.where("skeleton")
-    tips = geometry.orientations(geometry.endpoints(skeleton), skeleton, 5)
-    return rounded(geometry.extend(tips, cells, 5))
+    tips = geometry.orientations(geometry.endpoints(skeleton), skeleton, 5, 0.5, h, w)
+    return rounded(geometry.extend(tips, cells, 5, edge="edge"))
+
+
+#: All paths of up to three moves, so a beam of 27 leaves none out.
+CURVED = f"""WITH RECURSIVE {RASTER}, m AS MATERIALIZED (SELECT row, col FROM raster WHERE valid AND p >= 0.6), {THIN_STEPS},
+sk AS MATERIALIZED (SELECT row, col FROM z WHERE i = 40), {tips_sql("sk", 15, "body = 0")},
+best AS (SELECT t.row, t.col, round(avg(r.p), 9) AS mean FROM tips t JOIN raster r ON abs(r.row - t.row) <= 1 AND abs(r.col - t.col) <= 1 GROUP BY t.row, t.col ORDER BY mean DESC, t.row, t.col LIMIT 200),
+h(k, dr, dc) AS (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)),
+g(tr, tc, depth, row, col, k, cost, path, ps) AS (
+  SELECT d.row, d.col, 0, d.row, d.col, (round_even(atan2(dy, dx) / (pi() / 4), 0)::INT + 8) % 8, 0::DOUBLE, [d.row * 1000 + d.col], []::DOUBLE[] FROM d JOIN best b ON b.row = d.row AND b.col = d.col
+  UNION ALL
+  SELECT tr, tc, depth + 1, r.row, r.col, h.k, cost - ln(r.p + 1e-6) + 0.5 * (turn * pi() / 4) ** 2, list_append(path, r.row * 1000 + r.col), list_append(ps, r.p)
+  FROM g CROSS JOIN (SELECT unnest([-1, 0, 1]) AS turn) JOIN h ON h.k = (g.k + turn + 8) % 8 JOIN raster r ON r.row = g.row + dr AND r.col = g.col + dc
+  WHERE depth < 3 AND r.valid AND r.p >= 0.3 AND NOT list_contains(path, r.row * 1000 + r.col)
+), chosen AS (SELECT * FROM g WHERE depth >= 2 QUALIFY row_number() OVER (PARTITION BY tr, tc ORDER BY depth DESC, cost) = 1),
+paint AS (SELECT unnest(path[2:]) AS cell, 0.6 * exp(-0.15 * unnest(range(depth))) AS paint FROM chosen WHERE list_avg(ps) >= 0.4)
+SELECT r.row, r.col, round(greatest(r.p, coalesce(max(x.paint), 0)), 6) AS p FROM raster r LEFT JOIN paint x ON x.cell = r.row * 1000 + r.col GROUP BY r.row, r.col, r.p"""
 
 
-@query("curved_paths")
+@query("curved_paths", CURVED)
 def _(spark, sf_dir):
-    cells = raster(spark, sf_dir).withColumn("skeleton", F.col("v") > 0.2)
-    skeleton = cells.where("skeleton")
-    tips = geometry.orientations(geometry.endpoints(skeleton), skeleton, 5)
-    return rounded(geometry.curved_paths(tips, cells, 6))
+    cells = raster(spark, sf_dir).select("row", "col", "p", "valid")
+    return rounded(geometry.curved_continuation(cells, 0.6, width=27, shortest=2)[0].drop("valid"))
+
+
+@query("curved_diagnostics", f"""WITH RECURSIVE {RASTER}, m AS MATERIALIZED (SELECT row, col FROM raster WHERE valid AND p >= 0.6), {THIN_STEPS}, sk AS MATERIALIZED (SELECT row, col FROM z WHERE i = 40), {tips_sql("sk", 15, "body = 0")}
+SELECT (SELECT count(*) FROM sk) AS skeleton_pixels, (SELECT count(*) FROM tips) AS endpoints, 200 AS budget, 3 AS max_steps""")
+def _(spark, sf_dir):
+    return geometry.curved_continuation(raster(spark, sf_dir).select("row", "col", "p", "valid"), 0.6)[1]
 
 
 OTHERS = "(SELECT r.* EXCLUDE (fold), k AS fold FROM raster r JOIN (SELECT DISTINCT fold AS k FROM raster) ON r.fold <> k)"
