@@ -46,6 +46,36 @@ def tversky(cells: DataFrame, by: list[str] | None = None, radius: float = RADIU
     return tversky_components(cells, by, radius).withColumn("score", tversky_score(alpha=alpha, beta=beta))
 
 
+#: No shift, then the eight neighbours.
+SHIFTS = ((0, 0), (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
+def shift_sensitivity(cells: DataFrame, shifts: tuple[tuple[int, int], ...] = SHIFTS, radius: float = RADIUS, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
+    """dy, dx, tp, fp, fn, score, delta and worst of the predictions moved by every shift, the first of which is the baseline.
+
+    A moved prediction counts where its cell and the one it came from are valid; elsewhere it is 0. A cell gathers its predictions under all shifts in one
+    array first; truth is then spread over the kernel once and meets these arrays in one join, and sums are kept by shift. worst marks the lowest score (of equal ones the
+    first shift).
+    """
+    n = len(shifts)
+    valid = cells.where("valid").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("p").cast("double").alias("p"), "truth")
+    moves = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(y).cast("long").alias("dy"), F.lit(x).cast("long").alias("dx")) for i, (y, x) in enumerate(shifts)])
+    moved = valid.select("row", "col", "p", F.explode(moves).alias("m")).select((F.col("row") + F.col("m.dy")).alias("row"), (F.col("col") + F.col("m.dx")).alias("col"), "m.s", "p")
+    wide = moved.groupBy("row", "col").agg(F.array(*[F.coalesce(F.max(F.when(F.col("s") == i, F.col("p"))), F.lit(0.0)) for i in range(n)]).alias("ps"))
+    own = valid.select("row", "col", "truth").join(wide, ["row", "col"], "left").withColumn("ps", F.coalesce("ps", F.array(*[F.lit(0.0)] * n)))
+    near = spread(own.where("truth"), kernel_offsets(radius)).join(own.drop("truth"), ["row", "col"])
+    each = lambda weight, i: weight * F.col("ps")[i]
+    best = near.groupBy("from_row", "from_col").agg(*[F.max(each(F.col("w"), i)).alias(f"m{i}") for i in range(n)]).agg(*[F.sum(f"m{i}").alias(f"tp{i}") for i in range(n)])
+    hit = near.groupBy("row", "col").agg(F.max("w").alias("w"), F.first("ps").alias("ps")).agg(*[F.sum(each(F.col("w"), i)).alias(f"hit{i}") for i in range(n)])
+    total = own.agg(F.count_if("truth").alias("g"), *[F.sum(F.col("ps")[i]).alias(f"all{i}") for i in range(n)])
+    value = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(y).alias("dy"), F.lit(x).alias("dx"), value(f"tp{i}").alias("tp"), (value(f"all{i}") - value(f"hit{i}")).alias("fp"), (F.col("g") - value(f"tp{i}")).alias("fn")) for i, (y, x) in enumerate(shifts)])
+    found = total.join(F.broadcast(best)).join(F.broadcast(hit)).select(F.transform(rows, lambda r: r.withField("score", tversky_score(r["tp"], r["fp"], r["fn"], alpha, beta))).alias("r"))
+    least = F.array_min(F.transform("r", lambda r: F.struct(r["score"], r["s"])))
+    out = found.select(F.explode("r").alias("x"), F.col("r")[0]["score"].alias("base"), least.alias("least"))
+    return out.select("x.dy", "x.dx", "x.tp", "x.fp", "x.fn", "x.score", (F.col("x.score") - F.col("base")).alias("delta"), (F.col("x.s") == F.col("least.s")).alias("worst"))
+
+
 def ambiguity_weights(cells: DataFrame, radius: float = RADIUS, soften: float = 0.5) -> DataFrame:
     """``cells`` with weight: 0 if invalid, ``soften`` strictly within ``radius`` of a valid truth cell but not on one, else 1."""
     near = [o for o in disk_offsets(radius) if 0 < (o[0] ** 2 + o[1] ** 2) ** 0.5 < radius]

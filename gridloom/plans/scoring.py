@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import metric, threshold
+from gridloom.operators import metric, threshold, tolerant
 from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 
@@ -137,3 +137,38 @@ round(least(1, greatest(0, CASE WHEN p >= 0.6 THEN (p - 0.6) / (1 - 0.6 + 1e-9)
 def _(spark, sf_dir):
     p = F.col("p")
     return rounded(raster(spark, sf_dir).select("row", "col", threshold.calibrated(p, 0.4, 0.9).alias("calibrated"), threshold.binary_threshold(p, 0.5).alias("positive"), threshold.soft_remap(p, 0.6).alias("remapped")))
+
+
+@query("shift_sensitivity", f"""WITH {RASTER}, {OFFSETS}, shifts(s, dy, dx) AS (VALUES (0, 0, 0), (1, -1, -1), (2, -1, 0), (3, -1, 1), (4, 0, -1), (5, 0, 1), (6, 1, -1), (7, 1, 0), (8, 1, 1)),
+cell AS MATERIALIZED (SELECT s, r.row, r.col, r.truth, coalesce(x.p, 0) AS p FROM raster r CROSS JOIN shifts LEFT JOIN (SELECT * FROM raster WHERE valid) x ON x.row = r.row - dy AND x.col = r.col - dx WHERE r.valid),
+near AS (SELECT t.s, t.row AS tr, t.col AS tc, c.row, c.col, c.p, o.w FROM cell t, offsets o JOIN cell c ON c.s = t.s AND c.row = t.row + o.dy AND c.col = t.col + o.dx WHERE t.truth),
+best AS (SELECT s, sum(m) AS tp FROM (SELECT s, tr, tc, max(w * p) AS m FROM near GROUP BY ALL) GROUP BY s), hit AS (SELECT s, sum(m) AS hit FROM (SELECT s, row, col, max(w) * max(p) AS m FROM near GROUP BY ALL) GROUP BY s),
+parts AS (SELECT s, tp, sum(p) - hit AS fp, count(*) FILTER (truth) - tp AS fn FROM cell JOIN best USING (s) JOIN hit USING (s) GROUP BY s, tp, hit), scores AS (SELECT *, {SCORE} AS score FROM parts)
+SELECT dy, dx, {ROUND}, round(score, 6) AS score, round(score - (SELECT score FROM scores WHERE s = 0), 6) + 0.0 AS delta, s = (SELECT s FROM scores ORDER BY score, s LIMIT 1) AS worst FROM scores JOIN shifts USING (s)""")
+def _(spark, sf_dir):
+    return rounded(metric.shift_sensitivity(raster(spark, sf_dir)))
+
+
+#: Weights at which the loss and its gradient are compared.
+THETA = [1.5, -0.5, -0.3]
+GRADIENT = f"""WITH {RASTER}, {OFFSETS}, cell AS MATERIALIZED (SELECT row, col, truth, v, p AS q, 1 / (1 + exp(-(1.5 * v - 0.5 * p - 0.3))) AS p FROM raster WHERE valid),
+near AS MATERIALIZED (SELECT t.row AS tr, t.col AS tc, c.*, o.w FROM cell t, offsets o JOIN cell c ON c.row = t.row + o.dy AND c.col = t.col + o.dx WHERE t.truth),
+top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY tr, tc ORDER BY w * p DESC, row, col) = 1),
+t AS (SELECT sum(w * p) AS tp, count(*) AS g, sum(w * p * (1 - p) * v) AS t0, sum(w * p * (1 - p) * q) AS t1, sum(w * p * (1 - p)) AS t2 FROM top),
+field AS (SELECT c.*, 1 - coalesce(k, 0) AS miss FROM cell c LEFT JOIN (SELECT row, col, max(w) AS k FROM near GROUP BY ALL) USING (row, col)),
+f AS (SELECT sum(miss * p) AS fp, sum(miss * p * (1 - p) * v) AS f0, sum(miss * p * (1 - p) * q) AS f1, sum(miss * p * (1 - p)) AS f2 FROM field),
+d AS (SELECT *, g - tp AS fn, tp + 0.2 * fp + 0.8 * (g - tp) + 1e-12 AS whole FROM t, f)
+SELECT {ROUND}, round(1 - tp / whole, 6) AS loss, {', '.join(f'round(-(t{i} * whole - tp * (0.2 * t{i} + 0.2 * f{i})) / whole ** 2, 6) + 0.0 AS g{i}' for i in range(3))} FROM d"""
+
+
+@query("tolerant_gradient", GRADIENT)
+def _(spark, sf_dir):
+    one = tolerant.loss_and_gradient(tolerant.examples(raster(spark, sf_dir), ["v", "p"]), THETA)
+    return rounded(one.select("tp", "fp", "fn", "loss", *[F.col("gradient")[i].alias(f"g{i}") for i in range(3)]))
+
+
+@query("tolerant_training")
+def _(spark, sf_dir):
+    cells = raster(spark, sf_dir)
+    theta, _ = tolerant.fit(tolerant.examples(cells.where("fold <> 0"), ["v"]), steps=8)
+    return rounded(metric.tversky(tolerant.predict(cells.where("fold = 0"), ["v"], theta)))
