@@ -7,11 +7,11 @@ import json
 import shlex
 from fnmatch import fnmatch
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import materialise
-from gridloom.operators.order import exact_quantiles
+from gridloom.operators.order import exact_quantiles, ranked
 
 
 def fingerprint(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 8 << 20) -> DataFrame:
@@ -138,11 +138,33 @@ def lofo_matches(lofo: DataFrame, raw: DataFrame, tolerance: float = 1e-6) -> Da
     return both.withColumn("finding", F.when(F.col("own").isNull(), "no raw score").when(off, "raw mean differs")).where("finding is not null").select("run", "scheme", "finding")
 
 
+#: Width of the grid's cells by which vectors meet, and where its lines lie, off round numbers; first coordinates that it parts.
+CELL, LINES, FIRST = 1e-6, 0.37, 6
+
+
 def mirrored(views: DataFrame, gates: DataFrame, tolerance: float = 1e-9) -> DataFrame:
-    """Gate views whose fold scores equal those of a run's view within ``tolerance``."""
-    near = F.forall(F.zip_with("scores", "gate_scores", lambda a, b: F.abs(a - b) <= tolerance), lambda x: F.coalesce(x, F.lit(False)))
-    g = gates.select("candidate", "scheme", F.col("scores").alias("gate_scores"))
-    return g.join(views.select("run", "scheme", "scores"), "scheme").where((F.size("scores") == F.size("gate_scores")) & near).select("candidate", "scheme", "run")
+    """Gate views whose fold scores equal those of a run's view within ``tolerance``; vectors with a null or NaN equal none.
+
+    Vectors meet by their length, the grid cells of their first coordinates and that of their sum, and are compared then. A gate's vector also goes to the next
+    cell where a line is within the tolerance, so that no pair is missed; all vectors of a scheme never meet.
+    """
+    width = max(CELL, 4 * tolerance)
+    sound = lambda df: df.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    total = F.aggregate("v", F.lit(0.0), lambda x, y: x + y)
+    cell = lambda x, by=0.0: F.floor((x + by) / width + LINES)
+    reach = F.size("v") * tolerance + F.abs(total) * 1e-12
+    own = sound(views.select("run", "scheme", F.col("scores").cast("array<double>").alias("v")))
+    own = own.withColumn("cells", F.transform(F.slice("v", 1, FIRST), lambda x: cell(x))).withColumn("sum", cell(total))
+    g = sound(gates.select("candidate", "scheme", F.col("scores").cast("array<double>").alias("v")))
+    both = lambda x, by: F.array_distinct(F.array(cell(x, -by), cell(x, by)))
+    for i in range(FIRST):
+        value = F.get("v", F.lit(i))
+        g = g.withColumn(f"c{i}", F.explode(F.when(value.isNull(), F.array(F.lit(None).cast("long"))).otherwise(both(value, tolerance))))
+    g = g.withColumn("cells", F.filter(F.array(*[f"c{i}" for i in range(FIRST)]), lambda x: x.isNotNull())).withColumn("sum", F.explode(F.sequence(cell(total, -reach), cell(total, reach))))
+    g = g.select("candidate", "scheme", F.col("v").alias("gate_v"), "cells", "sum")
+    near = F.forall(F.zip_with("v", "gate_v", lambda a, b: F.abs(a - b) <= tolerance), lambda x: x)
+    met = g.join(own, ["scheme", "cells", "sum"]).where((F.size("v") == F.size("gate_v")) & near)
+    return met.select("candidate", "scheme", "run")
 
 
 def result_findings(ledger: DataFrame, gates: DataFrame, lofo: DataFrame, raw: DataFrame, views: DataFrame, gate_views: DataFrame) -> DataFrame:
@@ -192,16 +214,17 @@ def furthest_stage(events: DataFrame) -> DataFrame:
 
 
 def insert_tasks(tasks: DataFrame, new: list[dict], anchor: str) -> DataFrame:
-    """The queue with ``new`` tasks before the anchor, ordinals renumbered; the anchor must come once and ids be unique."""
-    ids = [r["id"] for r in tasks.select("id").collect()]
-    if ids.count(anchor) != 1:
+    """The queue with ``new`` tasks before the anchor, ordinals renumbered; the anchor must come once and ids be unique. Only counts come to the driver."""
+    names = [t["id"] for t in new]
+    seen = tasks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+    one = seen.agg(F.max("n").alias("n"), F.sum(F.when(F.col("id") == anchor, F.col("n"))).alias("anchors"), F.max(F.when(F.col("id") == anchor, F.col("ord"))).alias("at"), F.count_if(F.col("id").isin(names)).alias("taken")).first()
+    if one["anchors"] != 1:
         raise ValueError("the anchor must come exactly once")
-    if len(set(ids) | {t["id"] for t in new}) != len(ids) + len(new):
+    if one["n"] > 1 or one["taken"] or len(set(names)) < len(names):
         raise ValueError("ids must be unique")
-    at = tasks.where(F.col("id") == anchor).first()["ord"]
-    rows = tasks.sparkSession.createDataFrame([(float(at) - 1 + (i + 1) / (len(new) + 1), t["id"], t.get("step"), t["cmd"], t.get("note")) for i, t in enumerate(new)], "ord double, id string, step int, cmd string, note string")
-    both = tasks.select(F.col("ord").cast("double").alias("ord"), "id", "step", "cmd", "note").union(rows)
-    return both.withColumn("ord", (F.row_number().over(Window.orderBy("ord")) - 1).cast("int"))
+    rows = tasks.sparkSession.createDataFrame([(one["at"], i, t["id"], t.get("step"), t["cmd"], t.get("note")) for i, t in enumerate(new)], "ord long, k int, id string, step int, cmd string, note string")
+    both = tasks.select(F.col("ord").cast("long").alias("ord"), F.lit(len(new)).alias("k"), "id", "step", "cmd", "note").union(rows)
+    return ranked(both, [], ["ord", "k"], "place").select((F.col("place") - 1).cast("int").alias("ord"), "id", "step", "cmd", "note")
 
 
 def feeders(edges: DataFrame, target: str = "decision") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.distance import distances
@@ -113,25 +113,52 @@ def split_errors(cells: DataFrame, scheme: str) -> list[str]:
     return errors
 
 
-def least_loaded(sizes: list[int], folds: int, seed: int) -> list[int]:
-    """Longest first onto the least loaded fold; ties of size and load fall at random (PCG64)."""
-    if len(sizes) < folds:
+def longest_first(counts: dict[int, int], folds: int) -> dict[int, list[int]]:
+    """How many items of each size every fold gets, largest sizes first, each item to the fold of the least load (of equal ones the first).
+
+    Items of a size are dealt at once: folds below a common level are filled up to it, then the rest one by one. So the work grows with the
+    number of sizes, not of items.
+    """
+    if sum(counts.values()) < folds:
         raise ValueError("fewer components than folds")
-    rng = np.random.default_rng(seed)
-    order = np.lexsort((rng.random(len(sizes)), -np.asarray(sizes)))
-    loads, out = np.zeros(folds, np.int64), [0] * len(sizes)
-    for i in order:
-        best = np.flatnonzero(loads == loads.min())
-        k = int(rng.choice(best))
-        out[i], loads[k] = k, loads[k] + sizes[i]
+    loads, out = [0] * folds, {}
+    for size in sorted(counts, reverse=True):
+        left, got = counts[size], [0] * folds
+        low, high = min(loads), max(loads) + size * (left // folds + 1)
+        while low < high:  # the highest load below which items still go, without going over their number
+            mid = (low + high + 1) // 2
+            if sum(max(0, -(-(mid - x) // size)) for x in loads) <= left:
+                low = mid
+            else:
+                high = mid - 1
+        for k in range(folds):
+            got[k] = max(0, -(-(low - loads[k]) // size))
+            loads[k] += got[k] * size
+        for _ in range(left - sum(got)):
+            k = min(range(folds), key=lambda i: (loads[i], i))
+            got[k] += 1
+            loads[k] += size
+        out[size] = got
     return out
 
 
 def assign_components(labelled: DataFrame, folds: int, seed: int) -> DataFrame:
-    """component, fold: one row a component comes to the driver for the greedy assignment, and goes back as a table."""
-    rows = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy("component").collect()
-    table = list(zip([r["component"] for r in rows], least_loaded([r["n"] for r in rows], folds, seed)))
-    return labelled.sparkSession.createDataFrame(table, "component long, fold int")
+    """component, fold: longest first onto the least loaded fold; of one size those of the least MD5 of seed and component come first.
+
+    The driver sees how many components there are of each size, which are few numbers, and gives every fold its share of a size; components get their
+    folds by their rank within their size.
+    """
+    sizes = materialise(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    counts = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+    shares = []
+    for n, got in longest_first(counts, folds).items():
+        after = 0
+        for k, c in enumerate(got):
+            shares.append((n, k, after, after + c))
+            after += c
+    table = labelled.sparkSession.createDataFrame([s for s in shares if s[2] < s[3]], "n long, fold int, low long, high long")
+    rows = ranked(sizes.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "component").cast("binary"))), ["n"], ["h", "component"])
+    return rows.join(table, "n").where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high"))).select("component", "fold")
 
 
 def trace_ends(labelled: DataFrame, least: int = 24, fraction: float = 0.3) -> DataFrame:

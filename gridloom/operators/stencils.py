@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
 from gridloom.operators.order import exact_quantiles
 
 TILE = 256

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.grid import materialise
+from gridloom.operators.order import ranked
+
 
 def tile_starts(length: int, patch: int, overlap: int) -> list[int]:
     """Starts at the stride, and a last one that ends at the edge; one start if the patch covers all."""
@@ -72,18 +75,21 @@ def touched(tiles: DataFrame, selected: str) -> DataFrame:
     return tiles.where(selected).select("row0", "col0").distinct()
 
 
+def least_hashed(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` of the rows (all if there are fewer), those of the least MD5 of seed and keys: as good as drawn, and the same each time."""
+    drawn = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), *keys).cast("binary")))
+    return ranked(drawn, [], ["h", *keys]).where(F.col("rank") <= n).drop("h", "rank")
+
+
 def training_origins(tiles: DataFrame, patch: int, ratio: float, allowed_fraction: float, seed: int) -> DataFrame:
-    """row0, col0, positive: all tiles with truth that are allowed enough, and ratio times as many of the others (PCG64).
+    """row0, col0, positive: all tiles with truth that are allowed enough, and ratio times as many of the others, drawn by ``seed``.
 
-    One row a tile comes to the driver, for equal results from one generator.
+    The exact number is taken by ranks of hashes in ranges; only counts come to the driver.
     """
     stats = tiles.groupBy("row0", "col0").agg(F.bool_or("truth").alias("positive"), (F.count_if("allowed") / F.lit(float(patch * patch))).alias("share"))
-    rows = stats.where(F.col("share") >= allowed_fraction).orderBy("row0", "col0").collect()
-    positive, negative = ([r for r in rows if r["positive"] == x] for x in (True, False))
-    n = min(len(negative), int(ratio * len(positive)))
-    chosen = np.sort(np.random.default_rng(seed).choice(len(negative), n, replace=False)) if n else []
-    out = [(r["row0"], r["col0"], True) for r in positive] + [(negative[i]["row0"], negative[i]["col0"], False) for i in chosen]
-    return tiles.sparkSession.createDataFrame(out, "row0 long, col0 long, positive boolean")
+    good = materialise(stats.where(F.col("share") >= allowed_fraction).select("row0", "col0", "positive"), "tiles")
+    n = int(ratio * good.where("positive").count())
+    return good.where("positive").union(least_hashed(good.where("not positive"), ["row0", "col0"], n, seed))
 
 
 def patchify(cells: DataFrame, patch: int) -> DataFrame:
@@ -102,12 +108,11 @@ def padded_side(length: int, patch: int) -> int:
     return (length // patch + 1) * patch
 
 
-def holdout_tiles(tiles: DataFrame, share: float, seed: int) -> list[tuple[int, int]]:
-    """Origins of a random share of the tiles with truth and some finite elevation (PCG64)."""
+def holdout_tiles(tiles: DataFrame, share: float, seed: int) -> DataFrame:
+    """row0, col0 of a share (to the nearest number, halves to even) of the tiles with truth and some finite elevation, drawn by ``seed``."""
     good = tiles.groupBy("row0", "col0").agg(F.bool_or("truth").alias("t"), F.bool_or(F.col("elevation").isNotNull() & ~F.isnan("elevation")).alias("e"))
-    rows = [(r["row0"], r["col0"]) for r in good.where("t and e").orderBy("row0", "col0").collect()]
-    n = int(round(share * len(rows)))
-    return [rows[i] for i in np.sort(np.random.default_rng(seed).permutation(len(rows))[:n])]
+    good = materialise(good.where("t and e").select("row0", "col0"), "tiles")
+    return least_hashed(good, ["row0", "col0"], round(share * good.count()), seed)
 
 
 def accumulate(predictions: DataFrame, seeds: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import audit, calibration, components, gate, geometry, metric, provenance, stencils, threshold
@@ -49,8 +50,8 @@ def _(spark, sf_dir):
     return rounded(stencils.log_edges(cells, ["v"], 1.0, 1.0, "fit", h, w))
 
 
-WAVELET = f"""WITH {RASTER}, z AS (SELECT row, col, valid, CASE WHEN valid THEN v ELSE 0 END AS x FROM raster), n AS (SELECT max(row) AS h, max(col) AS w FROM z),
-s AS (SELECT z.*, d, CASE WHEN col + d > w THEN 2 * w - col - d ELSE col + d END AS beside, CASE WHEN row + d > h THEN 2 * h - row - d ELSE row + d END AS below FROM z CROSS JOIN n CROSS JOIN (SELECT unnest([1, 2]) AS d) AS l),
+WAVELET = stencil_sql.HEAD + stencil_sql.smooth("g", "base", 1.0) + """, z AS (SELECT row, col, valid, x FROM g), n AS (SELECT max(row) AS h, max(col) AS w FROM z),
+s AS (SELECT z.*, d, CASE WHEN col + d > w THEN 2 * w - col - d ELSE col + d END AS beside, CASE WHEN row + d > h THEN 2 * h - row - d ELSE row + d END AS below FROM z CROSS JOIN n CROSS JOIN (SELECT unnest([1, 2, 4]) AS d) AS l),
 e AS (SELECT s.row, s.col, s.valid, s.d, ((s.x + b.x) / 2 - (c.x + e.x) / 2) ** 2 + ((s.x - b.x) / 2 + (c.x - e.x) / 2) ** 2 + ((s.x - b.x) / 2 - (c.x - e.x) / 2) ** 2 AS e
   FROM s JOIN z AS b ON b.row = s.row AND b.col = s.beside JOIN z AS c ON c.row = s.below AND c.col = s.col JOIN z AS e ON e.row = s.below AND e.col = s.beside),
 t AS (SELECT *, sum(e) OVER (PARTITION BY row, col) AS whole FROM e)
@@ -60,7 +61,7 @@ SELECT row, col, round(CASE WHEN bool_or(valid AND whole > 1e-12) THEN greatest(
 @query("wavelet_entropy", WAVELET)
 def _(spark, sf_dir):
     cells, h, w = sized(spark, sf_dir)
-    return stencils.wavelet_entropy(cells, ["v"], 0.0, [1, 2], h, w).withColumn("entropy", F.round("entropy", 5) + 0.0)
+    return stencils.wavelet_entropy(cells, ["v"], 1.0, [1, 2, 3], h, w).withColumn("entropy", F.round("entropy", 5) + 0.0)
 
 
 @query("multiband_edges", stencil_sql.MULTIBAND)
@@ -258,13 +259,16 @@ def _(spark, sf_dir):
     return rounded(gate.paired_gate(scores, ["view"], "N", "R"))
 
 
-@query("lofo_audit", """WITH f AS (SELECT event_type AS run, 'spatial' AS scheme, user_id % 5 AS fold, avg(value) / 100 AS threshold FROM events GROUP BY ALL)
-SELECT run, scheme, round(avg(threshold), 6) AS threshold_mean, round(min(threshold), 6) AS threshold_min, round(max(threshold), 6) AS threshold_max, round(stddev_pop(threshold), 6) AS threshold_std,
-0.1::DOUBLE AS raw_mean, 0.13::DOUBLE AS calibrated_mean, round(max(threshold) - min(threshold), 6) AS threshold_range, 0.03::DOUBLE AS gain, round(0.03 / 0.13, 6)::DOUBLE AS gain_share,
-concat_ws(',', CASE WHEN max(threshold) >= 0.999 THEN 'CEILING' END, CASE WHEN max(threshold) - min(threshold) > 0.05 THEN 'UNSTABLE' END, 'CALIBRATION_DOMINATED') AS flags FROM f GROUP BY run, scheme""")
+@query("lofo_audit", """WITH f AS (SELECT event_type AS run, 'spatial' AS scheme, user_id % 5 AS fold, avg(value) / 100 AS threshold, max(value) / 100 AS top FROM events GROUP BY ALL),
+g AS (SELECT run, scheme, avg(threshold) AS m, min(threshold) AS lo, max(threshold) AS hi, stddev_pop(threshold) AS s, avg(threshold) AS raw, avg(top) AS calibrated FROM f GROUP BY run, scheme)
+SELECT run, scheme, round(m, 6) AS threshold_mean, round(lo, 6) AS threshold_min, round(hi, 6) AS threshold_max, round(s, 6) AS threshold_std, round(raw, 6) AS raw_mean, round(calibrated, 6) AS calibrated_mean,
+round(hi - lo, 6) AS threshold_range, round(calibrated - raw, 6) AS gain, round((calibrated - raw) / calibrated, 6) AS gain_share,
+concat_ws(',', CASE WHEN hi >= 0.999 THEN 'CEILING' END, CASE WHEN hi - lo > 0.05 THEN 'UNSTABLE' END, CASE WHEN (calibrated - raw) / calibrated > 0.20 THEN 'CALIBRATION_DOMINATED' END) AS flags FROM g""")
 def _(spark, sf_dir):
-    folds = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("run"), (F.col("user_id") % 5).alias("fold")).agg((F.avg("value") / 100).alias("threshold"))
-    folds = folds.withColumns({"scheme": F.lit("spatial"), "raw_mean": F.lit(0.1), "calibrated_mean": F.lit(0.13)})
+    value = F.col("value") / 100
+    folds = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("run"), (F.col("user_id") % 5).alias("fold")).agg(F.avg(value).alias("threshold"), F.max(value).alias("top"))
+    run = Window.partitionBy("run")
+    folds = folds.withColumns({"scheme": F.lit("spatial"), "raw_mean": F.avg("threshold").over(run), "calibrated_mean": F.avg("top").over(run)})
     return rounded(audit.lofo_audit(folds).withColumn("flags", F.array_join("flags", ",")))
 
 

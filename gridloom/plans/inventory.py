@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import audit, commands, components, ensemble, features, gate, grid, masks, provenance, tiling
+from gridloom.operators import audit, commands, components, ensemble, features, gate, grid, masks, provenance, queue, tiling
 from gridloom.plans.control import sized
 from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
@@ -143,10 +143,18 @@ def _(spark, sf_dir):
     return tiling.touched(tiles16(spark, sf_dir), "v > 0.4")
 
 
-@query("training_origins", TILES + """ SELECT row0, col0, bool_or(truth AND v > 0) AS positive FROM t GROUP BY row0, col0 HAVING count(*) FILTER (valid) / 256.0 >= 0.85""")
+@query("training_origins", TILES + """, g AS (SELECT row0, col0, bool_or(truth AND v > 0.25) AS positive FROM t GROUP BY row0, col0 HAVING count(*) FILTER (valid) / 256.0 >= 0.85),
+d AS (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY md5('7:' || row0 || ':' || col0), row0, col0) AS k FROM g)
+SELECT row0, col0, positive FROM d WHERE positive OR k <= floor(0.5 * (SELECT count(*) FROM g WHERE positive))""")
 def _(spark, sf_dir):
-    tiles = tiles16(spark, sf_dir).withColumn("truth", F.expr("truth and v > 0")).withColumn("allowed", F.col("valid"))
-    return tiling.training_origins(tiles, 16, 1e6, 0.85, 7)
+    tiles = tiles16(spark, sf_dir).withColumn("truth", F.expr("truth and v > 0.25")).withColumn("allowed", F.col("valid"))
+    return tiling.training_origins(tiles, 16, 0.5, 0.85, 7)
+
+
+@query("holdout_tiles", TILES + """, g AS (SELECT row0, col0 FROM t GROUP BY row0, col0 HAVING bool_or(truth) AND bool_or(v > 0)), d AS (SELECT *, row_number() OVER (ORDER BY md5('3:' || row0 || ':' || col0), row0, col0) AS k FROM g)
+SELECT row0, col0 FROM d WHERE k <= round_even(0.2 * (SELECT count(*) FROM g), 0)""")
+def _(spark, sf_dir):
+    return tiling.holdout_tiles(tiles16(spark, sf_dir).withColumn("elevation", F.when(F.col("v") > 0, F.col("v"))), 0.2, 3)
 
 
 @query("oof_mean", f"WITH {MEMBERS} SELECT row, col, round(sum(p) / 4, 6) AS p FROM members GROUP BY row, col")
@@ -196,13 +204,14 @@ def _(spark, sf_dir):
     return audit.lofo_matches(nation.select(run, scheme, score.alias("raw_mean")), raw)
 
 
-@query("mirrored_views", """WITH v AS (SELECT l_suppkey AS run, l_returnflag AS scheme, list(l_linenumber::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey) AS scores FROM lineitem GROUP BY ALL)
-SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.scores = g.scores AND g.run % 2 = 0 AND v.run % 2 = 1""")
+@query("mirrored_views", """WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS run, l_orderkey % 2 = 0 AS gate, l_returnflag AS scheme, l_quantity AS a, l_discount AS b, l_tax AS c, round_even(l_extendedprice / 1000, 0) AS d FROM lineitem)
+SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.a = g.a AND v.b = g.b AND v.c = g.c AND v.d = g.d AND g.gate AND NOT v.gate""")
 def _(spark, sf_dir):
-    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
-    views = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("scheme")).agg(order.alias("o"))
-    views = views.select("run", "scheme", F.transform("o", lambda x: x["l_linenumber"].cast("double")).alias("scores"))
-    return audit.mirrored(views.where("run % 2 = 1"), views.where("run % 2 = 0").withColumnRenamed("run", "candidate"))
+    """Lines of even orders, a little off, as a gate's views; those of odd orders as runs' views."""
+    scores = F.array("l_quantity", "l_discount", "l_tax", F.rint(F.col("l_extendedprice") / 1000))
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), (F.col("l_orderkey") % 2 == 0).alias("gate"), F.col("l_returnflag").alias("scheme"), scores.alias("scores"))
+    gates = rows.where("gate").select(F.col("run").alias("candidate"), "scheme", F.transform("scores", lambda x: x + 4e-10).alias("scores"))
+    return audit.mirrored(rows.where("not gate"), gates)
 
 
 @query("missing_references", """WITH t AS (SELECT n_name AS id, 'scripts/' || n_regionkey || '.py' AS path FROM nation UNION SELECT n_name, 'configs/' || n_nationkey || '.yaml' FROM nation)
@@ -265,3 +274,74 @@ def _(spark, sf_dir):
     cmd = F.concat(F.lit("q/score_view.sh runs/ref-cv-"), scheme, F.lit(" "), scheme, F.when(k % 3 == 0, " old.tif ").otherwise(" now.tif "), place)
     tasks = read(spark, sf_dir, "customer").select(k.alias("id"), cmd.alias("cmd"))
     return commands.command_findings(tasks, dict.fromkeys(commands.SCHEMES, "now.tif")).select("id", "kind")
+
+
+#: Tasks of a queue by event: train, score and record of a step and a target, in the order of events.
+STEPS = """s AS (SELECT event_id AS idx, (user_id % 50)::VARCHAR AS step, (user_id // 50)::VARCHAR AS target, CASE event_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'score' ELSE 'record' END AS op FROM events)"""
+
+
+@query("order_triples", f"""WITH {STEPS}, p AS (SELECT step, target, max(idx) FILTER (op = 'train') AS t, max(idx) FILTER (op = 'score') AS s, max(idx) FILTER (op = 'record') AS r FROM s GROUP BY ALL),
+x AS (SELECT step, target, 'train' AS earlier, 'score' AS later, t AS earlier_idx, s AS later_idx FROM p UNION ALL SELECT step, target, 'train', 'record', t, r FROM p UNION ALL SELECT step, target, 'score', 'record', s, r FROM p)
+SELECT * FROM x WHERE earlier_idx > later_idx""")
+def _(spark, sf_dir):
+    op = F.element_at(F.array(*map(F.lit, queue.OPERATIONS)), (F.col("event_id") % 3 + 1).cast("int"))
+    steps = read(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), (F.col("user_id") % 50).cast("string").alias("step"), F.floor(F.col("user_id") / 50).cast("string").alias("target"), op.alias("op"))
+    return queue.triple_findings(steps)
+
+
+#: Orders as commands: a run for each customer, trained, scored, recorded, compared and gated in no good order.
+@query("order_audit", """WITH o AS (SELECT o_orderkey AS idx, 't' || o_orderkey AS id, o_orderkey % 5 AS kind, 'r' || o_custkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'spatial' WHEN 1 THEN 'fault' ELSE 'trace' END AS view FROM orders),
+makes AS (SELECT idx, id, 'pred:' || run AS artifact FROM o WHERE kind = 0 UNION ALL SELECT idx, id, unnest(['score:' || run, 'lofo:' || run || '/' || view, 'gate:g/' || run || '/' || view]) FROM o WHERE kind = 1
+  UNION ALL SELECT idx, id, 'gate:h/' || run || '/' || view FROM o WHERE kind = 4),
+needs AS (SELECT idx, id, 'pred:' || run AS artifact FROM o WHERE kind = 1 UNION ALL SELECT idx, id, 'score:' || run FROM o WHERE kind = 2
+  UNION ALL SELECT DISTINCT idx, id, 'gate:' || d || '/' || run || '/' || v FROM o, (SELECT unnest(['g', 'h']) AS d), (SELECT unnest(['spatial', 'fault', 'trace']) AS v) WHERE kind = 3
+  UNION ALL SELECT idx, id, 'gate:g/' || run || '/' || view FROM o WHERE kind = 4),
+p AS (SELECT artifact, min(idx) AS producer_idx, min_by(id, idx) AS producer FROM makes GROUP BY artifact)
+SELECT n.artifact, n.id AS consumer, n.idx AS consumer_idx, p.producer, p.producer_idx, CASE WHEN p.producer IS NULL THEN 'NO-PRODUCER' ELSE 'ORDER-VIOLATION' END AS kind
+FROM needs n LEFT JOIN p USING (artifact) WHERE p.producer IS NULL OR p.producer_idx >= n.idx""")
+def _(spark, sf_dir):
+    run, view = F.concat(F.lit("r"), F.col("o_custkey")), F.element_at(F.array(*map(F.lit, queue.VIEWS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    words = lambda *x: F.concat_ws(" ", *[F.lit(v) if isinstance(v, str) else v for v in x])
+    kind = F.col("o_orderkey") % 5
+    g, h = (F.concat(F.lit(d), run) for d in ("g/", "h/"))
+    cmd = F.when(kind == 0, words("bash scripts/queue/train_folds.sh", run, "16")).when(kind == 1, words("bash scripts/queue/score_view.sh", run, view, "x", g)).when(kind == 2, words("scripts/queue/record.sh name", run))
+    cmd = cmd.when(kind == 3, words("scripts/queue/gate.sh n", g, h)).otherwise(F.concat(F.lit("mkdir -p "), h, F.lit(" && cp -f "), g, F.lit("/"), view, F.lit(".json "), h, F.lit("/")))
+    return queue.order_audit(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.concat(F.lit("t"), "o_orderkey").alias("id"), cmd.alias("cmd")))
+
+
+#: A task an order, which makes the artifact of its number and needs those of smaller numbers; done if its status is F. A customer decides on artifacts of open orders.
+GRAPH = """makes AS (SELECT o_orderkey AS id, o_orderkey AS artifact FROM orders), over AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'),
+needs AS (SELECT DISTINCT l_orderkey AS id, l_orderkey // (l_linenumber + 1) AS artifact FROM lineitem), there AS (SELECT id AS artifact FROM over),
+decisions AS (SELECT o_custkey AS decision, o_orderkey AS artifact FROM orders WHERE o_orderstatus <> 'F')"""
+FEEDERS = f"""WITH RECURSIVE {GRAPH}, edges AS MATERIALIZED (SELECT DISTINCT m.id AS src, n.id FROM needs n JOIN makes m USING (artifact) WHERE m.id NOT IN (SELECT id FROM over) AND n.artifact NOT IN (SELECT artifact FROM there)),
+f AS (SELECT d.decision, m.id FROM decisions d JOIN makes m USING (artifact) WHERE m.id NOT IN (SELECT id FROM over) AND d.artifact NOT IN (SELECT artifact FROM there) UNION SELECT f.decision, e.src FROM f JOIN edges e ON e.id = f.id)"""
+
+
+def graph(spark, sf_dir):
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    makes = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("artifact"))
+    done = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    needs = lines.select(F.col("l_orderkey").alias("id"), F.floor(F.col("l_orderkey") / (F.col("l_linenumber") + 1)).alias("artifact")).distinct()
+    decisions = orders.where("o_orderstatus <> 'F'").select(F.col("o_custkey").alias("decision"), F.col("o_orderkey").alias("artifact"))
+    return decisions, needs, makes, done.withColumnRenamed("id", "artifact"), done
+
+
+@query("all_feeders", FEEDERS + " SELECT decision, id FROM f")
+def _(spark, sf_dir):
+    return queue.all_feeders(*graph(spark, sf_dir))
+
+
+@query("resume_order", FEEDERS + """, t AS (SELECT id, count(*) AS n FROM f GROUP BY id), l AS (SELECT id, count(DISTINCT artifact) AS n FROM needs WHERE artifact NOT IN (SELECT artifact FROM there) GROUP BY id)
+SELECT row_number() OVER (ORDER BY coalesce(t.n, 0) DESC, m.id) AS place, m.id, m.id AS idx, coalesce(t.n, 0) AS decisions, coalesce(l.n, 0) AS lacking, l.n IS NULL AS runnable
+FROM makes m LEFT JOIN t USING (id) LEFT JOIN l USING (id) WHERE m.id NOT IN (SELECT id FROM over)""")
+def _(spark, sf_dir):
+    decisions, needs, makes, present, done = graph(spark, sf_dir)
+    return queue.resume_order(makes.select("id", F.col("artifact").alias("idx")), decisions, needs, makes, present, done)
+
+
+@query("decision_inputs", f"""WITH {GRAPH}, want AS (SELECT n.id AS decision, n.artifact FROM needs n WHERE n.artifact % 7 <> 3),
+made AS (SELECT artifact, count(*) FILTER (o.id IS NULL) AS producers FROM (SELECT id, artifact + 1 AS artifact FROM makes) m LEFT JOIN over o USING (id) GROUP BY artifact)
+SELECT decision, artifact, coalesce(producers, 0) AS producers, CASE WHEN producers IS NULL THEN 'NO-PRODUCER' WHEN producers = 0 THEN 'EVIDENCE-ELSEWHERE' END AS flag FROM want LEFT JOIN made USING (artifact) WHERE artifact NOT IN (SELECT artifact FROM there)""")
+def _(spark, sf_dir):
+    _, needs, makes, present, done = graph(spark, sf_dir)
+    return queue.decision_inputs(needs.where("artifact % 7 <> 3").withColumnRenamed("id", "decision"), makes.withColumn("artifact", F.col("artifact") + 1), present, done)

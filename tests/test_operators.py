@@ -142,10 +142,10 @@ def test_endpoints_and_extension(spark):
 def test_blocks_and_greedy_folds():
     a = masks.assign_blocks(10, 10, 2, 5, 0)
     assert (np.bincount(a.ravel()) == 5).all() and (a == masks.assign_blocks(10, 10, 2, 5, 0)).all()
-    folds = masks.least_loaded([9, 5, 4, 1], 2, 1)
-    assert sorted(sum(s for s, f in zip([9, 5, 4, 1], folds) if f == k) for k in (0, 1)) == [9, 10]
+    shares = masks.longest_first({9: 1, 5: 1, 4: 1, 1: 1}, 2)
+    assert sorted(sum(n * got[k] for n, got in shares.items()) for k in (0, 1)) == [9, 10]
     with pytest.raises(ValueError):
-        masks.least_loaded([1], 2, 0)
+        masks.longest_first({1: 1}, 2)
 
 
 def test_trace_ends_withhold_one_end(spark):
@@ -381,7 +381,7 @@ def test_runs_and_files_are_recorded(spark, tmp_path):
 
 
 def test_training_origins_sample_negatives(spark):
-    """All positive tiles that are allowed enough and as many negatives as the ratio asks for, the generator's own choice of them."""
+    """All positive tiles that are allowed enough and as many negatives as the ratio asks for, those of the least hashes."""
     rng = np.random.default_rng(2)
     rows, share, positive = [], {}, {}
     for tile in [(r, c) for r in range(0, 40, 4) for c in range(0, 20, 4)]:
@@ -395,7 +395,7 @@ def test_training_origins_sample_negatives(spark):
         found = {(r.row0, r.col0): r.positive for r in tiling.training_origins(tiles, 4, ratio, 0.85, 11).collect()}
         own = [t for t in enough if positive[t]]
         n = min(len(negatives), int(ratio * len(own)))
-        want = {negatives[i] for i in np.random.default_rng(11).choice(len(negatives), n, replace=False)} if n else set()
+        want = set(sorted(negatives, key=lambda t: hashlib.md5(f"11:{t[0]}:{t[1]}".encode()).hexdigest())[:n])
         assert {t for t, x in found.items() if x} == set(own) and {t for t, x in found.items() if not x} == want and len(own) > 3
 
 

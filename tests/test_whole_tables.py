@@ -1,5 +1,6 @@
 """Queries read all of their table: brute force on tables that go beyond the smallest driver tables."""
 
+import hashlib
 import os
 import random
 
@@ -53,7 +54,9 @@ def test_tiles_cover_all_rows(spark, sf):
     assert height > 496 and max(allowed)[0] == height - 16
     assert {(r.row0, r.col0) for r in registry.queries()["touched_tiles"](spark, data).collect()} == touched
     found = {(r.row0, r.col0): r.positive for r in registry.queries()["training_origins"](spark, data).collect()}
-    assert found == {t: t in positive for t in enough}
+    n = int(0.5 * len(positive & enough))
+    drawn = sorted(enough - positive, key=lambda t: hashlib.md5(f"7:{t[0]}:{t[1]}".encode()).hexdigest())[:n]
+    assert found == {t: True for t in positive & enough} | {t: False for t in drawn} and 0 < n < len(enough - positive)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not there")
