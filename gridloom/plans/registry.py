@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import control, files, inventory, scoring, spatial
+from gridloom.plans import control, files, inventory, results, scoring, spatial
 
-MODULES = [scoring, spatial, control, inventory, files]
+MODULES = [scoring, spatial, control, inventory, files, results]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
