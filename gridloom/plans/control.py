@@ -11,7 +11,7 @@ from gridloom.plans.collect import Plans
 from gridloom.plans.raster import RASTER, raster
 from gridloom.plans.spatial import reach_sql
 from gridloom.plans.scoring import LOFO, curve_sql, rounded, score_at
-from gridloom.streaming import ledger
+from gridloom.streaming import ledger, states
 
 query = Plans()
 
@@ -408,3 +408,13 @@ def _(spark, sf_dir):
     same = views.where("run % 4 = 1").select((F.col("run") * 10).alias("candidate"), "scheme", "scores")
     other = views.where("run % 4 = 3").select((F.col("run") * 10 + 1).alias("candidate"), "scheme", F.array_append("scores", F.lit(9.0)).alias("scores"))
     return audit.result_findings(ledger_, gates, lofo, raw, views, same.union(other))
+
+
+@query("run_states", """WITH e AS (SELECT user_id::VARCHAR AS run, CASE event_type WHEN 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'done' ELSE 'beat' END WHEN 'error' THEN CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'beat' END ELSE 'beat' END AS event, ts FROM events),
+o AS (SELECT run, bool_or(event = 'failed') AS failed, bool_or(event = 'done') AS done, max(ts) AS last FROM e WHERE ts IS NOT NULL GROUP BY run)
+SELECT run, CASE WHEN failed THEN 'STOPPED' WHEN done THEN 'DONE' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last) >= 48 * 3600e6 THEN 'RUNNING-STALLED' ELSE 'RUNNING' END AS state FROM o""")
+def _(spark, sf_dir):
+    kind, user = F.col("event_type"), F.col("user_id")
+    event = F.when((kind == "purchase") & (user % 3 == 0), "done").when((kind == "error") & (user % 5 == 0), "failed").otherwise("beat")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(user.cast("string").alias("run"), event.alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    return states.run_states(events, F.lit("2024-01-31").cast("timestamp"))
