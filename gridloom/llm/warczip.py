@@ -229,8 +229,8 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """archive (its path), bytes and records of ZIPs of about ``archive_bytes`` that the rows of ``mark_revisits`` are written to.
 
-    ``folder`` must be one that all executors share. A file is written under the name of its attempt and then
-    renamed, so that a repeated task leaves whole archives only and the same ones.
+    ``folder`` must be one that all executors share. Names hold the attempt of their task, so a repeated or speculative task meets no file
+    of another; only the rows of the attempt that counts name archives, and what others wrote is never read.
     """
     bounded_batches(records.sparkSession)
 
@@ -240,11 +240,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         files.create_dir(root, recursive=True)
 
         def flush() -> pa.RecordBatch:
-            name, data = f"{task.partitionId():06d}-{n:06d}.zip", writer.finish()
-            mine = f"{root}/_{name}-{task.taskAttemptId()}"
-            with files.open_output_stream(mine) as out:
+            name, data = f"{task.partitionId():06d}-{n:06d}-{task.taskAttemptId()}.zip", writer.finish()
+            with files.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
-            files.move(mine, f"{root}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(data)]), pa.array([len(writer.index)])], ["archive", "bytes", "records"])
 
         for b in batches:

@@ -187,3 +187,14 @@ def test_damage_is_seen():
     record = warczip.warc_record(1, "u", b"payload", None)
     with pytest.raises(ValueError):
         warczip.parse_record(record.replace(b"payload", b"pay1oad"))
+
+
+def test_a_repeated_write_meets_no_file_of_another_attempt(spark, tmp_path):
+    """The same rows written twice to one folder, as a retried task does: each manifest names its own archives, whole ones."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "p" * i) for i in range(40)], "page_id long, url string, html string").coalesce(2)
+    records = warczip.mark_revisits(pages)
+    first = warczip.write_archives(records, f"file://{tmp_path}/zips", 500).collect()
+    second = warczip.write_archives(records, f"file://{tmp_path}/zips", 500).collect()
+    assert not {r.archive for r in first} & {r.archive for r in second}
+    for manifest in (first, second):
+        assert sorted(r.page_id for r in warczip.read_archives(spark.createDataFrame(manifest)).collect()) == list(range(40))
