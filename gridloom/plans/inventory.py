@@ -204,7 +204,16 @@ def _(spark, sf_dir):
     return audit.lofo_matches(nation.select(run, scheme, score.alias("raw_mean")), raw)
 
 
-@query("mirrored_views", """WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS run, l_orderkey % 2 = 0 AS gate, l_returnflag AS scheme, l_quantity AS a, l_discount AS b, l_tax AS c, round_even(l_extendedprice / 1000, 0) AS d FROM lineitem)
+@query("mirrored_views", """WITH v AS (SELECT l_suppkey AS run, l_returnflag AS scheme, list(l_linenumber::DOUBLE ORDER BY l_orderkey, l_linenumber, l_partkey) AS scores FROM lineitem GROUP BY ALL)
+SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.scores = g.scores AND g.run % 2 = 0 AND v.run % 2 = 1""")
+def _(spark, sf_dir):
+    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    views = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("run"), F.col("l_returnflag").alias("scheme")).agg(order.alias("o"))
+    views = views.select("run", "scheme", F.transform("o", lambda x: x["l_linenumber"].cast("double")).alias("scores"))
+    return audit.mirrored(views.where("run % 2 = 1"), views.where("run % 2 = 0").withColumnRenamed("run", "candidate"))
+
+
+@query("mirrored_scores", """WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS run, l_orderkey % 2 = 0 AS gate, l_returnflag AS scheme, l_quantity AS a, l_discount AS b, l_tax AS c, round_even(l_extendedprice / 1000, 0) AS d FROM lineitem)
 SELECT g.run AS candidate, g.scheme, v.run FROM v JOIN v AS g ON v.scheme = g.scheme AND v.a = g.a AND v.b = g.b AND v.c = g.c AND v.d = g.d AND g.gate AND NOT v.gate""")
 def _(spark, sf_dir):
     """Lines of even orders, a little off, as a gate's views; those of odd orders as runs' views."""

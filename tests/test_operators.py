@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
