@@ -7,9 +7,11 @@ import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.operators import audit, calibration, commands, components, ensemble, geometry, gate, masks, metric, provenance, threshold
-from gridloom.sources import reports
+from gridloom.operators import audit, calibration, commands, components, ensemble, geometry, gate, masks, metric, provenance, queue, results, threshold
+from gridloom.sources import raster, reports
+from gridloom.streaming import states
 
 
 def _rows(df) -> list[dict]:
@@ -39,8 +41,19 @@ TABLES = {
     "orphans": (["ledger", "gates"], lambda t: audit.ledger_orphans(t[0], t[1])),
     "sync": (["queue", "checkout"], lambda t: audit.sync(t[0], t[1])),
     "stages": (["events"], lambda t: audit.furthest_stage(t[0])),
+    "states": (["events", "now"], lambda t, now: states.run_states(t[0], F.lit(now).cast("timestamp"))),
+    "shifts": (["cells"], lambda t: metric.shift_sensitivity(t[0])),
+    "continue": (["cells", "threshold"], lambda t, threshold: geometry.curved_continuation(t[0].select("row", "col", "p", "valid"), float(threshold))[1]),
+    "order-audit": (["tasks"], lambda t: queue.order_audit(t[0])),
+    "inputs": (["decisions", "makes", "present", "done"], lambda t: queue.decision_inputs(*t)),
+    "resume": (["tasks", "decisions", "needs", "makes", "present", "done"], lambda t: queue.resume_order(*t)),
+    "gate-status": (["gates", "reports", "present"], lambda t: results.gate_status(*t)),
+    "readiness": (["gates", "reports", "files", "makes"], lambda t: results.gate_readiness(*t)),
+    "raw-findings": (["tops", "folds"], lambda t: results.raw_score_findings(*t)),
+    "manifest-findings": (["artifacts", "files", "runs"], lambda t: results.manifest_findings(*t)),
+    "gate-findings": (["reports", "views"], lambda t: results.gate_findings(*t)),
 }
-IS_TABLE = {"cells", "predictions", "members", "scores", "edges", "runs", "ledger", "gates", "queue", "checkout", "events"}
+IS_TABLE = {"cells", "predictions", "members", "scores", "edges", "runs", "ledger", "gates", "queue", "checkout", "events", "tasks", "decisions", "needs", "makes", "present", "done", "reports", "files", "tops", "folds", "artifacts", "views"}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -48,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     for name, *args in (
         ("score", "cells"), ("score-folds", "cells"), ("curve", "cells"), ("lofo", "cells"), ("profile", "cells"), ("fingerprint", "path"), ("order", "consumers", "producers"),
-        ("verify", "incumbent", "candidate", "ledger"), ("spatial-masks", "cells", "buffer", "out"), ("write", "cells", "template", "out"), ("references", "queue"), ("arguments", "queue", "maps"), ("preview", "cells", "stride", "out"),
+        ("verify", "incumbent", "candidate", "ledger"), ("spatial-masks", "cells", "buffer", "out"), ("write", "cells", "template", "out"), ("references", "queue"), ("arguments", "queue", "maps"), ("preview", "cells", "stride", "out"), ("signature", "raster"), ("write-like", "cells", "template", "out"),
     ):
         p = sub.add_parser(name)
         for a in args:
@@ -95,6 +108,11 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "write":
         reports.write_predictions(cells, spark.read.parquet(args.template), args.out)
         out = {"written": args.out}
+    elif args.command == "signature":
+        out = raster.raster_signature(raster.members(args.raster)[1][0]["uri"])
+    elif args.command == "write-like":
+        raster.write_prediction(cells, args.template, args.out)
+        out = {"written": args.out}
     elif args.command == "preview":
         provenance.png(provenance.preview(cells, int(args.stride)), args.out)
         out = {"written": args.out}

@@ -4,7 +4,7 @@ import pytest
 
 from gridloom import cli
 from gridloom.operators import gate
-from gridloom.sources import reports
+from gridloom.sources import reports, tiff
 from test_operators import report, table
 
 import numpy as np
@@ -75,3 +75,35 @@ def test_table_commands(spark, tmp_path, capsys):
     assert run("blocks", "cells")[0]["blocks"] == 1
     assert {r["node"]: r["before"] for r in run("chains", "edges")} == {"a": 0, "b": 1, "c": 2} and len(run("feeders", "edges")) == 3
     assert all(r["p"] < 0.01 for r in run("paired", "scores", "old", "new")) and run("decide", "scores", "old", "new", "0")[0]["accepted"] is True
+
+
+def test_queue_and_result_commands(spark, tmp_path, capsys):
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+
+    put("tasks", [(0, "s1-score-a", "scripts/score_view.sh r spatial x g"), (1, "s1-train-a", "scripts/train_folds.sh r")], "idx long, id string, cmd string")
+    put("decisions", [("d", "gate:g/spatial")], "decision string, artifact string")
+    put("needs", [("s1-score-a", "pred:r")], "id string, artifact string")
+    put("makes", [(0, "s1-score-a", "gate:g/spatial"), (1, "s1-train-a", "pred:r")], "idx long, id string, artifact string")
+    put("present", [("x", "x", "x")], "artifact string, folder string, view string")
+    put("done", [("none",)], "id string")
+    put("gates", [("G", "g", "g")], "name string, incumbent_dir string, candidate_dir string")
+    put("reports", [("Z", "ACCEPT", 0, 1.0)], "name string, verdict string, trials_before int, escalation_multiplier double")
+    put("files", [("g", "fault", 0)], "folder string, view string, errors int")
+    put("events", [("r", "start", "2024-01-01 00:00:00")], "run string, event string, t string")
+    spark.read.parquet(f"{tmp_path}/events").selectExpr("run", "event", "cast(t as timestamp) as ts").write.parquet(f"{tmp_path}/timed")
+    (tmp_path / "t.tif").write_bytes(tiff.encode(np.ones((1, 2, 3), np.float32), np.nan))
+    put("cells", [(r, c, 0.5) for r in range(2) for c in range(3)], "row long, col long, p double")
+
+    def run(*args):
+        assert cli.main([args[0], *(f"{tmp_path}/{a}" if (tmp_path / a).exists() else a for a in args[1:])]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert {r["artifact"] for r in run("order-audit", "tasks")} == {"triple:s1-a", "pred:r"}
+    assert [r["id"] for r in sorted(run("resume", "tasks", "decisions", "needs", "makes", "present", "done"), key=lambda r: r["place"])] == ["s1-score-a", "s1-train-a"]
+    assert run("inputs", "decisions", "makes", "present", "done")[0]["producers"] == 1
+    assert {(r["name"], r["status"]) for r in run("gate-status", "gates", "reports", "present")} == {("G", "PENDING"), ("Z", "ORPHAN")}
+    assert [r["status"] for r in run("readiness", "gates", "reports", "files", "makes")].count("VALID") == 2
+    assert run("states", "timed", "2024-01-09")[0]["state"] == "RUNNING-STALLED"
+    assert run("signature", "t.tif")["width"] == 3
+    assert run("write-like", "cells", "t.tif", f"{tmp_path}/out")["written"].endswith("out") and run("signature", "out")["height"] == 2
