@@ -95,7 +95,7 @@ def order_audit(tasks: DataFrame) -> DataFrame:
     ids = tasks.where(F.col("id").rlike(TRIPLE)).select(*[F.regexp_extract("id", TRIPLE, i).alias(n) for i, n in ((1, "step"), (2, "op"), (3, "target"))], "idx")
     name = lambda op: F.concat_ws("-", "step", op, "target")
     triples = triple_findings(ids).select(F.concat(F.lit("triple:"), F.col("step"), F.lit("-"), F.col("target")).alias("artifact"), name("later").alias("consumer"), F.col("later_idx").alias("consumer_idx"), name("earlier").alias("producer"), F.col("earlier_idx").alias("producer_idx"), F.lit("ORDER-VIOLATION").alias("kind"))
-    own = parsed(tasks)
+    own = materialise(parsed(tasks), "parsed")
     return triples.union(order_findings(needed(own), produced(own)))
 
 
