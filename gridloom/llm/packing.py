@@ -21,6 +21,9 @@ LENGTH = 1024
 END = 2
 #: Pieces of one length that one task ranks, about.
 RANKED = 1 << 18
+#: Lengths in a generated pattern, rounds of generating them, rounds of filling what rounding left, the share of a count that one of those
+#: uses, and after how many of them a filling may be a token less full.
+FEW, ROUNDS, FILLS, SHARE, SLACK = 8, 4, 96, 6, 12
 #: Distinct pre-tokens that a task remembers the ids of before it starts anew; freed at its end, as workers live on.
 REMEMBERED = 300_000
 
@@ -122,23 +125,24 @@ def patterns(lengths: list[int], total: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def nnls(rows: np.ndarray, wanted: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Counts x >= 0 of the patterns ``rows`` that bring ||A x - wanted|| near its least, by accelerated projected gradients."""
-    size, flat = len(wanted), rows.ravel()
-    mask = np.arange(size) > 0
+def nnls(rows: np.ndarray, wanted: np.ndarray, steps: int = 400, start: np.ndarray | None = None) -> np.ndarray:
+    """Counts x >= 0 of the patterns ``rows`` (0: none) that bring ||A x - wanted|| near its least, by accelerated projected gradients."""
+    size = len(wanted)
+    owner, place = np.nonzero(rows)
+    flat = rows[owner, place]
 
     def used(x: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, np.repeat(x, rows.shape[1]), size) * mask
+        return np.bincount(flat, x[owner], size)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return (r * mask)[rows].sum(1)
+        return np.bincount(owner, r[flat], len(rows))
 
     v = np.ones(len(rows))
     for _ in range(20):
         v = back(used(v))
         v /= norm if (norm := np.linalg.norm(v)) else 1
     step = 1 / max(1e-9, 1.05 * np.linalg.norm(back(used(v))))
-    x = y = np.zeros(len(rows))
+    x = y = np.zeros(len(rows)) if start is None else np.append(start, np.zeros(len(rows) - len(start)))
     t = 1.0
     for _ in range(steps):
         new = np.maximum(0, y - step * back(used(y) - wanted))
@@ -147,38 +151,123 @@ def nnls(rows: np.ndarray, wanted: np.ndarray, steps: int = 400) -> np.ndarray:
     return x
 
 
+class Filling:
+    """The multisets of lengths that are worth most, for each sum up to ``total``."""
+
+    def __init__(self, lengths: np.ndarray, worth: np.ndarray, total: int):
+        self.best, self.last = np.full(total + 1, -np.inf), np.zeros(total + 1, np.int64)
+        self.best[0] = 0.0
+        upto = np.searchsorted(lengths, np.arange(total + 1), "right")
+        for c in range(1, total + 1):
+            n = upto[c]
+            if n:
+                values = self.best[c - lengths[:n]] + worth[:n]
+                i = int(values.argmax())
+                self.best[c], self.last[c] = values[i], lengths[i]
+
+    def lengths(self, c: int) -> list[int]:
+        """Those of sum ``c``, which must be reachable."""
+        out = []
+        while c:
+            out.append(int(self.last[c]))
+            c -= out[-1]
+        return out
+
+
+def generated(lengths: np.ndarray, lacking: np.ndarray, total: int) -> list[list[int]]:
+    """For each length, the pattern of at most FEW with it that fills ``total`` and covers most of what a fit lacks."""
+    filling = Filling(lengths, lacking[lengths], total)
+    found = {tuple(sorted((x, *filling.lengths(total - x)))) for x in lengths.tolist() if filling.best[total - x] > -np.inf}
+    return [list(f) for f in found if 3 < len(f) <= FEW and lacking[list(f)].sum() > 0]
+
+
+def fitted_patterns(have: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns that fill ``total`` and how often each is fitted: all of two or three lengths, then, ROUNDS times, those
+    of more that the residual of the fit asks for."""
+    lengths = np.flatnonzero(have[:total])
+    rows = np.pad(patterns(lengths.tolist(), total), ((0, 0), (0, FEW - 3)))
+    if not len(lengths):
+        return rows, np.empty(0)
+    scale = float(have[lengths].max())
+    wanted = np.where(np.arange(total + 1) < total, have, 0) / scale
+    fitted = nnls(rows, wanted) if len(rows) else np.empty(0)
+    for _ in range(ROUNDS):
+        lacking = wanted - np.bincount(rows[rows > 0], np.repeat(fitted, (rows > 0).sum(1)), total + 1)
+        more = generated(lengths, lacking, total)
+        if not more:
+            break
+        rows = np.concatenate([rows, [f + [0] * (FEW - len(f)) for f in more]])
+        fitted = nnls(rows, wanted, 100, fitted)
+    return rows, fitted * scale
+
+
 def pack_histogram(counts: dict[int, int], total: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, number of such sequences), together using each count exactly.
 
-    Patterns that fill a sequence are fitted to the histogram and rounded, once to the nearest and once down; what
-    is left is packed best fit, longest first, and the plan of fewer sequences is taken. The work and the
-    result are bounded by ``total``, not by the number of documents.
+    Patterns that fill a sequence are fitted to the histogram and rounded, to the nearest or down. What is left is filled
+    in shares (see ``_fill``) or packed best fit, longest first. Of these plans, filling alone and best fit alone, that of the fewest
+    sequences is taken. The work and the result are bounded by ``total``, not by the number of documents.
     """
     have = np.zeros(total + 1, np.int64)
     for k, v in counts.items():
         have[k] += v
-    rows = patterns(np.flatnonzero(have).tolist(), total)
-    fitted = np.empty(0)
-    if len(rows):
-        scale = max(1.0, float(have[:total].max()))
-        fitted = nnls(rows, np.where(np.arange(total + 1) < total, have, 0) / scale) * scale
-    plans = [_rounded(rows, np.floor(fitted + up), have.copy()) for up in ((0.5, 0.0) if len(rows) else (0.0,))]
+    rows, fitted = fitted_patterns(have, total)
+    plans = []
+    for repeats in (np.floor(fitted + 0.5), np.floor(fitted), np.zeros(len(rows))):
+        for fill in (False, True):
+            out, left = _rounded(rows, repeats, have.copy())
+            if fill:
+                _fill(left, out)
+            _best_fit(left, out)
+            plans.append(out)
     return sorted(min(plans, key=lambda p: sum(p.values())).items())
 
 
-def _rounded(rows: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> Counter[tuple[int, ...]]:
-    """Use patterns so often, most used first and as far as the counts ``left`` go; pack the rest best fit."""
+def _take(lengths: list[int], n: int, left: np.ndarray, out: Counter[tuple[int, ...]]) -> bool:
+    """Use ``lengths`` n times, or as often as the counts ``left`` allow; whether they do at all."""
+    need = Counter(lengths)
+    n = min([n, *(int(left[x]) // k for x, k in need.items())])
+    if n < 1:
+        return False
+    for x, k in need.items():
+        left[x] -= n * k
+    out[tuple(sorted(lengths, reverse=True))] += n
+    return True
+
+
+def _rounded(rows: np.ndarray, repeats: np.ndarray, left: np.ndarray) -> tuple[Counter[tuple[int, ...]], np.ndarray]:
+    """Patterns used so often, most used first and as far as the counts ``left`` go, and what is left."""
     out: Counter[tuple[int, ...]] = Counter()
     for i in np.argsort(-repeats, kind="stable"):
-        if (n := int(repeats[i])) < 1:
+        if repeats[i] < 1:
             break
-        need = Counter(x for x in rows[i].tolist() if x)
-        if (n := min([n, *(int(left[x]) // k for x, k in need.items())])) > 0:
-            for x, k in need.items():
-                left[x] -= n * k
-            out[tuple(sorted(need.elements(), reverse=True))] += n
-    _best_fit(left, out)
-    return out
+        _take([x for x in rows[i].tolist() if x], int(repeats[i]), left, out)
+    return out, left
+
+
+def _fill(left: np.ndarray, out: Counter[tuple[int, ...]]) -> None:
+    """Repair: each length that is left, longest first, takes the fullest sequence with it, a share of its count at a time.
+
+    Of sequences that are as full, that of the lengths with most left is taken, so that all run out together. A round looks once for the
+    best fillings and uses each of them for a share; rounds end when one places nothing.
+    """
+    total = len(left) - 1
+    for turn in range(FILLS):
+        lengths = np.flatnonzero(left[:total])
+        if not len(lengths):
+            return
+        filling = Filling(lengths, lengths * (1 + 0.002 * left[lengths] / left[lengths].max()), total)
+        most = np.zeros(total + 1, np.int64)
+        for c in range(1, total + 1):
+            most[c] = c if filling.best[c] > filling.best[most[c - 1]] else most[c - 1]
+        placed = False
+        for x in lengths[::-1].tolist():
+            if left[x]:
+                rest = filling.lengths(int(most[total - x]))
+                if total - x - sum(rest) <= turn // SLACK:
+                    placed |= _take([x, *rest], max(1, int(left[x]) // SHARE), left, out)
+        if not placed and turn // SLACK > lengths[0]:
+            return
 
 
 def _best_fit(left: np.ndarray, out: Counter[tuple[int, ...]]) -> None:

@@ -4,7 +4,7 @@ import hashlib
 import io
 import zipfile
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +86,59 @@ def test_patterns_and_histogram_packing():
     assert packing.pack_histogram({}) == [] and packing.pack_histogram({1024: 3}) == [((1024,), 3)]
 
 
+def fewest(pieces, total):
+    """The least number of sequences for ``pieces`` (longest first), by trying all places."""
+    best = len(pieces)
+
+    def place(i, spaces):
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(pieces):
+            best = len(spaces)
+            return
+        for space in set(spaces):
+            if space >= pieces[i]:
+                rest = list(spaces)
+                rest.remove(space)
+                place(i + 1, [*rest, space - pieces[i]])
+        place(i + 1, [*spaces, total - pieces[i]])
+
+    place(0, [])
+    return best
+
+
+def best_fit(counts, total):
+    out = Counter()
+    left = np.zeros(total + 1, np.int64)
+    for k, v in counts.items():
+        left[k] = v
+    packing._best_fit(left, out)
+    return sum(out.values())
+
+
+def test_small_histograms_against_all_ways():
+    rng = np.random.default_rng(3)
+    above = 0
+    for _ in range(60):
+        total = int(rng.integers(7, 20))
+        pieces = sorted(rng.integers(1, total, rng.integers(1, 11)).tolist(), reverse=True)
+        n = sum(k for _, k in packing.pack_histogram(Counter(pieces), total))
+        assert n <= best_fit(Counter(pieces), total)
+        above += n - fewest(pieces, total)
+    assert above <= 1
+
+
+@pytest.mark.parametrize("low, high, most", [(1, 1023, 1.002), (180, 299, 1.001), (256, 419, 1.0005)])
+def test_histograms_near_the_bound(low, high, most):
+    counts = Counter(np.random.default_rng(0).integers(low, high + 1, 20_000).tolist())
+    n = sum(k for _, k in packing.pack_histogram(counts))
+    bound = sum(k * v for k, v in counts.items()) / 1024
+    if low == 256:  # a sequence holds three at most, or four of 256
+        bound = sum(v / (4 if k == 256 else 3) for k, v in counts.items())
+    assert n <= best_fit(counts, 1024) and n <= most * bound + 1
+
+
 def test_nnls_reaches_an_exact_fit():
     rows = packing.patterns([2, 3, 5, 7, 8], 10)
     wanted = np.zeros(11)
