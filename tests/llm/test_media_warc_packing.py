@@ -129,14 +129,24 @@ def test_small_histograms_against_all_ways():
     assert above <= 1
 
 
-@pytest.mark.parametrize("low, high, most", [(1, 1023, 1.002), (180, 299, 1.001), (256, 419, 1.0005)])
-def test_histograms_near_the_bound(low, high, most):
+def least_needed(counts, total):
+    """A lower bound: pieces above half are apart, and what of the smaller ones their sequences cannot take needs more; and by how many
+    of the least pieces a sequence can hold at most."""
+    need = 0
+    for k in range(total // 2 + 1):
+        alone = sum(v for x, v in counts.items() if x > total - k)
+        large = [(x, v) for x, v in counts.items() if total / 2 < x <= total - k]
+        small = sum(x * v for x, v in counts.items() if k <= x <= total / 2)
+        space = sum((total - x) * v for x, v in large)
+        need = max(need, alone + sum(v for _, v in large) + max(0, -(-(small - space) // total)))
+    return max(need, -(-(sum(v for x, v in counts.items() if 4 * x > total) * 4 + counts[total // 4] * 3) // 12))
+
+
+@pytest.mark.parametrize("low, high", [(1, 1023), (180, 299), (256, 419)])
+def test_histograms_near_the_bound(low, high):
     counts = Counter(np.random.default_rng(0).integers(low, high + 1, 20_000).tolist())
     n = sum(k for _, k in packing.pack_histogram(counts))
-    bound = sum(k * v for k, v in counts.items()) / 1024
-    if low == 256:  # a sequence holds three at most, or four of 256
-        bound = sum(v / (4 if k == 256 else 3) for k, v in counts.items())
-    assert n <= best_fit(counts, 1024) and n <= most * bound + 1
+    assert n <= best_fit(counts, 1024) and n <= 1.001 * least_needed(counts, 1024)
 
 
 def test_nnls_reaches_an_exact_fit():
