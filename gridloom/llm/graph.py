@@ -37,3 +37,12 @@ def components(links: DataFrame) -> DataFrame:
         left = materialise(left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         if left.isEmpty():
             return found
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that made ``roots`` and of new ``links``, of which only the roots of their ends are looked at."""
+    a, b = roots.toDF("a", "x"), roots.toDF("b", "y")
+    ends = links.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    step = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    moved = roots.join(step.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return materialise(moved.union(step.join(roots, "node", "left_anti").select("node", "root")), "roots")

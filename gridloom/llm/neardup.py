@@ -7,6 +7,7 @@ and no sample's chance to be shared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bounded_batches, materialise, table
-from gridloom.llm.graph import components
+from gridloom.llm.graph import components, merged
 
 WORDS = 5
 SIMILARITY = 0.8
-#: A pair at 0.8 shares one of BANDS bands of ROWS samples with probability 1 - (1 - 0.8^4)^12 = 0.998.
-BANDS, ROWS = 12, 4
+#: Links at the threshold that no band may join, at most; those above it are missed more rarely.
+MISS = 0.002
 #: Documents and shingles that are counted together before they are sent, and bytes of text whose shingles one group counts.
 CHUNK_DOCS, CHUNK_PAIRS, GROUP_BYTES = 1 << 16, 1 << 20, 4 << 20
 #: Members of a group that are compared with all others in a round; eight times more in each later one, in blocks of so many.
@@ -35,6 +36,17 @@ CHUNK = 1 << 15
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+def banding(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """Bands and rows of each: pairs at ``similarity`` agree in a band at a chance of 0.41 at most, and in none at ``miss`` at most.
+
+    12 bands of 4 at 0.8 (1 - (1 - 0.8^4)^12 = 0.998), 22 of 2 at 0.5. Rows are at most 16, where 0.41 cannot be had.
+    """
+    if not 0 < similarity <= 1 or not 0 < miss < 1:
+        raise ValueError("similarity must lie in (0, 1] and miss in (0, 1)")
+    rows = 16 if similarity == 1 else min(16, max(1, math.ceil(math.log(0.41) / math.log(similarity))))
+    return (1 if similarity == 1 else max(1, math.ceil(math.log(miss) / math.log1p(-(similarity**rows))))), rows
+
+
 class Shingles:
     """Text to the distinct hashes of its runs of five words and how often each comes.
 
@@ -252,7 +264,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.in
 SIGNED_SQL = "doc_id long, digest binary, n long, keys array<long>, shingles binary, weights binary, total double, prefix array<long>"
 
 
-def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text): digest and length of the text, a key for each band, and for
     verification the shingles that others have too, their weights (count x idf), the weight of all, and the prefix.
 
@@ -261,6 +273,7 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BAN
     than the threshold asks: similar texts have one of it in common.
     """
     bounded_batches(docs.sparkSession)
+    bands, rows = banding(similarity, miss)
     text = F.coalesce("text", F.lit(""))
     documents, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).collect()[0]
     own = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n"), text.alias("text"))
@@ -338,7 +351,7 @@ def _vector(shingles: bytes, weights: bytes, total: float) -> tuple[np.ndarray,
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (leader, node) that are similar enough, as links (a, b).
+    """The pairs (leader, node) that are similar enough, as links (a, b, similarity), a < b.
 
     ``pairs`` has parts, in how many a leader's nodes are dealt: its vector goes to each of them, so that no task has to hold or sort
     all nodes of one leader.
@@ -357,11 +370,12 @@ def verified(pairs: DataFrame, vectors: DataFrame, similarity: float) -> DataFra
             for leader, node, s, w, t, *own in zip(*(c.to_pylist() for c in batch.columns)):
                 if leader != last:
                     last, left = leader, _vector(s, w, t)
-                if weighted_jaccard(left, _vector(*own)) >= similarity:
-                    found.append((min(leader, node), max(leader, node)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], ["a", "b"])
+                if (alike := weighted_jaccard(left, _vector(*own))) >= similarity:
+                    found.append((min(leader, node), max(leader, node), alike))
+            columns = zip(*found) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
 
-    return both.select("leader", "node", "s", "w", "t", "shingles", "weights", "total").mapInArrow(check, "a long, b long")
+    return both.select("leader", "node", "s", "w", "t", "shingles", "weights", "total").mapInArrow(check, "a long, b long, similarity double")
 
 
 def sketches(vectors: DataFrame) -> DataFrame:
@@ -440,8 +454,16 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed, "key")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, class_id (smallest id of the class) and kept (whether the two are the same).
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, class_id (smallest id of the class) and kept (whether the two are the same); see ``near_links``."""
+    return near_links(docs, similarity, miss, id_col, text_col)[0].drop("node")
+
+
+def near_links(docs: DataFrame, similarity: float = SIMILARITY, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes (doc_id, node, class_id, kept: a row for each of ``docs``) and links (a, b, similarity) between nodes.
+
+    A node is a text, named by its smallest id. Links are those that make the classes, each verified: all others join nodes that these
+    join already, so that very many near copies cost a few links each. Bands and rows follow the threshold (``banding``).
 
     Classes are the components of links between texts at ``similarity`` or more. Equal texts are one node.
     A bucket (texts that share a band) is first compared with its most central member, that which has the
@@ -457,7 +479,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     with the least digest stands for it. Other columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialise(signatures(docs, similarity, bands, rows), "signatures")
+    signed = materialise(signatures(docs, similarity, miss), "signatures")
     vector = ["keys", "shingles", "weights", "total", "prefix"]
     nodes = signed.where("doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("node"))
     nodes = materialise(nodes, "nodes")
@@ -491,12 +513,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         near = materialise(verified(possible(state, known, had, most, similarity), lean, similarity), "links")
         if not near.isEmpty():
             links = links.union(near)
-            roots = components(links)
+            roots = merged(roots, near)
         had, most = most, 8 * most
-    classes = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+    classes = nodes.join(roots, "node", "left").select("digest", "node", F.coalesce("root", "node").alias("class_id"))
     rows_ = signed.select("doc_id", "digest").join(classes, "digest", "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return rows_.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    node, class_id = (F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("node", "class_id"))
+    return rows_.select("doc_id", node.alias("node"), class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept")), links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from edges import EDGES
 from pyspark.sql import functions as F
 
-from gridloom.llm import neardup, suffixdup, toxicity
+from gridloom.llm import graph, neardup, suffixdup, toxicity
 from gridloom.llm.graph import components
 from gridloom.llm.suffixsort import permuted_lcp, suffix_array
 
@@ -29,8 +29,8 @@ def corpus(seed, groups=12, size=6, words=120):
     return list(enumerate(rows))
 
 
-def brute_classes(rows, similarity=0.8):
-    """Classes by TF-IDF of the words' own five-word runs, all pairs compared; no part of the operator is used."""
+def brute_links(rows, similarity=0.8):
+    """Similarities of the pairs that are alike, by TF-IDF of the words' own five-word runs, all pairs compared; no part of the operator is used."""
     from collections import Counter
     from math import log10
 
@@ -41,6 +41,18 @@ def brute_classes(rows, similarity=0.8):
     df = Counter(k for v in vectors.values() for k in v)
     weights = {i: {k: n * (1 + log10((1 + len(rows)) / (1 + df[k]))) for k, n in v.items()} for i, v in vectors.items()}
     totals = {i: sum(w.values()) for i, w in weights.items()}
+    found = {}
+    for i, a in rows:
+        for j, b in rows:
+            if j < i:
+                both = sum(min(x, weights[j][k]) for k, x in weights[i].items() if k in weights[j])
+                alike = both / (totals[i] + totals[j] - both) if both > 0 else 0.0
+                if (a or "") == (b or "") or alike >= similarity:
+                    found[j, i] = max(alike, float((a or "") == (b or "")))
+    return found
+
+
+def brute_classes(rows, similarity=0.8):
     root = {i: i for i, _ in rows}
 
     def find(x):
@@ -48,13 +60,9 @@ def brute_classes(rows, similarity=0.8):
             x = root[x]
         return x
 
-    for i, a in rows:
-        for j, b in rows:
-            if j < i:
-                both = sum(min(x, weights[j][k]) for k, x in weights[i].items() if k in weights[j])
-                if (a or "") == (b or "") or both > 0 and both >= similarity * (totals[i] + totals[j] - both):
-                    x, y = find(i), find(j)
-                    root[max(x, y)] = min(x, y)
+    for i, j in brute_links(rows, similarity):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in rows}
 
 
@@ -88,6 +96,43 @@ def test_near_duplicates_of_one_template(docs, monkeypatch):
     assert found == brute_classes(rows) and 25 <= len(set(found.values())) <= 60
 
 
+def test_bands_follow_the_threshold():
+    assert neardup.banding(0.8) == (12, 4) and neardup.banding(0.5) == (22, 2)
+    for similarity in (0.1, 0.3, 0.5, 0.7, 0.8, 0.9, 0.99, 1.0):
+        for miss in (0.5, 0.02, 1e-4):
+            bands, rows = neardup.banding(similarity, miss)
+            assert (1 - similarity**rows) ** bands <= miss and bands >= 1 <= rows
+    for bad in ((0, 0.1), (1.1, 0.1), (0.8, 0), (0.8, 1)):
+        with pytest.raises(ValueError):
+            neardup.banding(*bad)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_links_and_membership_by_brute_force(docs, similarity):
+    """Every link is a true one with its similarity, those of two texts lose none, and they alone give the classes."""
+    rows = corpus(7)
+    members, links = (x.collect() for x in neardup.near_links(docs(rows), similarity))
+    want = brute_links(rows, similarity)
+    assert links and all(abs(want[r.a, r.b] - r.similarity) < 1e-5 for r in links)
+    of = {r.doc_id: r.class_id for r in members}
+    assert sum(of[a] == of[b] for a, b in want) >= 0.98 * len(want)
+    root = {i: i for i, _ in rows}
+    for a, b in [*((r.a, r.b) for r in links), *((r.doc_id, r.node) for r in members)]:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    assert root == of and all(r.kept == (r.doc_id == r.class_id) for r in members)
+
+
+def test_merged_classes_are_those_of_all_links(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]
+    frame = lambda p: spark.createDataFrame(p, "a long, b long")
+    all_ = {(r.node, r.root) for r in graph.components(frame(pairs)).collect()}
+    for cut in (0, 1, 120, 240):
+        first = graph.components(frame(pairs[:cut]))
+        assert {(r.node, r.root) for r in graph.merged(first, frame(pairs[cut:])).collect()} == all_
+
+
 def test_very_long_near_copies(docs):
     text = " ".join(f"w{i}" for i in range(400_000))
     rows = [(1, text), (2, text + " end"), (3, text + " end"), (4, "word " * 300_000), (5, "word " * 299_999), (6, "other " * 9)]
