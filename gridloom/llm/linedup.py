@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import bounded_batches, materialise, table
 
 RUN = 2
+#: Lines in a window where single lines are asked for: runs of so many are found by their window minima, the lines between them after.
+WINDOW = 4
 #: Fingerprints that come more often than one in so many positions are at most so many; they are joined by broadcast.
 HOT = 1 << 14
 BLANK = " \t\n\r\x0b\x0c"
@@ -40,19 +42,21 @@ def _lines(text: str) -> tuple[list[str], list[int]]:
     return lines, [i for i, x in enumerate(lines) if x.strip(BLANK)]
 
 
-POSITION = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("content", pa.binary())])
+HASHED = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("hashes", pa.binary())])
+POSITION = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fingerprint", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("content", pa.binary())])
+POSITION_SQL = "doc_id long, version long, fingerprint long, at long, start long, windows long, content binary"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """Selected positions: doc_id, fingerprint, the line it is at, the first of its windows and their number, and content.
+def _fingerprint(content: bytes, line: int) -> int:
+    return int.from_bytes(content[16 * line : 16 * line + 8], "little", signed=True)
 
-    With windows of ``run`` lines, any run of that many equal lines has a fingerprint at the same line. content is the 16-byte hashes of
-    the lines around it that its windows span, as far as a match with it can extend both ways.
-    """
+
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, version (a hash of the next, which tells apart texts under one id) and the 16-byte hashes of the lines that are not blank."""
     bounded_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,13 +64,54 @@ def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 lines, own = _lines(text)
-                digests = [xxhash.xxh3_128_digest(lines[i]) for i in own]
-                for at, start, n in winnow([int.from_bytes(x[:8], "little", signed=True) for x in digests], run):
-                    out.append((doc_id, int.from_bytes(digests[at][:8], "little", signed=True), at, start, n, b"".join(digests[start : start + n + run - 1])))
-            yield _batch(out, POSITION)
+                hashes = b"".join(xxhash.xxh3_128_digest(lines[i]) for i in own)
+                out.append((doc_id, int.from_bytes(xxhash.xxh3_128_digest(hashes)[8:], "little", signed=True), hashes))
+            yield _batch(out, HASHED)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, fingerprint long, at long, start long, windows long, content binary")
+    return rows.mapInArrow(scan, "doc_id long, version long, hashes binary")
+
+
+def fingerprints(hashed: DataFrame, run: int = RUN) -> DataFrame:
+    """Selected positions: doc_id, version, fingerprint, the line it is at, the first of its windows and their number, and content.
+
+    With windows of ``run`` lines, any run of that many equal lines has a fingerprint at the same line. content is the 16-byte hashes of
+    the lines around it that its windows span, as far as a match with it can extend both ways. ``hashed`` is that of ``line_hashes``.
+    """
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, version, hashes in zip(*(c.to_pylist() for c in b.columns)):
+                for at, start, n in winnow([_fingerprint(hashes, i) for i in range(len(hashes) // 16)], run):
+                    out.append((doc_id, version, _fingerprint(hashes, at), at, start, n, hashes[16 * start : 16 * (start + n + run - 1)]))
+            yield _batch(out, POSITION)
+
+    return hashed.mapInArrow(select, POSITION_SQL)
+
+
+def uncovered(hashed: DataFrame, runs: DataFrame) -> DataFrame:
+    """Positions, one a line, of the lines of ``hashed`` that no run (doc_id, version, start, lines) of the same text covers."""
+    key = ["doc_id", "version"]
+    lists = runs.groupBy(*key).agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
+    both = hashed.join(lists.hint("merge"), key, "left").select(*key, "hashes", F.col("runs.start").alias("start"), F.col("runs.lines").alias("lines"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, version, hashes, start, lines in zip(*(c.to_pylist() for c in b.columns)):
+                gone = _covered(len(hashes) // 16, start, lines)
+                out += [(doc_id, version, _fingerprint(hashes, i), i, i, 1, hashes[16 * i : 16 * (i + 1)]) for i in np.flatnonzero(~gone).tolist()]
+            yield _batch(out, POSITION)
+
+    return both.mapInArrow(left, POSITION_SQL)
+
+
+def _covered(n: int, start: list[int] | None, lines: list[int] | None) -> np.ndarray:
+    gone = np.zeros(n, bool)
+    for s, k in zip(start or [], lines or []):
+        gone[s : s + k] = True
+    return gone
 
 
 def extended(x: bytes, p: int, y: bytes, q: int) -> tuple[int, int]:
@@ -79,11 +124,13 @@ def extended(x: bytes, p: int, y: bytes, q: int) -> tuple[int, int]:
     return left, right
 
 
-MATCH = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("fingerprint", pa.int64()), ("off", pa.int64()), ("lines", pa.binary())])
+MATCH = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("fingerprint", pa.int64()), ("off", pa.int64()), ("lines", pa.binary())])
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, start and windows: windows of ``run`` lines that also start earlier (by doc_id, then line).
+def repeated_runs(found: DataFrame, run: int = RUN) -> DataFrame:
+    """doc_id, version, start and lines: lines in windows of ``run`` lines that also start earlier (by doc_id, then line).
+
+    ``found`` are positions (see ``fingerprints``), as a written table.
 
     Positions are joined to the first position of their fingerprint, and the match is extended both ways from the line of the fingerprint as
     far as the lines are equal: the windows within are repeats. Windows that are not can only repeat others that
@@ -91,7 +138,6 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     that come once are done with. All groupings aggregate before they shuffle. Fingerprints that very many positions have are joined where the positions are (HOT rows of a few lines' hashes
     at most are broadcast); other joins are by sorting at every size, so that plans do not change with the input.
     """
-    found = materialise(fingerprints(docs, run), "fingerprints")
     place = F.struct("doc_id", "at", "start", "content")
     first = materialise(found.groupBy("fingerprint").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     often = F.col("n") * HOT > found.count()
@@ -99,32 +145,47 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     cold = found.join(hot.select("fingerprint"), "fingerprint", "left_anti")
     later = F.struct("doc_id", "at") > F.struct("first.doc_id", "first.at")
     joined = found.join(hot, "fingerprint").union(cold.join(others.hint("merge"), "fingerprint")).where(later)
-    joined = joined.select("doc_id", "fingerprint", "at", "start", "windows", "content", (F.col("first.at") - F.col("first.start")).alias("q"), F.col("first.content").alias("other"))
+    joined = joined.select("doc_id", "version", "fingerprint", "at", "start", "windows", "content", (F.col("first.at") - F.col("first.start")).alias("q"), F.col("first.content").alias("other"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, fp, at, start, windows, content, q, other in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, version, fp, at, start, windows, content, q, other in zip(*(c.to_pylist() for c in b.columns)):
                 p = at - start
                 left, right = extended(content, p, other, q)
                 lo, hi = (p - left, min(windows, p + right - run + 1)) if right else (0, 0)
                 if lo < hi:
-                    out.append((doc_id, start + lo, hi - lo, None, None, None))
+                    out.append((doc_id, version, start + lo, hi - lo, None, None, None))
                 for i in [i for i in range(windows) if not lo <= i < hi]:
-                    out.append((doc_id, start + i, 1, fp, p - i, content[16 * i : 16 * (i + run)]))
+                    out.append((doc_id, version, start + i, 1, fp, p - i, content[16 * i : 16 * (i + run)]))
             yield _batch(out, MATCH)
 
-    matches = materialise(joined.mapInArrow(extend, "doc_id long, start long, windows long, fingerprint long, off long, lines binary"), "matches")
+    matches = materialise(joined.mapInArrow(extend, "doc_id long, version long, start long, windows long, fingerprint long, off long, lines binary"), "matches")
     rest, key = matches.where("lines is not null"), ["fingerprint", "off", "lines"]
     least = rest.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     others = rest.join(least.hint("merge"), key).where(F.struct("doc_id", "start") > F.col("first"))
-    return matches.where("lines is null").select("doc_id", "start", "windows").union(others.select("doc_id", "start", "windows"))
+    runs = ["doc_id", "version", "start", (F.col("windows") + (run - 1)).alias("lines")]
+    return matches.where("lines is null").select(*runs).union(others.select(*runs))
+
+
+def repeated_lines(hashed: DataFrame, run: int = RUN, window: int = WINDOW) -> DataFrame:
+    """doc_id, version, start and lines: what runs of ``run`` lines cover that also start earlier. ``hashed`` is a written table.
+
+    A window of a single line selects nothing. So for those, runs of ``window`` lines are found first. What they cover comes earlier; the first
+    place of a line is in none of them. Thus of the lines between, each that is not the first of its like is one more, and no others are.
+    """
+    wide = max(run, window) if run == 1 else run
+    runs = repeated_runs(materialise(fingerprints(hashed, wide), "fingerprints"), wide)
+    if wide == run:
+        return runs
+    runs = materialise(runs, "runs")
+    return runs.union(repeated_runs(materialise(uncovered(hashed, runs), "between"), run))
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, window: int = WINDOW) -> DataFrame:
     """Per row: doc_id, n_lines, n_removed, n_runs, kept_sha256 (and kept, the text that stays, if asked).
 
     Each line is deleted that a run of ``run`` lines covers which also starts earlier, in a document of smaller
@@ -137,18 +198,17 @@ def dedup_lines(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_co
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    runs = repeated_runs(rows.where("doc_id is not null"), run).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    both = rows.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", F.col("runs.start").alias("start"), F.col("runs.windows").alias("windows"))
+    hashed = materialise(line_hashes(rows.where("doc_id is not null")), "lines")
+    runs = repeated_lines(hashed, run, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
+    both = rows.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", F.col("runs.start").alias("start"), F.col("runs.lines").alias("lines"))
     schema = KEPT if with_kept else KEPT.remove(5)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, text, start, windows in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, start, covered in zip(*(c.to_pylist() for c in b.columns)):
                 lines, own = _lines(text)
-                gone = np.zeros(len(own), bool)
-                for s, n in zip(start or [], windows or []):
-                    gone[s : s + n + run - 1] = True
+                gone = _covered(len(own), start, covered)
                 dropped = {own[i] for i in np.flatnonzero(gone)}
                 kept = "\n".join(x for i, x in enumerate(lines) if i not in dropped)
                 n_runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())

@@ -132,8 +132,8 @@ def test_line_dedup_matches_sql(docs):
 
 
 @pytest.mark.parametrize("collide", [False, True])
-@pytest.mark.parametrize("run", [1, 2, 3, 4])
-def test_line_dedup_by_brute_force(docs, monkeypatch, run, collide):
+@pytest.mark.parametrize("run, window", [(1, 1), (1, 2), (1, 4), (2, 4), (3, 4), (4, 4)])
+def test_line_dedup_by_brute_force(docs, monkeypatch, run, window, collide):
     """Also where all lines have one fingerprint, so that only the extension tells them apart."""
     import random
 
@@ -159,7 +159,30 @@ def test_line_dedup_by_brute_force(docs, monkeypatch, run, collide):
                 gone[s : s + run] = [True] * run
             seen.add(key)
         want[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
-    assert {r.doc_id: r.kept for r in linedup.dedup_lines(docs(rows), run, with_kept=True).collect()} == want
+    assert {r.doc_id: r.kept for r in linedup.dedup_lines(docs(rows), run, with_kept=True, window=window).collect()} == want
+
+
+def test_single_lines_come_through_window_minima(docs):
+    """Long passages are found by few positions whose matches extend over lines; only what is between them is joined line by line."""
+    passage = "\n".join(f"line {i}" for i in range(60))
+    rows = [(i, f"own {i}\n{passage}\n\nmine {i}\nshared") for i in range(1, 21)]
+    hashed = linedup.materialise(linedup.line_hashes(docs(rows)), "lines")
+    found = linedup.materialise(linedup.fingerprints(hashed, linedup.WINDOW), "fingerprints")
+    assert found.count() < 0.6 * 20 * 63
+    runs = linedup.materialise(linedup.repeated_runs(found, linedup.WINDOW), "runs")
+    covered = runs.selectExpr("doc_id", "explode(sequence(start, start + lines - 1)) as line").distinct()
+    assert runs.agg(F.max("lines")).first()[0] > linedup.WINDOW and covered.count() == 19 * 60
+    assert linedup.uncovered(hashed, runs).count() == 20 * 63 - 19 * 60
+    want = {i: t if i == 1 else f"own {i}\n\nmine {i}" for i, t in rows}
+    assert {r.doc_id: r.kept for r in linedup.dedup_lines(docs(rows), 1, with_kept=True).collect()} == want
+
+
+def test_single_lines_of_texts_that_share_an_id(docs):
+    """What is covered in one text of an id does not hide the lines of another."""
+    rows = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (2, "w\nx\ny\nz"), (3, "x\nz"), (3, "x\nz")]
+    got = sorted((r.doc_id, r.kept) for r in linedup.dedup_lines(docs(rows), 1, with_kept=True).collect())
+    assert got == sorted((r.doc_id, r.kept) for r in linedup.dedup_lines(docs(rows), 1, with_kept=True, window=1).collect())
+    assert got == [(1, "a\nb\nc\nd"), (2, ""), (2, ""), (3, ""), (3, "")]
 
 
 def test_line_dedup_query_deletes_single_lines(spark, docs, tmp_path):
