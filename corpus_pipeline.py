@@ -15,8 +15,11 @@ from gridloom.llm.common import fresh, materialise, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model is fitted on the labels outside the held-out fold.
 
-    Rows with a null id are scored like others. Without any label all scores are 0.5 and all documents go.
+    Rows with a null id are scored like others. Where there is no label to learn from, nothing is known to be toxic and all documents stay.
     """
+    labels = toxicity.sampled_labels(table(spark, sf_dir, "labels"))
+    if labels.join(docs, "doc_id", "left_semi").isEmpty():
+        return docs
     model, name = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh(docs, "score")
     return toxicity.scored(docs, model, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
