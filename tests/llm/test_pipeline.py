@@ -110,3 +110,10 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_without_labels_all_documents_stay(spark, folder, tmp_path):
+    path, *_ = folder
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/none").count() == docs.count()
