@@ -141,3 +141,12 @@ def test_extension_stops_without_edge_support(spark):
     assert sorted(x.col for x in geometry.extend(tips, cells, 6, edge="edge", edge_least=0.1).collect()) == [3, 4, 5, 6, 7, 8]
     half = spark.createDataFrame([(0, 2, 0.0, 0.5)], "row long, col long, dy double, dx double")
     assert sorted(x.col for x in geometry.extend(half, cells.withColumn("skeleton", cells.col < 2), 5).collect()) == [2, 3, 4]  # 2.5 and 4.5 go to even places
+
+
+def test_cells_are_never_broadcast(spark):
+    cells = spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", "0.5 as p", "id div 20 = 4 and id % 20 < 9 as skeleton", "1.0 as edge")
+    skeleton = cells.where("skeleton")
+    tips = geometry.orientations(geometry.endpoints(skeleton), skeleton, 5, 0.5, 20, 20)
+    out = geometry.extend(tips, cells, 3, edge="edge")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((x.row, x.col) for x in out.collect()) == [(4, 9), (4, 10), (4, 11)]
