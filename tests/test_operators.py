@@ -445,3 +445,12 @@ def test_every_kind_has_a_halo():
 
     assert all(stencils.tile_halo(k) > 0 for k in stencils.KINDS)
     assert stencils.tile_halo("wavelet_entropy", 0.0, levels=(1, 2, 6)) == 32
+
+
+def test_baseline_ties_with_itself_however_scores_are_summed(spark):
+    import random
+
+    drawn = F.udf(lambda v, f: random.random(), "double").asNondeterministic()
+    scores = spark.range(15).select(F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("variant"), F.floor(F.col("id") / 3).alias("fold"))
+    found = {r.variant: r for r in gate.ablation_summary(scores.withColumn("score", drawn("variant", "fold")), "A").collect()}
+    assert set(found) == set("ABC") and found["A"].delta == 0 and (found["A"].wins, found["A"].losses, found["A"].ties) == (0, 0, 5)
