@@ -174,3 +174,22 @@ def test_every_shift_equals_its_own_score(spark):
         assert found.delta == pytest.approx(found.score - by[0, 0].score)
     worst = [r for r in by.values() if r.worst]
     assert len(worst) == 1 and worst[0].score == min(r.score for r in by.values())
+
+
+def test_feeders_of_chains_are_told_apart_once(spark, monkeypatch):
+    """A ladder of tasks, each of which needs the next two: pairs are met on paths of many lengths, but compared with those of their own level only."""
+    plans, write = [], queue.materialise
+
+    def noted(df, label, *by):
+        if label == "feeders":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label, *by)
+
+    monkeypatch.setattr(queue, "materialise", noted)
+    tasks = spark.range(9).select("id", F.col("id").alias("artifact"))
+    needs = tasks.select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("artifact"))
+    decisions = spark.createDataFrame([("x", 0), ("y", 6), ("z", 3)], "decision string, artifact long")
+    none = tasks.where("id < 0")
+    found = [tuple(r) for r in queue.all_feeders(decisions, needs, tasks, none.select("artifact"), none.select("id")).collect()]
+    assert sorted(found) == [(d, i) for d, k in (("x", 0), ("y", 6), ("z", 3)) for i in range(k, 9)]
+    assert plans and not any("LeftAnti" in p for p in plans)
