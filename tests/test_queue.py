@@ -193,3 +193,13 @@ def test_feeders_of_chains_are_told_apart_once(spark, monkeypatch):
     found = [tuple(r) for r in queue.all_feeders(decisions, needs, tasks, none.select("artifact"), none.select("id")).collect()]
     assert sorted(found) == [(d, i) for d, k in (("x", 0), ("y", 6), ("z", 3)) for i in range(k, 9)]
     assert plans and not any("LeftAnti" in p for p in plans)
+
+
+def test_paths_of_two_are_sent_in_lists(spark, monkeypatch):
+    """A hub whose targets fill several lists; nothing is dealt by pairs."""
+    monkeypatch.setattr(audit, "CHUNK", 3)
+    edges = {("a", "hub"), ("b", "hub"), ("b", "a"), ("c", "b")} | {("hub", f"t{i}") for i in range(8)}
+    out = audit.feeders(spark.createDataFrame([(*e, "train") for e in sorted(edges)] * 2, "src string, dst string, kind string"))
+    assert sorted((r.src, r.decision) for r in out.collect()) == sorted(edges | {(a, d) for a, b in edges for c, d in edges if b == c})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" in plan and "hashpartitioning(src#" in plan and not any("hashpartitioning" in x and "decision#" in x.split("hashpartitioning")[1].split(")")[0] for x in plan.splitlines())
