@@ -454,3 +454,26 @@ def test_baseline_ties_with_itself_however_scores_are_summed(spark):
     scores = spark.range(15).select(F.element_at(F.array(*map(F.lit, "ABC")), (F.col("id") % 3 + 1).cast("int")).alias("variant"), F.floor(F.col("id") / 3).alias("fold"))
     found = {r.variant: r for r in gate.ablation_summary(scores.withColumn("score", drawn("variant", "fold")), "A").collect()}
     assert set(found) == set("ABC") and found["A"].delta == 0 and (found["A"].wins, found["A"].losses, found["A"].ties) == (0, 0, 5)
+
+
+def test_chains_broadcast_no_tasks(spark, monkeypatch):
+    from functools import partial
+
+    plans, write = [], audit_module().materialise
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(audit_module(), "materialise", partial(noted))
+    monkeypatch.setattr(audit_module(), "ROUNDS", 3, raising=False)
+    edges = spark.range(1, 9).selectExpr("id as src", "id div 2 as dst").union(spark.range(3, 9).selectExpr("id as src", "id div 3 as dst"))
+    found = {r.node: (r.before, r.after) for r in audit_module().chains(edges).collect()}
+    assert found == {0: (4, 0), 1: (3, 1), 2: (2, 2), 3: (1, 2), 4: (1, 3), 5: (0, 3), 6: (0, 3), 7: (0, 3), 8: (0, 4)}
+    assert not [label for label, p in plans if "BroadcastHashJoin" in p]
+
+
+def audit_module():
+    from gridloom.operators import audit
+
+    return audit
