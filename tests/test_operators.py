@@ -456,6 +456,23 @@ def test_baseline_ties_with_itself_however_scores_are_summed(spark):
     assert set(found) == set("ABC") and found["A"].delta == 0 and (found["A"].wins, found["A"].losses, found["A"].ties) == (0, 0, 5)
 
 
+def test_best_predictions_of_all_candidates_share_a_row(spark):
+    cells = spark.range(64).selectExpr("0 as fold", "id div 8 as row", "id % 8 as col", "id % 10 / 10 as p", "id % 13 = 0 as truth", "true as valid")
+    both = cells.selectExpr("'a' as member", "fold", "row", "col", "p").union(cells.selectExpr("'b' as member", "fold", "row", "col", "1 - p as p"))
+    out = ensemble.candidate_scores(both, cells, ["a", "b"])
+    truths = [(r.row, r.col) for r in cells.where("truth").collect()]
+    p = {(r.row, r.col): float(r.p) for r in cells.collect()}
+    found = {r.candidate: r.score for r in out.collect()}
+    for j, w in enumerate(ensemble.weight_candidates(["a", "b"])):
+        mixed = {k: w["a"] * x + w["b"] * (1 - x) for k, x in p.items()}
+        reach = lambda k, t: max(0.0, 1 - math.dist(k, t) / 3)
+        tp = sum(max(reach(k, t) * x for k, x in mixed.items()) for t in truths)
+        fp = sum(x * (1 - max(reach(k, t) for t in truths)) for k, x in mixed.items())
+        assert found[j] == pytest.approx(tp / (tp + 0.2 * fp + 0.8 * (len(truths) - tp)), abs=1e-9)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "from_row" in x and "candidate" in x for x in plan.splitlines())
+
+
 def test_chains_broadcast_no_tasks(spark, monkeypatch):
     from functools import partial
 
