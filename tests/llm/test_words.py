@@ -200,3 +200,16 @@ def test_quality_rules_of_edges(docs):
     assert divergence.judged(docs(EDGES).limit(0)).count() == 0
     lines = docs([(1, "a\n \na\nb\na "), (2, "\n\n")])
     assert {x.doc_id: x.n_dup_lines for x in divergence.judged(lines).collect()} == {1: 1, 2: 0}
+
+
+def test_rare_languages_are_judged_exactly_in_groups(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("uvwxyz") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    rows = quality_rows() + [(5000 + i, prose(r, 150, words), "rare") for i in range(20)] + [(5500, prose(r, 200, words).upper(), "rare")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    plain = lambda df: {x.doc_id: (x.n_words, x.base_failed, x.kept, x.js_chars and round(x.js_chars, 9), x.js_words and round(x.js_words, 9)) for x in df.collect()}
+    want = plain(divergence.judged(table))
+    assert not want[5500][2] and want[5500][3] is not None
+    monkeypatch.setattr(divergence, "LANGUAGES", 2)
+    assert plain(divergence.judged(table))[5500][3] is None
+    assert plain(divergence.judged(table, rare=True)) == want
