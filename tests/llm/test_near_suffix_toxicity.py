@@ -123,6 +123,48 @@ def test_links_and_membership_by_brute_force(docs, similarity):
     assert root == of and all(r.kept == (r.doc_id == r.class_id) for r in members)
 
 
+def large_group(copies=60, strangers=400):
+    """A text of 100 words and copies with two words changed: 86 of 106 shingles are shared with it, but the copies' own are rare and weigh more."""
+    rng = random.Random(15)
+    base = [f"b{i}" for i in range(100)]
+    rows = [" ".join(base)]
+    for c in range(copies):
+        own = list(base)
+        for j in (10 + rng.randrange(30), 60 + rng.randrange(30)):
+            own[j] = f"c{c}x{j}"
+        rows.append(" ".join(own))
+    rows += [" ".join(f"s{rng.randrange(10**6)}" for _ in range(30)) for _ in range(strangers)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def brute_plain_links(rows, similarity=0.8):
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(min(len(w), 1), len(w) - 4))} for i, t in rows for w in [t.lower().split()]}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    return {p: x for p, x in alike.items() if x >= similarity}
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("make", [large_group, lambda: corpus(11, 8, 9)])
+def test_plain_links_by_brute_force(docs, monkeypatch, make, small):
+    """With ``plain`` the classes are those of the links of either similarity; without it those of TF-IDF alone."""
+    if small:
+        for name, value in (("LEADERS", 2), ("PART", 3), ("CHUNK_DOCS", 7), ("GROUP_BYTES", 500)):
+            monkeypatch.setattr(neardup, name, value)
+    rows = make()
+    weighted, plain = brute_links(rows), brute_plain_links(rows)
+    want = {p: max(weighted.get(p, 0), plain.get(p, 0)) for p in weighted | plain}
+    assert len(want) > len(weighted)
+    members, links = (x.collect() for x in neardup.near_links(docs(rows), plain=True))
+    assert links and all(abs(want[r.a, r.b] - r.similarity) < 1e-5 for r in links)
+    root = {i: i for i, _ in rows}
+    for a, b in want:
+        x, y = root[a], root[b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    assert {r.doc_id: r.class_id for r in members} == root
+    assert classes(docs(rows)) == brute_classes(rows) != root
+
+
 def test_merged_classes_are_those_of_all_links(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)]

@@ -100,6 +100,15 @@ def test_repeated_rows_are_mixed_each(spark, docs, tmp_path):
     assert 3 * len(found) == pytest.approx(1.5 * 3 * len(rows), abs=3)
 
 
+def test_near_copies_of_a_large_group_go(spark, docs, tmp_path):
+    from test_near_suffix_toxicity import large_group
+
+    rows = large_group()
+    group = [i for i, t in rows if t.startswith("b0 ")]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(rows), str(tmp_path)).collect()}
+    assert len(group) == 61 and kept == {i for i, _ in rows} - set(group[1:])
+
+
 def test_run_is_the_stages_in_turn(spark, folder):
     path, *_ = folder
     out = corpus_pipeline.run(spark, path)
