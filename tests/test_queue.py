@@ -203,3 +203,62 @@ def test_paths_of_two_are_sent_in_lists(spark, monkeypatch):
     assert sorted((r.src, r.decision) for r in out.collect()) == sorted(edges | {(a, d) for a, b in edges for c, d in edges if b == c})
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(src" in plan and "hashpartitioning(src#" in plan and not any("hashpartitioning" in x and "decision#" in x.split("hashpartitioning")[1].split(")")[0] for x in plan.splitlines())
+
+
+def ladder(spark):
+    """Three decisions over nine tasks, each of which needs the next two."""
+    tasks = spark.range(9).select("id", F.col("id").alias("artifact"))
+    needs = tasks.select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("artifact"))
+    none = tasks.where("id < 0")
+    return spark.createDataFrame([("x", 0), ("y", 6), ("z", 3)], "decision string, artifact long"), needs, tasks, none.select("artifact"), none.select("id")
+
+
+def noted_pairs(monkeypatch):
+    """Rows that are written with a decision."""
+    rows, write = [], queue.materialise
+
+    def noted(df, label, *by):
+        out = write(df, label, *by)
+        if "decision" in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(queue, "materialise", noted)
+    return rows
+
+
+def test_pairs_below_the_levels_are_not_written(spark, monkeypatch):
+    rows = noted_pairs(monkeypatch)
+    found = queue.all_feeders(*ladder(spark)).collect()
+    assert sorted(map(tuple, found)) == [(d, i) for d, k in (("x", 0), ("y", 6), ("z", 3)) for i in range(k, 9)]
+    assert sum(rows) == 3
+
+
+@pytest.mark.parametrize("core", [0, 12, 60, 1 << 20])
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_feeders_against_plain_search(spark, monkeypatch, core, cyclic):
+    """By levels, by broadcast and by rounds; a decision's rows in many batches, decisions null or of one task, tasks that need none."""
+    monkeypatch.setattr(queue, "CORE", core)
+    monkeypatch.setattr(queue, "MARKS", 90)
+    monkeypatch.setattr(queue, "ROWS", 4)
+    r = random.Random(11)
+    edges = sorted({(f"t{a}", f"t{b}") for a, b in [(r.randrange(40), r.randrange(40)) for _ in range(70)] if a < b} | ({("t30", "t20"), ("t20", "t30"), ("t8", "t8")} if cyclic else set()))
+    wants = sorted({(f"d{r.randrange(6)}", f"t{r.randrange(44)}") for _ in range(30)}) + [("all", f"t{i}") for i in range(44)] + [(None, "t1"), (None, "t43")]
+    over = {"t5", "t13"}
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    makes = make([(f"t{i}", f"t{i}") for i in range(44)], "id string, artifact string")
+    args = make(wants, "decision string, artifact string"), make(edges, "id string, artifact string"), makes, make([("t7",)], "artifact string"), make([(x,) for x in over], "id string")
+    pairs = set()
+    for d, t in wants:
+        todo = [t]
+        while todo:
+            t = todo.pop()
+            if t not in over | {"t7"} and (d, t) not in pairs:
+                pairs.add((d, t))
+                todo += [b for a, b in edges if a == t]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = [tuple(x) for x in queue.all_feeders(*args).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(pairs) and set(found) == pairs
