@@ -234,6 +234,14 @@ def test_pairs_below_the_levels_are_not_written(spark, monkeypatch):
     assert sum(rows) == 3
 
 
+def test_decisions_are_counted_without_pairs(spark, monkeypatch):
+    rows = noted_pairs(monkeypatch)
+    own = spark.range(9).select("id", F.col("id").alias("idx"))
+    found = queue.resume_order(own, *ladder(spark)).orderBy("place").collect()
+    assert [(r.id, r.decisions) for r in found] == [(i, 3) for i in (6, 7, 8)] + [(i, 2) for i in (3, 4, 5)] + [(i, 1) for i in (0, 1, 2)]
+    assert sum(rows) == 3
+
+
 @pytest.mark.parametrize("core", [0, 12, 60, 1 << 20])
 @pytest.mark.parametrize("cyclic", [False, True])
 def test_feeders_against_plain_search(spark, monkeypatch, core, cyclic):
@@ -259,6 +267,8 @@ def test_feeders_against_plain_search(spark, monkeypatch, core, cyclic):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         found = [tuple(x) for x in queue.all_feeders(*args).collect()]
+        counts = {x.id: x.decisions for x in queue.feeder_counts(*args).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(found) == len(pairs) and set(found) == pairs
+    assert counts == {t: sum(x == t for _, x in pairs) for t in {x for _, x in pairs}}
